@@ -33,5 +33,6 @@ def lookup_list(df: DataFrame, key: str, csv_col: str, dim: DataFrame, dim_id: s
         ids = ids.distinct()
     named = ids.join(dim.select(F.col(dim_id).alias("token_id"), F.col(dim_name).alias("_name")),
                      "token_id", "inner")
+    sep_sql = "'" + sep.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return named.groupBy(key).agg(
-        F.listagg("_name", F.lit(sep)).withinGroup(F.col("_name").asc()).alias(out_col))
+        F.expr(f"listagg(_name, {sep_sql}) WITHIN GROUP (ORDER BY _name)").alias(out_col))

@@ -1,3 +1,3 @@
 """Driver queries: importing this package fills ``ledgerlight.registry.REGISTRY``."""
 
-from ledgerlight.queries import report_queries  # noqa: F401
+from ledgerlight.queries import fact_queries, report_queries  # noqa: F401

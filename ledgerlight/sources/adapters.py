@@ -66,7 +66,13 @@ SELECT o_orderkey AS id,
        CASE WHEN o_orderkey % 10 = 0 THEN NULL
             ELSE CAST(o_orderkey % 3 = 1 AS INT) END AS is_pet_id_product,
        CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 10 END AS sub_agent_id,
-       o_orderdate - INTERVAL 700 DAY AS pet_birth_date
+       o_orderdate - INTERVAL 700 DAY AS pet_birth_date,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'Ms' END AS title,
+       CASE WHEN o_orderkey % 2 = 0 THEN concat(CAST(o_orderkey AS STRING), ' Quote St') END AS address1,
+       CASE WHEN o_orderkey % 4 = 2 THEN 'Flat 2' END AS address2,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'Quoteville' END AS suburb,
+       CASE WHEN o_orderkey % 2 = 0 THEN CAST(2000 + o_orderkey % 100 AS STRING) END AS post_code,
+       CASE WHEN o_orderkey % 3 = 1 THEN concat('+44 ', CAST(o_orderkey AS STRING)) END AS primary_contact_number
 FROM {orders}
 """
 
