@@ -22,16 +22,18 @@ class Entry:
     oracle_body: str | None
     adapters: tuple[str, ...]
     ids: str
+    oracle_fn: Callable[[], str] | None = None
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return self.build(Sources(spark, sf_dir))
 
     def oracle(self) -> str | None:
-        if self.oracle_body is None:
+        body = self.oracle_fn() if self.oracle_fn else self.oracle_body
+        if body is None:
             return None
+        body = body.strip()
         if not self.adapters:
-            return self.oracle_body.strip()
-        body = self.oracle_body.strip()
+            return body
         # The body may start with its own CTEs: merge them into one WITH list.
         if body[:4].upper() == "WITH":
             return oracle_ctes(self.adapters).rstrip() + ",\n" + body[4:].lstrip()
@@ -41,10 +43,11 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
-def register(name: str, adapters: tuple[str, ...] = (), oracle: str | None = None, ids: str = ""):
+def register(name: str, adapters: tuple[str, ...] = (), oracle: str | None = None, ids: str = "",
+             oracle_fn: Callable[[], str] | None = None):
     def deco(fn: Callable[[Sources], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Entry(name, fn, oracle, tuple(adapters), ids)
+        REGISTRY[name] = Entry(name, fn, oracle, tuple(adapters), ids, oracle_fn)
         return fn
     return deco
