@@ -331,3 +331,118 @@ def report_order(src):
     from ledgerlight.plans import reports as R
     return R.free_policy_breakdown(src["free_wh"], *WW).orderBy(
         F.col("level").asc(), F.col("value").desc(), F.col("name").asc_nulls_first())
+
+
+@register("fanout_chain", ("quote_src", "client_src", "policy_src", "policy_full_src"),
+          ids="J3 J4 J5 C30", oracle="""
+SELECT q.id AS quote_id, c.country_code, pa.policy_number, pp.actual_start_date
+FROM quote_src q
+LEFT JOIN client_src c ON c.id = q.client_id
+LEFT JOIN policy_src pa ON pa.quote_id = q.id
+LEFT JOIN policy_full_src pp ON pp.id = pa.id
+""")
+def fanout_chain(src):
+    q = src["quote_src"].select(F.col("id").alias("quote_id"), "client_id")
+    c = src["client_src"].select(F.col("id").alias("c_id"), "country_code")
+    pa = src["policy_src"].select(F.col("quote_id").alias("pa_quote"), F.col("id").alias("pa_id"),
+                                  "policy_number")
+    pp = src["policy_full_src"].select(F.col("id").alias("pp_id"), "actual_start_date")
+    return (q.join(c, F.col("c_id") == F.col("client_id"), "left")
+             .join(pa, F.col("pa_quote") == F.col("quote_id"), "left")
+             .join(pp, F.col("pp_id") == F.col("pa_id"), "left")
+             .select("quote_id", "country_code", "policy_number", "actual_start_date"))
+
+
+@register("conditional_exclusion", ("quote_src", "hear_about_dim"), ids="D12 J7 N9", oracle="""
+SELECT q.id, q.product_id, h.name
+FROM quote_src q LEFT JOIN hear_about_dim h ON h.id = q.hear_about_us
+WHERE q.product_id <> 40 OR (q.product_id = 40 AND h.name NOT IN ('ASIA', 'EUROPE'))
+""")
+def conditional_exclusion(src):
+    dom = config.FIXTURE_DOMAIN
+    h = src["hear_about_dim"]
+    return (src["quote_src"].join(h.select(F.col("id").alias("h_id"), "name"),
+                                  F.col("h_id") == F.col("hear_about_us"), "left")
+            .where(D.product_exclusion("product_id", dom.bb_product, "name", dom.excluded_hear_about))
+            .select("id", "product_id", "name"))
+
+
+@register("union_all_branches", ("quote_src",), ids="I1 I2 F13 N23", oracle="""
+SELECT id, 'a' AS branch FROM quote_src WHERE product_id IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13,
+  14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39, 40)
+UNION ALL
+SELECT id, 'b' AS branch FROM quote_src WHERE product_id BETWEEN 100 AND 119
+""")
+def union_all_branches(src):
+    dom = config.FIXTURE_DOMAIN
+    q = src["quote_src"]
+    a = q.where(F.col("product_id").isin(dom.branch_a_products)).select("id", F.lit("a").alias("branch"))
+    b = q.where(F.col("product_id").isin(dom.branch_b_products)).select("id", F.lit("b").alias("branch"))
+    return a.unionByName(b)
+
+
+@register("first_nonzero_join", ("quote_src", "breed_dim"), ids="C5 J6", oracle="""
+SELECT q.id, coalesce(nullif(q.breed_id1, 0), nullif(q.breed_id2, 0), nullif(q.breed_id3, 0)) AS breed_id,
+       b.breed_name
+FROM quote_src q
+LEFT JOIN breed_dim b ON b.id = coalesce(nullif(q.breed_id1, 0), nullif(q.breed_id2, 0), nullif(q.breed_id3, 0))
+""")
+def first_nonzero_join(src):
+    key = C.first_nonzero("breed_id1", "breed_id2", "breed_id3")
+    b = src["breed_dim"].select(F.col("id").alias("b_id"), "breed_name")
+    q = src["quote_src"].withColumn("breed_id", key)
+    return q.join(b, F.col("b_id") == F.col("breed_id"), "left").select("id", "breed_id", "breed_name")
+
+
+@register("product_class_join", ("quote_src", "pet_type_dim"), ids="C9 C10 J8 D11", oracle="""
+SELECT q.id, q.product_id,
+       CASE WHEN q.product_id = 40 THEN 'BB_Commercial' ELSE pty.pet_type_name END AS pet_type
+FROM quote_src q
+LEFT JOIN pet_type_dim pty ON pty.pet_type_id =
+  CASE WHEN q.product_id IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 9) THEN 3
+       WHEN q.product_id IN (10, 11, 12, 13, 14, 15, 16, 17, 18, 19) THEN 4
+       WHEN q.product_id IN (20, 21, 22, 23, 24, 25, 26, 27, 28, 29) THEN 6
+       WHEN q.product_id IN (30, 31, 32, 33, 34, 35, 36, 37, 38, 39) THEN 7 END
+WHERE q.product_id BETWEEN 0 AND 40
+""")
+def product_class_join(src):
+    dom = config.FIXTURE_DOMAIN
+    pty = src["pet_type_dim"]
+    q = src["quote_src"].where(F.col("product_id").isin(dom.branch_a_products))
+    return (q.join(pty, pty["pet_type_id"] == C.product_class("product_id", dom.class_products), "left")
+             .select("id", "product_id",
+                     C.bb_pet_type("product_id", dom.bb_product, "pet_type_name").alias("pet_type")))
+
+
+@register("class_join_filtered", ("quote_src", "product_dim", "pet_type_dim"), ids="J1 J2 D14", oracle="""
+SELECT q.id, p.product_name, pty.pet_type_name
+FROM quote_src q
+JOIN product_dim p ON p.id = q.product_id AND p.parent_product_id IS NOT NULL
+                  AND p.product_name NOT ILIKE '%INTRODUCTORY%'
+LEFT JOIN pet_type_dim pty ON pty.pet_type_id = p.pet_type_id
+""")
+def class_join_filtered(src):
+    p = src["product_dim"].where(F.col("parent_product_id").isNotNull()
+                                 & ~F.col("product_name").ilike("%INTRODUCTORY%"))
+    pty = src["pet_type_dim"]
+    q = src["quote_src"]
+    return (q.join(p.select(F.col("id").alias("p_id"), "product_name", F.col("pet_type_id").alias("p_type")),
+                   F.col("p_id") == F.col("product_id"), "inner")
+             .join(pty, pty["pet_type_id"] == F.col("p_type"), "left")
+             .select("id", "product_name", "pet_type_name"))
+
+
+@register("brand_rules", ("quote_wh",), ids="C15 C16 C17", oracle="""
+SELECT QuoteNumber,
+       CASE WHEN PetType = 'BB_Commercial' THEN 'BB'
+            WHEN length(coalesce(PolicyNumber, '')) % 3 = 0 THEN 'BPIS'
+            WHEN length(coalesce(PolicyNumber, '')) % 3 = 1 THEN 'PetId' ELSE 'Unknown' END AS quote_brand,
+       CASE WHEN length(coalesce(PolicyNumber, '')) % 3 = 1 THEN 'PetId'
+            WHEN PetType ILIKE '%BB_COM%' THEN 'BB' ELSE 'BPIS' END AS sales_brand
+FROM quote_wh
+""")
+def brand_rules(src):
+    q = src["quote_wh"]
+    flag = F.length(F.coalesce(F.col("PolicyNumber"), F.lit(""))) % 3
+    return q.select("QuoteNumber", C.brand_quote_uk("PetType", flag).alias("quote_brand"),
+                    C.brand_sales_uk("PetType", flag).alias("sales_brand"))
