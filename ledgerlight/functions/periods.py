@@ -162,7 +162,16 @@ def clean_date(c: str | Column) -> Column:
     1753-01-01 becomes NULL (never raises under ANSI)."""
     c = _col(c)
     ts = F.try_to_timestamp(c.cast("string"))
-    return F.when(ts >= F.lit(dt.datetime.combine(MIN_STORE_DATE, dt.time())), ts)
+    # Both sides parsed in the session time zone, so the bound is exact.
+    floor = F.lit(f"{MIN_STORE_DATE.isoformat()} 00:00:00").cast("timestamp")
+    return F.when(ts >= floor, ts)
+
+
+def ntz_literal(value: dt.datetime | dt.date) -> Column:
+    """A TIMESTAMP_NTZ literal from wall-clock text (no time-zone shift)."""
+    if not isinstance(value, dt.datetime):
+        value = dt.datetime.combine(value, dt.time())
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
 
 
 def month_calendar(spark: SparkSession, first_month: DateLike, last_month: DateLike,

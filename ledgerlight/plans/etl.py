@@ -63,7 +63,7 @@ def clean_dates(df: DataFrame, cols) -> DataFrame:
         if c not in types:
             continue
         if isinstance(types[c], (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            floor = F.lit(dt.datetime.combine(K.MIN_STORE_DATE, dt.time())).cast(types[c])
+            floor = K.ntz_literal(K.MIN_STORE_DATE).cast(types[c])
             repl[c] = F.when(F.col(c) >= floor, F.col(c))
         else:
             repl[c] = K.clean_date(c)
@@ -72,7 +72,7 @@ def clean_dates(df: DataFrame, cols) -> DataFrame:
 
 def transform(df: DataFrame, kind: str, as_of: dt.date) -> DataFrame:
     """A4 + K11: load-date stamp, then date cleanup."""
-    stamped = df.withColumn("ETLDateUploaded", F.lit(dt.datetime.combine(K.to_date(as_of), dt.time())))
+    stamped = df.withColumn("ETLDateUploaded", K.ntz_literal(K.to_date(as_of)))
     return clean_dates(stamped, CLEAN_DATES[kind])
 
 

@@ -266,7 +266,7 @@ def policy_listing(crm: DataFrame, start, end, extracted_at: dt.datetime, months
     base, basis = _policy_base(crm, start, end, months, date_basis, regions, policy_status,
                                policy_type, brands, pets)
     rows = base.select(
-        F.lit(extracted_at).alias("DateExtracted"),
+        K.ntz_literal(extracted_at).alias("DateExtracted"),
         *[C.country("Country", "CountryCode").alias("Country") if c == "Country" else F.col(c)
           for c in POLICY_LISTING_COLUMNS],
         C.converted_flag("PolicyNumber").alias("Converted"))
