@@ -4,6 +4,8 @@ The reference deletes a date window in 50 000-row batches and inserts in
 retried chunks inside one transaction.  On files the same contract is a
 windowed replace of month partitions:
 
+0. write the incoming rows once to the shared work folder (the ETL plan is
+   computed a single time and its lineage ends there);
 1. read only the months the window touches (partition pruning on
    ``created_month``) and keep their rows outside the window;
 2. union the new rows and write the result to a staging folder in the shared
@@ -152,13 +154,19 @@ def windowed_replace(spark: SparkSession, new_rows: DataFrame, target: str, star
     months = months_between_bounds(s, e)
     in_win = F.to_date(F.col(date_col)).between(F.lit(s), F.lit(e))
 
+    # The incoming plan (a whole ETL) is computed exactly once: it is written
+    # to the shared folder, which also cuts its lineage, and read back for
+    # the accepted and rejected parts.
+    incoming = f"{work}/_incoming/{run}"
     obs = Observation("load")
-    new_rows = new_rows.observe(obs, F.count_if(F.coalesce(in_win, F.lit(False))).alias("loaded"),
-                                F.count_if(~F.coalesce(in_win, F.lit(False))).alias("rejected"))
+    accept = F.coalesce(in_win, F.lit(False))
+    (new_rows.observe(obs, F.count_if(accept).alias("loaded"), F.count_if(~accept).alias("rejected"))
+             .write.mode("overwrite").parquet(incoming))
+    metrics = obs.get
+    new_rows = spark.read.parquet(incoming)
     # New rows must fall in the window: a row outside it would land in a month
     # partition this run does not own and overwrite it.  Such rows, and rows
     # without a date, go to the rejects folder.
-    accept = F.coalesce(in_win, F.lit(False))
     staged_new = with_month(new_rows.where(accept), date_col)
     parts = [staged_new]
     if path_exists(spark, target):
@@ -168,7 +176,6 @@ def windowed_replace(spark: SparkSession, new_rows: DataFrame, target: str, star
     staged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     staged.write.mode("overwrite").partitionBy(MONTH_COL).parquet(staging)
     new_rows.where(~accept).write.mode("overwrite").parquet(rejects)
-    metrics = obs.get
 
     # Months present in the staging copy: at most one row per month of the window.
     try:
