@@ -152,6 +152,11 @@ def month_start(c: str | Column) -> Column:
     return F.trunc(F.to_date(_col(c)), "MM")
 
 
+def period_key(c: str | Column) -> Column:
+    """Month key as ``yyyy-MM`` text (sorts like the month; engine-neutral)."""
+    return F.date_format(_col(c), "yyyy-MM")
+
+
 def month_label(c: str | Column) -> Column:
     """K7: ``Mon yy`` label (``Mar 25``)."""
     return F.date_format(_col(c), "MMM yy")

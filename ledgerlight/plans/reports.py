@@ -85,7 +85,8 @@ def monthly_series(spark: SparkSession, fact: DataFrame, date_col: str, count_co
                .agg(F.count(count_col).alias("value")))
     cal = K.month_calendar(spark, oldest, K.add_months(upper, -1))
     out = reshape.align_to_calendar(cal, agg, "month", ["value"])
-    return out.select("month", K.month_label("month").alias("month_label"), "value")
+    return out.select(K.period_key("month").alias("period"), K.month_label("month").alias("month_label"),
+                      "value")
 
 
 # ---------------------------------------------------------------------------
@@ -144,7 +145,7 @@ def conversion_v2(spark: SparkSession, quote: DataFrame, sales: DataFrame, start
                          ).agg(F.count("QuoteNumber").alias("total_quotes"))
     series = monthly_series(spark, sales, "CreatedDate", "PolicyNumber", start, end,
                             countries, brands, pets)
-    last = paging.last_point(series, "month", dt.date(e.year, e.month, 1)).select(
+    last = paging.last_point(series, "period", f"{e.year:04d}-{e.month:02d}").select(
         F.col("value").alias("converted"))
     return _conversion_shape(quotes.crossJoin(last))
 
@@ -175,7 +176,8 @@ def method_trend(spark: SparkSession, fact: DataFrame, method_col: str, count_co
     has_rows = agg.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 0).select()
     cal = cal.crossJoin(F.broadcast(has_rows))
     out = reshape.align_to_calendar(cal, wide, "month", config.TREND_METHODS)
-    return out.select("month", K.month_label("month").alias("month_label"), *config.TREND_METHODS)
+    return out.select(K.period_key("month").alias("period"), K.month_label("month").alias("month_label"),
+                      *config.TREND_METHODS)
 
 
 def method_totals(fact: DataFrame, method_col: str, count_col: str, start, end,
@@ -243,7 +245,8 @@ def policy_month_trend(crm: DataFrame, start, end, months: int | None = config.P
     agg = base.groupBy(K.month_start(basis).alias("month")).agg(F.count(F.lit(1)).alias("policyCount"))
     cal = K.observed_calendar(agg, "month")
     out = reshape.align_to_calendar(cal, agg, "month", ["policyCount"])
-    return out.select("month", K.month_label("month").alias("month_label"), "policyCount")
+    return out.select(K.period_key("month").alias("period"), K.month_label("month").alias("month_label"),
+                      "policyCount")
 
 
 POLICY_LISTING_COLUMNS = [

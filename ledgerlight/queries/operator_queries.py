@@ -163,7 +163,7 @@ def dedupe_normalised(src):
 def _clamp_oracle(s: int, e: int, lo: str, hi: str) -> str:
     eom = "day(last_day(CreatedDate))"
     return f"""
-SELECT CAST(date_trunc('month', CreatedDate) AS DATE) AS month, count(*) AS value
+SELECT strftime(CreatedDate, '%Y-%m') AS period, count(*) AS value
 FROM quote_wh
 WHERE CreatedDate >= DATE '{lo}' AND CreatedDate < DATE '{hi}'
   AND day(CreatedDate) >= least({s}, {eom}) AND day(CreatedDate) <= least({e}, {eom})
@@ -176,11 +176,11 @@ GROUP BY 1
 def clamp_window_31_31(src):
     return (src["quote_wh"].where(K.in_window("CreatedDate", *config.FULL_WINDOW)
                                   & K.day_window_clamp("CreatedDate", 31, 31))
-            .groupBy(K.month_start("CreatedDate").alias("month")).agg(F.count(F.lit(1)).alias("value")))
+            .groupBy(K.period_key("CreatedDate").alias("period")).agg(F.count(F.lit(1)).alias("value")))
 
 
 @register("wrap_window_20_10", ("quote_wh",), ids="K-wrap (start day > end day)", oracle="""
-SELECT CAST(date_trunc('month', CreatedDate) AS DATE) AS month, count(*) AS value
+SELECT strftime(CreatedDate, '%Y-%m') AS period, count(*) AS value
 FROM quote_wh
 WHERE CreatedDate >= DATE '1994-01-01' AND CreatedDate < DATE '2003-01-01'
   AND (day(CreatedDate) >= 20 OR day(CreatedDate) <= 10)
@@ -189,7 +189,7 @@ GROUP BY 1
 def wrap_window_20_10(src):
     return (src["quote_wh"].where(K.in_window("CreatedDate", *config.FULL_WINDOW)
                                   & K.day_window_wrap("CreatedDate", 20, 10))
-            .groupBy(K.month_start("CreatedDate").alias("month")).agg(F.count(F.lit(1)).alias("value")))
+            .groupBy(K.period_key("CreatedDate").alias("period")).agg(F.count(F.lit(1)).alias("value")))
 
 
 @register("pattern_buckets", ("product_dim",), ids="C11 C12 C13 C14", oracle="""

@@ -71,7 +71,7 @@ agg AS (SELECT CAST(date_trunc('month', CreatedDate) AS DATE) AS month, count({c
         FROM {table}
         WHERE CreatedDate >= DATE '{lo}' AND CreatedDate < DATE '{hi}' AND {flt} {day_pred}
         GROUP BY 1)
-SELECT cal.month, strftime(cal.month, '%b %y') AS month_label,
+SELECT strftime(cal.month, '%Y-%m') AS period, strftime(cal.month, '%b %y') AS month_label,
        CAST(coalesce(agg.value, 0) AS BIGINT) AS value
 FROM cal LEFT JOIN agg ON agg.month = cal.month
 """
@@ -174,7 +174,7 @@ wide AS (SELECT month, sum(CASE WHEN method = 'web' THEN value END) AS web,
          FROM agg GROUP BY month),
 cal AS (SELECT CAST(m AS DATE) AS month FROM generate_series(DATE '{cal_lo}', DATE '{cal_hi}', INTERVAL 1 MONTH) t(m)
         WHERE EXISTS (SELECT 1 FROM agg))
-SELECT cal.month, strftime(cal.month, '%b %y') AS month_label,
+SELECT strftime(cal.month, '%Y-%m') AS period, strftime(cal.month, '%b %y') AS month_label,
        CAST(coalesce(wide.web, 0) AS BIGINT) AS web, CAST(coalesce(wide.phone, 0) AS BIGINT) AS phone
 FROM cal LEFT JOIN wide ON wide.month = cal.month
 """
@@ -241,7 +241,7 @@ cal AS (SELECT CAST(m AS DATE) AS month
         FROM (SELECT min(month) AS lo, max(month) AS hi FROM agg) b,
              generate_series(b.lo, b.hi, INTERVAL 1 MONTH) t(m)
         WHERE b.lo IS NOT NULL)
-SELECT cal.month, strftime(cal.month, '%b %y') AS month_label,
+SELECT strftime(cal.month, '%Y-%m') AS period, strftime(cal.month, '%b %y') AS month_label,
        CAST(coalesce(agg.policyCount, 0) AS BIGINT) AS policyCount
 FROM cal LEFT JOIN agg ON agg.month = cal.month
 """
