@@ -292,34 +292,77 @@ QUOTE_LISTING_COLUMNS = [
     "PetBirthDate",
 ]
 
+_TAIL = ["QuoteStartDate", "QuoteExpiryDate", "QuoteReceivedMethod", "FullName", "Email",
+         "ContactNo", "PetName", "PetType", "BreedName", "PetBirthDate"]
+_HEAD = ["CountryName", "CountryCode", "Brand", "QuoteNumber", "QuoteStatus", "ConvertedQuote"]
+
+# Output shapes of the quote listings (column order as the reference emits them).
+QUOTE_SHAPES: dict[str, list[str]] = {
+    # M10 JSON page.
+    "quote": QUOTE_LISTING_COLUMNS,
+    # M10 CSV: adds the policy number and its creation date.
+    "quote_csv": ["CountryName", "CountryCode", "Brand", "QuoteNumber", "CreatedDate", "PolicyNumber",
+                  "PolicyCreatedDate", "QuoteStatus", "ConvertedQuote", "QuoteDetailsCompleted", *_TAIL],
+    # No completeness column, no creation date (still ordered by it).
+    "by_pet_type": [*_HEAD, *_TAIL],
+    # M14 JSON / M15 listing: policy dates appended.
+    "conversion": [*_HEAD, "CreatedDate", *_TAIL, "PolicyNumber", "PolicyStartDate", "PolicyEndDate"],
+    # M14 CSV: creation date renamed.
+    "conversion_csv": [*_HEAD, "QuoteCreatedDate", *_TAIL, "PolicyNumber", "PolicyStartDate",
+                       "PolicyEndDate"],
+}
+_ORDER_KEY = "_order_created"
+
 
 def quote_rows(quote: DataFrame, start, end, as_of: dt.date, countries="all", brands="all",
-               pets="all", extra: Sequence[str] = ()) -> DataFrame:
-    """M10 rows (C18, C19, C21) before ordering; ``extra`` adds columns
-    (PolicyNumber, PolicyCreatedDate for the CSV / conversion forms)."""
-    base = quote.where(D.conjunction([K.in_window("CreatedDate", start, end),
-                                      D.report_filters(countries, brands, pets)]))
+               pets="all", shape: str = "quote", months: int | None = None,
+               clamp_days: bool = False) -> DataFrame:
+    """M10/M12/M14/M15 rows (C18, C19, C21) before ordering.
+
+    ``months`` widens the window to an N-month look-back (K5) and
+    ``clamp_days`` applies the clamped day window in every month (K-clamp),
+    as the receive-method listing does.  A hidden ``_order_created`` column
+    carries the sort key; ``listing_order`` uses it and the page drops it."""
+    s, e = K.to_date(start), K.to_date(end)
+    preds = [K.in_window("CreatedDate", K.lookback_start(s, e, months), e),
+             D.report_filters(countries, brands, pets)]
+    if clamp_days:
+        preds.append(K.day_window_clamp("CreatedDate", s.day, e.day))
+    base = quote.where(D.conjunction(preds))
     derived = {
         "QuoteStatus": C.quote_status("QuoteExpiryDate", "QuoteStartDate", as_of),
         "ConvertedQuote": C.converted_quote("PolicyNumber"),
         "QuoteDetailsCompleted": C.details_completed(),
+        "QuoteCreatedDate": F.col("CreatedDate"),
     }
-    cols = [derived[c].alias(c) if c in derived else F.col(c) for c in QUOTE_LISTING_COLUMNS]
-    return base.select(*cols, *[F.col(c) for c in extra])
+    cols = [derived[c].alias(c) if c in derived else F.col(c) for c in QUOTE_SHAPES[shape]]
+    return base.select(*cols, F.col("CreatedDate").alias(_ORDER_KEY))
 
 
-def listing_order(df: DataFrame) -> list[Column]:
+def listing_order(df: DataFrame, created: str = "CreatedDate", number: str = "QuoteNumber") -> list[Column]:
     """H1: ``CreatedDate DESC, QuoteNumber`` then every other output column,
     so the order is total (the two reference keys may tie)."""
-    rest = [F.col(c).asc() for c in df.columns if c not in ("CreatedDate", "QuoteNumber")]
-    return [F.col("CreatedDate").desc(), F.col("QuoteNumber").asc(), *rest]
+    if _ORDER_KEY in df.columns:
+        created = _ORDER_KEY
+    rest = [F.col(c).asc() for c in df.columns if c not in (created, number, _ORDER_KEY)]
+    return [F.col(created).desc(), F.col(number).asc(), *rest]
 
 
 def quote_listing(quote: DataFrame, start, end, as_of: dt.date, countries="all", brands="all",
-                  pets="all", skip: int = 0, limit: int = 100, extra: Sequence[str] = ()) -> DataFrame:
-    """M10/M12/M14 JSON page with its total (``COUNT(QuoteNumber)``)."""
-    rows = quote_rows(quote, start, end, as_of, countries, brands, pets, extra)
-    return paging.page_with_total(rows, listing_order(rows), skip, limit, count_col="QuoteNumber")
+                  pets="all", skip: int = 0, limit: int = 100, shape: str = "quote",
+                  months: int | None = None, clamp_days: bool = False) -> DataFrame:
+    """M10/M12/M14/M15 JSON page with its total (``COUNT(QuoteNumber)``)."""
+    rows = quote_rows(quote, start, end, as_of, countries, brands, pets, shape, months, clamp_days)
+    return paging.page_with_total(rows, listing_order(rows), skip, limit,
+                                  count_col="QuoteNumber").drop(_ORDER_KEY)
+
+
+def quote_export_rows(quote: DataFrame, start, end, as_of: dt.date, countries="all", brands="all",
+                      pets="all", shape: str = "quote_csv", months: int | None = None,
+                      clamp_days: bool = False) -> tuple[DataFrame, list[Column]]:
+    """M10/M12/M14/M15 CSV form: all rows of the window and their order."""
+    rows = quote_rows(quote, start, end, as_of, countries, brands, pets, shape, months, clamp_days)
+    return rows, listing_order(rows)
 
 
 SALES_LISTING_COLUMNS = [
@@ -352,3 +395,52 @@ def free_listing(free: DataFrame, start, end, countries="all", brands="all", pet
     rows = base.select(*[C.agent_category("AgentCategoryId").alias(c) if c == "AgentCategory"
                          else F.col(c) for c in FREE_LISTING_COLUMNS])
     return paging.page_with_total(rows, listing_order(rows), skip, limit, count_col="PolicyNumber")
+
+
+SALES_EXPORT_COLUMNS = [
+    "CountryName", "CountryCode", "Brand", "QuoteNumber", "QuoteCreatedDate", "PolicyNumber",
+    "PolicyCreatedDate", "ActualStartDate", "ProductName", "PetType", "ClientName", "PetName",
+]
+
+
+def sales_export_rows(sales: DataFrame, start, end, countries="all", brands="all",
+                      pets="all") -> tuple[DataFrame, list[Column]]:
+    """M20 CSV form (N15: the duplicated PetType is written once)."""
+    base = sales.where(D.conjunction([K.in_window("CreatedDate", start, end),
+                                      D.report_filters(countries, brands, pets)]))
+    rows = base.select(*[F.col("CreatedDate").alias(c) if c == "PolicyCreatedDate" else F.col(c)
+                         for c in SALES_EXPORT_COLUMNS])
+    return rows, listing_order(rows, created="PolicyCreatedDate", number="PolicyNumber")
+
+
+FREE_EXPORT_COLUMNS = [
+    "CountryCode", "CountryName", "QuoteNumber", "PolicyNumber", "CreatedDate", "SubAgentName",
+    "AgentCategoryId", "AgentCategory", "PetType", "ProductName", "StateName", "SaleMethod",
+    "PolicyStatusName", "Brand",
+]
+
+
+def free_export_rows(free: DataFrame, start, end, countries="all", brands="all",
+                     pets="all") -> tuple[DataFrame, list[Column]]:
+    """M19 CSV form."""
+    base = free.where(D.conjunction([K.in_window("CreatedDate", start, end),
+                                     D.report_filters(countries, brands, pets)]))
+    rows = base.select(*[C.agent_category("AgentCategoryId").alias(c) if c == "AgentCategory"
+                         else F.col(c) for c in FREE_EXPORT_COLUMNS])
+    return rows, listing_order(rows, number="PolicyNumber")
+
+
+def policy_export_rows(crm: DataFrame, start, end, extracted_at: dt.datetime, months=None,
+                       date_basis: str = config.DEFAULT_DATE_BASIS, regions="all",
+                       policy_status="all", policy_type="all", brands="all", pets="all",
+                       order: str = "DESC") -> tuple[DataFrame, list[Column]]:
+    """M23 CSV form: every row of the window in listing order."""
+    base, basis = _policy_base(crm, start, end, months, date_basis, regions, policy_status,
+                               policy_type, brands, pets)
+    rows = base.select(
+        K.ntz_literal(extracted_at).alias("DateExtracted"),
+        *[C.country("Country", "CountryCode").alias("Country") if c == "Country" else F.col(c)
+          for c in POLICY_LISTING_COLUMNS],
+        C.converted_flag("PolicyNumber").alias("Converted"))
+    first = F.col(basis).asc() if D.sort_direction(order) == "ASC" else F.col(basis).desc()
+    return rows, [first, F.col("PolicyNumber").asc(), F.col("QuoteNumber").asc()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ledgerlight.sources import schemas
 from ledgerlight.streaming import csv_export
 
 WW = config.WIDE_WINDOW
+EXTRACTED_AT = dt.datetime(2001, 7, 10, 12, 0, 0)
 
 
 def _fixture_regions(src):
@@ -125,8 +127,61 @@ WHERE CreatedDate >= DATE '2001-01-15' AND CreatedDate < DATE '2001-06-21'
 def csv_roundtrip(src):
     """Quote CSV export (M10 download form): write, then read back."""
     spark = src.spark
-    rows = R.quote_rows(src["quote_wh"], *WW, config.AS_OF, extra=("PolicyNumber", "PolicyCreatedDate"))
-    name = csv_export.export_filename("quotes.csv", *WW)
+    rows, order = R.quote_export_rows(src["quote_wh"], *WW, config.AS_OF, shape="quote_csv")
+    return _roundtrip(spark, rows, order, csv_export.export_filename("quotes.csv", *WW))
+
+
+def _roundtrip(spark, rows, order, name):
     path = f"{shared_dir(spark)}/ledgerlight-csv-{uuid.uuid4().hex}/{name}"
-    csv_export.write_csv(rows, path, order=R.listing_order(rows))
+    csv_export.write_csv(rows, path, order=order)
     return csv_export.read_csv(spark, path, rows.schema)
+
+
+MW = config.MONTH_WINDOW
+
+
+@register("csv_sales_export", ("sales_wh",), ids="M20-CSV B10 N15", oracle="""
+SELECT CountryName, CountryCode, Brand, QuoteNumber, QuoteCreatedDate, PolicyNumber,
+       CreatedDate AS PolicyCreatedDate, ActualStartDate, ProductName, PetType, ClientName, PetName
+FROM sales_wh
+WHERE CreatedDate >= DATE '2001-06-05' AND CreatedDate < DATE '2001-06-21'
+""")
+def csv_sales_export(src):
+    rows, order = R.sales_export_rows(src["sales_wh"], *MW)
+    return _roundtrip(src.spark, rows, order, csv_export.export_filename("sales.csv", *MW))
+
+
+@register("csv_free_export", ("free_wh",), ids="M19-CSV B10 C22", oracle="""
+SELECT CountryCode, CountryName, QuoteNumber, PolicyNumber, CreatedDate, SubAgentName, AgentCategoryId,
+       CASE AgentCategoryId WHEN 8 THEN 'Breeder' WHEN 7 THEN 'Pet Business' WHEN 6 THEN 'Charities'
+            WHEN 5 THEN 'Vet' END AS AgentCategory,
+       PetType, ProductName, StateName, SaleMethod, PolicyStatusName, Brand
+FROM free_wh
+WHERE CreatedDate >= DATE '2001-06-05' AND CreatedDate < DATE '2001-06-21'
+""")
+def csv_free_export(src):
+    rows, order = R.free_export_rows(src["free_wh"], *MW)
+    return _roundtrip(src.spark, rows, order, csv_export.export_filename("free_policies.csv", *MW))
+
+
+@register("csv_policy_export", ("crm_wh",), ids="M23-CSV B10 B11 C20 C26 C27 K-clamp", oracle="""
+SELECT TIMESTAMP '2001-07-10 12:00:00' AS DateExtracted, Brand,
+       coalesce(nullif(Country, ''), CountryCode) AS Country,
+       nullif(BusinessName, '') AS BusinessName, nullif(BusinessType, '') AS BusinessType,
+       CustomerStatus, FreePolicy, QuoteStatus, QuoteNumber, PolicyNumber, QuoteReceivedMethod,
+       QuoteCreatedDate, QuoteStartDate, QuoteEndDate, OriginalPolicyStartDate, PolicyEndDate,
+       FirstName, LastName, Email, ContactNo, EmailConcent, PetName, PetType, PetBirthDate,
+       PetBreedId, BreedName, CountryCode,
+       CASE WHEN PolicyNumber IS NOT NULL THEN 'True' ELSE 'False' END AS Converted
+FROM crm_wh
+WHERE QuoteCreatedDate >= DATE '2001-01-15' AND QuoteCreatedDate < DATE '2001-06-21'
+  AND day(QuoteCreatedDate) >= least(15, day(last_day(QuoteCreatedDate)))
+  AND day(QuoteCreatedDate) <= least(20, day(last_day(QuoteCreatedDate)))
+""")
+def csv_policy_export(src):
+    """Policy CSV: CSV cannot tell an empty text from a missing one, so the
+    blank business columns read back as NULL (as in the reference's files)."""
+    rows, order = R.policy_export_rows(src["crm_wh"], *WW, EXTRACTED_AT)
+    s, e = WW
+    name = csv_export.export_filename("policy_status.csv", s, e, (s.day, e.day))
+    return _roundtrip(src.spark, rows, order, name)

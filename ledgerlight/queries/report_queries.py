@@ -278,37 +278,65 @@ def _order_sql(cols, first="CreatedDate DESC NULLS LAST", second="QuoteNumber AS
     return ", ".join([first, second, *rest])
 
 
-def _quote_listing_oracle(extra_cols=(), skip=50, limit=100) -> str:
-    cols = LISTING_Q + list(extra_cols)
-    sel = ", ".join(cols)
+QUOTE_EXPR = {
+    "QuoteStatus": """CASE WHEN coalesce(QuoteExpiryDate, QuoteStartDate) IS NULL THEN NULL
+              WHEN DATE '2001-07-10' > QuoteExpiryDate THEN 'Lapsed' ELSE 'Live' END""",
+    "ConvertedQuote": f"CASE WHEN {OPEN_QUOTE} THEN 'No' ELSE 'Yes' END",
+    "QuoteDetailsCompleted": f"CASE WHEN {INCOMPLETE} THEN 'No' ELSE 'Yes' END",
+    "QuoteCreatedDate": "CreatedDate",
+}
+
+
+def quote_rows_sql(shape: str, lo: str, hi_excl: str, where: str = "") -> str:
+    cols = R.QUOTE_SHAPES[shape]
+    sel = ",\n         ".join(f"{QUOTE_EXPR[c]} AS {c}" if c in QUOTE_EXPR else c for c in cols)
+    return f"""SELECT {sel}, CreatedDate AS _oc FROM quote_wh
+  WHERE CreatedDate >= DATE '{lo}' AND CreatedDate < DATE '{hi_excl}' {where}"""
+
+
+def quote_order_sql(shape: str) -> str:
+    rest = [c for c in R.QUOTE_SHAPES[shape] if c != "QuoteNumber"]
+    return ", ".join(["_oc DESC NULLS LAST", "QuoteNumber ASC NULLS FIRST",
+                      *[f"{c} ASC NULLS FIRST" for c in rest]])
+
+
+def _quote_listing_oracle(shape: str, lo: str, hi_excl: str, where: str, skip: int, limit: int) -> str:
+    cols = ", ".join(R.QUOTE_SHAPES[shape])
     return f"""
-WITH rows AS (
-  SELECT CountryName, CountryCode, Brand, QuoteNumber,
-         CASE WHEN coalesce(QuoteExpiryDate, QuoteStartDate) IS NULL THEN NULL
-              WHEN DATE '2001-07-10' > QuoteExpiryDate THEN 'Lapsed' ELSE 'Live' END AS QuoteStatus,
-         CASE WHEN {OPEN_QUOTE} THEN 'No' ELSE 'Yes' END AS ConvertedQuote,
-         CASE WHEN {INCOMPLETE} THEN 'No' ELSE 'Yes' END AS QuoteDetailsCompleted,
-         CreatedDate, QuoteStartDate, QuoteExpiryDate, QuoteReceivedMethod, FullName, Email,
-         ContactNo, PetName, PetType, BreedName, PetBirthDate
-         {''.join(', ' + c for c in extra_cols)}
-  FROM quote_wh
-  WHERE CreatedDate >= DATE '2001-01-15' AND CreatedDate < DATE '2001-06-21' AND {FLT}),
-pg AS (SELECT {sel} FROM rows ORDER BY {_order_sql(cols)} LIMIT {limit} OFFSET {skip})
-SELECT pg.*, (SELECT CAST(count(QuoteNumber) AS BIGINT) FROM rows) AS TotalRecords FROM pg
+WITH rows AS ({quote_rows_sql(shape, lo, hi_excl, where)}),
+pg AS (SELECT * FROM rows ORDER BY {quote_order_sql(shape)} LIMIT {limit} OFFSET {skip})
+SELECT {cols}, (SELECT CAST(count(QuoteNumber) AS BIGINT) FROM rows) AS TotalRecords FROM pg
 """
 
 
-@register("listing_quote", ("quote_wh",), ids="M10 M12 C18 C19 C21 H1 H3 G8 F3 D23",
-          oracle=_quote_listing_oracle())
+@register("listing_quote", ("quote_wh",), ids="M10 C18 C19 C21 H1 H3 G8 F3 D23",
+          oracle=_quote_listing_oracle("quote", "2001-01-15", "2001-06-21", f"AND {FLT}", 50, 100))
 def listing_quote(src):
     return R.quote_listing(src["quote_wh"], *WW, AS_OF, COUNTRIES, "all", PETS, skip=50, limit=100)
 
 
-@register("listing_conversion", ("quote_wh",), ids="M14 C18 C19 H1 H3",
-          oracle=_quote_listing_oracle(("PolicyNumber", "PolicyCreatedDate"), skip=0, limit=10000))
+@register("listing_by_pet_type", ("quote_wh",), ids="M12 C18 C19 H1 H3 G8",
+          oracle=_quote_listing_oracle(
+              "by_pet_type", "2001-06-05", "2001-06-21",
+              "AND (lower(coalesce(PetType, '')) LIKE '%dog%' OR lower(coalesce(PetType, '')) LIKE '%horse%')",
+              0, 100))
+def listing_by_pet_type(src):
+    return R.quote_listing(src["quote_wh"], *MW, AS_OF, pets="dog, Horse", shape="by_pet_type")
+
+
+@register("listing_conversion", ("quote_wh",), ids="M14 C18 C19 H1 H3 G8",
+          oracle=_quote_listing_oracle("conversion", "2001-01-15", "2001-06-21", f"AND {FLT}", 0, 10000))
 def listing_conversion(src):
     return R.quote_listing(src["quote_wh"], *WW, AS_OF, COUNTRIES, "all", PETS, skip=0,
-                           limit=50000, extra=("PolicyNumber", "PolicyCreatedDate"))
+                           limit=50000, shape="conversion")
+
+
+@register("listing_receive_method", ("quote_wh",), ids="M15 K5 K-clamp H1 H3 G8 N24",
+          oracle=_quote_listing_oracle("conversion", "2000-12-05", "2001-06-21",
+                                       "AND " + _clamp("CreatedDate", 5, 20), 100, 100))
+def listing_receive_method(src):
+    return R.quote_listing(src["quote_wh"], *MW, AS_OF, skip=100, limit=100, shape="conversion",
+                           months=config.METHOD_TREND_MONTHS, clamp_days=True)
 
 
 SALES_COLS = ["CountryName", "CountryCode", "Brand", "QuoteNumber", "QuoteCreatedDate",

@@ -35,10 +35,9 @@ def export_filename(base: str, start, end, day_window: tuple[int, int] | None =
     (N16: the reference strips characters).  Policy exports add the day
     window."""
     stem = base[:-4] if base.lower().endswith(".csv") else base
-    name = f"{stem}_{start}_to_{end}"
     if day_window:
-        name += f"_days_{day_window[0]}_to_{day_window[1]}"
-    return name + ".csv"
+        return f"{stem}_d{day_window[0]}-{day_window[1]}_{start}_to_{end}.csv"
+    return f"{stem}_{start}_to_{end}.csv"
 
 
 def csv_ready(df: DataFrame) -> DataFrame:
@@ -54,10 +53,12 @@ def csv_ready(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, order=None) -> str:
-    """Sorted CSV export (range-partitioned sort, one part per task)."""
+    """Sorted CSV export (range-partitioned sort, one part per task).
+    Hidden columns (leading ``_``, e.g. a sort key) are not written."""
     out = csv_ready(df)
     if order is not None:
         out = out.orderBy(*order)
+    out = out.select(*[c for c in out.columns if not c.startswith("_")])
     out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
     return path
 
@@ -66,7 +67,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read an export back with the schema it was written from."""
     read_schema = T.StructType([
         T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.BooleanType) else f.dataType)
-        for f in schema.fields])
+        for f in schema.fields if not f.name.startswith("_")])
     return spark.read.options(**CSV_OPTIONS).schema(read_schema).csv(path)
 
 

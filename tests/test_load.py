@@ -75,7 +75,7 @@ def test_table_name_guard():
 def test_export_filename():
     assert csv_export.export_filename("sales.csv", "2024-01-01", "2024-01-31") == \
         "sales_2024-01-01_to_2024-01-31.csv"  # N16: suffix removed, not characters
-    assert csv_export.export_filename("policy", "a", "b", (5, 20)) == "policy_a_to_b_days_5_to_20.csv"
+    assert csv_export.export_filename("policy.csv", "a", "b", (5, 20)) == "policy_d5-20_a_to_b.csv"
 
 
 def test_csv_roundtrip_keeps_blanks_and_booleans(spark):
