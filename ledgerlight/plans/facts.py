@@ -7,8 +7,10 @@ hints: Catalyst broadcasts them when their measured size is under
 ``spark.sql.autoBroadcastJoinThreshold`` and AQE re-checks the real size at
 run time, so a dimension that grows past the threshold falls back to a
 shuffle join instead of blowing up executors.  Fan-out joins (quote ->
-policy activity, policy -> cancellation) are part of the semantics and are
-followed by a deterministic keep-one window (``WindowGroupLimit``).
+policy activity, policy -> cancellation) are made skew-safe: the quote facts
+pre-reduce activities to the one row per quote the rank would keep
+(``best_policy_per_quote``), and the sales facts run the cancellation fan-out
+on a two-column projection with ``joins.fanout_left_join``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from ledgerlight.config import Domain
 from ledgerlight.functions import columns as C
 from ledgerlight.functions import filters as D
 from ledgerlight.functions import periods as K
-from ledgerlight.operators import dedupe, listagg
+from ledgerlight.operators import dedupe, joins, listagg
 
 Src = Mapping[str, DataFrame]
 
@@ -68,13 +70,31 @@ def _quote_person_columns(q: str = "q", c: str = "c") -> dict[str, Column]:
     }
 
 
-def _join_policy_and_breed(df: DataFrame, src: Src) -> DataFrame:
-    """Fan-out to policy activity, policy, breed on the first
-    non-zero breed id."""
+def best_policy_per_quote(src: Src, quote_ids: DataFrame) -> DataFrame:
+    """J4 + J5 pre-reduced: the one policy activity per quote that the later
+    keep-newest rank would pick.
+
+    All fan-out rows of one quote share its id, so in the quote rank they
+    only compete with each other, on ``policy created DESC NULLS LAST,
+    policy number``.  Picking that row per quote *before* joining gives the
+    same facts with no fan-out: the top-1 runs partially on every map task
+    (a quote holding a third of all activities costs one row per task), and
+    the quote join becomes 1:1.  ``quote_ids`` (the windowed quotes) limits
+    the activities read to those that can match."""
     pa, pp = _policy_links(src)
+    pa = pa.join(quote_ids.select(F.col("id").alias("pa_quote_id")), "pa_quote_id", "left_semi")
+    links = pa.join(pp, F.col("pp_id") == F.col("pa_policy_id"), "left")
+    return dedupe.latest_per_key(
+        links, ["pa_quote_id"], [F.col("pp_created").desc_nulls_last(),
+                                 F.col("pa_policy_number").asc_nulls_first()])
+
+
+def _join_policy_and_breed(df: DataFrame, src: Src, quote_ids: DataFrame) -> DataFrame:
+    """Latest policy of the quote (pre-reduced), breed on the
+    first non-zero breed id."""
+    best = best_policy_per_quote(src, quote_ids)
     breed = src["breed_dim"].select(F.col("id").alias("breed_id"), F.col("breed_name").alias("BreedName"))
-    return (df.join(pa, F.col("q.id") == F.col("pa_quote_id"), "left")
-              .join(pp, F.col("pp_id") == F.col("pa_policy_id"), "left")
+    return (df.join(best, F.col("q.id") == F.col("pa_quote_id"), "left")
               .withColumn("_breed_key", C.first_nonzero("q.breed_id1", "q.breed_id2", "q.breed_id3"))
               .join(breed, F.col("breed_id") == F.col("_breed_key"), "left"))
 
@@ -83,12 +103,6 @@ def _finish_quote(df: DataFrame) -> DataFrame:
     return df.select(*QUOTE_FACT_COLUMNS)
 
 
-def _rank_order() -> list[Column]:
-    """``Id DESC`` plus tie-breaks over the policy fan-out."""
-    return [F.col("q.id").desc(), F.col("pp_created").desc_nulls_last(),
-            F.col("pa_policy_number").asc_nulls_first()]
-
-
 def quote_fact_a(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -> DataFrame:
     """M1 (AU/NZ): quotes with product class, client fallback, newest quote
     per day x normalised mail x pet type x normalised pet name."""
@@ -112,7 +126,7 @@ def quote_fact_a(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -
     j = (base.join(product, F.col("prod_id") == F.col("q.product_id"), "inner")
              .join(pet, F.col("pty_id") == F.col("prod_pet_type_id"), "left")
              .join(client, F.col("c.id") == F.col("q.client_id"), "left"))
-    j = _join_policy_and_breed(j, src)
+    j = _join_policy_and_breed(j, src, base)
     person = _quote_person_columns()
     rows = j.select(
         F.col("q.id").alias("_qid"), F.col("pp_created"), F.col("pa_policy_number"),
@@ -198,7 +212,7 @@ def quote_fact_b(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -
             .join(act, F.col("act_quote_id") == F.col("q.id"), "left")
             .where(D.product_exclusion("q.product_id", domain.bb_product, "h_name",
                                        domain.excluded_hear_about)))
-    ja = _join_policy_and_breed(ja, src)
+    ja = _join_policy_and_breed(ja, src, qa)
     is_bb = F.col("q.product_id") == domain.bb_product
     a = project(ja, C.bb_pet_type("q.product_id", domain.bb_product, "pty_name"),
                 F.col("bb_activity"), F.when(is_bb, F.col("bb_activity")).otherwise(F.col("pty_name")))
@@ -209,7 +223,7 @@ def quote_fact_b(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -
     jb = (qb.join(client, F.col("c.id") == F.col("q.client_id"), "left")
             .join(pet, F.col("pty_id") == C.product_class(
                 "q.product_id", {domain.branch_b_pet_type: domain.branch_b_products}), "left"))
-    jb = _join_policy_and_breed(jb, src)
+    jb = _join_policy_and_breed(jb, src, qb)
     b = project(jb, F.col("pty_name"), F.lit(""),
                 F.when(is_bb, F.lit("")).otherwise(F.col("pty_name")))
 
@@ -244,7 +258,15 @@ def _sales_joins(src: Src, start, end, domain: Domain, product_how: str) -> Data
                                     F.col("hear_about_us").alias("q_hear_about"))
     user = src["user_dim"].select(F.col("id").alias("u_id"), F.col("first_name").alias("u_first"))
     test = domain.quote_name_patterns
-    return (p.join(pc, F.col("pc_policy_id") == F.col("p.id"), "left")
+    # J9 + D13 on a two-column projection: one row per kept (policy,
+    # cancellation) pair -- several late cancellations repeat the policy, as
+    # in the reference.  The fan-out join is skew-safe; joining the kept ids
+    # back to the policies is an inner join, which AQE can split on a hot id.
+    narrow = p.select(F.col("p.id").alias("k_id"), F.col("p.created_date").alias("k_created"))
+    kept = (joins.fanout_left_join(narrow, pc, "k_id", "pc_policy_id")
+            .where(D.late_cancellation_keep("pc_id", "pc_created", "k_created"))
+            .select("k_id"))
+    return (p.join(kept, F.col("k_id") == F.col("p.id"), "inner")
              .join(client, F.col("p.client_id") == F.col("c.id"), "left")
              .join(pa, F.col("pa_policy_id") == F.col("p.id"), "left")
              .join(product, F.col("po_id") == F.col("pa_product_id"), product_how)
@@ -256,7 +278,6 @@ def _sales_joins(src: Src, start, end, domain: Domain, product_how: str) -> Data
                                  "c.last_name": test, "c.email": domain.quote_email_patterns},
                                 keep_null=False),
                  F.col("p.executive_id").isNotNull(),
-                 D.late_cancellation_keep("pc_id", "pc_created", "p.created_date"),
              ])))
 
 

@@ -8,7 +8,7 @@ from ledgerlight import config
 from ledgerlight.functions import columns as C
 from ledgerlight.functions import filters as D
 from ledgerlight.functions import periods as K
-from ledgerlight.operators import dedupe, listagg
+from ledgerlight.operators import dedupe, joins, listagg
 from ledgerlight.registry import register
 
 WW = config.WIDE_WINDOW
@@ -99,7 +99,7 @@ def late_cancellation(src):
     pc = src["cancel_src"].select(F.col("id").alias("pc_id"), F.col("policy_id").alias("pc_policy"),
                                   F.col("created_date").alias("cancelled_date"))
     p = src["policy_src"]
-    return (p.join(pc, F.col("pc_policy") == F.col("id"), "left")
+    return (joins.fanout_left_join(p, pc, "id", "pc_policy")
              .where(D.late_cancellation_keep("pc_id", "cancelled_date", "created_date"))
              .select("id", "created_date", "cancelled_date"))
 
@@ -347,8 +347,8 @@ def fanout_chain(src):
     pa = src["policy_src"].select(F.col("quote_id").alias("pa_quote"), F.col("id").alias("pa_id"),
                                   "policy_number")
     pp = src["policy_full_src"].select(F.col("id").alias("pp_id"), "actual_start_date")
-    return (q.join(c, F.col("c_id") == F.col("client_id"), "left")
-             .join(pa, F.col("pa_quote") == F.col("quote_id"), "left")
+    return (joins.fanout_left_join(q.join(c, F.col("c_id") == F.col("client_id"), "left"),
+                                   pa, "quote_id", "pa_quote")
              .join(pp, F.col("pp_id") == F.col("pa_id"), "left")
              .select("quote_id", "country_code", "policy_number", "actual_start_date"))
 
