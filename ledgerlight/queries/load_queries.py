@@ -26,23 +26,40 @@ def _fixture_regions(src):
     return {code: src for code, _, _ in config.REGIONS}
 
 
-def _free_etl_oracle() -> str:
-    fa, fb = REGISTRY["fact_free_a"].oracle(), REGISTRY["fact_free_b"].oracle()
+def _etl_oracle(kind: str) -> str:
+    """DuckDB text of an ETL frame: the regional fact oracles, tagged,
+    brand-overridden for AT/DE, date-cleaned and conformed."""
+    fact_a, fact_b, schema, _ = etl.JOBS[kind]
+    names = {"quote": ("fact_quote_a", "fact_quote_b"), "sales": ("fact_sales_a", "fact_sales_b"),
+             "free_policies": ("fact_free_a", "fact_free_b")}[kind]
+    fa, fb = REGISTRY[names[0]].oracle(), REGISTRY[names[1]].oracle()
+    fact_cols = [f.name for f in schema.fields
+                 if f.name not in ("CountryCode", "CountryName", "ETLDateUploaded")]
     parts = []
     for code, name, family in config.REGIONS:
         body = fa if family == "au_nz" else fb
-        brand = "'Petcover'" if code.lower() in ("at", "de") else "Brand"
-        parts.append(f"SELECT {brand} AS Brand, QuoteNumber, PolicyNumber, CreatedDate, SubAgentName, "
-                     f"AgentCategoryId, PetType, ProductName, StateName, SaleMethod, PolicyStatusName, "
-                     f"'{code}' AS CountryCode, '{name}' AS CountryName FROM ({body}) t_{code}")
-    return f"""
-SELECT Brand, QuoteNumber, PolicyNumber,
-       CASE WHEN CreatedDate >= TIMESTAMP '1753-01-01 00:00:00' THEN CreatedDate END AS CreatedDate,
-       substring(SubAgentName, 1, 16) AS SubAgentName, AgentCategoryId, PetType, ProductName,
-       StateName, SaleMethod, PolicyStatusName, CountryCode, CountryName,
-       TIMESTAMP '2001-07-10 00:00:00' AS ETLDateUploaded
-FROM ({' UNION ALL '.join(parts)}) u
-"""
+        cols = ", ".join("'Petcover' AS Brand" if c == "Brand" and code.lower() in ("at", "de") else c
+                         for c in fact_cols)
+        parts.append(f"SELECT {cols}, '{code}' AS CountryCode, '{name}' AS CountryName "
+                     f"FROM ({body}) t_{code}")
+    clean = set(etl.CLEAN_DATES[kind])
+    out = []
+    for f in schema.fields:
+        n, c = f.name, f.name
+        if n == "ETLDateUploaded":
+            out.append("TIMESTAMP '2001-07-10 00:00:00' AS ETLDateUploaded")
+            continue
+        if n in clean:
+            c = f"CASE WHEN {n} >= TIMESTAMP '1753-01-01 00:00:00' THEN {n} END"
+        n_max = schemas.max_length(f)
+        if n_max:
+            c = f"substring({c}, 1, {n_max})"
+        out.append(f"{c} AS {n}")
+    return f"SELECT {', '.join(out)}\nFROM ({' UNION ALL '.join(parts)}) u"
+
+
+def _free_etl_oracle() -> str:
+    return _etl_oracle("free_policies")
 
 
 @register("etl_job", (), ids="M8 A1 A2 A3 A4 I3 K11 B3 B4 B6 C17", oracle_fn=_free_etl_oracle)
@@ -51,6 +68,36 @@ def etl_job(src):
     return etl.etl_frame("free_policies", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF)
 
 
+@register("etl_quote_frame", (), ids="M8 (quote) A2 A3 I3 K11 B3", oracle_fn=lambda: _etl_oracle("quote"))
+def etl_quote_frame(src):
+    return etl.etl_frame("quote", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF)
+
+
+@register("etl_sales_frame", (), ids="M8 (sales) A2 A3 I3 K11 B3", oracle_fn=lambda: _etl_oracle("sales"))
+def etl_sales_frame(src):
+    return etl.etl_frame("sales", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF)
+
+
+def _etl_reload_oracle() -> str:
+    frame = _etl_oracle("sales")
+    return f"""
+SELECT *, strftime(CreatedDate, '%Y-%m') AS created_month FROM ({frame}) f
+"""
+
+
+@register("etl_reload_sales", (), ids="M8 B1 B12 (full ETL run, then a window reload)",
+          oracle_fn=_etl_reload_oracle)
+def etl_reload_sales(src):
+    """``run_etl`` end to end: load the whole range, then reload the wide
+    window from the same sources; the table must equal one clean load."""
+    spark = src.spark
+    target = f"{shared_dir(spark)}/ledgerlight-etl-{uuid.uuid4().hex}/Sales"
+    regions = _fixture_regions(src)
+    etl.run_etl(spark, "sales", regions, *config.FULL_WINDOW, config.AS_OF, target)
+    etl.run_etl(spark, "sales", regions, *WW, config.AS_OF, target)
+    return spark.read.parquet(target)
+
+
 SALES_COLS = ["CountryCode", "CountryName", "Brand", "PolicyNumber", "CreatedDate", "ActualStartDate",
               "ProductName", "PetType", "ClientName", "PetName", "SaleMethod", "QuoteNumber",
               "QuoteCreatedDate"]
