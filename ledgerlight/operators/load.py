@@ -86,6 +86,17 @@ def truncation_report(df: DataFrame, schema: T.StructType) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def target_schema(spark: SparkSession, target: str) -> T.StructType | None:
+    """Reflect an existing target's schema (catalog table name or path);
+    None when it does not exist yet.  Only metadata is read."""
+    try:
+        if "/" in target:
+            return spark.read.parquet(target).schema if path_exists(spark, target) else None
+        return spark.table(target).schema
+    except AnalysisException:
+        return None
+
+
 def column_mismatch(df: DataFrame, schema: T.StructType) -> list[tuple[str, str]]:
     """``[(column, 'extra' | 'missing')]`` -- a schema check, no data read."""
     target = [f.name for f in schema.fields]

@@ -9,6 +9,7 @@ after another).
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,8 @@ from ledgerlight.plans import facts
 from ledgerlight.sources import schemas
 from ledgerlight.sources.registry import fan_in
 
+logger = logging.getLogger(__name__)
+
 Builder = Callable[..., DataFrame]
 
 # kind -> (builder for AU/NZ, builder for UK/DE/AT, target schema, table name)
@@ -93,6 +96,12 @@ def run_etl(spark: SparkSession, kind: str, sources, start, end, as_of, target:
     if not load.valid_table_name(table):
         raise ValueError(f"invalid table name {table!r}")
     frame = etl_frame(kind, sources, start, end, as_of, domain)
+    existing = load.target_schema(spark, target)
+    if existing is not None:
+        # Report extra/missing columns against the reflected target.
+        for column, issue in load.column_mismatch(frame, existing):
+            if column != load.MONTH_COL:
+                logger.warning("%s: column %s is %s in the target", table, column, issue)
     return load.windowed_replace(spark, frame, target, start, end)
 
 

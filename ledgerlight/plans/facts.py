@@ -467,3 +467,68 @@ def crm_fact(src: Src, start, end_exclusive, as_of, domain: Domain = config.FIXT
         final.withColumn("_g7", key), ["_g7"],
         [F.when(has_pol, F.col("OriginalPolicyStartDate")).desc(), F.col("QuoteCreatedDate").desc(),
          F.col("QuoteNumber").asc()]).select(*CRM_COLUMNS)
+
+
+SCRIPT_DEDUPE_COLUMNS = [
+    "Id", "FirstName", "LastName", "FullName", "Email", "PetName", "PetType", "QuoteNumber",
+    "CreatedDate", "IsPetId", "BB_Activity",
+]
+
+
+def quote_dedupe_set_based(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -> DataFrame:
+    """G4 + J23 + I2: the set-based form of the UK quote de-duplication.
+
+    The answer list is aggregated once per quote (no correlated lookup) and
+    left-joined; a BB quote's third key is its activity list, or
+    ``BB_Commercial`` when it has none; a BB quote with no hear-about name is
+    kept (``ISNULL(name, '')``, N9).  The two branches are disjoint product
+    families, so ``UNION ALL`` (no distinct shuffle)."""
+    q = src["quote_src"].alias("q")
+    test = domain.quote_name_patterns
+    common = D.conjunction([
+        K.in_window("created_date", start, end),
+        F.col("quote_parent_id").isNull(),
+        D.exclude_like({"first_name": test, "last_name": test,
+                        "email": domain.quote_email_patterns, "pet_name": test}, keep_null=False),
+    ])
+    pet = src["pet_type_dim"].select(F.col("pet_type_id").alias("pty_id"),
+                                     F.col("pet_type_name").alias("pty_name"))
+    client = src["client_src"].alias("c")
+    hear = src["hear_about_dim"].select(F.col("id").alias("h_id"), F.col("name").alias("h_name"))
+    activity = listagg.lookup_list(src["list_src"], "quote_id", "answer", src["question_dim"], "id",
+                                   "question_detail_name", out_col="BB_Activity"
+                                   ).withColumnRenamed("quote_id", "ba_quote_id")
+    person = _quote_person_columns()
+
+    def project(j: DataFrame, pet_type: Column, activity_col: Column, key3: Column) -> DataFrame:
+        return j.select(
+            F.col("q.id").alias("Id"), person["FirstName"].alias("FirstName"),
+            person["LastName"].alias("LastName"), person["FullName"].alias("FullName"),
+            F.col("q.email").alias("Email"), F.col("q.pet_name").alias("PetName"),
+            pet_type.alias("PetType"), F.col("q.quote_number").alias("QuoteNumber"),
+            F.col("q.created_date").alias("CreatedDate"),
+            C.default_flag("q.is_pet_id_product").alias("IsPetId"),
+            activity_col.alias("BB_Activity"),
+            F.to_date("q.created_date").alias("_k1"), key3.alias("_k3"))
+
+    is_bb = F.col("q.product_id") == domain.bb_product
+    qa = q.where(common & F.col("created_by").isNotNull() & F.col("quote_save_from").isNotNull()
+                 & F.col("product_id").isin(domain.branch_a_products))
+    ja = (qa.join(client, F.col("c.id") == F.col("q.client_id"), "left")
+            .join(hear, F.col("h_id") == F.col("q.hear_about_us"), "left")
+            .join(pet, F.col("pty_id") == C.product_class("q.product_id", domain.class_products), "left")
+            .join(activity, F.col("ba_quote_id") == F.col("q.id"), "left")
+            .where(~is_bb | ~F.coalesce(F.col("h_name"), F.lit("")).isin(domain.excluded_hear_about)))
+    a = project(ja, C.bb_pet_type("q.product_id", domain.bb_product, "pty_name"), F.col("BB_Activity"),
+                F.when(is_bb, F.coalesce(F.col("BB_Activity"), F.lit(config.BB_PET_TYPE)))
+                 .otherwise(F.col("pty_name")))
+    qb = q.where(common & F.col("product_id").isin(domain.branch_b_products)
+                 & F.col("executive_id").isNotNull())
+    jb = (qb.join(client, F.col("c.id") == F.col("q.client_id"), "left")
+            .join(pet, F.col("pty_id") == C.product_class(
+                "q.product_id", {domain.branch_b_pet_type: domain.branch_b_products}), "left"))
+    b = project(jb, F.col("pty_name"), F.lit(None).cast("string"), F.col("pty_name"))
+    keys = ["_k1", "Email", "_k3", "PetName"]
+    order = [F.col("Id").desc()]
+    return (dedupe.latest_per_key(a, keys, order).unionByName(dedupe.latest_per_key(b, keys, order))
+            .select(*SCRIPT_DEDUPE_COLUMNS))

@@ -320,3 +320,57 @@ SELECT {CRM_OUT} FROM dd WHERE final_rn = 1
 """)
 def fact_crm(src):
     return facts.crm_fact(src, LO, HI, config.AS_OF, DOM)
+
+
+SCRIPT_PERSON = """coalesce(q.first_name, c.first_name) AS FirstName, coalesce(q.last_name, c.last_name) AS LastName,
+     coalesce(q.first_name, c.first_name) || ' ' || coalesce(q.last_name, c.last_name) AS FullName,
+     q.email AS Email, q.pet_name AS PetName"""
+
+
+@register("dedupe_set_based", ("quote_src", "client_src", "pet_type_dim", "hear_about_dim", "list_src",
+                               "question_dim"),
+          ids="G4 J22 J23 F9 I2 D12 N9 N23", oracle=f"""
+WITH q AS (SELECT * FROM quote_src
+           WHERE created_date >= DATE '{LO}' AND created_date < DATE '{HI}' AND quote_parent_id IS NULL
+             AND first_name NOT ILIKE '%test%' AND last_name NOT ILIKE '%test%'
+             AND email NOT ILIKE '%petcovergroup%' AND email NOT ILIKE '%prowerse%'
+             AND pet_name NOT ILIKE '%test%'),
+tok AS (SELECT DISTINCT quote_id, TRY_CAST(trim(t) AS INTEGER) AS tid
+        FROM (SELECT quote_id, unnest(string_split(answer, ',')) AS t FROM list_src) s),
+ba AS (SELECT tok.quote_id, string_agg(d.question_detail_name, ', ' ORDER BY d.question_detail_name) AS BB_Activity
+       FROM tok JOIN question_dim d ON d.id = tok.tid GROUP BY tok.quote_id),
+a AS (
+  SELECT q.id AS Id, {SCRIPT_PERSON},
+     CASE WHEN q.product_id = {BB} THEN 'BB_Commercial' ELSE pty.pet_type_name END AS PetType,
+     q.quote_number AS QuoteNumber, q.created_date AS CreatedDate,
+     coalesce(CAST(q.is_pet_id_product AS INT), 0) AS IsPetId, ba.BB_Activity,
+     row_number() OVER (PARTITION BY CAST(q.created_date AS DATE), q.email,
+                                     CASE WHEN q.product_id = {BB} THEN coalesce(ba.BB_Activity, 'BB_Commercial')
+                                          ELSE pty.pet_type_name END, q.pet_name
+                        ORDER BY q.id DESC) AS rn
+  FROM q
+  LEFT JOIN client_src c ON c.id = q.client_id
+  LEFT JOIN hear_about_dim h ON h.id = q.hear_about_us
+  LEFT JOIN pet_type_dim pty ON pty.pet_type_id = {CLASS_CASE.format(p='q.product_id')}
+  LEFT JOIN ba ON ba.quote_id = q.id
+  WHERE q.created_by IS NOT NULL AND q.quote_save_from IS NOT NULL AND q.product_id IN ({BRANCH_A})
+    AND (q.product_id <> {BB} OR coalesce(h.name, '') NOT IN {HEAR_EXCL})),
+b AS (
+  SELECT q.id AS Id, {SCRIPT_PERSON}, pty.pet_type_name AS PetType,
+     q.quote_number AS QuoteNumber, q.created_date AS CreatedDate,
+     coalesce(CAST(q.is_pet_id_product AS INT), 0) AS IsPetId, CAST(NULL AS VARCHAR) AS BB_Activity,
+     row_number() OVER (PARTITION BY CAST(q.created_date AS DATE), q.email, pty.pet_type_name, q.pet_name
+                        ORDER BY q.id DESC) AS rn
+  FROM q
+  LEFT JOIN client_src c ON c.id = q.client_id
+  LEFT JOIN pet_type_dim pty
+         ON pty.pet_type_id = CASE WHEN q.product_id IN ({BRANCH_B}) THEN {DOM.branch_b_pet_type} END
+  WHERE q.product_id IN ({BRANCH_B}) AND q.executive_id IS NOT NULL)
+SELECT Id, FirstName, LastName, FullName, Email, PetName, PetType, QuoteNumber, CreatedDate, IsPetId, BB_Activity
+FROM a WHERE rn = 1
+UNION ALL
+SELECT Id, FirstName, LastName, FullName, Email, PetName, PetType, QuoteNumber, CreatedDate, IsPetId, BB_Activity
+FROM b WHERE rn = 1
+""")
+def dedupe_set_based(src):
+    return facts.quote_dedupe_set_based(src, *FW, DOM)

@@ -38,7 +38,7 @@ METHOD = """coalesce(CASE WHEN lower(trim(m)) IN ('contact center', 'contact_cen
                      ELSE lower(trim(m)) END, 'none')"""
 
 
-@register("kpi_summary", ("quote_wh",), ids="M9 F1 D16 K3 N10", oracle=f"""
+@register("kpi_summary", ("quote_wh",), ids="M9 F1 D16 K1 K2 K3 N10", oracle=f"""
 SELECT cur AS currentPeriodTotalQuotes, prev AS lastPeriodTotalQuotes,
        live AS liveQuotes, lapsed AS lapsedQuotes, inc AS incompleteQuoteDetails,
        CASE WHEN cur = 0 THEN '0'
@@ -309,7 +309,7 @@ SELECT {cols}, (SELECT CAST(count(QuoteNumber) AS BIGINT) FROM rows) AS TotalRec
 """
 
 
-@register("listing_quote", ("quote_wh",), ids="M10 C18 C19 C21 H1 H3 G8 F3 D23",
+@register("listing_quote", ("quote_wh",), ids="M10 C18 C19 C21 C31 H1 H3 G8 F3 D23",
           oracle=_quote_listing_oracle("quote", "2001-01-15", "2001-06-21", f"AND {FLT}", 50, 100))
 def listing_quote(src):
     return R.quote_listing(src["quote_wh"], *WW, AS_OF, COUNTRIES, "all", PETS, skip=50, limit=100)

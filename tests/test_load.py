@@ -91,3 +91,15 @@ def test_csv_roundtrip_keeps_blanks_and_booleans(spark):
 def test_schemas_lengths():
     assert schemas.max_length(schemas.QUOTE["FullName"]) == 40
     assert schemas.max_length(schemas.QUOTE["Address"]) is None
+
+
+def test_target_schema_reflection(spark):
+    work = tempfile.mkdtemp(prefix="ll-schema-")
+    target = os.path.join(work, "T")
+    assert load.target_schema(spark, target) is None
+    d = dt.datetime
+    load.windowed_replace(spark, _rows(spark, [("a", d(2024, 1, 10), 1)]), target,
+                          "2024-01-01", "2024-01-31", work_dir=work)
+    sch = load.target_schema(spark, target)
+    assert [f.name for f in sch.fields] == ["k", "CreatedDate", "v", "created_month"]
+    assert load.target_schema(spark, "no_such_table_xyz") is None
