@@ -103,3 +103,15 @@ def test_target_schema_reflection(spark):
     sch = load.target_schema(spark, target)
     assert [f.name for f in sch.fields] == ["k", "CreatedDate", "v", "created_month"]
     assert load.target_schema(spark, "no_such_table_xyz") is None
+
+
+def test_source_registry_and_fan_in(spark):
+    from ledgerlight.sources.registry import SourceSpec, fan_in
+    spec = SourceSpec("fixture", path="/root/testdata/sf0.001")
+    region = spec.read(spark, "region")
+    assert region.count() == 5
+    a = region.select("r_regionkey").withColumn("CountryCode", F.lit("NZ"))
+    b = region.select("r_regionkey", "r_name")
+    u = fan_in([a, b])
+    assert sorted(u.columns) == ["CountryCode", "r_name", "r_regionkey"]
+    assert u.count() == 10 and u.where(F.col("r_name").isNull()).count() == 5
