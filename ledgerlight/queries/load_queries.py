@@ -232,3 +232,28 @@ def csv_policy_export(src):
     s, e = WW
     name = csv_export.export_filename("policy_status.csv", s, e, (s.day, e.day))
     return _roundtrip(src.spark, rows, order, name)
+
+
+@register("warehouse_sales_by_bucket", (), ids="M8 M17 B1 (report on the loaded, month-pruned table)",
+          oracle_fn=lambda: f"""
+WITH s AS ({_etl_oracle("sales")})
+SELECT CASE WHEN lower(coalesce(PetType, '')) LIKE '%cat%' THEN 'Cat'
+            WHEN lower(coalesce(PetType, '')) LIKE '%dog%' THEN 'Dog'
+            WHEN lower(coalesce(PetType, '')) LIKE '%horse%' THEN 'Horse'
+            WHEN lower(coalesce(PetType, '')) LIKE '%exotic%' THEN 'Exotic'
+            WHEN lower(coalesce(PetType, '')) LIKE '%bb_com%' THEN 'BB'
+            ELSE 'Others' END AS name,
+       count(PolicyNumber) AS value
+FROM s
+WHERE CreatedDate >= DATE '2001-01-15' AND CreatedDate < DATE '2001-06-21'
+  AND upper(CountryCode) IN ('NZ', 'AU')
+GROUP BY 1
+""")
+def warehouse_sales_by_bucket(src):
+    """Production path: ETL the sales fact into a month-partitioned
+    warehouse, then run the pet-type report on a pruned read."""
+    from ledgerlight.plans.warehouse import Warehouse
+    spark = src.spark
+    wh = Warehouse(spark, f"{shared_dir(spark)}/ledgerlight-wh-{uuid.uuid4().hex}")
+    wh.load("sales", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF)
+    return R.count_by_pet_bucket(wh.read("Sales", *WW), "PolicyNumber", *WW, countries="nz, AU")
