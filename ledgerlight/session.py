@@ -29,6 +29,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+# Settings for a large cluster (100 TB class inputs); the cluster's own
+# configuration normally carries them.  Partition counts are left to AQE:
+# a high initial shuffle partition count is coalesced at run time to the
+# advisory size, and skewed partitions are split.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
+def apply_cluster_settings(spark: SparkSession) -> None:
+    """Set the runtime-modifiable settings above that the cluster left unset."""
+    for key, value in CLUSTER_SETTINGS.items():
+        if spark.conf.get(key, None) in (None, ""):
+            spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared work folder (``spark.checkpoint.dir``).
 

@@ -15,7 +15,6 @@ they never filter rows away.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -372,8 +371,3 @@ class Sources:
             else:
                 raise KeyError(name)
         return self._cache[name]
-
-
-@lru_cache(maxsize=None)
-def adapter_names() -> tuple[str, ...]:
-    return tuple(ADAPTERS)
