@@ -185,7 +185,11 @@ def windowed_replace(spark: SparkSession, new_rows: DataFrame, target: str, star
                      .where(F.col(MONTH_COL).isin(months) & ~F.coalesce(in_win, F.lit(False))))
         parts.insert(0, kept.select(*staged_new.columns))
     staged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    staged.write.mode("overwrite").partitionBy(MONTH_COL).parquet(staging)
+    # REBALANCE by month: AQE packs each month into files of the advisory
+    # size and splits a hot month over several tasks, instead of every task
+    # writing one small file per month it happens to hold.
+    (staged.hint("rebalance", MONTH_COL)
+           .write.mode("overwrite").partitionBy(MONTH_COL).parquet(staging))
     new_rows.where(~accept).write.mode("overwrite").parquet(rejects)
 
     # Months present in the staging copy: at most one row per month of the window.
