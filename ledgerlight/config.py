@@ -83,6 +83,27 @@ TRANSACTION_RENEW = "Renew"
 BB_PET_TYPE = "BB_Commercial"
 BRAND_CONSTANT = "Petcover"
 ACTIVE_STATUS_NAMES = ["Active", "Converted"]
+WEB, PHONE = "Web", "Phone"
+BRAND_BB, BRAND_BPIS, BRAND_PET_ID, BRAND_UNKNOWN = "BB", "BPIS", "PetId", "Unknown"
+QUOTE_LAPSED, QUOTE_LIVE = "Lapsed", "Live"
+YES, NO = "Yes", "No"
+CUSTOMER_QUOTE, CUSTOMER_EXPIRED, CUSTOMER_ACTIVE = "Quote", "Expired", "Active"
+
+# Test-row exclusion patterns (case-insensitive LIKE).
+QUOTE_NAME_PATTERNS = ["%test%"]
+QUOTE_EMAIL_PATTERNS = ["%petcovergroup%", "%prowerse%"]
+CRM_PATTERNS = ["%Test%"]
+CRM_EMAIL_PATTERNS = ["%Test%", "%prowerse%"]
+FREE_NUMBER_PATTERNS = ["%TEST%"]
+FREE_AGENT_PATTERNS_AU_NZ = ["%TEST%", "%PROWSE%", "%prowerse%", "%prower%"]
+FREE_AGENT_PATTERNS_UK = ["%TEST%", "%PROW%"]
+INTRODUCTORY_PATTERN = "%INTRODUCTORY%"
+
+# Hear-about names whose BB quotes are dropped.
+EXCLUDED_HEAR_ABOUT = [
+    "Omnis 7 Commercial / Phoenix Migration Renewal",
+    "Omnis 7 Commercial / Phoenix Migration Mid-Term",
+]
 CUSTOMER_STATUS_VALUES = ["Active", "Expired", "Quote", "Cancelled", "Lapsed"]
 
 # Date bases a policy report may use.
@@ -124,18 +145,18 @@ class Domain:
     # BB quotes whose hear-about name is in this list are dropped.
     excluded_hear_about: list[str]
     # Test-row exclusion patterns.
-    quote_name_patterns: list[str] = field(default_factory=lambda: ["%test%"])
-    quote_email_patterns: list[str] = field(
-        default_factory=lambda: ["%petcovergroup%", "%prowerse%"])
-    crm_patterns: list[str] = field(default_factory=lambda: ["%Test%"])
-    crm_email_patterns: list[str] = field(default_factory=lambda: ["%Test%", "%prowerse%"])
-    free_number_patterns: list[str] = field(default_factory=lambda: ["%TEST%"])
-    free_agent_patterns_a: list[str] = field(
-        default_factory=lambda: ["%TEST%", "%PROWSE%", "%prowerse%", "%prower%"])
-    free_agent_patterns_b: list[str] = field(default_factory=lambda: ["%TEST%", "%PROW%"])
-    introductory_pattern: str = "%INTRODUCTORY%"
+    quote_name_patterns: list[str] = field(default_factory=lambda: list(QUOTE_NAME_PATTERNS))
+    quote_email_patterns: list[str] = field(default_factory=lambda: list(QUOTE_EMAIL_PATTERNS))
+    crm_patterns: list[str] = field(default_factory=lambda: list(CRM_PATTERNS))
+    crm_email_patterns: list[str] = field(default_factory=lambda: list(CRM_EMAIL_PATTERNS))
+    free_number_patterns: list[str] = field(default_factory=lambda: list(FREE_NUMBER_PATTERNS))
+    free_agent_patterns_a: list[str] = field(default_factory=lambda: list(FREE_AGENT_PATTERNS_AU_NZ))
+    free_agent_patterns_b: list[str] = field(default_factory=lambda: list(FREE_AGENT_PATTERNS_UK))
+    introductory_pattern: str = INTRODUCTORY_PATTERN
     active_status_names: list[str] = field(default_factory=lambda: list(ACTIVE_STATUS_NAMES))
     web_user_names: list[str] = field(default_factory=lambda: list(WEB_USER_NAMES))
+    # Brand of the single-brand regions.
+    brand_constant: str = BRAND_CONSTANT
 
     @property
     def branch_a_products(self) -> list[int]:
@@ -161,10 +182,7 @@ PET_DOMAIN = Domain(
     bb_product=2053,
     branch_b_products=list(range(2031, 2048)),
     branch_b_pet_type=3,
-    excluded_hear_about=[
-        "Omnis 7 Commercial / Phoenix Migration Renewal",
-        "Omnis 7 Commercial / Phoenix Migration Mid-Term",
-    ],
+    excluded_hear_about=list(EXCLUDED_HEAR_ABOUT),
 )
 
 # The same rules on the synthetic fixtures (product ids are ``o_orderkey % 200``,
@@ -181,6 +199,11 @@ FIXTURE_DOMAIN = Domain(
     branch_b_pet_type=3,
     excluded_hear_about=["ASIA", "EUROPE"],
     active_status_names=["AFRICA", "AMERICA"],
+    quote_email_patterns=["%staff.example%", "%excluded%"],
+    crm_email_patterns=["%Test%", "%excluded%"],
+    free_agent_patterns_a=["%TEST%", "%STAFF%", "%excluded%", "%exclu%"],
+    free_agent_patterns_b=["%TEST%", "%EXCL%"],
+    brand_constant="House",
 )
 
 # Fixed report parameters used by the driver queries (FIXTURES.md).

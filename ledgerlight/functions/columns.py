@@ -59,13 +59,13 @@ def transaction_type(save_from: str | Column) -> Column:
 
 def received_method(save_from: str | Column) -> Column:
     """QuoteSaveFrom = 2 -> Web, else Phone."""
-    return F.when(_col(save_from) == 2, F.lit("Web")).otherwise(F.lit("Phone"))
+    return F.when(_col(save_from) == 2, F.lit(config.WEB)).otherwise(F.lit(config.PHONE))
 
 
 def sale_method(user_first_name: str | Column,
                 web_names: Sequence[str] = config.WEB_USER_NAMES) -> Column:
     """Executives named FIT/Web -> Web, else Phone (NULL -> Phone)."""
-    return F.when(_col(user_first_name).isin(list(web_names)), F.lit("Web")).otherwise(F.lit("Phone"))
+    return F.when(_col(user_first_name).isin(list(web_names)), F.lit(config.WEB)).otherwise(F.lit(config.PHONE))
 
 
 def product_class(product: str | Column, class_products: dict[int, list[int]]) -> Column:
@@ -112,25 +112,25 @@ def report_pet_bucket(c: str | Column = "PetType") -> Column:
 def brand_quote_uk(pet_type: str | Column, is_pet_id: str | Column) -> Column:
     """BB_Commercial -> BB; IsPetId 0 -> BPIS; 1 -> PetId; else Unknown."""
     i = _col(is_pet_id)
-    return (F.when(_col(pet_type) == config.BB_PET_TYPE, F.lit("BB"))
-            .when(i == 0, F.lit("BPIS"))
-            .when(i == 1, F.lit("PetId"))
-            .otherwise(F.lit("Unknown")))
+    return (F.when(_col(pet_type) == config.BB_PET_TYPE, F.lit(config.BRAND_BB))
+            .when(i == 0, F.lit(config.BRAND_BPIS))
+            .when(i == 1, F.lit(config.BRAND_PET_ID))
+            .otherwise(F.lit(config.BRAND_UNKNOWN)))
 
 
 def brand_sales_uk(pet_type: str | Column, is_pet_id: str | Column) -> Column:
     """IsPetId = 1 -> PetId; pet type like BB_COM -> BB; else BPIS."""
-    return (F.when(_col(is_pet_id) == 1, F.lit("PetId"))
-            .when(_col(pet_type).ilike("%BB_COM%"), F.lit("BB"))
-            .otherwise(F.lit("BPIS")))
+    return (F.when(_col(is_pet_id) == 1, F.lit(config.BRAND_PET_ID))
+            .when(_col(pet_type).ilike("%BB_COM%"), F.lit(config.BRAND_BB))
+            .otherwise(F.lit(config.BRAND_BPIS)))
 
 
 def quote_status(expiry: str | Column, start: str | Column, as_of: dt.date) -> Column:
     """Both dates NULL -> NULL; as_of > expiry -> Lapsed; else Live."""
     e, s = _col(expiry), _col(start)
     return (F.when(F.coalesce(e, s).isNull(), F.lit(None).cast("string"))
-            .when(F.lit(as_of) > e, F.lit("Lapsed"))
-            .otherwise(F.lit("Live")))
+            .when(F.lit(as_of) > e, F.lit(config.QUOTE_LAPSED))
+            .otherwise(F.lit(config.QUOTE_LIVE)))
 
 
 def not_converted(policy_number: str | Column) -> Column:
@@ -141,7 +141,7 @@ def not_converted(policy_number: str | Column) -> Column:
 
 def converted_quote(policy_number: str | Column) -> Column:
     """Yes/No."""
-    return F.when(not_converted(policy_number), F.lit("No")).otherwise(F.lit("Yes"))
+    return F.when(not_converted(policy_number), F.lit(config.NO)).otherwise(F.lit(config.YES))
 
 
 def converted_flag(policy_number: str | Column) -> Column:
@@ -167,7 +167,7 @@ def incomplete(fields: Sequence[str] = COMPLETENESS_FIELDS) -> Column:
 
 def details_completed(fields: Sequence[str] = COMPLETENESS_FIELDS) -> Column:
     """Yes/No."""
-    return F.when(incomplete(fields), F.lit("No")).otherwise(F.lit("Yes"))
+    return F.when(incomplete(fields), F.lit(config.NO)).otherwise(F.lit(config.YES))
 
 
 def agent_category(c: str | Column) -> Column:
@@ -181,7 +181,7 @@ def agent_category(c: str | Column) -> Column:
 
 def yes_no(flag: str | Column) -> Column:
     """flag = 1 (true) -> Yes else No."""
-    return F.when(_col(flag).cast("int") == 1, F.lit("Yes")).otherwise(F.lit("No"))
+    return F.when(_col(flag).cast("int") == 1, F.lit(config.YES)).otherwise(F.lit(config.NO))
 
 
 def customer_status(policy_number: str | Column, policy_end: str | Column,
@@ -190,11 +190,11 @@ def customer_status(policy_number: str | Column, policy_end: str | Column,
     """No policy -> Quote; as_of >= end or end NULL -> Expired;
     Active/Converted -> Active; else the status name."""
     live = F.lit(as_of) < _col(policy_end)
-    inner = (F.when(_col(status_name).isin(list(active_names)), F.lit("Active"))
+    inner = (F.when(_col(status_name).isin(list(active_names)), F.lit(config.CUSTOMER_ACTIVE))
              .otherwise(_col(status_name)))
-    return (F.when(_col(policy_number).isNull(), F.lit("Quote"))
+    return (F.when(_col(policy_number).isNull(), F.lit(config.CUSTOMER_QUOTE))
             .when(live, inner)
-            .otherwise(F.lit("Expired")))
+            .otherwise(F.lit(config.CUSTOMER_EXPIRED)))
 
 
 def country(country_col: str | Column, code_col: str | Column) -> Column:

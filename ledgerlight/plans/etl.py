@@ -53,7 +53,7 @@ def extract(kind: str, src: Mapping[str, DataFrame], code: str, name: str, famil
     df = builder(src, start, end, domain).withColumns(
         {"CountryCode": F.lit(code), "CountryName": F.lit(name)})
     if code.lower() in BRAND_OVERRIDE:
-        df = df.withColumn("Brand", F.lit(config.BRAND_CONSTANT))
+        df = df.withColumn("Brand", F.lit(domain.brand_constant))
     return df
 
 

@@ -130,7 +130,7 @@ def quote_fact_a(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -
     person = _quote_person_columns()
     rows = j.select(
         F.col("q.id").alias("_qid"), F.col("pp_created"), F.col("pa_policy_number"),
-        F.lit(config.BRAND_CONSTANT).alias("Brand"),
+        F.lit(domain.brand_constant).alias("Brand"),
         F.col("pp_created").alias("PolicyCreatedDate"),
         F.col("q.quote_number").alias("QuoteNumber"),
         F.col("q.created_date").alias("CreatedDate"),
@@ -286,7 +286,7 @@ def sales_fact_a(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -
     product code (C11)."""
     j = _sales_joins(src, start, end, domain, "inner").where(D.flag_is("p.is_migrated", 0))
     return j.select(
-        F.lit(config.BRAND_CONSTANT).alias("Brand"), F.col("p.policy_number").alias("PolicyNumber"),
+        F.lit(domain.brand_constant).alias("Brand"), F.col("p.policy_number").alias("PolicyNumber"),
         F.col("p.created_date").alias("CreatedDate"), F.col("p.actual_start_date").alias("ActualStartDate"),
         F.col("po_name").alias("ProductName"),
         C.bucket("po_code", config.SALES_CODE_BUCKETS, config.SALES_CODE_DEFAULT,
@@ -373,7 +373,7 @@ def free_fact_a(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) ->
         D.not_like_any("sa_email", domain.free_agent_patterns_a, keep_null=False)
         & D.not_like_any("p.pet_name", ["%TEST%"], keep_null=False))
     pet = C.bucket("po_code", config.FREE_CODE_BUCKETS, config.FREE_CODE_DEFAULT)
-    return _free_select(j, F.lit(config.BRAND_CONSTANT), pet, domain)
+    return _free_select(j, F.lit(domain.brand_constant), pet, domain)
 
 
 def free_fact_b(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -> DataFrame:
@@ -453,7 +453,7 @@ def crm_fact(src: Src, start, end_exclusive, as_of, domain: Domain = config.FIXT
     final = (picked.join(info, F.col("lp_quote_id") == F.col("QuoteId"), "left")
                    .join(breed, F.col("b_id") == F.col("PetBreedId"), "left"))
     final = final.select(
-        F.lit(config.BRAND_CONSTANT).alias("Brand"), F.lit("").alias("Country"),
+        F.lit(domain.brand_constant).alias("Brand"), F.lit("").alias("Country"),
         F.lit("").alias("BusinessName"), F.lit("").alias("BusinessType"),
         C.customer_status("PolicyNumber", "PolicyEndDate", "PolicyStatusName", as_of,
                           domain.active_status_names).alias("CustomerStatus"),

@@ -32,6 +32,17 @@ BB = DOM.bb_product
 HEAR_EXCL = "('ASIA', 'EUROPE')"
 
 QUOTE_OUT = ", ".join(facts.QUOTE_FACT_COLUMNS)
+BRAND = f"'{DOM.brand_constant}'"
+
+
+def not_ilike(col: str, patterns) -> str:
+    """``col NOT ILIKE p AND ...`` for the given patterns."""
+    return " AND ".join(f"{col} NOT ILIKE '{p}'" for p in patterns)
+
+
+MAIL_Q_NULLSAFE = not_ilike("coalesce(email, '')", DOM.quote_email_patterns)
+MAIL_Q = not_ilike("email", DOM.quote_email_patterns)
+MAIL_C = not_ilike("c.email", DOM.quote_email_patterns)
 
 QUOTE_COMMON_COLS = """
      pp.created_date AS PolicyCreatedDate, q.quote_number AS QuoteNumber,
@@ -65,10 +76,10 @@ WITH q AS (SELECT * FROM quote_src
              AND created_by IS NOT NULL AND quote_save_from IS NOT NULL AND quote_parent_id IS NULL
              AND NOT (coalesce(CAST(is_pet_id_product AS INT), 0) = 1) AND migrated_quote_id IS NULL
              AND coalesce(first_name, '') NOT ILIKE '%test%' AND coalesce(last_name, '') NOT ILIKE '%test%'
-             AND coalesce(email, '') NOT ILIKE '%petcovergroup%' AND coalesce(email, '') NOT ILIKE '%prowerse%'
+             AND {MAIL_Q_NULLSAFE}
              AND coalesce(pet_name, '') NOT ILIKE '%test%'),
 j AS (
-  SELECT 'Petcover' AS Brand, {QUOTE_COMMON_COLS}, pty.pet_type_name AS PetType,
+  SELECT {BRAND} AS Brand, {QUOTE_COMMON_COLS}, pty.pet_type_name AS PetType,
      row_number() OVER (PARTITION BY CAST(q.created_date AS DATE), lower(trim(q.email)),
                                      pty.pet_type_name, lower(trim(q.pet_name))
                         ORDER BY {RANK_ORDER}) AS rn
@@ -90,7 +101,7 @@ def fact_quote_a(src):
 WITH q AS (SELECT * FROM quote_src
            WHERE created_date >= DATE '{LO}' AND created_date < DATE '{HI}' AND quote_parent_id IS NULL
              AND first_name NOT ILIKE '%test%' AND last_name NOT ILIKE '%test%'
-             AND email NOT ILIKE '%petcovergroup%' AND email NOT ILIKE '%prowerse%'
+             AND {MAIL_Q}
              AND pet_name NOT ILIKE '%test%'),
 qa AS (SELECT * FROM q WHERE created_by IS NOT NULL AND quote_save_from IS NOT NULL
                          AND product_id IN ({BRANCH_A})),
@@ -149,7 +160,7 @@ WHERE p.created_date >= DATE '{LO}' AND p.created_date < DATE '{HI}'
   AND coalesce(CAST(p.is_free_product AS INT), 0) = 0
   AND p.insured_name NOT ILIKE '%test%' AND p.pet_name NOT ILIKE '%test%'
   AND c.first_name NOT ILIKE '%test%' AND c.last_name NOT ILIKE '%test%'
-  AND c.email NOT ILIKE '%petcovergroup%' AND c.email NOT ILIKE '%prowerse%'
+  AND {MAIL_C}
   AND p.executive_id IS NOT NULL
   AND (pc.id IS NULL OR pc.created_date >= p.created_date + INTERVAL 1 DAY)
   {{extra_where}}
@@ -160,7 +171,7 @@ SALES_ADAPTERS = ("policy_full_src", "cancel_src", "client_src", "policy_src", "
 
 
 @register("fact_sales_a", SALES_ADAPTERS, ids="M3 J9-J14 C8 C11 C17 D6 D8 D10 D13", oracle=f"""
-SELECT 'Petcover' AS Brand, p.policy_number AS PolicyNumber, p.created_date AS CreatedDate,
+SELECT {BRAND} AS Brand, p.policy_number AS PolicyNumber, p.created_date AS CreatedDate,
        p.actual_start_date AS ActualStartDate, po.product_name AS ProductName,
        CASE WHEN po.product_code ILIKE '%CAT%' THEN 'Cat' WHEN po.product_code ILIKE '%DOG%' THEN 'Dog'
             WHEN po.product_code ILIKE '%EQUINE%' THEN 'Horse' WHEN po.product_code ILIKE '%HORSE%' THEN 'Horse'
@@ -225,11 +236,9 @@ FREE_TAIL = f"""po.product_name AS ProductName, st.state_name AS StateName, {SAL
 
 
 @register("fact_free_a", FREE_ADAPTERS, ids="M5 J14-J19 C8 C12 C17", oracle=f"""
-SELECT 'Petcover' AS Brand, {FREE_COLS}, {FREE_BUCKET} AS PetType, {FREE_TAIL}
+SELECT {BRAND} AS Brand, {FREE_COLS}, {FREE_BUCKET} AS PetType, {FREE_TAIL}
 """ + FREE_FROM.format(how="", extra=(
-    "AND sa.email NOT ILIKE '%TEST%' AND sa.email NOT ILIKE '%PROWSE%' "
-    "AND sa.email NOT ILIKE '%prowerse%' AND sa.email NOT ILIKE '%prower%' "
-    "AND p.pet_name NOT ILIKE '%TEST%'")))
+    f"AND {not_ilike('sa.email', DOM.free_agent_patterns_a)} AND p.pet_name NOT ILIKE '%TEST%'")))
 def fact_free_a(src):
     return facts.free_fact_a(src, *FW, DOM)
 
@@ -240,7 +249,7 @@ SELECT {FREE_COLS},
        CASE WHEN q.product_id = {BB} THEN 'BB_Commercial' ELSE {FREE_BUCKET} END AS PetType, {FREE_TAIL},
        coalesce(CAST(p.is_pet_id_product AS INT), 0) AS is_pet_id
 """ + FREE_FROM.format(how="LEFT", extra=(
-    "AND coalesce(sa.email, '') NOT ILIKE '%TEST%' AND coalesce(sa.email, '') NOT ILIKE '%PROW%'")) + """)
+    "AND " + not_ilike("coalesce(sa.email, '')", DOM.free_agent_patterns_b))) + """)
 SELECT CASE WHEN is_pet_id = 1 THEN 'PetId' WHEN PetType ILIKE '%BB_COM%' THEN 'BB' ELSE 'BPIS' END AS Brand,
        QuoteNumber, PolicyNumber, CreatedDate, SubAgentName, AgentCategoryId, PetType, ProductName,
        StateName, SaleMethod, PolicyStatusName
@@ -283,7 +292,7 @@ WITH qd AS (
   LEFT JOIN client_src c ON c.id = q.client_id
   WHERE q.quote_date >= DATE '{LO}' AND q.quote_date < DATE '{HI}'
     AND q.first_name NOT ILIKE '%Test%' AND q.last_name NOT ILIKE '%Test%'
-    AND q.email NOT ILIKE '%Test%' AND q.pet_name NOT ILIKE '%Test%' AND q.email NOT ILIKE '%prowerse%'),
+    AND q.pet_name NOT ILIKE '%Test%' AND {not_ilike('q.email', DOM.crm_email_patterns)}),
 pq AS (SELECT * FROM qd WHERE rn = 1),
 lp AS (SELECT pa.quote_id, pa.policy_number, p.actual_start_date AS OriginalPolicyStartDate,
               p.actual_end_date AS PolicyEndDate, p.policy_status_id,
@@ -295,7 +304,7 @@ pinfo AS (SELECT lp.quote_id, lp.policy_number AS PolicyNumber, lp.OriginalPolic
                  ps.policy_status_name AS PolicyStatusName
           FROM lp LEFT JOIN policy_status_dim ps ON ps.id = lp.policy_status_id WHERE lp.rn = 1),
 fr AS (
-  SELECT 'Petcover' AS Brand, '' AS Country, '' AS BusinessName, '' AS BusinessType,
+  SELECT {BRAND} AS Brand, '' AS Country, '' AS BusinessName, '' AS BusinessType,
          CASE WHEN pinfo.PolicyNumber IS NOT NULL THEN
                 CASE WHEN DATE '2001-07-10' < pinfo.PolicyEndDate THEN
                        CASE WHEN pinfo.PolicyStatusName IN ('AFRICA', 'AMERICA') THEN 'Active'
@@ -333,7 +342,7 @@ SCRIPT_PERSON = """coalesce(q.first_name, c.first_name) AS FirstName, coalesce(q
 WITH q AS (SELECT * FROM quote_src
            WHERE created_date >= DATE '{LO}' AND created_date < DATE '{HI}' AND quote_parent_id IS NULL
              AND first_name NOT ILIKE '%test%' AND last_name NOT ILIKE '%test%'
-             AND email NOT ILIKE '%petcovergroup%' AND email NOT ILIKE '%prowerse%'
+             AND {MAIL_Q}
              AND pet_name NOT ILIKE '%test%'),
 tok AS (SELECT DISTINCT quote_id, TRY_CAST(trim(t) AS INTEGER) AS tid
         FROM (SELECT quote_id, unnest(string_split(answer, ',')) AS t FROM list_src) s),

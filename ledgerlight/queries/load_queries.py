@@ -38,7 +38,8 @@ def _etl_oracle(kind: str) -> str:
     parts = []
     for code, name, family in config.REGIONS:
         body = fa if family == "au_nz" else fb
-        cols = ", ".join("'Petcover' AS Brand" if c == "Brand" and code.lower() in ("at", "de") else c
+        brand = config.FIXTURE_DOMAIN.brand_constant
+        cols = ", ".join(f"'{brand}' AS Brand" if c == "Brand" and code.lower() in ("at", "de") else c
                          for c in fact_cols)
         parts.append(f"SELECT {cols}, '{code}' AS CountryCode, '{name}' AS CountryName "
                      f"FROM ({body}) t_{code}")

@@ -13,7 +13,7 @@ from ledgerlight.registry import register
 
 WW = config.WIDE_WINDOW
 TEST = ["%test%"]
-MAILS = ["%petcovergroup%", "%prowerse%"]
+MAILS = config.FIXTURE_DOMAIN.quote_email_patterns
 
 
 @register("window_scan", ("quote_wh",), ids="A6 D5 D6", oracle="""
@@ -33,7 +33,8 @@ def quote_date_window(src):
     return src["quote_src"].where(K.in_half_open("quote_date", *WW)).select("id", "quote_date")
 
 
-_EXCL = "{f} NOT ILIKE '%test%' AND {l} NOT ILIKE '%test%' AND {e} NOT ILIKE '%petcovergroup%' AND {e} NOT ILIKE '%prowerse%'"
+_EXCL = ("{f} NOT ILIKE '%test%' AND {l} NOT ILIKE '%test%' AND "
+         + " AND ".join("{e} NOT ILIKE '" + p + "'" for p in MAILS))
 
 
 @register("exclude_test_rows_drop_null", ("client_src",), ids="D8 D9 N8 (three-valued)", oracle=f"""

@@ -54,7 +54,7 @@ SELECT o_orderkey AS id,
             ELSE concat('F', CAST(o_custkey % 50 AS STRING)) END AS first_name,
        CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 37 = 0 THEN 'TESTER'
             ELSE concat('L', CAST(o_custkey % 30 AS STRING)) END AS last_name,
-       CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 47 = 0 THEN 'x@ProWerse.io'
+       CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 47 = 0 THEN 'x@Excluded.io'
             ELSE concat('u', CAST(o_custkey % 40 AS STRING), '@mail.org ') END AS email,
        CASE WHEN o_orderkey % 5 = 0 THEN concat('+61 ', CAST(o_orderkey AS STRING))
             END AS mobile,
@@ -168,7 +168,8 @@ ADAPTERS["policy_status_dim"] = "SELECT r_regionkey AS id, r_name AS policy_stat
 ADAPTERS["state_dim"] = "SELECT n_nationkey AS id, n_name AS state_name FROM {nation}"
 ADAPTERS["sub_agent_dim"] = """
 SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey % 10 AS INT) AS agent_category_id,
-       CASE WHEN s_suppkey % 7 = 3 THEN 'agent.TEST@mail.org' WHEN s_suppkey % 11 = 4 THEN NULL
+       CASE WHEN s_suppkey % 7 = 3 THEN 'agent.TEST@mail.org' WHEN s_suppkey % 13 = 5 THEN 'staff@excluded.org'
+            WHEN s_suppkey % 11 = 4 THEN NULL
             ELSE concat('agent', CAST(s_suppkey AS STRING), '@mail.org') END AS email,
        s_nationkey AS state_id
 FROM {supplier}
