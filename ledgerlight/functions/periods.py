@@ -189,6 +189,17 @@ def month_calendar(spark: SparkSession, first_month: DateLike, last_month: DateL
     )
 
 
+def month_calendar_if_rows(agg: DataFrame, first_month: DateLike, last_month: DateLike,
+                           name: str = "month") -> DataFrame:
+    """K8 with the empty rule: the months ``first..last`` if ``agg`` has any
+    row, else no month.  Built from ``agg``'s one-row count, no join."""
+    a, b = to_date(first_month), to_date(last_month)
+    a, b = dt.date(a.year, a.month, 1), dt.date(b.year, b.month, 1)
+    n = agg.agg(F.count(F.lit(1)).alias("_n"))
+    return n.where(F.col("_n") > 0).select(
+        F.explode(F.sequence(F.lit(a), F.lit(b), F.expr("INTERVAL 1 MONTH"))).alias(name))
+
+
 def observed_calendar(agg: DataFrame, month_col: str = "month") -> DataFrame:
     """K8, ``min..max observed`` mode: months between the first and last
     month present in ``agg`` (an aggregate, so this reads few rows)."""

@@ -34,6 +34,14 @@ def total(df: DataFrame, count_col: str | None = None, out_col: str = "TotalReco
     return df.agg(expr.cast("bigint").alias(out_col))
 
 
+def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame (a global aggregate) to every row
+    of ``df``.  The right side is a global aggregate, so its size is one row
+    by construction; it is broadcast (nested-loop join without condition),
+    which never multiplies ``df``'s rows."""
+    return df.join(F.broadcast(one_row), how="cross")
+
+
 def page_with_total(df: DataFrame, order: Sequence[Column], skip: int = 0, limit: int = 100,
                     count_col: str | None = None, out_col: str = "TotalRecords") -> DataFrame:
     """G8 rebuilt: the page with the (always right) total on every row.
@@ -41,7 +49,7 @@ def page_with_total(df: DataFrame, order: Sequence[Column], skip: int = 0, limit
     The total is a one-row aggregate; joining a one-row frame is a broadcast
     of provably bounded size onto at most ``limit`` rows."""
     pg = page(df, order, skip, limit)
-    return pg.crossJoin(F.broadcast(total(df, count_col, out_col)))
+    return attach_scalars(pg, total(df, count_col, out_col))
 
 
 def last_point(series: DataFrame, month_col: str, month) -> DataFrame:

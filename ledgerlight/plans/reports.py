@@ -11,7 +11,7 @@ folded into literals, so the date window reaches the parquet scan as
 from __future__ import annotations
 
 import datetime as dt
-from typing import Sequence
+
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,7 +147,7 @@ def conversion_v2(spark: SparkSession, quote: DataFrame, sales: DataFrame, start
                             countries, brands, pets)
     last = paging.last_point(series, "period", f"{e.year:04d}-{e.month:02d}").select(
         F.col("value").alias("converted"))
-    return _conversion_shape(quotes.crossJoin(last))
+    return _conversion_shape(paging.attach_scalars(quotes, last))
 
 
 # ---------------------------------------------------------------------------
@@ -172,9 +172,9 @@ def method_trend(spark: SparkSession, fact: DataFrame, method_col: str, count_co
                .agg(F.count(count_col).alias("value")))
     norm = agg.withColumn("method", C.normalised_method("method"))
     wide = reshape.pivot_sum(norm, "month", "method", "value", config.TREND_METHODS)
-    cal = K.month_calendar(spark, used_start, e)
-    has_rows = agg.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 0).select()
-    cal = cal.crossJoin(F.broadcast(has_rows))
+    # The calendar is generated from the one-row count of the aggregate, so
+    # no matching row gives no month at all (an empty chart, not zeros).
+    cal = K.month_calendar_if_rows(agg, used_start, e)
     out = reshape.align_to_calendar(cal, wide, "month", config.TREND_METHODS)
     return out.select(K.period_key("month").alias("period"), K.month_label("month").alias("month_label"),
                       *config.TREND_METHODS)

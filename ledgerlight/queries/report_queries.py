@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from ledgerlight import config
+from ledgerlight.operators import paging
 from ledgerlight.plans import reports as R
 from ledgerlight.registry import register
 
@@ -118,7 +118,7 @@ SELECT name, value, CAST(sum(value) OVER () AS BIGINT) AS total FROM b
 """)
 def sales_by_bucket(src):
     by = R.count_by_pet_bucket(src["sales_wh"], "PolicyNumber", *WW, countries=COUNTRIES)
-    return by.crossJoin(F.broadcast(R.bucket_total(by)))
+    return paging.attach_scalars(by, R.bucket_total(by))
 
 
 def _conversion_oracle(cte: str) -> str:
