@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
