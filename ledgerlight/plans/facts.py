@@ -411,7 +411,10 @@ def crm_fact(src: Src, start, end_exclusive, as_of, domain: Domain = config.FIXT
     ]))
     j = (base.join(pd_, F.col("pd_id") == F.col("q.product_id"), "left")
              .join(client, F.col("c.id") == F.col("q.client_id"), "left"))
-    j = dedupe.existence_flag(j, "q.id", src["policy_src"], "quote_id", flag="_has_policy")
+    # Activities of the windowed quotes only (semi join), then distinct.
+    activities = src["policy_src"].select("quote_id").join(
+        base.select(F.col("id").alias("quote_id")), "quote_id", "left_semi")
+    j = dedupe.existence_flag(j, "q.id", activities, "quote_id", flag="_has_policy")
     breed_key = C.first_nonzero("q.breed_id1", "q.breed_id2", "q.breed_id3")
     quotes = j.select(
         F.col("q.id").alias("QuoteId"), F.col("q.quote_number").alias("QuoteNumber"),

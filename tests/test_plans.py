@@ -37,3 +37,19 @@ def test_window_filter_pushed_to_scan(spark):
     df = REGISTRY["quote_date_window"].spark(spark, SF001)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "DataFilters" in p and "o_orderdate" in p
+
+
+def test_policy_choice_is_partial_top1_before_the_quote_join(spark):
+    from ledgerlight.plans import facts
+    from ledgerlight.sources.adapters import Sources
+    src = Sources(spark, SF001)
+    best = facts.best_policy_per_quote(src, src["quote_src"])
+    best.collect()
+    p = best._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_fanout_join_has_no_outer_join_in_sales_fact(spark):
+    df = REGISTRY["fact_sales_a"].spark(spark, SF001)
+    p = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in p
