@@ -89,10 +89,9 @@ def best_policy_per_quote(src: Src, quote_ids: DataFrame) -> DataFrame:
                                  F.col("pa_policy_number").asc_nulls_first()])
 
 
-def _join_policy_and_breed(df: DataFrame, src: Src, quote_ids: DataFrame) -> DataFrame:
-    """Latest policy of the quote (pre-reduced), breed on the
-    first non-zero breed id."""
-    best = best_policy_per_quote(src, quote_ids)
+def _join_policy_and_breed(df: DataFrame, src: Src, best: DataFrame) -> DataFrame:
+    """Latest policy of the quote (``best``, pre-reduced by
+    ``best_policy_per_quote``), breed on the first non-zero breed id."""
     breed = src["breed_dim"].select(F.col("id").alias("breed_id"), F.col("breed_name").alias("BreedName"))
     return (df.join(best, F.col("q.id") == F.col("pa_quote_id"), "left")
               .withColumn("_breed_key", C.first_nonzero("q.breed_id1", "q.breed_id2", "q.breed_id3"))
@@ -126,7 +125,7 @@ def quote_fact_a(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -
     j = (base.join(product, F.col("prod_id") == F.col("q.product_id"), "inner")
              .join(pet, F.col("pty_id") == F.col("prod_pet_type_id"), "left")
              .join(client, F.col("c.id") == F.col("q.client_id"), "left"))
-    j = _join_policy_and_breed(j, src, base)
+    j = _join_policy_and_breed(j, src, best_policy_per_quote(src, base))
     person = _quote_person_columns()
     rows = j.select(
         F.col("q.id").alias("_qid"), F.col("pp_created"), F.col("pa_policy_number"),
@@ -205,6 +204,8 @@ def quote_fact_b(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -
     # Branch A: class products + the BB product.
     qa = q.where(common & F.col("created_by").isNotNull() & F.col("quote_save_from").isNotNull()
                  & F.col("product_id").isin(domain.branch_a_products))
+    qb = q.where(common & F.col("product_id").isin(domain.branch_b_products)
+                 & F.col("executive_id").isNotNull())
     act = bb_activity(src, qa, domain).withColumnRenamed("quote_id", "act_quote_id")
     ja = (qa.join(client, F.col("c.id") == F.col("q.client_id"), "left")
             .join(hear, F.col("h_id") == F.col("q.hear_about_us"), "left")
@@ -212,18 +213,18 @@ def quote_fact_b(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -
             .join(act, F.col("act_quote_id") == F.col("q.id"), "left")
             .where(D.product_exclusion("q.product_id", domain.bb_product, "h_name",
                                        domain.excluded_hear_about)))
-    ja = _join_policy_and_breed(ja, src, qa)
+    # One pass over the activities serves both branches.
+    best = best_policy_per_quote(src, qa.select("id").unionByName(qb.select("id")))
+    ja = _join_policy_and_breed(ja, src, best)
     is_bb = F.col("q.product_id") == domain.bb_product
     a = project(ja, C.bb_pet_type("q.product_id", domain.bb_product, "pty_name"),
                 F.col("bb_activity"), F.when(is_bb, F.col("bb_activity")).otherwise(F.col("pty_name")))
 
     # Branch B: the second product family, executive required.
-    qb = q.where(common & F.col("product_id").isin(domain.branch_b_products)
-                 & F.col("executive_id").isNotNull())
     jb = (qb.join(client, F.col("c.id") == F.col("q.client_id"), "left")
             .join(pet, F.col("pty_id") == C.product_class(
                 "q.product_id", {domain.branch_b_pet_type: domain.branch_b_products}), "left"))
-    jb = _join_policy_and_breed(jb, src, qb)
+    jb = _join_policy_and_breed(jb, src, best)
     b = project(jb, F.col("pty_name"), F.lit(""),
                 F.when(is_bb, F.lit("")).otherwise(F.col("pty_name")))
 

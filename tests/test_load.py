@@ -48,6 +48,7 @@ def test_read_window_prunes_partitions(spark):
     df = load.read_window(spark, target, "2024-02-01", "2024-02-10")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(created_month" in plan
+    assert "PushedFilters: [IsNotNull(CreatedDate), GreaterThanOrEqual(CreatedDate" in plan
     assert [r.k for r in df.collect()] == ["b"]
 
 
