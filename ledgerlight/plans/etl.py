@@ -36,9 +36,9 @@ JOBS: dict[str, tuple[Builder, Builder, T.StructType, str]] = {
 }
 # Date columns cleaned per job.
 CLEAN_DATES = {
-    "quote": ["CreatedDate", "ETLDateUploaded", "QuoteStartDate", "QuoteExpiryDate",
-              "PolicyStartDate", "PolicyEndDate", "PolicyCreatedDate", "PetBirthDate"],
-    "sales": ["CreatedDate", "ETLDateUploaded", "ActualStartDate", "QuoteCreatedDate"],
+    "quote": ["CreatedDate", "QuoteStartDate", "QuoteExpiryDate", "PolicyStartDate",
+              "PolicyEndDate", "PetBirthDate", "ETLDateUploaded"],
+    "sales": ["CreatedDate", "ActualStartDate", "ETLDateUploaded", "QuoteCreatedDate"],
     "free_policies": ["CreatedDate", "ETLDateUploaded"],
 }
 # Regions whose brand is forced to the constant (A3).

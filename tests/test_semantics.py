@@ -68,3 +68,13 @@ def test_n25_same_month_gate_depends_on_arguments_only(spark):
     assert not K.same_calendar_month("2024-02-29", "2024-03-01")
     # Receive-method default: start six months back -> gate off, whole months count.
     assert not K.same_calendar_month(K.default_windows("2024-03-15")["six_months_back"], "2024-03-15")
+
+
+def test_n9_not_in_drops_null_names_unless_asked(spark):
+    from ledgerlight.functions import filters as D
+    df = spark.createDataFrame([(40, None), (40, "ASIA"), (40, "OK"), (7, None)], "p int, n string")
+    prod = [tuple(r) for r in df.where(D.product_exclusion("p", 40, "n", ["ASIA"])).collect()]
+    keep = [tuple(r) for r in df.where(D.product_exclusion("p", 40, "n", ["ASIA"], keep_null_name=True))
+            .collect()]
+    assert sorted(prod, key=repr) == sorted([(40, "OK"), (7, None)], key=repr)
+    assert sorted(keep, key=repr) == sorted([(40, None), (40, "OK"), (7, None)], key=repr)
