@@ -447,3 +447,54 @@ def brand_rules(src):
     flag = F.length(F.coalesce(F.col("PolicyNumber"), F.lit(""))) % 3
     return q.select("QuoteNumber", C.brand_quote_uk("PetType", flag).alias("quote_brand"),
                     C.brand_sales_uk("PetType", flag).alias("sales_brand"))
+
+
+@register("dedupe_raw", ("quote_src", "pet_type_dim"), ids="G2 G3 D15 (raw keys)", oracle="""
+WITH r AS (
+  SELECT q.id, q.created_date, q.email, q.pet_name, pty.pet_type_name,
+         row_number() OVER (PARTITION BY CAST(q.created_date AS DATE), q.email, pty.pet_type_name, q.pet_name
+                            ORDER BY q.id DESC) AS rn
+  FROM quote_src q
+  LEFT JOIN pet_type_dim pty ON pty.pet_type_id =
+    CASE WHEN q.product_id IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 9) THEN 3
+         WHEN q.product_id IN (10, 11, 12, 13, 14, 15, 16, 17, 18, 19) THEN 4
+         WHEN q.product_id IN (20, 21, 22, 23, 24, 25, 26, 27, 28, 29) THEN 6
+         WHEN q.product_id IN (30, 31, 32, 33, 34, 35, 36, 37, 38, 39) THEN 7 END)
+SELECT id, created_date, email, pet_name, pet_type_name FROM r WHERE rn = 1
+""")
+def dedupe_raw(src):
+    """Newest quote per day x raw mail x pet type x raw pet name (no
+    trimming or lower-casing, unlike G1)."""
+    dom = config.FIXTURE_DOMAIN
+    pty = src["pet_type_dim"]
+    q = src["quote_src"].join(pty, pty["pet_type_id"] == C.product_class("product_id", dom.class_products),
+                              "left")
+    return dedupe.latest_per_key(
+        q, [F.to_date("created_date"), "email", "pet_type_name", "pet_name"], [F.col("id").desc()]
+    ).select("id", "created_date", "email", "pet_name", "pet_type_name")
+
+
+@register("final_dedupe", ("crm_wh",), ids="G7 N7 (computed key)", oracle="""
+WITH r AS (
+  SELECT QuoteNumber, PolicyNumber, FirstName, LastName, PetName, QuoteCreatedDate, OriginalPolicyStartDate,
+         row_number() OVER (
+           PARTITION BY CASE WHEN PolicyNumber IS NOT NULL THEN PolicyNumber
+                             ELSE concat(coalesce(FirstName, ''), '|', coalesce(LastName, ''), '|',
+                                         coalesce(PetName, '')) END
+           ORDER BY CASE WHEN PolicyNumber IS NOT NULL THEN OriginalPolicyStartDate END DESC NULLS LAST,
+                    QuoteCreatedDate DESC NULLS LAST, QuoteNumber ASC NULLS FIRST) AS rn
+  FROM crm_wh)
+SELECT QuoteNumber, PolicyNumber, FirstName, LastName, PetName, QuoteCreatedDate, OriginalPolicyStartDate
+FROM r WHERE rn = 1
+""")
+def final_dedupe(src):
+    """G7 on the CRM table: one row per policy, else per person|pet."""
+    crm = src["crm_wh"]
+    has_pol = F.col("PolicyNumber").isNotNull()
+    key = F.when(has_pol, F.col("PolicyNumber")).otherwise(
+        C.concat_null_as_empty("FirstName", F.lit("|"), "LastName", F.lit("|"), "PetName"))
+    return dedupe.latest_per_key(
+        crm, [key], [F.when(has_pol, F.col("OriginalPolicyStartDate")).desc(),
+                     F.col("QuoteCreatedDate").desc(), F.col("QuoteNumber").asc()]
+    ).select("QuoteNumber", "PolicyNumber", "FirstName", "LastName", "PetName", "QuoteCreatedDate",
+             "OriginalPolicyStartDate")
