@@ -206,6 +206,10 @@ FIXTURE_DOMAIN = Domain(
     brand_constant="House",
 )
 
+# Fixture regional sources: region code -> region key whose customers (with
+# their orders and order lines) form that source.
+FIXTURE_REGION_KEYS = {"NZ": 0, "AU": 1, "UK": 2, "DE": 3, "AT": 4}
+
 # Fixed report parameters used by the driver queries (FIXTURES.md).
 AS_OF = dt.date(2001, 7, 10)
 MONTH_WINDOW = (dt.date(2001, 6, 5), dt.date(2001, 6, 20))

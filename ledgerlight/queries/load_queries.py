@@ -15,6 +15,7 @@ from ledgerlight.plans import reports as R
 from ledgerlight.registry import REGISTRY, register
 from ledgerlight.session import shared_dir
 from ledgerlight.sources import schemas
+from ledgerlight.sources.adapters import RegionalSources
 from ledgerlight.streaming import csv_export
 
 WW = config.WIDE_WINDOW
@@ -22,22 +23,24 @@ EXTRACTED_AT = dt.datetime(2001, 7, 10, 12, 0, 0)
 
 
 def _fixture_regions(src):
-    """Every region reads the fixture folder (five identical 'databases')."""
-    return {code: src for code, _, _ in config.REGIONS}
+    """Five regional source databases carved out of the fixture folder (one
+    per client region; dimensions shared)."""
+    return {code: RegionalSources(src.spark, src.sf_dir, config.FIXTURE_REGION_KEYS[code])
+            for code, _, _ in config.REGIONS}
 
 
 def _etl_oracle(kind: str) -> str:
     """DuckDB text of an ETL frame: the regional fact oracles, tagged,
     brand-overridden for AT/DE, date-cleaned and conformed."""
-    fact_a, fact_b, schema, _ = etl.JOBS[kind]
+    schema = etl.JOBS[kind][2]
     names = {"quote": ("fact_quote_a", "fact_quote_b"), "sales": ("fact_sales_a", "fact_sales_b"),
              "free_policies": ("fact_free_a", "fact_free_b")}[kind]
-    fa, fb = REGISTRY[names[0]].oracle(), REGISTRY[names[1]].oracle()
     fact_cols = [f.name for f in schema.fields
                  if f.name not in ("CountryCode", "CountryName", "ETLDateUploaded")]
     parts = []
     for code, name, family in config.REGIONS:
-        body = fa if family == "au_nz" else fb
+        entry = REGISTRY[names[0] if family == "au_nz" else names[1]]
+        body = entry.oracle(config.FIXTURE_REGION_KEYS[code])
         brand = config.FIXTURE_DOMAIN.brand_constant
         cols = ", ".join(f"'{brand}' AS Brand" if c == "Brand" and code.lower() in ("at", "de") else c
                          for c in fact_cols)

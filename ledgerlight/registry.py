@@ -27,17 +27,20 @@ class Entry:
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return self.build(Sources(spark, sf_dir))
 
-    def oracle(self) -> str | None:
+    def oracle(self, region_key: int | None = None) -> str | None:
+        """DuckDB text; with ``region_key`` the adapters read that region's
+        slice of the fixture (see ``adapters.RegionalSources``)."""
         body = self.oracle_fn() if self.oracle_fn else self.oracle_body
         if body is None:
             return None
         body = body.strip()
         if not self.adapters:
             return body
+        ctes = oracle_ctes(self.adapters, region_key)
         # The body may start with its own CTEs: merge them into one WITH list.
         if body[:4].upper() == "WITH":
-            return oracle_ctes(self.adapters).rstrip() + ",\n" + body[4:].lstrip()
-        return oracle_ctes(self.adapters) + body
+            return ctes.rstrip() + ",\n" + body[4:].lstrip()
+        return ctes + body
 
 
 REGISTRY: dict[str, Entry] = {}

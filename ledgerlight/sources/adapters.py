@@ -341,11 +341,45 @@ def adapter_order(names) -> list[str]:
     return seen
 
 
-def oracle_ctes(names) -> str:
-    """``WITH a AS (...), b AS (...)`` prefix for DuckDB text."""
+# --------------------------------------------------------------------------
+# Regional sources: the fixture carved into one "database" per region
+# --------------------------------------------------------------------------
+
+# A region's source holds the customers of that region, their orders and the
+# lines of those orders; dimension tables are shared.  Applied to the base
+# tables, so every adapter above follows.
+REGIONAL_TABLES: dict[str, str] = {
+    "customer": """
+SELECT c.* FROM {customer} c
+WHERE c.c_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = {region_key})
+""",
+    "orders": """
+SELECT o.* FROM {orders} o WHERE o.o_custkey IN (SELECT c_custkey FROM {customer_r})
+""",
+    "lineitem": """
+SELECT l.* FROM {lineitem} l WHERE l.l_orderkey IN (SELECT o_orderkey FROM {orders_r})
+""",
+}
+
+
+def _regional_text(table: str, region_key: int) -> str:
+    return REGIONAL_TABLES[table].replace("{region_key}", str(int(region_key)))
+
+
+def oracle_ctes(names, region_key: int | None = None) -> str:
+    """``WITH a AS (...), b AS (...)`` prefix for DuckDB text.  With a
+    ``region_key`` the base tables customer/orders/lineitem are the region's
+    slices (``customer_r``, ``orders_r``, ``lineitem_r``)."""
     parts = []
+    base = {t: t for t in BASE_TABLES}
+    if region_key is not None:
+        names_r = {"customer": "customer_r", "orders": "orders_r", "lineitem": "lineitem_r"}
+        for t in ("customer", "orders", "lineitem"):
+            text = _PLACEHOLDER.sub(lambda m: m.group(1), _regional_text(t, region_key)).strip()
+            parts.append(f"{names_r[t]} AS (\n{text}\n)")
+        base.update(names_r)
     for n in adapter_order(names):
-        body = _PLACEHOLDER.sub(lambda m: m.group(1), ADAPTERS[n]).strip()
+        body = _PLACEHOLDER.sub(lambda m: base.get(m.group(1), m.group(1)), ADAPTERS[n]).strip()
         parts.append(f"{n} AS (\n{body}\n)")
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -362,13 +396,39 @@ class Sources:
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
 
+    def _base(self, name: str) -> DataFrame:
+        return read_table(self.spark, self.sf_dir, name)
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
             if name in BASE_TABLES:
-                self._cache[name] = read_table(self.spark, self.sf_dir, name)
+                self._cache[name] = self._base(name)
             elif name in ADAPTERS:
                 deps = {d: self[d] for d in dependencies(name)}
                 self._cache[name] = self.spark.sql(ADAPTERS[name], **deps)
             else:
                 raise KeyError(name)
         return self._cache[name]
+
+
+class RegionalSources(Sources):
+    """One region's source database carved out of the fixture folder: its
+    customers, their orders and order lines (semi joins), shared dimensions."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, region_key: int):
+        super().__init__(spark, sf_dir)
+        self.region_key = int(region_key)
+
+    def _base(self, name: str) -> DataFrame:
+        raw = read_table(self.spark, self.sf_dir, name)
+        if name == "customer":
+            return self.spark.sql(_regional_text("customer", self.region_key),
+                                  customer=raw, nation=self["nation"])
+        if name == "orders":
+            return self.spark.sql(_regional_text("orders", self.region_key),
+                                  orders=raw, customer_r=self["customer"])
+        if name == "lineitem":
+            return self.spark.sql(_regional_text("lineitem", self.region_key),
+                                  lineitem=raw, orders_r=self["orders"])
+        return raw
+
