@@ -116,3 +116,21 @@ def test_source_registry_and_fan_in(spark):
     u = fan_in([a, b])
     assert sorted(u.columns) == ["CountryCode", "r_name", "r_regionkey"]
     assert u.count() == 10 and u.where(F.col("r_name").isNull()).count() == 5
+
+
+def test_regional_sources_partition_the_fixture(spark):
+    """The five regional slices are disjoint and together hold every
+    customer, order and order line exactly once."""
+    from ledgerlight import config
+    from ledgerlight.sources.adapters import RegionalSources, Sources
+    whole = Sources(spark, "/root/testdata/sf0.001")
+    regions = [RegionalSources(spark, "/root/testdata/sf0.001", k)
+               for k in config.FIXTURE_REGION_KEYS.values()]
+    for table, key in (("customer", "c_custkey"), ("orders", "o_orderkey"),
+                       ("lineitem", "l_orderkey")):
+        parts = [r[table] for r in regions]
+        union = parts[0]
+        for p in parts[1:]:
+            union = union.unionByName(p)
+        assert union.count() == whole[table].count()
+        assert union.select(key).distinct().count() == whole[table].select(key).distinct().count()
