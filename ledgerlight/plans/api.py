@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlight import config
 from ledgerlight.functions import periods as K
+from ledgerlight.operators import breakdown, reshape
 from ledgerlight.plans import etl
 from ledgerlight.plans import reports as R
 from ledgerlight.session import shared_dir
@@ -190,10 +191,16 @@ def sales_by_pet_type(t: Tables, start_date=None, end_date=None, country_codes="
 
 
 def free_policy_sales(t: Tables, start_date=None, end_date=None, country_codes="all", brands="all",
-                      pet_types="all", as_of=None) -> DataFrame:
-    """Status / pet type / channel breakdowns with shares."""
+                      pet_types="all", as_of=None) -> dict[str, DataFrame]:
+    """Status / pet type / channel breakdowns with shares (one pass),
+    split into the three lists (L4) plus the grand total of the status list
+    (F12)."""
     s, e = _window(start_date, end_date, as_of)
-    return R.free_policy_breakdown(t.free_policy, s, e, country_codes, brands, pet_types)
+    tagged = R.free_policy_breakdown(t.free_policy, s, e, country_codes, brands, pet_types)
+    return {"by_status": reshape.split_level(tagged, "status"),
+            "by_pet_type": reshape.split_level(tagged, "pet_type"),
+            "by_channel": reshape.split_level(tagged, "channel"),
+            "total": breakdown.grand_total(tagged, "status")}
 
 
 def free_policy_data(t: Tables, start_date=None, end_date=None, country_codes="all", skip=0,

@@ -498,3 +498,20 @@ def final_dedupe(src):
                      F.col("QuoteCreatedDate").desc(), F.col("QuoteNumber").asc()]
     ).select("QuoteNumber", "PolicyNumber", "FirstName", "LastName", "PetName", "QuoteCreatedDate",
              "OriginalPolicyStartDate")
+
+
+@register("bound_param_read", ("quote_wh",), ids="A6 D5 (named parameter markers)", oracle="""
+SELECT QuoteNumber, CreatedDate, Brand FROM quote_wh
+WHERE CreatedDate >= DATE '2001-01-15' AND CreatedDate < DATE '2001-06-21' AND upper(Brand) = 'BUILDING'
+""")
+def bound_param_read(src):
+    from ledgerlight.functions import periods as K2
+    from ledgerlight.sources.registry import read_bound
+    w = K2.parse_dates(*WW)
+    return read_bound(
+        src.spark,
+        "SELECT QuoteNumber, CreatedDate, Brand FROM {quote} "
+        "WHERE CreatedDate >= :start AND CreatedDate < :end_excl AND upper(Brand) = :brand",
+        {"start": w.start, "end_excl": w.end_exclusive, "brand": "BUILDING"},
+        quote=src["quote_wh"])
+

@@ -30,3 +30,28 @@ class SourceSpec:
 def fan_in(frames: list[DataFrame]) -> DataFrame:
     """Concat by column name; columns missing in a frame become NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+# A5: the six named connections -- five regional operational sources and the
+# reporting warehouse ("mis").
+SOURCE_NAMES = ["nz", "au", "uk", "at", "de", "mis"]
+
+
+def source_registry(options_by_name: dict[str, dict]) -> dict[str, SourceSpec]:
+    """Named sources from cluster configuration: ``{"nz": {"format": "jdbc",
+    "url": ..., ...}, ...}``.  Unknown names are refused."""
+    out = {}
+    for name, opts in options_by_name.items():
+        if name not in SOURCE_NAMES:
+            raise KeyError(f"unknown source {name!r}")
+        opts = dict(opts)
+        out[name] = SourceSpec(name, opts.pop("format", "parquet"), opts.pop("path", None), opts)
+    return out
+
+
+def read_bound(spark: SparkSession, sql: str, args: dict | None = None, **frames: DataFrame) -> DataFrame:
+    """A parameterised read.  Values are bound as named parameter markers
+    (``:start``), never formatted into the text; ``frames`` binds
+    ``{name}`` placeholders to DataFrames."""
+    return spark.sql(sql, args=args or {}, **frames)
+

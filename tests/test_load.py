@@ -134,3 +134,15 @@ def test_regional_sources_partition_the_fixture(spark):
             union = union.unionByName(p)
         assert union.count() == whole[table].count()
         assert union.select(key).distinct().count() == whole[table].select(key).distinct().count()
+
+
+def test_named_source_registry():
+    from ledgerlight.sources.registry import source_registry
+    reg = source_registry({"nz": {"path": "/root/testdata/sf0.001"},
+                           "mis": {"format": "parquet", "path": "/warehouse"}})
+    assert reg["nz"].format == "parquet" and reg["mis"].path == "/warehouse"
+    try:
+        source_registry({"xx": {}})
+        assert False, "unknown source accepted"
+    except KeyError:
+        pass
