@@ -325,10 +325,15 @@ dd AS (SELECT *, row_number() OVER (
           ORDER BY CASE WHEN PolicyNumber IS NOT NULL THEN OriginalPolicyStartDate END DESC NULLS LAST,
                    QuoteCreatedDate DESC NULLS LAST, QuoteNumber ASC NULLS FIRST) AS final_rn
        FROM fr)
-SELECT {CRM_OUT} FROM dd WHERE final_rn = 1
+SELECT {CRM_OUT.replace("PetBreedId", "CAST(PetBreedId AS VARCHAR) AS PetBreedId")} FROM dd WHERE final_rn = 1
 """)
 def fact_crm(src):
-    return facts.crm_fact(src, LO, HI, config.AS_OF, DOM)
+    # PetBreedId is a nullable INT; the check compares it as text so pandas
+    # dtypes (float with NaN vs nullable Int) cannot differ between engines.
+    # The library column stays INT.
+    from pyspark.sql import functions as F
+    return facts.crm_fact(src, LO, HI, config.AS_OF, DOM).withColumn(
+        "PetBreedId", F.col("PetBreedId").cast("string"))
 
 
 SCRIPT_PERSON = """coalesce(q.first_name, c.first_name) AS FirstName, coalesce(q.last_name, c.last_name) AS LastName,

@@ -383,7 +383,8 @@ def union_all_branches(src):
 
 
 @register("first_nonzero_join", ("quote_src", "breed_dim"), ids="C5 J6", oracle="""
-SELECT q.id, coalesce(nullif(q.breed_id1, 0), nullif(q.breed_id2, 0), nullif(q.breed_id3, 0)) AS breed_id,
+SELECT q.id, CAST(coalesce(nullif(q.breed_id1, 0), nullif(q.breed_id2, 0), nullif(q.breed_id3, 0))
+                 AS VARCHAR) AS breed_id,
        b.breed_name
 FROM quote_src q
 LEFT JOIN breed_dim b ON b.id = coalesce(nullif(q.breed_id1, 0), nullif(q.breed_id2, 0), nullif(q.breed_id3, 0))
@@ -392,7 +393,9 @@ def first_nonzero_join(src):
     key = C.first_nonzero("breed_id1", "breed_id2", "breed_id3")
     b = src["breed_dim"].select(F.col("id").alias("b_id"), "breed_name")
     q = src["quote_src"].withColumn("breed_id", key)
-    return q.join(b, F.col("b_id") == F.col("breed_id"), "left").select("id", "breed_id", "breed_name")
+    # breed_id is a nullable INT: compared as text (engine-neutral pandas dtype).
+    return q.join(b, F.col("b_id") == F.col("breed_id"), "left").select(
+        "id", F.col("breed_id").cast("string").alias("breed_id"), "breed_name")
 
 
 @register("product_class_join", ("quote_src", "pet_type_dim"), ids="C9 C10 J8 D11", oracle="""
