@@ -327,7 +327,19 @@ def clean_dates(src):
     return t.select("QuoteNumber", "raw", K.clean_date("raw").cast("timestamp_ntz").alias("cleaned"))
 
 
-@register("report_order", ("free_wh",), ids="H4 (rows only; order checked in pytest)")
+@register("report_order", ("free_wh",), ids="H4 (values checked here; order checked in pytest)", oracle="""
+WITH base AS (SELECT PolicyStatusName, PetType, SaleMethod FROM free_wh
+              WHERE CreatedDate >= DATE '2001-01-15' AND CreatedDate < DATE '2001-06-21'),
+g AS (SELECT 'status' AS level, PolicyStatusName AS name, count(*) AS value FROM base GROUP BY PolicyStatusName
+      UNION ALL
+      SELECT 'pet_type', PetType, count(*) FROM base GROUP BY PetType
+      UNION ALL
+      SELECT 'channel', SaleMethod, count(*) FROM base GROUP BY SaleMethod)
+SELECT level, name, CAST(value AS BIGINT) AS value,
+       CAST(100.0 * value / nullif(sum(value) OVER (PARTITION BY level), 0) AS DECIMAL(5,1)) AS PctOfTotal
+FROM g
+ORDER BY level, value DESC, name NULLS FIRST
+""")
 def report_order(src):
     from ledgerlight.plans import reports as R
     return R.free_policy_breakdown(src["free_wh"], *WW).orderBy(
