@@ -19,7 +19,28 @@ from ledgerlight import config
 from ledgerlight.functions import columns as C
 from ledgerlight.functions import filters as D
 from ledgerlight.functions import periods as K
-from ledgerlight.operators import breakdown, paging, reshape
+from ledgerlight.operators import breakdown, load, paging, reshape
+
+
+def _pruned(df: DataFrame, pred: Column, first, last, date_col: str) -> Column:
+    """On a table written by the loader (partitioned by ``created_month``,
+    derived from ``CreatedDate``) add the month range, so the scan prunes
+    partitions; Spark cannot derive it from the date predicate itself."""
+    if date_col == "CreatedDate" and load.MONTH_COL in df.columns:
+        month = F.col(load.MONTH_COL)
+        return pred & month.between(f"{first:%Y-%m}", f"{last:%Y-%m}")
+    return pred
+
+
+def _created_in(df: DataFrame, start, end, date_col: str = "CreatedDate") -> Column:
+    """D5 window on ``date_col`` (inclusive end), partition-pruned when possible."""
+    return _pruned(df, K.in_window(date_col, start, end), K.to_date(start), K.to_date(end), date_col)
+
+
+def _created_half_open(df: DataFrame, start, end_exclusive, date_col: str = "CreatedDate") -> Column:
+    """``start <= date_col < end_exclusive``, partition-pruned when possible."""
+    last = K.to_date(end_exclusive) - dt.timedelta(days=1)
+    return _pruned(df, K.in_half_open(date_col, start, end_exclusive), K.to_date(start), last, date_col)
 
 
 def _rounded_percent_text(num: Column, den: Column) -> Column:
@@ -54,7 +75,7 @@ def quote_kpis(quote: DataFrame, start, end, as_of: dt.date,
     in_prev = K.in_half_open("CreatedDate", prev.start, prev.end_exclusive)
     open_quote = C.not_converted("PolicyNumber")
     base = quote.where(D.conjunction([
-        K.in_half_open("CreatedDate", prev.start, cur.end_exclusive),
+        _created_half_open(quote, prev.start, cur.end_exclusive),
         D.report_filters(countries, brands, pets)]))
     kpi = base.agg(
         F.count_if(in_cur).alias("currentPeriodTotalQuotes"),
@@ -76,7 +97,7 @@ def monthly_series(spark: SparkSession, fact: DataFrame, date_col: str, count_co
     month, every month counts only the same day-of-month window (wrapping)."""
     s, e = K.to_date(start), K.to_date(end)
     oldest, upper = K.month_anchors(e, months)
-    preds = [K.in_half_open(date_col, oldest, upper), D.report_filters(countries, brands, pets)]
+    preds = [_created_half_open(fact, oldest, upper, date_col), D.report_filters(countries, brands, pets)]
     if K.same_calendar_month(s, e):
         preds.append(K.day_window_wrap(date_col, s.day, e.day))
     agg = (fact.where(D.conjunction(preds))
@@ -95,7 +116,7 @@ def monthly_series(spark: SparkSession, fact: DataFrame, date_col: str, count_co
 def count_by_pet_bucket(fact: DataFrame, count_col: str, start, end,
                         countries="all", brands="all", pets="all") -> DataFrame:
     """M11/M17 (F4, C14): ``(name, value)`` per report pet bucket."""
-    base = fact.where(D.conjunction([K.in_window("CreatedDate", start, end),
+    base = fact.where(D.conjunction([_created_in(fact, start, end),
                                      D.report_filters(countries, brands, pets)]))
     return (base.groupBy(C.report_pet_bucket("PetType").alias("name"))
                 .agg(F.count(count_col).alias("value")))
@@ -115,7 +136,7 @@ def conversion_same_period(quote: DataFrame, start, end, countries="all", brands
     """M13 first form (F2, D17): quotes created in the window and how many of
     them got a policy created in the same window."""
     w = K.parse_dates(start, end)
-    base = quote.where(D.conjunction([K.in_window("CreatedDate", start, end),
+    base = quote.where(D.conjunction([_created_in(quote, start, end),
                                       D.report_filters(countries, brands, pets)]))
     sold = (~C.not_converted("PolicyNumber")) & K.in_half_open("PolicyCreatedDate", w.start, w.end_exclusive)
     agg = base.agg(F.count("QuoteNumber").alias("total_quotes"),
@@ -139,7 +160,7 @@ def conversion_v2(spark: SparkSession, quote: DataFrame, sales: DataFrame, start
     """M13 production form (N22): sales of the last month of the 13-month
     sales series over quotes of the whole window."""
     e = K.to_date(end)
-    quotes = quote.where(D.conjunction([K.in_window("CreatedDate", start, end),
+    quotes = quote.where(D.conjunction([_created_in(quote, start, end),
                                         D.report_filters(countries, brands, pets)])
                          ).agg(F.count("QuoteNumber").alias("total_quotes"))
     series = monthly_series(spark, sales, "CreatedDate", "PolicyNumber", start, end,
@@ -163,7 +184,7 @@ def method_trend(spark: SparkSession, fact: DataFrame, method_col: str, count_co
     No matching row -> empty chart, not zeros."""
     s, e = K.to_date(start), K.to_date(end)
     used_start = K.lookback_start(s, e, months)
-    preds = [K.in_window("CreatedDate", used_start, e), D.report_filters(countries, brands, pets)]
+    preds = [_created_in(fact, used_start, e), D.report_filters(countries, brands, pets)]
     if clamp_always or K.same_calendar_month(s, e):
         preds.append(K.day_window_clamp("CreatedDate", s.day, e.day))
     agg = (fact.where(D.conjunction(preds))
@@ -192,7 +213,7 @@ def method_totals(fact: DataFrame, method_col: str, count_col: str, start, end,
     if K.same_calendar_month(s, e):
         preds.append(K.day_window_clamp("CreatedDate", s.day, e.day))
     in_period = K.in_window("CreatedDate", s, e)
-    rows = fact.where(D.conjunction([K.in_window("CreatedDate", min(used_start, s), e), flt]))
+    rows = fact.where(D.conjunction([_created_in(fact, min(used_start, s), e), flt]))
     trend_pred = D.conjunction(preds)
     return (rows.groupBy(C.normalised_method(method_col).alias("method"))
                 .agg(F.count(F.when(trend_pred, F.col(count_col))).cast("bigint").alias("total"),
@@ -207,7 +228,7 @@ def free_policy_breakdown(free: DataFrame, start, end, countries="all", brands="
                           pets="all") -> DataFrame:
     """M18 (F10, G9): status, pet type and channel breakdowns with shares
     from one scan."""
-    base = free.where(D.conjunction([K.in_window("CreatedDate", start, end),
+    base = free.where(D.conjunction([_created_in(free, start, end),
                                      D.report_filters(countries, brands, pets)]))
     return breakdown.breakdown_with_share(
         base, [("status", "PolicyStatusName"), ("pet_type", "PetType"), ("channel", "SaleMethod")])
@@ -323,7 +344,7 @@ def quote_rows(quote: DataFrame, start, end, as_of: dt.date, countries="all", br
     as the receive-method listing does.  A hidden ``_order_created`` column
     carries the sort key; ``listing_order`` uses it and the page drops it."""
     s, e = K.to_date(start), K.to_date(end)
-    preds = [K.in_window("CreatedDate", K.lookback_start(s, e, months), e),
+    preds = [_created_in(quote, K.lookback_start(s, e, months), e),
              D.report_filters(countries, brands, pets)]
     if clamp_days:
         preds.append(K.day_window_clamp("CreatedDate", s.day, e.day))
@@ -380,7 +401,7 @@ FREE_LISTING_COLUMNS = [
 def sales_listing(sales: DataFrame, start, end, countries="all", brands="all", pets="all",
                   skip: int = 0, limit: int = 100) -> DataFrame:
     """Sales page (duplicate output columns emitted once, N15)."""
-    base = sales.where(D.conjunction([K.in_window("CreatedDate", start, end),
+    base = sales.where(D.conjunction([_created_in(sales, start, end),
                                       D.report_filters(countries, brands, pets)]))
     rows = base.select(*SALES_LISTING_COLUMNS)
     return paging.page_with_total(rows, listing_order(rows), skip, limit, count_col="PolicyNumber")
@@ -389,7 +410,7 @@ def sales_listing(sales: DataFrame, start, end, countries="all", brands="all", p
 def free_listing(free: DataFrame, start, end, countries="all", brands="all", pets="all",
                  skip: int = 0, limit: int = 100) -> DataFrame:
     """Free-policy page with agent category labels."""
-    base = free.where(D.conjunction([K.in_window("CreatedDate", start, end),
+    base = free.where(D.conjunction([_created_in(free, start, end),
                                      D.report_filters(countries, brands, pets)]))
     rows = base.select(*[C.agent_category("AgentCategoryId").alias(c) if c == "AgentCategory"
                          else F.col(c) for c in FREE_LISTING_COLUMNS])
@@ -405,7 +426,7 @@ SALES_EXPORT_COLUMNS = [
 def sales_export_rows(sales: DataFrame, start, end, countries="all", brands="all",
                       pets="all") -> tuple[DataFrame, list[Column]]:
     """M20 CSV form (N15: the duplicated PetType is written once)."""
-    base = sales.where(D.conjunction([K.in_window("CreatedDate", start, end),
+    base = sales.where(D.conjunction([_created_in(sales, start, end),
                                       D.report_filters(countries, brands, pets)]))
     rows = base.select(*[F.col("CreatedDate").alias(c) if c == "PolicyCreatedDate" else F.col(c)
                          for c in SALES_EXPORT_COLUMNS])
@@ -422,7 +443,7 @@ FREE_EXPORT_COLUMNS = [
 def free_export_rows(free: DataFrame, start, end, countries="all", brands="all",
                      pets="all") -> tuple[DataFrame, list[Column]]:
     """M19 CSV form."""
-    base = free.where(D.conjunction([K.in_window("CreatedDate", start, end),
+    base = free.where(D.conjunction([_created_in(free, start, end),
                                      D.report_filters(countries, brands, pets)]))
     rows = base.select(*[C.agent_category("AgentCategoryId").alias(c) if c == "AgentCategory"
                          else F.col(c) for c in FREE_EXPORT_COLUMNS])
