@@ -42,6 +42,22 @@ class Tables:
     free_policy: DataFrame | None = None
     crm: DataFrame | None = None
 
+    @classmethod
+    def from_warehouse(cls, spark: SparkSession, root: str) -> "Tables":
+        """The loader-written tables under ``root`` (missing ones stay None).
+        Reports add the ``created_month`` range to their windows, so every
+        endpoint reads only the months it needs."""
+        from ledgerlight.operators import load
+        from ledgerlight.plans.warehouse import Warehouse
+        wh = Warehouse(spark, root)
+
+        def table(name: str) -> DataFrame | None:
+            path = wh.path(name)
+            return spark.read.parquet(path) if load.path_exists(spark, path) else None
+
+        return cls(spark, quote=table("Quote"), sales=table("Sales"),
+                   free_policy=table("FreePolicySales"), crm=table("CRM"))
+
 
 def _today(as_of) -> dt.date:
     return K.to_date(as_of) if as_of is not None else dt.date.today()

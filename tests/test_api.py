@@ -70,3 +70,18 @@ def test_summary_matches_registered_query(spark, tables):
     got = api.quote_summary(tables, "2001-06-05", "2001-06-20", country_codes="africa, Asia ,EUROPE",
                             pet_types="Cat,dog,bbc,unknown", as_of=AS_OF)["summary"].collect()
     assert got == want
+
+
+def test_endpoints_on_a_loaded_warehouse(spark):
+    """ETL the sales fact into a warehouse, then call an endpoint on it."""
+    from ledgerlight.plans.warehouse import Warehouse
+    from ledgerlight.sources.adapters import RegionalSources
+    root = tempfile.mkdtemp(prefix="ll-wh-")
+    regions = {code: RegionalSources(spark, SF001, key) for code, key in config.FIXTURE_REGION_KEYS.items()}
+    Warehouse(spark, root).load("sales", regions, *config.FULL_WINDOW, AS_OF)
+    t = api.Tables.from_warehouse(spark, root)
+    assert t.sales is not None and t.quote is None
+    out = api.sales_by_pet_type(t, "2001-01-01", "2001-06-30", country_codes="nz,au", as_of=AS_OF)
+    plan = out["summary"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_month" in plan
+    assert out["total"].collect()[0][0] == out["summary"].agg({"value": "sum"}).collect()[0][0]
