@@ -302,6 +302,14 @@ def etl_free_policies(spark: SparkSession, sources: Mapping, target: str, start_
     return etl.run_etl(spark, "free_policies", sources, s, e, _today(as_of), target, domain)
 
 
+def etl_crm(spark: SparkSession, sources: Mapping, target: str, start_date=None, end_date=None,
+            as_of=None, domain: config.Domain = config.FIXTURE_DOMAIN):
+    """The CRM loader (no endpoint runs it in the reference; the policy
+    reports read its table)."""
+    s, e = _etl_window(start_date, end_date, as_of)
+    return etl.run_etl(spark, "crm", sources, s, e, _today(as_of), target, domain)
+
+
 def etl_route(spark: SparkSession, sources: Mapping, targets: Mapping[str, str], start_date=None,
               end_date=None, as_of=None, domain: config.Domain = config.FIXTURE_DOMAIN):
     """Quote, sales and free policies in turn (as the reference does)."""

@@ -28,29 +28,44 @@ logger = logging.getLogger(__name__)
 
 Builder = Callable[..., DataFrame]
 
+def _crm_builder(src, start, end, domain: Domain, as_of=None) -> DataFrame:
+    """M7 as a loader: the CRM extraction's window is on the quote date with
+    an exclusive end, so the inclusive ETL window ends the next day."""
+    end_exclusive = K.to_date(end) + dt.timedelta(days=1)
+    return facts.crm_fact(src, start, end_exclusive, K.to_date(as_of), domain)
+
+
 # kind -> (builder for AU/NZ, builder for UK/DE/AT, target schema, table name)
 JOBS: dict[str, tuple[Builder, Builder, T.StructType, str]] = {
     "quote": (facts.quote_fact_a, facts.quote_fact_b, schemas.QUOTE, "Quote"),
     "sales": (facts.sales_fact_a, facts.sales_fact_b, schemas.SALES, "Sales"),
     "free_policies": (facts.free_fact_a, facts.free_fact_b, schemas.FREE_POLICY, "FreePolicySales"),
+    # One CRM query serves every region (no regional variant).
+    "crm": (_crm_builder, _crm_builder, schemas.CRM, "CRM"),
 }
+# The date column a job's window (and reload) is defined on.
+WINDOW_COLUMN = {"quote": "CreatedDate", "sales": "CreatedDate", "free_policies": "CreatedDate",
+                 "crm": "QuoteStartDate"}
 # Date columns cleaned per job.
 CLEAN_DATES = {
     "quote": ["CreatedDate", "QuoteStartDate", "QuoteExpiryDate", "PolicyStartDate",
               "PolicyEndDate", "PetBirthDate", "ETLDateUploaded"],
     "sales": ["CreatedDate", "ActualStartDate", "ETLDateUploaded", "QuoteCreatedDate"],
     "free_policies": ["CreatedDate", "ETLDateUploaded"],
+    "crm": ["QuoteCreatedDate", "QuoteStartDate", "ETLDateUploaded"],
 }
 # Regions whose brand is forced to the constant (A3).
 BRAND_OVERRIDE = ("at", "de")
 
 
 def extract(kind: str, src: Mapping[str, DataFrame], code: str, name: str, family: str,
-            start, end, domain: Domain) -> DataFrame:
+            start, end, domain: Domain, as_of=None) -> DataFrame:
     """A1/A3: one region's fact for the window, tagged with its country."""
     a, b, _, _ = JOBS[kind]
     builder = a if family == "au_nz" else b
-    df = builder(src, start, end, domain).withColumns(
+    fact = (builder(src, start, end, domain, as_of=as_of) if kind == "crm"
+            else builder(src, start, end, domain))
+    df = fact.withColumns(
         {"CountryCode": F.lit(code), "CountryName": F.lit(name)})
     if code.lower() in BRAND_OVERRIDE:
         df = df.withColumn("Brand", F.lit(domain.brand_constant))
@@ -83,7 +98,7 @@ def etl_frame(kind: str, sources: Mapping[str, Mapping[str, DataFrame]], start,
               domain: Domain = config.FIXTURE_DOMAIN,
               regions=config.REGIONS) -> DataFrame:
     """A2/I3 + transform + B3 conform: the frame a reload writes."""
-    parts = [extract(kind, sources[code], code, name, family, start, end, domain)
+    parts = [extract(kind, sources[code], code, name, family, start, end, domain, as_of)
              for code, name, family in regions]
     _, _, schema, _ = JOBS[kind]
     return load.conform(transform(fan_in(parts), kind, as_of), schema)
@@ -102,7 +117,7 @@ def run_etl(spark: SparkSession, kind: str, sources, start, end, as_of, target:
         for column, issue in load.column_mismatch(frame, existing):
             if column != load.MONTH_COL:
                 logger.warning("%s: column %s is %s in the target", table, column, issue)
-    return load.windowed_replace(spark, frame, target, start, end)
+    return load.windowed_replace(spark, frame, target, start, end, date_col=WINDOW_COLUMN[kind])
 
 
 def etl_route(spark: SparkSession, sources, start, end, as_of, targets: Mapping[str, str],

@@ -19,7 +19,7 @@ from ledgerlight.functions import periods as K
 from ledgerlight.operators import load
 from ledgerlight.plans import etl
 
-TABLES = {"quote": "Quote", "sales": "Sales", "free_policies": "FreePolicySales"}
+TABLES = {"quote": "Quote", "sales": "Sales", "free_policies": "FreePolicySales", "crm": "CRM"}
 
 
 class Warehouse:

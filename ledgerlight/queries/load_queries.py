@@ -34,7 +34,7 @@ def _etl_oracle(kind: str) -> str:
     brand-overridden for AT/DE, date-cleaned and conformed."""
     schema = etl.JOBS[kind][2]
     names = {"quote": ("fact_quote_a", "fact_quote_b"), "sales": ("fact_sales_a", "fact_sales_b"),
-             "free_policies": ("fact_free_a", "fact_free_b")}[kind]
+             "free_policies": ("fact_free_a", "fact_free_b"), "crm": ("fact_crm", "fact_crm")}[kind]
     fact_cols = [f.name for f in schema.fields
                  if f.name not in ("CountryCode", "CountryName", "ETLDateUploaded")]
     parts = []
@@ -58,10 +58,16 @@ def _etl_oracle(kind: str) -> str:
         n_max = schemas.max_length(f)
         if n_max:
             c = f"substring({c}, 1, {n_max})"
+        if n in TEXT_COMPARED:
+            c = f"CAST(CAST({c} AS INTEGER) AS VARCHAR)"
         out.append(f"{c} AS {n}")
     return f"SELECT {', '.join(out)}\nFROM ({' UNION ALL '.join(parts)}) u"
 
 
+# Nullable INT columns compared as text by the gate (engine-neutral pandas dtype).
+TEXT_COMPARED = {"PetBreedId"}
+
+
 def _free_etl_oracle() -> str:
     return _etl_oracle("free_policies")
 
@@ -82,6 +88,14 @@ def etl_sales_frame(src):
     return etl.etl_frame("sales", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF)
 
 
+@register("etl_crm_frame", (), ids="M7 M8 (CRM loader) A2 A3 I3 K11 B3", oracle_fn=lambda: _etl_oracle("crm"))
+def etl_crm_frame(src):
+    """The CRM loader's frame: the customer-360 fact per regional source,
+    tagged, cleaned and conformed (PetBreedId compared as text)."""
+    frame = etl.etl_frame("crm", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF)
+    return frame.withColumn("PetBreedId", F.col("PetBreedId").cast("string"))
+
+
 def _etl_reload_oracle() -> str:
     frame = _etl_oracle("sales")
     return f"""

@@ -40,7 +40,17 @@ FREE_POLICY = T.StructType([
     _s("PolicyStatusName", 50), *TAGS,
 ])
 
-WAREHOUSE = {"Quote": QUOTE, "Sales": SALES, "FreePolicySales": FREE_POLICY}
+CRM = T.StructType([
+    _s("Brand", 50), _s("Country", 100), _s("BusinessName", 100), _s("BusinessType", 100),
+    _s("CustomerStatus", 50), _s("FreePolicy", 3), _s("QuoteStatus", 10), _s("QuoteNumber", 50),
+    _s("PolicyNumber", 50), _s("QuoteReceivedMethod", 20), _ts("QuoteCreatedDate"),
+    _ts("QuoteStartDate"), _ts("QuoteEndDate"), _ts("OriginalPolicyStartDate"), _ts("PolicyEndDate"),
+    _s("FirstName", 100), _s("LastName", 100), _s("Email", 100), _s("ContactNo", 50),
+    _s("EmailConcent", 3), _s("PetName", 100), _s("PetType", 50), _ts("PetBirthDate"),
+    T.StructField("PetBreedId", T.IntegerType(), True), _s("BreedName", 100), *TAGS,
+])
+
+WAREHOUSE = {"Quote": QUOTE, "Sales": SALES, "FreePolicySales": FREE_POLICY, "CRM": CRM}
 
 
 def max_length(field: T.StructField) -> int | None:

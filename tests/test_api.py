@@ -85,3 +85,20 @@ def test_endpoints_on_a_loaded_warehouse(spark):
     plan = out["summary"]._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(created_month" in plan
     assert out["total"].collect()[0][0] == out["summary"].agg({"value": "sum"}).collect()[0][0]
+
+
+def test_crm_loader_feeds_the_policy_endpoints(spark):
+    from ledgerlight.plans.warehouse import Warehouse
+    from ledgerlight.sources.adapters import RegionalSources
+    root = tempfile.mkdtemp(prefix="ll-wh-crm-")
+    regions = {code: RegionalSources(spark, SF001, key) for code, key in config.FIXTURE_REGION_KEYS.items()}
+    res = api.etl_crm(spark, regions, f"{root}/CRM", "1994-01-01", "2002-12-31", as_of=AS_OF)
+    assert res.rows_loaded > 0 and res.rows_rejected == 0
+    t = api.Tables.from_warehouse(spark, root)
+    trend = api.policy_summary(t, "2001-01-15", "2001-06-20", regions="UK,NZ", historical_months=7,
+                               as_of=AS_OF)
+    page = api.policy_data(t, "2001-01-15", "2001-06-20", historical_months=7, as_of=AS_OF,
+                           extracted_at=dt.datetime(2001, 7, 10))
+    assert trend.count() > 0 and page.count() > 0
+    assert set(r.CountryCode for r in page.select("CountryCode").distinct().collect()) <= set(
+        config.FIXTURE_REGION_KEYS)
