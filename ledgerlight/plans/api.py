@@ -7,7 +7,8 @@ DataFrames -- a report with several parts returns a dict of them -- and the
 ``download=True`` forms write a CSV export (B10, B11) to ``out_dir`` (default:
 the shared work folder) and return its path.  Arguments the reference accepts
 and never uses (``reportType``, ``quoteStatus``) are accepted and ignored the
-same way.
+same way.  Lists come back in the reference's order (H4): pet buckets by
+name descending, charts by month, breakdown lists by value descending.
 
 ``Warehouse`` tables are passed as DataFrames so callers choose how they are
 read (a pruned ``plans.warehouse.Warehouse.read`` in production, the fixture
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 from typing import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlight import config
 from ledgerlight.functions import periods as K
@@ -89,7 +91,7 @@ def quote_summary(t: Tables, start_date=None, end_date=None, country_codes="all"
     s, e = _window(start_date, end_date, as_of)
     return {"summary": R.quote_kpis(t.quote, s, e, _today(as_of), country_codes, brands, pet_types),
             "graphData": R.monthly_series(t.spark, t.quote, "CreatedDate", "QuoteNumber", s, e,
-                                          country_codes, brands, pet_types)}
+                                          country_codes, brands, pet_types).orderBy("period")}
 
 
 def quote_data(t: Tables, start_date=None, end_date=None, country_codes="all", skip=0, limit=100,
@@ -109,7 +111,7 @@ def quote_summary_by_pet_type(t: Tables, start_date=None, end_date=None, country
     """Counts per pet bucket and their total."""
     s, e = _window(start_date, end_date, as_of)
     by = R.count_by_pet_bucket(t.quote, "QuoteNumber", s, e, country_codes, brands, pet_types)
-    return {"summary": by, "total": R.bucket_total(by)}
+    return {"summary": by.orderBy(F.col("name").desc()), "total": R.bucket_total(by)}
 
 
 def quote_data_by_pet_type(t: Tables, start_date=None, end_date=None, country_codes="all",
@@ -154,7 +156,7 @@ def quote_rmth_same_period_summary(t: Tables, start_date=None, end_date=None, co
     """M15 trend: chart and totals by receive method."""
     s, e = _window(start_date, end_date, as_of, months_back=6)
     return {"chart": R.method_trend(t.spark, t.quote, "QuoteReceivedMethod", "QuoteNumber", s, e,
-                                    historical_months, country_codes, brands, pet_types),
+                                    historical_months, country_codes, brands, pet_types).orderBy("period"),
             "totals": R.method_totals(t.quote, "QuoteReceivedMethod", "QuoteNumber", s, e,
                                       historical_months, country_codes, brands, pet_types)}
 
@@ -184,7 +186,7 @@ def sales_summary(t: Tables, start_date=None, end_date=None, country_codes="all"
     """The 13-month sales graph."""
     s, e = _window(start_date, end_date, as_of)
     return {"graphData": R.monthly_series(t.spark, t.sales, "CreatedDate", "PolicyNumber", s, e,
-                                          country_codes, brands, pet_types)}
+                                          country_codes, brands, pet_types).orderBy("period")}
 
 
 def sales_data(t: Tables, start_date=None, end_date=None, country_codes="all", skip=0, limit=100,
@@ -203,7 +205,7 @@ def sales_by_pet_type(t: Tables, start_date=None, end_date=None, country_codes="
     """M17."""
     s, e = _window(start_date, end_date, as_of)
     by = R.count_by_pet_bucket(t.sales, "PolicyNumber", s, e, country_codes, brands, pet_types)
-    return {"summary": by, "total": R.bucket_total(by)}
+    return {"summary": by.orderBy(F.col("name").desc()), "total": R.bucket_total(by)}
 
 
 def free_policy_sales(t: Tables, start_date=None, end_date=None, country_codes="all", brands="all",
@@ -213,9 +215,10 @@ def free_policy_sales(t: Tables, start_date=None, end_date=None, country_codes="
     (F12)."""
     s, e = _window(start_date, end_date, as_of)
     tagged = R.free_policy_breakdown(t.free_policy, s, e, country_codes, brands, pet_types)
-    return {"by_status": reshape.split_level(tagged, "status"),
-            "by_pet_type": reshape.split_level(tagged, "pet_type"),
-            "by_channel": reshape.split_level(tagged, "channel"),
+    by_value = [F.col("value").desc(), F.col("name").asc_nulls_first()]
+    return {"by_status": reshape.split_level(tagged, "status").orderBy(*by_value),
+            "by_pet_type": reshape.split_level(tagged, "pet_type").orderBy(*by_value),
+            "by_channel": reshape.split_level(tagged, "channel").orderBy(*by_value),
             "total": breakdown.grand_total(tagged, "status")}
 
 
@@ -236,7 +239,7 @@ def sales_rmth_same_period(t: Tables, start_date=None, end_date=None, country_co
     """Sale-method trend and totals."""
     s, e = _window(start_date, end_date, as_of, months_back=6)
     return {"chart": R.method_trend(t.spark, t.sales, "SaleMethod", "PolicyNumber", s, e,
-                                    historical_months, country_codes, brands, pet_types),
+                                    historical_months, country_codes, brands, pet_types).orderBy("period"),
             "totals": R.method_totals(t.sales, "SaleMethod", "PolicyNumber", s, e, historical_months,
                                       country_codes, brands, pet_types)}
 
@@ -252,7 +255,7 @@ def policy_summary(t: Tables, start_date=None, end_date=None, regions="all", pol
     """Monthly policy counts on a date basis."""
     s, e = _window(start_date, end_date, as_of, months_back=12)
     return R.policy_month_trend(t.crm, s, e, historical_months, date_basis, regions, policy_status,
-                                free_policy, brands, pet_types)
+                                free_policy, brands, pet_types).orderBy("period")
 
 
 def policy_data(t: Tables, start_date=None, end_date=None, regions="all", policy_status="all",

@@ -102,3 +102,15 @@ def test_crm_loader_feeds_the_policy_endpoints(spark):
     assert trend.count() > 0 and page.count() > 0
     assert set(r.CountryCode for r in page.select("CountryCode").distinct().collect()) <= set(
         config.FIXTURE_REGION_KEYS)
+
+
+def test_api_lists_come_back_in_reference_order(tables):
+    names = [r.name for r in api.quote_summary_by_pet_type(tables, "2001-01-15", "2001-06-20",
+                                                            as_of=AS_OF)["summary"].collect()]
+    assert names == sorted(names, reverse=True)
+    periods = [r.period for r in api.quote_summary(tables, "2001-06-05", "2001-06-20",
+                                                   as_of=AS_OF)["graphData"].collect()]
+    assert periods == sorted(periods) and len(periods) == 13
+    values = [r.value for r in api.free_policy_sales(tables, "2001-01-15", "2001-06-20",
+                                                     as_of=AS_OF)["by_status"].collect()]
+    assert values == sorted(values, reverse=True)
