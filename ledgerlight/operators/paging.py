@@ -10,6 +10,7 @@ through one partition (N24).
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,16 +19,58 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.filters import page_args
 
 
-def page(df: DataFrame, order: Sequence[Column], skip: int = 0, limit: int = 100) -> DataFrame:
+# Beyond this many rows (skip + limit) a page is cut from a range-partitioned
+# sort instead of per-task top-k lists.
+DEEP_PAGE_ROWS = 100_000
+_IDX_BITS = 33  # monotonically_increasing_id: partition id above bit 33
+
+
+def page(df: DataFrame, order: Sequence[Column], skip: int = 0, limit: int = 100,
+         deep_threshold: int = DEEP_PAGE_ROWS) -> DataFrame:
     """H1/H3: ``ORDER BY ... OFFSET skip FETCH NEXT limit``.  ``order`` must
-    end with a unique key so pages never overlap."""
+    end with a unique key so pages never overlap.
+
+    Shallow pages use Spark's top-k (``TakeOrderedAndProject``): every task
+    keeps its best ``skip + limit`` rows.  ``skip`` is unbounded, so deep
+    pages take ``deep_page`` instead, which never holds more than a sorted
+    partition per task."""
     skip, limit = page_args(skip, limit)
+    if skip + limit > deep_threshold:
+        return deep_page(df, order, skip, limit)
     out = df.orderBy(*order)
     if skip:
         out = out.offset(skip)
     return out.limit(limit)
 
 
+def deep_page(df: DataFrame, order: Sequence[Column], skip: int, limit: int) -> DataFrame:
+    """Exact deep page: range-partition and sort once, number the rows within
+    each partition, write that to the shared folder (both passes then see the
+    same rows and the lineage ends there), turn the per-partition counts --
+    one number per partition -- into global offsets, and keep the slice."""
+    from ledgerlight.session import shared_dir
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/_pages/{uuid.uuid4().hex}"
+    mid = F.monotonically_increasing_id()
+    numbered = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+                  .withColumn("_pid", F.shiftright(mid, _IDX_BITS))
+                  .withColumn("_idx", mid.bitwiseAND(F.lit((1 << _IDX_BITS) - 1))))
+    numbered.write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path)
+    counts = sorted((r["_pid"], r["n"]) for r in
+                    rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, running = {}, 0
+    for pid, n in counts:
+        offsets[pid] = running
+        running += n
+    if not offsets:
+        return rows.drop("_pid", "_idx")
+    start_of = F.create_map(*[x for pid, off in offsets.items() for x in (F.lit(pid), F.lit(off))])
+    pos = start_of[F.col("_pid")] + F.col("_idx")
+    return (rows.where((pos >= skip) & (pos < skip + limit))
+                .orderBy(pos).drop("_pid", "_idx"))
+
+
 def total(df: DataFrame, count_col: str | None = None, out_col: str = "TotalRecords") -> DataFrame:
     """``COUNT(col)`` (non-NULL) or ``COUNT(*)`` as a one-row frame."""
     expr = F.count(F.col(count_col)) if count_col else F.count(F.lit(1))
