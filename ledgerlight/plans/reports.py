@@ -1,11 +1,12 @@
 """Management reports over the warehouse tables.
 
-Each report is a function ``(warehouse DataFrame, arguments) -> DataFrame``
-(or a small dict of DataFrames for reports with several parts).  Arguments are
-folded into literals, so the date window reaches the parquet scan as
-``PushedFilters`` (and as partition filters on a month-partitioned table, see
-``ledgerlight.operators.load.read_window``).  Aggregates run as partial
-(map-side) + final hash aggregates; the only sorts are top-k pages.
+Each report part is a function ``(warehouse DataFrame, arguments) ->
+DataFrame``; ``plans.api`` assembles the parts of one endpoint.  Arguments
+are folded into literals, so the date window reaches the parquet scan as
+``PushedFilters``, and on a table written by the loader the window also
+carries the ``created_month`` range, so the scan prunes partitions.
+Aggregates run as partial (map-side) + final hash aggregates; the only sorts
+are pages (top-k, or a range-partitioned sort for deep pages) and exports.
 """
 
 from __future__ import annotations
