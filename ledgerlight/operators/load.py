@@ -152,13 +152,53 @@ class LoadResult:
     staging_path: str
 
 
+def _is_table(target: str) -> bool:
+    """A catalog table name (``db.table``) rather than a storage path."""
+    return "/" not in target and ":" not in target
+
+
+def _read_target(spark: SparkSession, target: str) -> DataFrame | None:
+    if _is_table(target):
+        return spark.table(target) if spark.catalog.tableExists(target) else None
+    return spark.read.parquet(target) if path_exists(spark, target) else None
+
+
+def _publish(spark: SparkSession, staging: str, target: str, emptied: list[str],
+             location: str | None) -> None:
+    """Replace the staged months in the target, drop the emptied ones."""
+    staged = spark.read.parquet(staging)
+    if _is_table(target):
+        if spark.catalog.tableExists(target):
+            cols = spark.table(target).columns  # insertInto is positional
+            (staged.select(*cols).write.option("partitionOverwriteMode", "dynamic")
+                   .insertInto(target, overwrite=True))
+            for m in emptied:
+                spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({MONTH_COL} = '{m}')")
+        else:
+            writer = staged.write.format("parquet").partitionBy(MONTH_COL)
+            if location:
+                writer = writer.option("path", location)
+            writer.saveAsTable(target)
+        return
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy(MONTH_COL).parquet(target))
+    for m in emptied:
+        _delete(spark, f"{target}/{MONTH_COL}={m}")
+
+
 def windowed_replace(spark: SparkSession, new_rows: DataFrame, target: str, start, end,
-                     date_col: str = "CreatedDate", work_dir: str | None = None) -> LoadResult:
+                     date_col: str = "CreatedDate", work_dir: str | None = None,
+                     location: str | None = None) -> LoadResult:
     """B1 (+B9, B12): replace every target row whose ``date(date_col)`` lies
-    in ``[start, end]`` by ``new_rows`` (all countries), atomically per month."""
+    in ``[start, end]`` by ``new_rows`` (all countries), atomically per month.
+
+    ``target`` is a storage path or a catalog table name; a table that does
+    not exist yet is created partitioned by month (at ``location`` if given)."""
     s, e = K.to_date(start), K.to_date(end)
     if e < s:
         raise ValueError("end_date before start_date")
+    if _is_table(target) and not re.match(r"^[A-Za-z0-9_$]{1,128}(\.[A-Za-z0-9_$]{1,128})?$", target):
+        raise ValueError(f"invalid table name {target!r}")
     work = (work_dir or shared_dir(spark)).rstrip("/")
     run = uuid.uuid4().hex
     staging, rejects = f"{work}/_staging/{run}", f"{work}/_rejects/{run}"
@@ -180,9 +220,9 @@ def windowed_replace(spark: SparkSession, new_rows: DataFrame, target: str, star
     # without a date, go to the rejects folder.
     staged_new = with_month(new_rows.where(accept), date_col)
     parts = [staged_new]
-    if path_exists(spark, target):
-        kept = (spark.read.parquet(target)
-                     .where(F.col(MONTH_COL).isin(months) & ~F.coalesce(in_win, F.lit(False))))
+    existing = _read_target(spark, target)
+    if existing is not None:
+        kept = existing.where(F.col(MONTH_COL).isin(months) & ~F.coalesce(in_win, F.lit(False)))
         parts.insert(0, kept.select(*staged_new.columns))
     staged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     # REBALANCE by month: AQE packs each month into files of the advisory
@@ -198,12 +238,19 @@ def windowed_replace(spark: SparkSession, new_rows: DataFrame, target: str, star
                          spark.read.parquet(staging).select(MONTH_COL).distinct().collect())
     except AnalysisException:  # nothing staged: every touched month becomes empty
         present = []
-    if present:
-        (spark.read.parquet(staging).write.mode("overwrite")
-              .option("partitionOverwriteMode", "dynamic")
-              .partitionBy(MONTH_COL).parquet(target))
     emptied = [m for m in months if m not in present]
-    for m in emptied:
-        _delete(spark, f"{target}/{MONTH_COL}={m}")
+    if present:
+        _publish(spark, staging, target, emptied, location)
+    elif existing is not None:
+        _publish_empty(spark, target, emptied)
     return LoadResult(int(metrics.get("loaded", 0)), int(metrics.get("rejected", 0)),
                       [m for m in months if m in present], emptied, staging)
+
+
+def _publish_empty(spark: SparkSession, target: str, emptied: list[str]) -> None:
+    """Nothing staged: only drop the touched months."""
+    for m in emptied:
+        if _is_table(target):
+            spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({MONTH_COL} = '{m}')")
+        else:
+            _delete(spark, f"{target}/{MONTH_COL}={m}")

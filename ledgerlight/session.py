@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "ledgerlight") -> SparkSession:
+                  app: str = "ledgerlight", extra: dict | None = None) -> SparkSession:
     """A local session configured like the cluster one (AQE, skew handling,
     UTC), with the UI off."""
     builder = (
@@ -24,6 +24,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.driver.memory", os.environ.get("LEDGERLIGHT_DRIVER_MEMORY", "8g"))
     )
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     log_dir = os.environ.get("LEDGERLIGHT_EVENT_LOG_DIR")
     if log_dir:
         # Stage and task times for offline analysis (no UI, no server).

@@ -12,5 +12,7 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from ledgerlight.session import local_session
-    s = local_session("*", shuffle_partitions=8, app="ledgerlight-tests")
+    import tempfile
+    s = local_session("*", shuffle_partitions=8, app="ledgerlight-tests",
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="ll-warehouse-")})
     yield s

@@ -146,3 +146,19 @@ def test_named_source_registry():
         assert False, "unknown source accepted"
     except KeyError:
         pass
+
+
+def test_windowed_replace_into_a_catalog_table(spark):
+    work = tempfile.mkdtemp(prefix="ll-table-")
+    table = "ll_test_sales_" + os.path.basename(work).replace("-", "_").lower()
+    d = dt.datetime
+    first = _rows(spark, [("a", d(2024, 1, 10), 1), ("b", d(2024, 2, 5), 1), ("c", d(2024, 3, 1), 1)])
+    load.windowed_replace(spark, first, table, "2024-01-01", "2024-03-31", work_dir=work,
+                          location=os.path.join(work, "T"))
+    new = _rows(spark, [("c", d(2024, 3, 1), 2)])
+    r = load.windowed_replace(spark, new, table, "2024-02-01", "2024-03-31", work_dir=work)
+    assert r.months_emptied == ["2024-02"]
+    assert sorted((x.k, x.v) for x in spark.table(table).collect()) == [("a", 1), ("c", 2)]
+    parts = [x[0] for x in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    assert "created_month=2024-02" not in parts
+    spark.sql(f"DROP TABLE {table}")
