@@ -4,7 +4,7 @@ import calendar
 import datetime as dt
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import given
 from hypothesis import strategies as st
 
 from ledgerlight.functions import periods as K
