@@ -1,4 +1,6 @@
-"""Reshape operators (L1-L4) and calendar alignment.
+"""Reshape operators (L1, L2, L4) and calendar alignment.
+
+Keyed totals (L3/F11) come out of ``reports.method_totals`` directly.
 
 All inputs here are aggregates (one row per month x method at most), so the
 pivot and calendar join move a few hundred rows; the heavy lifting happened in
@@ -32,11 +34,6 @@ def align_to_calendar(calendar: DataFrame, agg: DataFrame, on: str,
         for c in other])
 
 
-def totals_by_key(df: DataFrame, key: str, value_col: str, out_col: str = "total") -> DataFrame:
-    """Keyed totals."""
-    return df.groupBy(key).agg(F.sum(value_col).cast("bigint").alias(out_col))
-
-
 def split_level(df: DataFrame, level: str, level_col: str = "level") -> DataFrame:
     """L4: one part of a tagged union."""
     return df.where(F.col(level_col) == level).drop(level_col)

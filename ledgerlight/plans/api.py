@@ -316,5 +316,7 @@ def etl_crm(spark: SparkSession, sources: Mapping, target: str, start_date=None,
 def etl_route(spark: SparkSession, sources: Mapping, targets: Mapping[str, str], start_date=None,
               end_date=None, as_of=None, domain: config.Domain = config.FIXTURE_DOMAIN):
     """Quote, sales and free policies in turn (as the reference does)."""
-    s, e = _etl_window(start_date, end_date, as_of)
-    return etl.etl_route(spark, sources, s, e, _today(as_of), targets, domain)
+    args = dict(start_date=start_date, end_date=end_date, as_of=as_of, domain=domain)
+    return {"quote": etl_quote(spark, sources, targets["quote"], **args),
+            "sales": etl_sales(spark, sources, targets["sales"], **args),
+            "free_policies": etl_free_policies(spark, sources, targets["free_policies"], **args)}

@@ -118,10 +118,3 @@ def run_etl(spark: SparkSession, kind: str, sources, start, end, as_of, target:
             if column != load.MONTH_COL:
                 logger.warning("%s: column %s is %s in the target", table, column, issue)
     return load.windowed_replace(spark, frame, target, start, end, date_col=WINDOW_COLUMN[kind])
-
-
-def etl_route(spark: SparkSession, sources, start, end, as_of, targets: Mapping[str, str],
-              domain: Domain = config.FIXTURE_DOMAIN) -> dict[str, load.LoadResult]:
-    """M8 ``etl_route``: quote, sales and free policies in turn."""
-    return {kind: run_etl(spark, kind, sources, start, end, as_of, targets[kind], domain)
-            for kind in ("quote", "sales", "free_policies")}

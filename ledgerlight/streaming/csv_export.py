@@ -9,8 +9,6 @@ field for NULL, doubled quotes, ``yyyy-MM-dd HH:mm:ss`` timestamps.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +67,3 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.BooleanType) else f.dataType)
         for f in schema.fields if not f.name.startswith("_")])
     return spark.read.options(**CSV_OPTIONS).schema(read_schema).csv(path)
-
-
-def today_stamp(as_of: dt.date) -> str:
-    return as_of.strftime("%Y-%m-%d")

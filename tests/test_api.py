@@ -114,3 +114,26 @@ def test_api_lists_come_back_in_reference_order(tables):
     values = [r.value for r in api.free_policy_sales(tables, "2001-01-15", "2001-06-20",
                                                      as_of=AS_OF)["by_status"].collect()]
     assert values == sorted(values, reverse=True)
+
+
+def test_etl_route_loads_three_facts(spark):
+    from ledgerlight.sources.adapters import RegionalSources
+    root = tempfile.mkdtemp(prefix="ll-route-")
+    regions = {code: RegionalSources(spark, SF001, key) for code, key in config.FIXTURE_REGION_KEYS.items()}
+    targets = {k: f"{root}/{t}" for k, t in (("quote", "Quote"), ("sales", "Sales"),
+                                             ("free_policies", "FreePolicySales"))}
+    res = api.etl_route(spark, regions, targets, "1994-01-01", "2002-12-31", as_of=AS_OF)
+    assert set(res) == {"quote", "sales", "free_policies"}
+    t = api.Tables.from_warehouse(spark, root)
+    for kind, df in (("quote", t.quote), ("sales", t.sales), ("free_policies", t.free_policy)):
+        assert df.count() == res[kind].rows_loaded > 0
+
+
+def test_cluster_settings_fill_only_unset_keys(spark):
+    from ledgerlight.session import CLUSTER_SETTINGS, apply_cluster_settings
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "64m")
+    apply_cluster_settings(spark)
+    assert spark.conf.get(key) == "64m"
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") in (
+        CLUSTER_SETTINGS["spark.sql.files.maxPartitionBytes"], "134217728b", "128m")
