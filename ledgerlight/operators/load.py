@@ -158,9 +158,16 @@ def _is_table(target: str) -> bool:
 
 
 def _read_target(spark: SparkSession, target: str) -> DataFrame | None:
+    """The current target rows; None when it does not exist or holds no
+    data file (every month emptied by an earlier reload)."""
     if _is_table(target):
         return spark.table(target) if spark.catalog.tableExists(target) else None
-    return spark.read.parquet(target) if path_exists(spark, target) else None
+    if not path_exists(spark, target):
+        return None
+    try:
+        return spark.read.parquet(target)
+    except AnalysisException:
+        return None
 
 
 def _publish(spark: SparkSession, staging: str, target: str, emptied: list[str],
