@@ -157,7 +157,7 @@ def _is_table(target: str) -> bool:
     return "/" not in target and ":" not in target
 
 
-def _read_target(spark: SparkSession, target: str) -> DataFrame | None:
+def read_target(spark: SparkSession, target: str) -> DataFrame | None:
     """The current target rows; None when it does not exist or holds no
     data file (every month emptied by an earlier reload)."""
     if _is_table(target):
@@ -227,7 +227,7 @@ def windowed_replace(spark: SparkSession, new_rows: DataFrame, target: str, star
     # without a date, go to the rejects folder.
     staged_new = with_month(new_rows.where(accept), date_col)
     parts = [staged_new]
-    existing = _read_target(spark, target)
+    existing = read_target(spark, target)
     if existing is not None:
         kept = existing.where(F.col(MONTH_COL).isin(months) & ~F.coalesce(in_win, F.lit(False)))
         parts.insert(0, kept.select(*staged_new.columns))

@@ -54,8 +54,7 @@ class Tables:
         wh = Warehouse(spark, root)
 
         def table(name: str) -> DataFrame | None:
-            path = wh.path(name)
-            return spark.read.parquet(path) if load.path_exists(spark, path) else None
+            return load.read_target(spark, wh.path(name))
 
         return cls(spark, quote=table("Quote"), sales=table("Sales"),
                    free_policy=table("FreePolicySales"), crm=table("CRM"))
