@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -43,17 +45,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shift_right(col: Column, by: int) -> Column:
-    return F.shiftrightunsigned(col, by)
-
-
-def batched(rows, size: int):
-    """Lists of at most ``size`` items of an iterable."""
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield held
-            held = []
-    if held:
-        yield held
+_SHIPPED: set[str] = set()
+
+
+def with_code(df: DataFrame) -> DataFrame:
+    """``df``, after making this package importable in the session's Python
+    workers (once a session; Spark itself hands the archive to executors)."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        # The context's own scratch folder: the driver serves the file from there.
+        archive = os.path.join(sc._temp_dir, f"ledgerlight-{uuid.uuid4().hex}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for place, _, names in os.walk(root):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(place, name)
+                        out.write(full, os.path.join("ledgerlight", os.path.relpath(full, root)))
+        sc.addPyFile(archive)
+        _SHIPPED.add(sc.applicationId)
+    return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import hilbert, winnowing
+from ledgerlight.llm import decision_list, empirical_bayes, hilbert, packing, winnowing
 from ledgerlight.llm.common import table
 
 
@@ -13,6 +13,22 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_edits(table(spark, sf_dir, "documents"), k=4, w=8)
 
 
+def op4_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the hosts, languages within a source the paths."""
+    return empirical_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                    host=F.col("source"), path=F.col("lang"))
+
+
+def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), window=1024)
+
+
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = decision_list.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "kept", "rule")
+
+
 def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of equal row counts along a curve through size, source and language."""
     docs = table(spark, sf_dir, "documents")
@@ -24,6 +40,9 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_winnowing": op2_winnowing,
+    "op4_empirical_bayes": op4_empirical_bayes,
+    "op8_nnls_packing": op8_nnls_packing,
+    "op9_decision_list": op9_decision_list,
     "op10_hilbert": op10_hilbert,
 }
 ORACLES: dict[str, str] = {}
