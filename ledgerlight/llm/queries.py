@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import decision_list, empirical_bayes, hilbert, packing, winnowing
-from ledgerlight.llm.common import table
+from ledgerlight.llm import decision_list, empirical_bayes, hilbert, packing, signature_join, toxicity, winnowing
+from ledgerlight.llm.common import id_crc, table
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,17 @@ def op4_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     host=F.col("source"), path=F.col("lang"))
 
 
+def op6_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, usable=id_crc() % 5 != 0)
+    return (toxicity.score(docs, model, ["doc_id"]).withColumn("held_out", id_crc() % 5 == 0)
+            .select("doc_id", "held_out", "score", "predicted"))
+
+
+def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.similar_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), window=1024)
 
@@ -41,6 +52,8 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_winnowing": op2_winnowing,
     "op4_empirical_bayes": op4_empirical_bayes,
+    "op6_levenshtein_toxicity": op6_levenshtein_toxicity,
+    "op7_signature_trees": op7_signature_trees,
     "op8_nnls_packing": op8_nnls_packing,
     "op9_decision_list": op9_decision_list,
     "op10_hilbert": op10_hilbert,
