@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import decision_list, empirical_bayes, hilbert, packing, signature_join, toxicity, winnowing
+from ledgerlight.llm import decision_list, empirical_bayes, hilbert, packing, signature_join, suffix_dedup, toxicity, winnowing
 from ledgerlight.llm.common import id_crc, table
 
 
@@ -19,6 +19,12 @@ def op4_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     host=F.col("source"), path=F.col("lang"))
 
 
+def op5_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                          F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, usable=id_crc() % 5 != 0)
@@ -52,6 +58,7 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_winnowing": op2_winnowing,
     "op4_empirical_bayes": op4_empirical_bayes,
+    "op5_induced_suffixes": op5_induced_suffixes,
     "op6_levenshtein_toxicity": op6_levenshtein_toxicity,
     "op7_signature_trees": op7_signature_trees,
     "op8_nnls_packing": op8_nnls_packing,
