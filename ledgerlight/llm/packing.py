@@ -175,11 +175,12 @@ def segments(packed: list[tuple[tuple[int, ...], int]], first_sequence: int) ->
     return out
 
 
-def rank_among(df: DataFrame, key: str, order: list[str], rows: int, rows_per_group: int = 50_000) -> DataFrame:
-    """Add ``_rank`` from 0 among equal ``key``.  A frequent key is spread over
-    groups by a hash of the order columns; group sizes are summed up first."""
-    spread = max(1, rows // rows_per_group)
-    df = df.withColumn("_g", F.pmod(F.xxhash64(*order), F.lit(spread)))
+def rank_among(df: DataFrame, key: str, order: list[str], counts: dict[int, int], rows_per_group: int = 5_000) -> DataFrame:
+    """Add ``_rank`` from 0 among equal ``key`` (small whole numbers, with their
+    counts).  A frequent key is spread over as many groups as it needs, by a
+    hash of the order columns; group sizes are summed up first."""
+    spread = F.array(*[F.lit(-(-counts.get(k, 0) // rows_per_group) or 1) for k in range(max(counts, default=0) + 1)])
+    df = df.withColumn("_g", F.pmod(F.xxhash64(*order), F.get(spread, F.col(key)).cast("long")))
     sizes = df.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(key).orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(key, "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -199,14 +200,14 @@ def pack(docs: DataFrame, window: int = 1024, tokenizer: str = "byte_bpe_50k.jso
     spark = docs.sparkSession
     cutup = cut(pieces(docs, window, tokenizer, ranks, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in cutup.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    full = counts.pop(window, 0)
+    full = counts.get(window, 0)
     histogram = np.zeros(window + 1, np.int64)
     for length, n in counts.items():
-        histogram[length] = n
+        histogram[length] = n if length < window else 0
     slots = segments([((window,), full)] if full else [], 0) + segments(plan(histogram, window), full)
     where = spark.createDataFrame(slots, T.StructType([
         T.StructField(c, T.LongType()) for c in ("_len", "_from", "_to", "_seq", "offset")]))
-    ranked = rank_among(cutup, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], full + int(histogram.sum()))
+    ranked = rank_among(cutup, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], counts)
     hit = (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     return ranked.join(F.broadcast(where), hit).select(
         "doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens",

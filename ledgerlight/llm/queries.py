@@ -5,14 +5,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import decision_list, empirical_bayes, hilbert, packing, signature_join, suffix_dedup, toxicity, winnowing
+from ledgerlight.llm import decision_list, empirical_bayes, hilbert, mixing, packing, signature_join, suffix_dedup, suffix_tree_lm, toxicity, winnowing
 from ledgerlight.llm.common import id_crc, table
 
 
+def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document at least once, no source more than twice, in blocks of 2**18 words."""
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), block_tokens=1 << 18, max_repeats=2.0)
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_edits(table(spark, sf_dir, "documents"), k=4, w=8)
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = suffix_tree_lm.score_texts(
+        table(spark, sf_dir, "documents"), "crc32(coalesce(cast(doc_id as string), '')) % 7 <> 2")
+    return scored.select("doc_id", (~F.col("in_training")).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op4_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources are the hosts, languages within a source the paths."""
     return empirical_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
@@ -56,7 +68,9 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_temperature_mixing": op1_temperature_mixing,
     "op2_winnowing": op2_winnowing,
+    "op3_suffix_tree": op3_suffix_tree,
     "op4_empirical_bayes": op4_empirical_bayes,
     "op5_induced_suffixes": op5_induced_suffixes,
     "op6_levenshtein_toxicity": op6_levenshtein_toxicity,

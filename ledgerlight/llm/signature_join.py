@@ -321,3 +321,14 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
     nullable = lambda c: F.when(c == lowest, F.lit(None)).otherwise(c)
     return out.select(nullable(F.col("_id")).alias(id_col), F.col("n").alias("n_shingles"),
                       nullable(F.coalesce("root", "_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """``docs``, with all columns, cut down to the smallest id of every group of
+    near copies; of rows with one id (which count as one document) one stays."""
+    firsts = (similar_groups(docs, width, percent, id_col, text_col)
+              .filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct())
+    kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts["_first"]), "left_semi")
+    ids = docs.select(id_col)
+    return kept if ids.distinct().count() == ids.count() else kept.dropDuplicates([id_col])

@@ -363,16 +363,18 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text",
-                   whole_chars: bool = False) -> DataFrame:
-    """``<id_col>, n_bytes, n_removed, spans, kept`` of every document.
+                   whole_chars: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (default: the id), ``n_bytes, n_removed, spans, kept`` of every document.
 
     ``spans`` are the removed byte runs [start, end) of the UTF-8 text, in
     order, and ``kept`` the other bytes.  ``whole_chars`` narrows each run to
     whole characters.  Null text is empty; texts shorter than ``length`` keep
     all; null ids come first; rows with equal ids are ordered by a hash of the
     text, and of equal rows all but one are later copies; an empty table gives
-    no rows; other columns of ``docs`` are not read."""
-    base = with_code(docs).select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text"))
+    no rows; columns of ``docs`` outside ``keep`` are not read."""
+    keep = keep or [id_col]
+    base = with_code(docs).select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text"),
+                                  F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("_keep"))
     tally = base.agg(F.count(F.lit(1)).alias("n"), F.count("_id").alias("ids")).first()
     distinct = base.select("_id").distinct().count()
     if tally["n"] == tally["ids"] == distinct:
@@ -381,12 +383,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         rows = cut(base.orderBy(F.asc_nulls_first("_id"), F.xxhash64("_text")).withColumn("rid", F.monotonically_increasing_id()), "rows")
     spans = cut(repeated_spans(rows.select("rid", "_text"), length), "spans")
     lists = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("x"))
-    out = "_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
+    out = f"_keep {base.schema['_keep'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
 
     def run(batches):
         for batch in batches:
             found = []
-            for doc_id, data, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for data, x in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
                 kept, runs = data, []
                 if x:
                     s, e = (np.array([p[c] for p in x], np.int64) for c in ("s", "e"))
@@ -396,19 +398,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                         runs = [(a, b) for a, b in (narrowed(data, a, b) for a, b in runs) if a < b]
                     ends = [0] + [b for _, b in runs]
                     kept = b"".join(data[a:b] for a, b in zip(ends, [a for a, _ in runs] + [len(data)]))
-                found.append((doc_id, len(data), len(data) - len(kept), [{"start": a, "end": b} for a, b in runs], kept))
+                found.append((len(data), len(data) - len(kept), [{"start": a, "end": b} for a, b in runs], kept))
             if found:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)],
-                                                 names=["_id", "n_bytes", "n_removed", "spans", "kept"])
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, k) for c, k in zip(zip(*found), kinds)],
+                                                 names=["_keep", "n_bytes", "n_removed", "spans", "kept"])
 
     bytes_of = F.encode("_text", "UTF-8").alias("b")
-    touched = reach(rows, spans, "rid", True).join(lists, "rid", "left").select("_id", bytes_of, "x").mapInArrow(run, out)
+    touched = reach(rows, spans, "rid", True).join(lists, "rid", "left").select("_keep", bytes_of, "x").mapInArrow(run, out)
     nothing = F.array().cast("array<struct<start: long, end: long>>")
     intact = reach(rows, spans, "rid", False).select(
-        "_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+        "_keep", F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         nothing.alias("spans"), F.encode("_text", "UTF-8").alias("kept"))
-    return touched.unionByName(intact).withColumnRenamed("_id", id_col)
+    return touched.unionByName(intact).select(
+        *[F.col(f"_keep.c{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_removed", "spans", "kept")
 
 
 def narrowed(data: bytes, start: int, end: int) -> tuple[int, int]:

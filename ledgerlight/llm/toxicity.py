@@ -345,3 +345,10 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     empty table gives no rows."""
     out = scored(docs, model.terms, keep, text_col).withColumn("score", model.score())
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not predicted toxic."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    wide = scored(docs.toDF(*names), model.terms, names, names[docs.columns.index(text_col)])
+    return wide.filter(model.score() < 0.5).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
