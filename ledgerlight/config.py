@@ -95,6 +95,7 @@ QUOTE_EMAIL_PATTERNS = ["%petcovergroup%", "%prowerse%"]
 CRM_PATTERNS = ["%Test%"]
 CRM_EMAIL_PATTERNS = ["%Test%", "%prowerse%"]
 FREE_NUMBER_PATTERNS = ["%TEST%"]
+FREE_PET_PATTERNS = ["%TEST%"]
 FREE_AGENT_PATTERNS_AU_NZ = ["%TEST%", "%PROWSE%", "%prowerse%", "%prower%"]
 FREE_AGENT_PATTERNS_UK = ["%TEST%", "%PROW%"]
 INTRODUCTORY_PATTERN = "%INTRODUCTORY%"
@@ -144,12 +145,15 @@ class Domain:
     branch_b_pet_type: int
     # BB quotes whose hear-about name is in this list are dropped.
     excluded_hear_about: list[str]
+    # The question whose answers name a BB quote's activities.
+    activity_question: int
     # Test-row exclusion patterns.
     quote_name_patterns: list[str] = field(default_factory=lambda: list(QUOTE_NAME_PATTERNS))
     quote_email_patterns: list[str] = field(default_factory=lambda: list(QUOTE_EMAIL_PATTERNS))
     crm_patterns: list[str] = field(default_factory=lambda: list(CRM_PATTERNS))
     crm_email_patterns: list[str] = field(default_factory=lambda: list(CRM_EMAIL_PATTERNS))
     free_number_patterns: list[str] = field(default_factory=lambda: list(FREE_NUMBER_PATTERNS))
+    free_pet_patterns: list[str] = field(default_factory=lambda: list(FREE_PET_PATTERNS))
     free_agent_patterns_a: list[str] = field(default_factory=lambda: list(FREE_AGENT_PATTERNS_AU_NZ))
     free_agent_patterns_b: list[str] = field(default_factory=lambda: list(FREE_AGENT_PATTERNS_UK))
     introductory_pattern: str = INTRODUCTORY_PATTERN
@@ -183,6 +187,7 @@ PET_DOMAIN = Domain(
     branch_b_products=list(range(2031, 2048)),
     branch_b_pet_type=3,
     excluded_hear_about=list(EXCLUDED_HEAR_ABOUT),
+    activity_question=33024,
 )
 
 # The same rules on the synthetic fixtures (product ids are ``o_orderkey % 200``,
@@ -198,6 +203,8 @@ FIXTURE_DOMAIN = Domain(
     branch_b_products=list(range(100, 120)),
     branch_b_pet_type=3,
     excluded_hear_about=["ASIA", "EUROPE"],
+    activity_question=502,
+    free_number_patterns=["%TEST%", "%7-3"],
     active_status_names=["AFRICA", "AMERICA"],
     quote_email_patterns=["%staff.example%", "%excluded%"],
     crm_email_patterns=["%Test%", "%excluded%"],

@@ -287,25 +287,25 @@ def _etl_window(start_date, end_date, as_of) -> tuple[dt.date, dt.date]:
 
 
 def etl_quote(spark: SparkSession, sources: Mapping, target: str, start_date=None, end_date=None,
-              as_of=None, domain: config.Domain = config.FIXTURE_DOMAIN):
+              as_of=None, *, domain: config.Domain):
     s, e = _etl_window(start_date, end_date, as_of)
     return etl.run_etl(spark, "quote", sources, s, e, _today(as_of), target, domain)
 
 
 def etl_sales(spark: SparkSession, sources: Mapping, target: str, start_date=None, end_date=None,
-              as_of=None, domain: config.Domain = config.FIXTURE_DOMAIN):
+              as_of=None, *, domain: config.Domain):
     s, e = _etl_window(start_date, end_date, as_of)
     return etl.run_etl(spark, "sales", sources, s, e, _today(as_of), target, domain)
 
 
 def etl_free_policies(spark: SparkSession, sources: Mapping, target: str, start_date=None,
-                      end_date=None, as_of=None, domain: config.Domain = config.FIXTURE_DOMAIN):
+                      end_date=None, as_of=None, *, domain: config.Domain):
     s, e = _etl_window(start_date, end_date, as_of)
     return etl.run_etl(spark, "free_policies", sources, s, e, _today(as_of), target, domain)
 
 
 def etl_crm(spark: SparkSession, sources: Mapping, target: str, start_date=None, end_date=None,
-            as_of=None, domain: config.Domain = config.FIXTURE_DOMAIN):
+            as_of=None, *, domain: config.Domain):
     """The CRM loader (no endpoint runs it in the reference; the policy
     reports read its table)."""
     s, e = _etl_window(start_date, end_date, as_of)
@@ -313,7 +313,7 @@ def etl_crm(spark: SparkSession, sources: Mapping, target: str, start_date=None,
 
 
 def etl_route(spark: SparkSession, sources: Mapping, targets: Mapping[str, str], start_date=None,
-              end_date=None, as_of=None, domain: config.Domain = config.FIXTURE_DOMAIN):
+              end_date=None, as_of=None, *, domain: config.Domain):
     """Quote, sales and free policies in turn (as the reference does)."""
     args = dict(start_date=start_date, end_date=end_date, as_of=as_of, domain=domain)
     return {"quote": etl_quote(spark, sources, targets["quote"], **args),

@@ -95,7 +95,7 @@ def transform(df: DataFrame, kind: str, as_of: dt.date) -> DataFrame:
 
 
 def etl_frame(kind: str, sources: Mapping[str, Mapping[str, DataFrame]], start, end, as_of,
-              domain: Domain = config.FIXTURE_DOMAIN,
+              domain: Domain,
               regions=config.REGIONS) -> DataFrame:
     """A2/I3 + transform + B3 conform: the frame a reload writes."""
     parts = [extract(kind, sources[code], code, name, family, start, end, domain, as_of)
@@ -105,7 +105,7 @@ def etl_frame(kind: str, sources: Mapping[str, Mapping[str, DataFrame]], start,
 
 
 def run_etl(spark: SparkSession, kind: str, sources, start, end, as_of, target: str,
-            domain: Domain = config.FIXTURE_DOMAIN) -> load.LoadResult:
+            domain: Domain) -> load.LoadResult:
     """M8: build and reload one fact for ``[start, end]``."""
     table = JOBS[kind][3]
     if not load.valid_table_name(table):

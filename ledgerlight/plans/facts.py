@@ -102,7 +102,7 @@ def _finish_quote(df: DataFrame) -> DataFrame:
     return df.select(*QUOTE_FACT_COLUMNS)
 
 
-def quote_fact_a(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -> DataFrame:
+def quote_fact_a(src: Src, start, end, domain: Domain) -> DataFrame:
     """M1 (AU/NZ): quotes with product class, client fallback, newest quote
     per day x normalised mail x pet type x normalised pet name."""
     q = src["quote_src"].alias("q")
@@ -156,13 +156,20 @@ def quote_fact_a(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -
 
 def bb_activity(src: Src, quotes: DataFrame, domain: Domain) -> DataFrame:
     """Names of the listed answers, only for BB-product quotes."""
-    bb_ids = quotes.where(F.col("product_id") == domain.bb_product).select(F.col("id").alias("quote_id"))
-    answers = src["list_src"].join(bb_ids, "quote_id", "left_semi")
+    answers = activity_answers(src, quotes.where(F.col("product_id") == domain.bb_product), domain)
     return listagg.lookup_list(answers, "quote_id", "answer", src["question_dim"], "id",
                                "question_detail_name", out_col="bb_activity")
 
 
-def quote_fact_b(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -> DataFrame:
+def activity_answers(src: Src, quotes: DataFrame, domain: Domain) -> DataFrame:
+    """``quote_id, answer`` of the activity question, for the given quotes."""
+    ids = quotes.select(F.col("id").alias("quote_id"))
+    asked = (src["answer_src"].where(F.col("question_id") == domain.activity_question)
+             .select(F.col("id").alias("answer_id"), "quote_id").join(ids, "quote_id", "left_semi"))
+    return src["list_src"].join(asked, "answer_id").select("quote_id", "answer")
+
+
+def quote_fact_b(src: Src, start, end, domain: Domain) -> DataFrame:
     """M2 (UK/DE/AT): two product branches (I1 as UNION ALL, N23), each
     de-duplicated on its own key, then the brand rule C15."""
     q = src["quote_src"].alias("q")
@@ -282,7 +289,7 @@ def _sales_joins(src: Src, start, end, domain: Domain, product_how: str) -> Data
              ])))
 
 
-def sales_fact_a(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -> DataFrame:
+def sales_fact_a(src: Src, start, end, domain: Domain) -> DataFrame:
     """M3 (AU/NZ): sold, non-free, non-migrated policies; pet type from the
     product code (C11)."""
     j = _sales_joins(src, start, end, domain, "inner").where(D.flag_is("p.is_migrated", 0))
@@ -297,7 +304,7 @@ def sales_fact_a(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -
         F.col("q_number").alias("QuoteNumber"), F.col("q_created").alias("QuoteCreatedDate"))
 
 
-def sales_fact_b(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -> DataFrame:
+def sales_fact_b(src: Src, start, end, domain: Domain) -> DataFrame:
     """M4 (UK/DE/AT): M3 plus product whitelist, BB exclusion by hear-about,
     pet type by product class (C9, C10) and the brand rule C16."""
     pet = src["pet_type_dim"].select(F.col("pet_type_id").alias("pty_id"),
@@ -334,7 +341,7 @@ def _free_joins(src: Src, start, end, domain: Domain, inner: bool) -> DataFrame:
         K.in_window("created_date", start, end) & (F.col("is_free_product") == F.lit(True)))
     pa = src["policy_src"].where(F.col("transaction_type_id") == 1).select(
         F.col("id").alias("pa_policy_id"), F.col("product_id").alias("pa_product_id"),
-        F.col("quote_id").alias("pa_quote_id"))
+        F.col("quote_id").alias("pa_quote_id"), F.col("pet_name").alias("pa_pet_name"))
     ps = src["policy_status_dim"].select(F.col("id").alias("ps_id"),
                                          F.col("policy_status_name").alias("PolicyStatusName"))
     product = src["product_dim"].select(F.col("id").alias("po_id"), F.col("product_name").alias("po_name"),
@@ -354,7 +361,7 @@ def _free_joins(src: Src, start, end, domain: Domain, inner: bool) -> DataFrame:
              .join(sa, F.col("sa_id") == F.col("q_sub_agent"), how)
              .join(st, F.col("st_id") == F.col("sa_state"), "left")
              .join(user, F.col("p.executive_id") == F.col("u_id"), "left")
-             .where(~F.col("p.policy_number").ilike(domain.free_number_patterns[0])))
+             .where(D.not_like_any("p.policy_number", domain.free_number_patterns, keep_null=False)))
 
 
 def _free_select(j: DataFrame, brand: Column, pet_type: Column, domain: Domain) -> DataFrame:
@@ -368,16 +375,16 @@ def _free_select(j: DataFrame, brand: Column, pet_type: Column, domain: Domain)
         F.col("PolicyStatusName"))
 
 
-def free_fact_a(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -> DataFrame:
+def free_fact_a(src: Src, start, end, domain: Domain) -> DataFrame:
     """M5 (AU/NZ): free policies sold through an agent (inner joins)."""
     j = _free_joins(src, start, end, domain, inner=True).where(
         D.not_like_any("sa_email", domain.free_agent_patterns_a, keep_null=False)
-        & D.not_like_any("p.pet_name", ["%TEST%"], keep_null=False))
+        & D.not_like_any(F.coalesce("p.pet_name", "pa_pet_name"), domain.free_pet_patterns, keep_null=False))
     pet = C.bucket("po_code", config.FREE_CODE_BUCKETS, config.FREE_CODE_DEFAULT)
     return _free_select(j, F.lit(domain.brand_constant), pet, domain)
 
 
-def free_fact_b(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -> DataFrame:
+def free_fact_b(src: Src, start, end, domain: Domain) -> DataFrame:
     """M6 (UK/DE/AT): left joins keep policies without agent; BB quote first."""
     j = _free_joins(src, start, end, domain, inner=False).where(
         D.not_like_any("sa_email", domain.free_agent_patterns_b, keep_null=True))
@@ -396,7 +403,7 @@ CRM_COLUMNS = [
 ]
 
 
-def crm_fact(src: Src, start, end_exclusive, as_of, domain: Domain = config.FIXTURE_DOMAIN) -> DataFrame:
+def crm_fact(src: Src, start, end_exclusive, as_of, domain: Domain) -> DataFrame:
     """M7 customer 360: rank quotes per person and pet (G5, J21), attach the
     latest policy of the picked quote (J24-J26, G6), then keep one row per
     policy or per person|pet (G7)."""
@@ -479,7 +486,7 @@ SCRIPT_DEDUPE_COLUMNS = [
 ]
 
 
-def quote_dedupe_set_based(src: Src, start, end, domain: Domain = config.FIXTURE_DOMAIN) -> DataFrame:
+def quote_dedupe_set_based(src: Src, start, end, domain: Domain) -> DataFrame:
     """G4 + J23 + I2: the set-based form of the UK quote de-duplication.
 
     The answer list is aggregated once per quote (no correlated lookup) and
@@ -499,8 +506,9 @@ def quote_dedupe_set_based(src: Src, start, end, domain: Domain = config.FIXTURE
                                      F.col("pet_type_name").alias("pty_name"))
     client = src["client_src"].alias("c")
     hear = src["hear_about_dim"].select(F.col("id").alias("h_id"), F.col("name").alias("h_name"))
-    activity = listagg.lookup_list(src["list_src"], "quote_id", "answer", src["question_dim"], "id",
-                                   "question_detail_name", out_col="BB_Activity"
+    activity = listagg.lookup_list(activity_answers(src, src["quote_src"].where(common), domain),
+                                   "quote_id", "answer", src["question_dim"], "id",
+                                   "question_detail_name", out_col="BB_Activity", distinct_ids=False
                                    ).withColumnRenamed("quote_id", "ba_quote_id")
     person = _quote_person_columns()
 

@@ -33,7 +33,7 @@ class Warehouse:
         return f"{self.root}/{table}"
 
     def load(self, kind: str, sources, start, end, as_of,
-             domain: config.Domain = config.FIXTURE_DOMAIN) -> load.LoadResult:
+             domain: config.Domain) -> load.LoadResult:
         """M8 for one fact into this warehouse."""
         return etl.run_etl(self.spark, kind, sources, start, end, as_of,
                            self.path(TABLES[kind]), domain)

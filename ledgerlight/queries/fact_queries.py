@@ -96,7 +96,7 @@ def fact_quote_a(src):
 
 
 @register("fact_quote_b", ("quote_src", "client_src", "policy_src", "policy_full_src", "pet_type_dim",
-                           "breed_dim", "hear_about_dim", "list_src", "question_dim"),
+                           "breed_dim", "hear_about_dim", "answer_src", "list_src", "question_dim"),
           ids="M2 J3-J8 J22 J23 C1-C10 C15 C28 F9 D11 D12 G2 G3 I1 N23", oracle=f"""
 WITH q AS (SELECT * FROM quote_src
            WHERE created_date >= DATE '{LO}' AND created_date < DATE '{HI}' AND quote_parent_id IS NULL
@@ -106,8 +106,10 @@ WITH q AS (SELECT * FROM quote_src
 qa AS (SELECT * FROM q WHERE created_by IS NOT NULL AND quote_save_from IS NOT NULL
                          AND product_id IN ({BRANCH_A})),
 tok AS (SELECT DISTINCT quote_id, TRY_CAST(trim(t) AS INTEGER) AS tid
-        FROM (SELECT quote_id, unnest(string_split(answer, ',')) AS t FROM list_src
-              WHERE quote_id IN (SELECT id FROM qa WHERE product_id = {BB})) s),
+        FROM (SELECT n.quote_id, unnest(string_split(l.answer, ',')) AS t
+              FROM answer_src n JOIN list_src l ON l.answer_id = n.id
+              WHERE n.question_id = {DOM.activity_question}
+                AND n.quote_id IN (SELECT id FROM qa WHERE product_id = {BB})) s),
 act AS (SELECT tok.quote_id, string_agg(d.question_detail_name, ', ' ORDER BY d.question_detail_name) AS bb_activity
         FROM tok JOIN question_dim d ON d.id = tok.tid GROUP BY tok.quote_id),
 a AS (
@@ -225,7 +227,7 @@ LEFT JOIN quote_src q ON q.id = pa.quote_id
 LEFT JOIN state_dim st ON st.id = sa.state_id
 LEFT JOIN user_dim u ON p.executive_id = u.id
 WHERE p.is_free_product AND p.created_date >= DATE '{LO}' AND p.created_date < DATE '{HI}'
-  AND p.policy_number NOT ILIKE '%TEST%' {{extra}}
+  AND {not_ilike('p.policy_number', DOM.free_number_patterns)} {{extra}}
 """
 FREE_ADAPTERS = ("policy_full_src", "policy_src", "policy_status_dim", "product_dim", "quote_src",
                  "sub_agent_dim", "state_dim", "user_dim")
@@ -238,7 +240,7 @@ FREE_TAIL = f"""po.product_name AS ProductName, st.state_name AS StateName, {SAL
 @register("fact_free_a", FREE_ADAPTERS, ids="M5 J14-J19 C8 C12 C17", oracle=f"""
 SELECT {BRAND} AS Brand, {FREE_COLS}, {FREE_BUCKET} AS PetType, {FREE_TAIL}
 """ + FREE_FROM.format(how="", extra=(
-    f"AND {not_ilike('sa.email', DOM.free_agent_patterns_a)} AND p.pet_name NOT ILIKE '%TEST%'")))
+    f"AND {not_ilike('sa.email', DOM.free_agent_patterns_a)} AND coalesce(p.pet_name, pa.pet_name) NOT ILIKE '%TEST%'")))
 def fact_free_a(src):
     return facts.free_fact_a(src, *FW, DOM)
 
@@ -341,16 +343,18 @@ SCRIPT_PERSON = """coalesce(q.first_name, c.first_name) AS FirstName, coalesce(q
      q.email AS Email, q.pet_name AS PetName"""
 
 
-@register("dedupe_set_based", ("quote_src", "client_src", "pet_type_dim", "hear_about_dim", "list_src",
-                               "question_dim"),
+@register("dedupe_set_based", ("quote_src", "client_src", "pet_type_dim", "hear_about_dim", "answer_src",
+                               "list_src", "question_dim"),
           ids="G4 J22 J23 F9 I2 D12 N9 N23", oracle=f"""
 WITH q AS (SELECT * FROM quote_src
            WHERE created_date >= DATE '{LO}' AND created_date < DATE '{HI}' AND quote_parent_id IS NULL
              AND first_name NOT ILIKE '%test%' AND last_name NOT ILIKE '%test%'
              AND {MAIL_Q}
              AND pet_name NOT ILIKE '%test%'),
-tok AS (SELECT DISTINCT quote_id, TRY_CAST(trim(t) AS INTEGER) AS tid
-        FROM (SELECT quote_id, unnest(string_split(answer, ',')) AS t FROM list_src) s),
+tok AS (SELECT quote_id, TRY_CAST(trim(t) AS INTEGER) AS tid
+        FROM (SELECT n.quote_id, unnest(string_split(l.answer, ',')) AS t
+              FROM answer_src n JOIN list_src l ON l.answer_id = n.id
+              WHERE n.question_id = {DOM.activity_question}) s),
 ba AS (SELECT tok.quote_id, string_agg(d.question_detail_name, ', ' ORDER BY d.question_detail_name) AS BB_Activity
        FROM tok JOIN question_dim d ON d.id = tok.tid GROUP BY tok.quote_id),
 a AS (

@@ -75,24 +75,24 @@ def _free_etl_oracle() -> str:
 @register("etl_job", (), ids="M8 A1 A2 A3 A4 I3 K11 B3 B4 B6 C17", oracle_fn=_free_etl_oracle)
 def etl_job(src):
     """Free-policy ETL frame: five regions, tagged, cleaned, conformed."""
-    return etl.etl_frame("free_policies", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF)
+    return etl.etl_frame("free_policies", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF, config.FIXTURE_DOMAIN)
 
 
 @register("etl_quote_frame", (), ids="M8 (quote) A2 A3 I3 K11 B3", oracle_fn=lambda: _etl_oracle("quote"))
 def etl_quote_frame(src):
-    return etl.etl_frame("quote", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF)
+    return etl.etl_frame("quote", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF, config.FIXTURE_DOMAIN)
 
 
 @register("etl_sales_frame", (), ids="M8 (sales) A2 A3 I3 K11 B3", oracle_fn=lambda: _etl_oracle("sales"))
 def etl_sales_frame(src):
-    return etl.etl_frame("sales", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF)
+    return etl.etl_frame("sales", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF, config.FIXTURE_DOMAIN)
 
 
 @register("etl_crm_frame", (), ids="M7 M8 (CRM loader) A2 A3 I3 K11 B3", oracle_fn=lambda: _etl_oracle("crm"))
 def etl_crm_frame(src):
     """The CRM loader's frame: the customer-360 fact per regional source,
     tagged, cleaned and conformed (PetBreedId compared as text)."""
-    frame = etl.etl_frame("crm", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF)
+    frame = etl.etl_frame("crm", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF, config.FIXTURE_DOMAIN)
     return frame.withColumn("PetBreedId", F.col("PetBreedId").cast("string"))
 
 
@@ -111,8 +111,8 @@ def etl_reload_sales(src):
     spark = src.spark
     target = f"{shared_dir(spark)}/ledgerlight-etl-{uuid.uuid4().hex}/Sales"
     regions = _fixture_regions(src)
-    etl.run_etl(spark, "sales", regions, *config.FULL_WINDOW, config.AS_OF, target)
-    etl.run_etl(spark, "sales", regions, *WW, config.AS_OF, target)
+    etl.run_etl(spark, "sales", regions, *config.FULL_WINDOW, config.AS_OF, target, config.FIXTURE_DOMAIN)
+    etl.run_etl(spark, "sales", regions, *WW, config.AS_OF, target, config.FIXTURE_DOMAIN)
     return spark.read.parquet(target)
 
 
@@ -273,5 +273,5 @@ def warehouse_sales_by_bucket(src):
     from ledgerlight.plans.warehouse import Warehouse
     spark = src.spark
     wh = Warehouse(spark, f"{shared_dir(spark)}/ledgerlight-wh-{uuid.uuid4().hex}")
-    wh.load("sales", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF)
+    wh.load("sales", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF, config.FIXTURE_DOMAIN)
     return R.count_by_pet_bucket(wh.read("Sales", *WW), "PolicyNumber", *WW, countries="nz, AU")

@@ -79,15 +79,18 @@ def unknown_token_filter(src):
     return src["quote_wh"].where(K.in_window("CreatedDate", *WW) & flt).select("QuoteNumber", "PetType")
 
 
-@register("list_lookup", ("list_src", "question_dim"), ids="C28 J22 F9", oracle="""
+@register("list_lookup", ("answer_src", "list_src", "question_dim"), ids="C28 J22 F9", oracle="""
 WITH tok AS (SELECT DISTINCT quote_id, TRY_CAST(trim(t) AS INTEGER) AS tid
-             FROM (SELECT quote_id, unnest(string_split(answer, ',')) AS t FROM list_src) s)
+             FROM (SELECT a.quote_id, unnest(string_split(l.answer, ',')) AS t
+                   FROM answer_src a JOIN list_src l ON l.answer_id = a.id WHERE a.question_id = 502) s)
 SELECT tok.quote_id, string_agg(d.question_detail_name, ', ' ORDER BY d.question_detail_name) AS names
 FROM tok JOIN question_dim d ON d.id = tok.tid
 GROUP BY tok.quote_id
 """)
 def list_lookup(src):
-    return listagg.lookup_list(src["list_src"], "quote_id", "answer", src["question_dim"], "id",
+    asked = src["answer_src"].where(F.col("question_id") == config.FIXTURE_DOMAIN.activity_question)
+    answers = src["list_src"].join(asked.select(F.col("id").alias("answer_id"), "quote_id"), "answer_id")
+    return listagg.lookup_list(answers, "quote_id", "answer", src["question_dim"], "id",
                                "question_detail_name")
 
 

@@ -109,7 +109,9 @@ SELECT l_orderkey * 10 + l_linenumber AS id,
        CAST(min(l_partkey) % 200 AS INT) AS product_id,
        min(l_suppkey) AS sub_agent_id,
        min(l_returnflag) AS status,
-       min(l_linestatus) AS channel
+       min(l_linestatus) AS channel,
+       CASE WHEN l_orderkey % 9 = 0 THEN NULL WHEN l_orderkey % 31 = 0 THEN 'a Test activity'
+            ELSE concat('ActivityPet', CAST(l_orderkey % 5 AS STRING)) END AS pet_name
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber
 """
 
@@ -141,12 +143,21 @@ SELECT l_orderkey * 10 + l_linenumber AS id,
 FROM {lineitem} WHERE l_returnflag = 'R'
 """
 
-# QuoteQuestionAnswer(Detail): the comma-separated answer column, with bad tokens.
+# QuoteQuestionAnswer: every quote answers three questions.
+ADAPTERS["answer_src"] = """
+SELECT o_orderkey * 3 AS id, o_orderkey AS quote_id, 501 AS question_id FROM {orders}
+UNION ALL
+SELECT o_orderkey * 3 + 1 AS id, o_orderkey AS quote_id, 502 AS question_id FROM {orders}
+UNION ALL
+SELECT o_orderkey * 3 + 2 AS id, o_orderkey AS quote_id, 503 AS question_id FROM {orders}
+"""
+
+# QuoteQuestionAnswerDetail: the comma-separated answer column, with bad tokens.
 ADAPTERS["list_src"] = """
-SELECT o_orderkey AS quote_id,
-       concat(CAST(o_orderkey % 200 AS STRING), ', ', CAST((o_orderkey * 7) % 200 AS STRING),
-              CASE WHEN o_orderkey % 10 = 0 THEN ',x' ELSE '' END) AS answer
-FROM {orders}
+SELECT id AS answer_id,
+       concat(CAST(id % 200 AS STRING), ', ', CAST((id * 7) % 200 AS STRING),
+              CASE WHEN id % 10 = 0 THEN ',x' ELSE '' END) AS answer
+FROM {answer_src}
 """
 
 # Dimensions.

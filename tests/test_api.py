@@ -78,7 +78,7 @@ def test_endpoints_on_a_loaded_warehouse(spark):
     from ledgerlight.sources.adapters import RegionalSources
     root = tempfile.mkdtemp(prefix="ll-wh-")
     regions = {code: RegionalSources(spark, SF001, key) for code, key in config.FIXTURE_REGION_KEYS.items()}
-    Warehouse(spark, root).load("sales", regions, *config.FULL_WINDOW, AS_OF)
+    Warehouse(spark, root).load("sales", regions, *config.FULL_WINDOW, AS_OF, config.FIXTURE_DOMAIN)
     t = api.Tables.from_warehouse(spark, root)
     assert t.sales is not None and t.quote is None
     out = api.sales_by_pet_type(t, "2001-01-01", "2001-06-30", country_codes="nz,au", as_of=AS_OF)
@@ -92,7 +92,8 @@ def test_crm_loader_feeds_the_policy_endpoints(spark):
     from ledgerlight.sources.adapters import RegionalSources
     root = tempfile.mkdtemp(prefix="ll-wh-crm-")
     regions = {code: RegionalSources(spark, SF001, key) for code, key in config.FIXTURE_REGION_KEYS.items()}
-    res = api.etl_crm(spark, regions, f"{root}/CRM", "1994-01-01", "2002-12-31", as_of=AS_OF)
+    res = api.etl_crm(spark, regions, f"{root}/CRM", "1994-01-01", "2002-12-31", as_of=AS_OF,
+                      domain=config.FIXTURE_DOMAIN)
     assert res.rows_loaded > 0 and res.rows_rejected == 0
     t = api.Tables.from_warehouse(spark, root)
     trend = api.policy_summary(t, "2001-01-15", "2001-06-20", regions="UK,NZ", historical_months=7,
@@ -122,7 +123,8 @@ def test_etl_route_loads_three_facts(spark):
     regions = {code: RegionalSources(spark, SF001, key) for code, key in config.FIXTURE_REGION_KEYS.items()}
     targets = {k: f"{root}/{t}" for k, t in (("quote", "Quote"), ("sales", "Sales"),
                                              ("free_policies", "FreePolicySales"))}
-    res = api.etl_route(spark, regions, targets, "1994-01-01", "2002-12-31", as_of=AS_OF)
+    res = api.etl_route(spark, regions, targets, "1994-01-01", "2002-12-31", as_of=AS_OF,
+                      domain=config.FIXTURE_DOMAIN)
     assert set(res) == {"quote", "sales", "free_policies"}
     t = api.Tables.from_warehouse(spark, root)
     for kind, df in (("quote", t.quote), ("sales", t.sales), ("free_policies", t.free_policy)):
