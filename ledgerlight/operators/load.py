@@ -4,25 +4,30 @@ The reference deletes a date window in 50 000-row batches and inserts in
 retried chunks inside one transaction.  On files the same contract is a
 windowed replace of month partitions:
 
-0. write the incoming rows once to the shared work folder (the ETL plan is
-   computed a single time and its lineage ends there);
 1. read only the months the window touches (partition pruning on
-   ``created_month``) and keep their rows outside the window;
-2. union the new rows and write the result to a staging folder in the shared
-   work area (never overwrite a path that is being read);
+   ``created_month``) and keep their rows outside the window, with all of the
+   target's columns;
+2. write them and the new rows, once, to a staging folder in the shared work
+   area that is named after the target and the window, then a marker with what
+   is to be published (never overwrite a path that is being read);
 3. dynamic-overwrite exactly those month partitions from the staging copy;
 4. delete touched months that have no staged row (dynamic overwrite only
-   replaces partitions present in the new data).
-
-Each step is a Spark job; a lost executor only retries its tasks, and a crash
-between steps is repaired by re-running (the staging copy is complete before
-step 3 starts).  Rows whose date is NULL cannot be placed in the window and go
-to a ``rejects`` folder instead of piling up (N18).
+   replaces partitions present in the new data);
+5. delete the staging copy.
+
+A lost executor only retries its tasks.  A run that stops before the marker
+has not touched the target; one that stops after it is finished first by the
+next run on that target, from the complete staging copy, whatever state the
+target was left in.  Readers may see a month missing while it is published.
+Rows whose date is NULL or outside the window cannot be placed and go to a
+``rejects`` folder instead of piling up (N18).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
 import re
 import uuid
 from dataclasses import dataclass
@@ -37,6 +42,10 @@ from ledgerlight.session import shared_dir
 from ledgerlight.sources.schemas import max_length
 
 MONTH_COL = "created_month"
+# Column metadata of the date that a table is partitioned by the month of.
+SOURCE_KEY = "partition_source"
+# Partition of the staging copy that holds the rows a load rejects.
+REJECTED = "rejected"
 _TABLE_NAME = re.compile(r"^[A-Za-z0-9_$]{1,128}$")
 
 
@@ -62,10 +71,21 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             c = F.date_trunc("millisecond", c.cast(f.dataType)).cast(f.dataType)
         else:
             c = c.cast(f.dataType)
-        cols.append(c.alias(f.name))
+        cols.append(c.alias(f.name, metadata=dict(f.metadata or {})))
     return df.select(*cols)
 
 
+def cut_counts(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, Observation | None]:
+    """``df``, observed for how many values of each length-limited column
+    ``conform`` will cut; nothing is read for it beyond the load itself."""
+    limited = {f.name: max_length(f) for f in schema.fields
+               if isinstance(f.dataType, T.StringType) and max_length(f) and f.name in df.columns}
+    if not limited:
+        return df, None
+    obs = Observation("cuts")
+    return df.observe(obs, *[F.count_if(F.length(F.col(c).cast("string")) > n).alias(c) for c, n in limited.items()]), obs
+
+
 def truncation_report(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``(column_name, max_length, cut_rows, max_seen)`` for every
     length-limited column present, from one aggregate pass."""
@@ -104,9 +124,14 @@ def column_mismatch(df: DataFrame, schema: T.StructType) -> list[tuple[str, str]
             + [(c, "missing") for c in target if c not in df.columns])
 
 
-def with_month(df: DataFrame, date_col: str = "CreatedDate") -> DataFrame:
-    """Partition column ``yyyy-MM`` text (read back as string, prunes)."""
-    return df.withColumn(MONTH_COL, F.date_format(F.col(date_col), "yyyy-MM"))
+def month_source(schema: T.StructType) -> str | None:
+    """The date column that a loader-written table's months come from."""
+    return next((f.name for f in schema.fields if (f.metadata or {}).get(SOURCE_KEY)), None)
+
+
+def prunes(df: DataFrame, date_col: str) -> bool:
+    """Whether a window on ``date_col`` may be narrowed to its months."""
+    return MONTH_COL in df.columns and month_source(df.schema) == date_col
 
 
 def months_between_bounds(start, end) -> list[str]:
@@ -118,12 +143,15 @@ def months_between_bounds(start, end) -> list[str]:
     return out
 
 
-def read_window(spark: SparkSession, path: str, start, end, date_col: str = "CreatedDate") -> DataFrame:
-    """Read a month-partitioned table for a date window: the month filter
-    prunes partitions, the date filter prunes row groups (§4)."""
-    months = months_between_bounds(start, end)
-    return (spark.read.parquet(path)
-                 .where(F.col(MONTH_COL).isin(months) & K.in_window(date_col, start, end)))
+def read_window(spark: SparkSession, path: str, start, end, date_col: str | None = None) -> DataFrame:
+    """Read a month-partitioned table for a date window on ``date_col``
+    (default: the column its months come from).  The month filter prunes
+    partitions where the months are that column's; the date filter prunes row
+    groups (§4)."""
+    table = spark.read.parquet(path)
+    date_col = date_col or month_source(table.schema) or "CreatedDate"
+    rows = table.where(K.in_window(date_col, start, end))
+    return rows.where(F.col(MONTH_COL).isin(months_between_bounds(start, end))) if prunes(table, date_col) else rows
 
 
 def _fs(spark: SparkSession, path: str):
@@ -149,7 +177,7 @@ class LoadResult:
     rows_rejected: int
     months_rewritten: list[str]
     months_emptied: list[str]
-    staging_path: str
+    rejects_path: str | None
 
 
 def _is_table(target: str) -> bool:
@@ -170,94 +198,128 @@ def read_target(spark: SparkSession, target: str) -> DataFrame | None:
         return None
 
 
-def _publish(spark: SparkSession, staging: str, target: str, emptied: list[str],
+def _publish(spark: SparkSession, staging: str, target: str, present: list[str], emptied: list[str],
              location: str | None) -> None:
-    """Replace the staged months in the target, drop the emptied ones."""
-    staged = spark.read.parquet(staging)
-    if _is_table(target):
-        if spark.catalog.tableExists(target):
+    """Replace the staged months in the target, drop the emptied ones.  Doing
+    it again has the same result."""
+    if present:
+        staged = spark.read.parquet(staging).where(F.col(MONTH_COL).isin(present))
+        if _is_table(target) and spark.catalog.tableExists(target):
             cols = spark.table(target).columns  # insertInto is positional
             (staged.select(*cols).write.option("partitionOverwriteMode", "dynamic")
                    .insertInto(target, overwrite=True))
-            for m in emptied:
-                spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({MONTH_COL} = '{m}')")
-        else:
+        elif _is_table(target):
             writer = staged.write.format("parquet").partitionBy(MONTH_COL)
             if location:
                 writer = writer.option("path", location)
             writer.saveAsTable(target)
-        return
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy(MONTH_COL).parquet(target))
+        else:
+            (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                   .partitionBy(MONTH_COL).parquet(target))
     for m in emptied:
-        _delete(spark, f"{target}/{MONTH_COL}={m}")
+        if _is_table(target):
+            spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({MONTH_COL} = '{m}')")
+        else:
+            _delete(spark, f"{target}/{MONTH_COL}={m}")
+
+
+def _staging_root(work: str, target: str) -> str:
+    return f"{work}/_staging/{hashlib.sha256(target.encode()).hexdigest()[:16]}"
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, p, jvm = _fs(spark, path)
+    stream = fs.open(p)
+    text = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return text
+
+
+def recover(spark: SparkSession, target: str, work: str) -> int:
+    """Publish complete staging copies that earlier runs on the target left
+    behind; drop incomplete ones.  Returns how many were published."""
+    root = _staging_root(work, target)
+    fs, p, jvm = _fs(spark, root)
+    if not fs.exists(p):
+        return 0
+    done = 0
+    for status in sorted(fs.listStatus(p), key=lambda s: s.getModificationTime()):
+        folder = f"{root}/{status.getPath().getName()}"
+        if path_exists(spark, f"{folder}/marker.json"):
+            todo = json.loads(_read_text(spark, f"{folder}/marker.json"))
+            _publish(spark, f"{folder}/rows", target, todo["present"], todo["emptied"], todo["location"])
+            done += 1
+        _delete(spark, folder)
+    return done
 
 
 def windowed_replace(spark: SparkSession, new_rows: DataFrame, target: str, start, end,
                      date_col: str = "CreatedDate", work_dir: str | None = None,
                      location: str | None = None) -> LoadResult:
     """B1 (+B9, B12): replace every target row whose ``date(date_col)`` lies
-    in ``[start, end]`` by ``new_rows`` (all countries), atomically per month.
+    in ``[start, end]`` by ``new_rows`` (all countries).
 
     ``target`` is a storage path or a catalog table name; a table that does
-    not exist yet is created partitioned by month (at ``location`` if given)."""
+    not exist yet is created partitioned by month (at ``location`` if given).
+    An existing target keeps its columns: those that ``new_rows`` lack are NULL
+    in the new rows, and others of ``new_rows`` are left out."""
     s, e = K.to_date(start), K.to_date(end)
     if e < s:
         raise ValueError("end_date before start_date")
     if _is_table(target) and not re.match(r"^[A-Za-z0-9_$]{1,128}(\.[A-Za-z0-9_$]{1,128})?$", target):
         raise ValueError(f"invalid table name {target!r}")
     work = (work_dir or shared_dir(spark)).rstrip("/")
-    run = uuid.uuid4().hex
-    staging, rejects = f"{work}/_staging/{run}", f"{work}/_rejects/{run}"
+    recover(spark, target, work)
+    name = f"{s}_{e}"
+    staging = f"{_staging_root(work, target)}/{name}"
+    rejects = f"{work}/_rejects/{uuid.uuid4().hex}"
     months = months_between_bounds(s, e)
-    in_win = F.to_date(F.col(date_col)).between(F.lit(s), F.lit(e))
-
-    # The incoming plan (a whole ETL) is computed exactly once: it is written
-    # to the shared folder, which also cuts its lineage, and read back for
-    # the accepted and rejected parts.
-    incoming = f"{work}/_incoming/{run}"
-    obs = Observation("load")
-    accept = F.coalesce(in_win, F.lit(False))
-    (new_rows.observe(obs, F.count_if(accept).alias("loaded"), F.count_if(~accept).alias("rejected"))
-             .write.mode("overwrite").parquet(incoming))
-    metrics = obs.get
-    new_rows = spark.read.parquet(incoming)
-    # New rows must fall in the window: a row outside it would land in a month
-    # partition this run does not own and overwrite it.  Such rows, and rows
-    # without a date, go to the rejects folder.
-    staged_new = with_month(new_rows.where(accept), date_col)
-    parts = [staged_new]
+    in_win = F.coalesce(F.to_date(F.col(date_col)).between(F.lit(s), F.lit(e)), F.lit(False))
+
     existing = read_target(spark, target)
     if existing is not None:
-        kept = existing.where(F.col(MONTH_COL).isin(months) & ~F.coalesce(in_win, F.lit(False)))
-        parts.insert(0, kept.select(*staged_new.columns))
-    staged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        source = month_source(existing.schema)
+        if source not in (None, date_col):
+            raise ValueError(f"{target} is partitioned by the month of {source}, not of {date_col}")
+        have = set(new_rows.columns)
+        new_rows = new_rows.select(*[
+            F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in existing.schema.fields if f.name != MONTH_COL])
+    # A row outside the window would land in a month partition this run does
+    # not own and overwrite it: such rows, and rows without a date, are rejected.
+    staged = new_rows.withColumn(MONTH_COL, F.when(in_win, F.date_format(date_col, "yyyy-MM")).otherwise(F.lit(REJECTED)))
+    if existing is not None:
+        kept = existing.where(F.col(MONTH_COL).isin(months) & ~in_win)
+        staged = staged.unionByName(kept)
+    marked = F.col(date_col).alias(date_col, metadata={**(staged.schema[date_col].metadata or {}), SOURCE_KEY: True})
+    staged = staged.select(*[marked if c == date_col else F.col(c) for c in staged.columns])
     # REBALANCE by month: AQE packs each month into files of the advisory
     # size and splits a hot month over several tasks, instead of every task
     # writing one small file per month it happens to hold.
     (staged.hint("rebalance", MONTH_COL)
-           .write.mode("overwrite").partitionBy(MONTH_COL).parquet(staging))
-    new_rows.where(~accept).write.mode("overwrite").parquet(rejects)
-
-    # Months present in the staging copy: at most one row per month of the window.
-    try:
-        present = sorted(r[0] for r in
-                         spark.read.parquet(staging).select(MONTH_COL).distinct().collect())
-    except AnalysisException:  # nothing staged: every touched month becomes empty
-        present = []
-    emptied = [m for m in months if m not in present]
-    if present:
-        _publish(spark, staging, target, emptied, location)
-    elif existing is not None:
-        _publish_empty(spark, target, emptied)
-    return LoadResult(int(metrics.get("loaded", 0)), int(metrics.get("rejected", 0)),
-                      [m for m in months if m in present], emptied, staging)
-
-
-def _publish_empty(spark: SparkSession, target: str, emptied: list[str]) -> None:
-    """Nothing staged: only drop the touched months."""
-    for m in emptied:
-        if _is_table(target):
-            spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({MONTH_COL} = '{m}')")
-        else:
-            _delete(spark, f"{target}/{MONTH_COL}={m}")
+           .write.mode("overwrite").partitionBy(MONTH_COL).parquet(f"{staging}/rows"))
+    # Months present in the staging copy: its folders.  Kept rows lie outside
+    # the window, so the rows inside it are the loaded ones.
+    fs, p, _ = _fs(spark, f"{staging}/rows")
+    found = {st.getPath().getName().partition("=")[2] for st in fs.listStatus(p) if st.isDirectory()}
+    loaded = rejected = 0
+    if found:
+        rows = spark.read.parquet(f"{staging}/rows")
+        placed = F.col(MONTH_COL) != REJECTED
+        loaded, rejected = rows.agg(F.count_if(placed & in_win), F.count_if(~placed)).first()
+        if rejected:
+            rows.where(~placed).drop(MONTH_COL).write.mode("overwrite").parquet(rejects)
+    present = [m for m in months if m in found]
+    emptied = [m for m in months if m not in found] if existing is not None else []
+    _write_text(spark, f"{staging}/marker.json",
+                json.dumps({"present": present, "emptied": emptied, "location": location}))
+    _publish(spark, f"{staging}/rows", target, present, emptied, location)
+    _delete(spark, staging)
+    return LoadResult(loaded, rejected, present, [m for m in months if m not in found], rejects if rejected else None)

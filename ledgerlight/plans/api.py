@@ -257,6 +257,16 @@ def policy_summary(t: Tables, start_date=None, end_date=None, regions="all", pol
                                 free_policy, brands, pet_types).orderBy("period")
 
 
+def policy_summary_total(t: Tables, start_date=None, end_date=None, regions="all", policy_status="all",
+                         free_policy="all", historical_months=config.METHOD_TREND_MONTHS,
+                         date_basis=config.DEFAULT_DATE_BASIS, brands="all", pet_types="all",
+                         as_of=None) -> DataFrame:
+    """``total_policies`` of the same rows."""
+    trend = policy_summary(t, start_date, end_date, regions, policy_status, free_policy, historical_months,
+                           date_basis, brands, pet_types, as_of)
+    return R.grand_total(trend, "policyCount", "total_policies")
+
+
 def policy_data(t: Tables, start_date=None, end_date=None, regions="all", policy_status="all",
                 free_policy="all", skip=0, limit=100, download=False, filename="Policy.csv",
                 historical_months=config.METHOD_TREND_MONTHS, date_basis=config.DEFAULT_DATE_BASIS,

@@ -95,13 +95,13 @@ def transform(df: DataFrame, kind: str, as_of: dt.date) -> DataFrame:
 
 
 def etl_frame(kind: str, sources: Mapping[str, Mapping[str, DataFrame]], start, end, as_of,
-              domain: Domain,
-              regions=config.REGIONS) -> DataFrame:
-    """A2/I3 + transform + B3 conform: the frame a reload writes."""
+              domain: Domain, regions=config.REGIONS, target: T.StructType | None = None) -> DataFrame:
+    """A2/I3 + transform + B3 conform: the frame a reload writes, in the
+    columns and widths of an existing target if given."""
     parts = [extract(kind, sources[code], code, name, family, start, end, domain, as_of)
              for code, name, family in regions]
     _, _, schema, _ = JOBS[kind]
-    return load.conform(transform(fan_in(parts), kind, as_of), schema)
+    return load.conform(transform(fan_in(parts), kind, as_of), target or schema)
 
 
 def run_etl(spark: SparkSession, kind: str, sources, start, end, as_of, target: str,
@@ -110,11 +110,17 @@ def run_etl(spark: SparkSession, kind: str, sources, start, end, as_of, target:
     table = JOBS[kind][3]
     if not load.valid_table_name(table):
         raise ValueError(f"invalid table name {table!r}")
-    frame = etl_frame(kind, sources, start, end, as_of, domain)
-    existing = load.target_schema(spark, target)
-    if existing is not None:
-        # Report extra/missing columns against the reflected target.
-        for column, issue in load.column_mismatch(frame, existing):
-            if column != load.MONTH_COL:
-                logger.warning("%s: column %s is %s in the target", table, column, issue)
-    return load.windowed_replace(spark, frame, target, start, end, date_col=WINDOW_COLUMN[kind])
+    default = JOBS[kind][2]
+    found = load.target_schema(spark, target)
+    # The reflected target decides on columns and widths.
+    schema = T.StructType([f for f in (found or default).fields if f.name != load.MONTH_COL])
+    frame = etl_frame(kind, sources, start, end, as_of, domain, target=default)
+    for column, issue in load.column_mismatch(frame, schema):  # B5
+        logger.warning("%s: column %s is %s in the target", table, column, issue)
+    frame, cuts = load.cut_counts(frame, schema)
+    result = load.windowed_replace(spark, load.conform(frame, schema), target, start, end,
+                                   date_col=WINDOW_COLUMN[kind])
+    for column, n in (cuts.get if cuts and result.rows_loaded + result.rows_rejected else {}).items():
+        if n:
+            logger.warning("%s: %d values of %s were cut to the target's width", table, n, column)
+    return result

@@ -24,10 +24,10 @@ from ledgerlight.operators import breakdown, load, paging, reshape
 
 
 def _pruned(df: DataFrame, pred: Column, first, last, date_col: str) -> Column:
-    """On a table written by the loader (partitioned by ``created_month``,
-    derived from ``CreatedDate``) add the month range, so the scan prunes
-    partitions; Spark cannot derive it from the date predicate itself."""
-    if date_col == "CreatedDate" and load.MONTH_COL in df.columns:
+    """On a table written by the loader and partitioned by the month of
+    ``date_col`` add the month range, so the scan prunes partitions; Spark
+    cannot derive it from the date predicate itself."""
+    if load.prunes(df, date_col):
         month = F.col(load.MONTH_COL)
         return pred & month.between(f"{first:%Y-%m}", f"{last:%Y-%m}")
     return pred
@@ -218,7 +218,14 @@ def method_totals(fact: DataFrame, method_col: str, count_col: str, start, end,
     trend_pred = D.conjunction(preds)
     return (rows.groupBy(C.normalised_method(method_col).alias("method"))
                 .agg(F.count(F.when(trend_pred, F.col(count_col))).cast("bigint").alias("total"),
-                     F.count(F.when(in_period, F.col(count_col))).cast("bigint").alias("period_total")))
+                     F.count(F.when(in_period, F.col(count_col))).cast("bigint").alias("period_total"))
+                # A method met only outside both windows has no total.
+                .where((F.col("total") > 0) | (F.col("period_total") > 0)))
+
+
+def grand_total(parts: DataFrame, value: str, out: str) -> DataFrame:
+    """The sum over a report's rows as a one-row frame, 0 without rows."""
+    return parts.agg(F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias(out))
 
 
 # ---------------------------------------------------------------------------
@@ -245,7 +252,7 @@ def _policy_base(crm: DataFrame, start, end, months, date_basis, regions, policy
     basis = D.choose_date_basis(date_basis)
     used_start = K.lookback_start(s, e, months)
     preds = [
-        K.in_window(basis, used_start, e),
+        _created_in(crm, used_start, e, basis),
         D.membership("CountryCode", D.normalize_regions(regions)),
         D.membership("Brand", D.normalize_input(brands)),
         D.pet_filter("PetType", D.normalize_input(pets)),
@@ -279,14 +286,32 @@ POLICY_LISTING_COLUMNS = [
 ]
 
 
+# The CSV puts the dates of the quote before the policy's number.
+POLICY_EXPORT_COLUMNS = [
+    "DateExtracted", "Brand", "Country", "BusinessName", "BusinessType", "CustomerStatus", "FreePolicy",
+    "QuoteStatus", "QuoteNumber", "QuoteCreatedDate", "QuoteReceivedMethod", "QuoteStartDate",
+    "QuoteEndDate", "PolicyNumber", "OriginalPolicyStartDate", "PolicyEndDate", "FirstName", "LastName",
+    "Email", "ContactNo", "EmailConcent", "PetName", "PetType", "PetBirthDate", "PetBreedId",
+    "BreedName", "CountryCode", "Converted",
+]
+
+
+def policy_order(rows: DataFrame, basis: str, order: str) -> list[Column]:
+    """H2: basis and direction, policy number, then every other column, so that
+    pages never overlap even where numbers of several sources repeat."""
+    first = F.col(basis).asc() if D.sort_direction(order) == "ASC" else F.col(basis).desc()
+    lead = ["PolicyNumber", "QuoteNumber"]
+    return [first, *[F.col(c).asc() for c in lead],
+            *[F.col(c).asc() for c in rows.columns if c not in (basis, "DateExtracted", *lead)]]
+
+
 def policy_listing(crm: DataFrame, start, end, extracted_at: dt.datetime, months=None,
                    date_basis: str = config.DEFAULT_DATE_BASIS, regions="all",
                    policy_status="all", policy_type="all", brands="all", pets="all",
                    order: str = "DESC", skip: int = 0, limit: int = 100,
                    with_total: bool = True) -> DataFrame:
     """M23 (C20, C26, C27, H2, G8): CRM rows of the window, ordered by the
-    chosen date basis and direction, then policy number (then quote number,
-    the unique last key)."""
+    chosen date basis and direction, then policy number, then a total order."""
     base, basis = _policy_base(crm, start, end, months, date_basis, regions, policy_status,
                                policy_type, brands, pets)
     rows = base.select(
@@ -294,9 +319,7 @@ def policy_listing(crm: DataFrame, start, end, extracted_at: dt.datetime, months
         *[C.country("Country", "CountryCode").alias("Country") if c == "Country" else F.col(c)
           for c in POLICY_LISTING_COLUMNS],
         C.converted_flag("PolicyNumber").alias("Converted"))
-    direction = D.sort_direction(order)
-    first = F.col(basis).asc() if direction == "ASC" else F.col(basis).desc()
-    order_cols = [first, F.col("PolicyNumber").asc(), F.col("QuoteNumber").asc()]
+    order_cols = policy_order(rows, basis, order)
     if with_total:
         return paging.page_with_total(rows, order_cols, skip, limit)
     return paging.page(rows, order_cols, skip, limit)
@@ -462,6 +485,5 @@ def policy_export_rows(crm: DataFrame, start, end, extracted_at: dt.datetime, mo
         K.ntz_literal(extracted_at).alias("DateExtracted"),
         *[C.country("Country", "CountryCode").alias("Country") if c == "Country" else F.col(c)
           for c in POLICY_LISTING_COLUMNS],
-        C.converted_flag("PolicyNumber").alias("Converted"))
-    first = F.col(basis).asc() if D.sort_direction(order) == "ASC" else F.col(basis).desc()
-    return rows, [first, F.col("PolicyNumber").asc(), F.col("QuoteNumber").asc()]
+        C.converted_flag("PolicyNumber").alias("Converted")).select(*POLICY_EXPORT_COLUMNS)
+    return rows, policy_order(rows, basis, order)

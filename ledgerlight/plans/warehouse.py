@@ -38,12 +38,13 @@ class Warehouse:
         return etl.run_etl(self.spark, kind, sources, start, end, as_of,
                            self.path(TABLES[kind]), domain)
 
-    def read(self, table: str, start, end, date_col: str = "CreatedDate") -> DataFrame:
-        """Rows of ``[start, end]``, month partitions pruned."""
+    def read(self, table: str, start, end, date_col: str | None = None) -> DataFrame:
+        """Rows of ``[start, end]`` on ``date_col`` (default: the column that the
+        table's months come from, and then month partitions are pruned)."""
         return load.read_window(self.spark, self.path(table), start, end, date_col)
 
     def read_series(self, table: str, end, months: int = config.SERIES_MONTHS,
-                    date_col: str = "CreatedDate") -> DataFrame:
+                    date_col: str | None = None) -> DataFrame:
         """Rows of the ``months`` calendar months ending in ``end``'s month."""
         lo, hi = K.month_anchors(end, months)
         return self.read(table, lo, hi - dt.timedelta(days=1), date_col)

@@ -145,8 +145,14 @@ def windowed_replace(src):
     return spark.read.parquet(target)
 
 
+# A target table with declared widths.
+QUOTE_TARGET = schemas.with_widths(schemas.QUOTE, {
+    "Brand": 50, "QuoteNumber": 50, "FullName": 12, "Email": 100, "Suburb": 100, "CountryCode": 10,
+    "CountryName": 50, "BreedName": 100})
+
+
 def _trunc_oracle() -> str:
-    limited = [(f.name, schemas.max_length(f)) for f in schemas.QUOTE.fields
+    limited = [(f.name, schemas.max_length(f)) for f in QUOTE_TARGET.fields
                if schemas.max_length(f)]
     return " UNION ALL ".join(
         f"SELECT '{n}' AS column_name, {m} AS max_length, "
@@ -157,19 +163,19 @@ def _trunc_oracle() -> str:
 
 @register("truncation_report", ("quote_wh",), ids="B3 B4", oracle_fn=_trunc_oracle)
 def truncation_report(src):
-    return load.truncation_report(src["quote_wh"], schemas.QUOTE)
+    return load.truncation_report(src["quote_wh"], QUOTE_TARGET)
 
 
 @register("conform_truncate", ("quote_wh",), ids="B3 B4 B6", oracle="""
 SELECT Brand, PolicyCreatedDate, QuoteNumber, CreatedDate, QuoteStartDate, QuoteExpiryDate,
        QuoteReceivedMethod, PolicyNumber, PolicyStartDate, PolicyEndDate,
-       substring(FullName, 1, 40) AS FullName, Email, Address, Suburb, PostCode, ContactNo,
+       substring(FullName, 1, 12) AS FullName, Email, Address, Suburb, PostCode, ContactNo,
        PetName, PetType, PetBirthDate, BreedName, substring(CountryCode, 1, 10) AS CountryCode, CountryName,
        CAST(NULL AS TIMESTAMP) AS ETLDateUploaded
 FROM quote_wh
 """)
 def conform_truncate(src):
-    return load.conform(src["quote_wh"], schemas.QUOTE)
+    return load.conform(src["quote_wh"], QUOTE_TARGET)
 
 
 CSV_COLS = R.QUOTE_LISTING_COLUMNS
@@ -275,3 +281,47 @@ def warehouse_sales_by_bucket(src):
     wh = Warehouse(spark, f"{shared_dir(spark)}/ledgerlight-wh-{uuid.uuid4().hex}")
     wh.load("sales", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF, config.FIXTURE_DOMAIN)
     return R.count_by_pet_bucket(wh.read("Sales", *WW), "PolicyNumber", *WW, countries="nz, AU")
+
+
+@register("reload_keeps_columns", ("sales_wh",), ids="B1", oracle=f"""
+SELECT PolicyNumber, CreatedDate,
+       CASE WHEN CAST(CreatedDate AS DATE) BETWEEN DATE '2001-01-15' AND DATE '2001-06-20' THEN NULL
+            ELSE PetType END AS PetType
+FROM sales_wh
+""")
+def reload_keeps_columns(src):
+    """A reload whose rows lack a column of the target: rows outside the window
+    keep its values, also in the months that the window cuts."""
+    spark = src.spark
+    target = f"{shared_dir(spark)}/ledgerlight-keep-{uuid.uuid4().hex}/Sales"
+    sales = src["sales_wh"].select("PolicyNumber", "CreatedDate", "PetType")
+    load.windowed_replace(spark, sales, target, *config.FULL_WINDOW)
+    load.windowed_replace(spark, sales.drop("PetType").where(K.in_window("CreatedDate", *WW)), target, *WW)
+    return spark.read.parquet(target).drop(load.MONTH_COL)
+
+
+@register("load_summary", ("sales_wh",), ids="B9 B12 N18", oracle="""
+SELECT CAST(count_if(QuoteCreatedDate IS NOT NULL) AS BIGINT) AS rows_loaded,
+       CAST(count_if(QuoteCreatedDate IS NULL) AS BIGINT) AS rows_rejected
+FROM (SELECT CASE WHEN QuoteNumber LIKE '%7' THEN NULL ELSE QuoteCreatedDate END AS QuoteCreatedDate FROM sales_wh) s
+""")
+def load_summary(src):
+    """Rows without a date are rejected and counted."""
+    spark = src.spark
+    target = f"{shared_dir(spark)}/ledgerlight-sum-{uuid.uuid4().hex}/Sales"
+    rows = src["sales_wh"].withColumn("QuoteCreatedDate", F.when(~F.col("QuoteNumber").like("%7"), F.col("QuoteCreatedDate")))
+    got = load.windowed_replace(spark, rows, target, *config.FULL_WINDOW, date_col="QuoteCreatedDate")
+    return spark.createDataFrame([(got.rows_loaded, got.rows_rejected)], "rows_loaded long, rows_rejected long")
+
+
+@register("crm_window_read", ("crm_wh",), ids="B1", oracle="""
+SELECT QuoteNumber, QuoteCreatedDate, QuoteStartDate FROM crm_wh
+WHERE QuoteCreatedDate >= DATE '2001-01-15' AND QuoteCreatedDate < DATE '2001-06-21'
+""")
+def crm_window_read(src):
+    """A window on another date than the one the table's months come from."""
+    spark = src.spark
+    target = f"{shared_dir(spark)}/ledgerlight-crm-{uuid.uuid4().hex}/CRM"
+    rows = src["crm_wh"].select("QuoteNumber", "QuoteCreatedDate", "QuoteStartDate")
+    load.windowed_replace(spark, rows, target, *config.FULL_WINDOW, date_col="QuoteStartDate")
+    return load.read_window(spark, target, *WW, date_col="QuoteCreatedDate").drop(load.MONTH_COL)

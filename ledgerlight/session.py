@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -67,8 +68,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared work folder (``spark.checkpoint.dir``).
 
     On a cluster this setting names shared storage every executor can reach;
-    it is read from the session.  Only when it is unset (local tests) a
-    private folder is created and registered as the checkpoint dir."""
+    it is read from the session.  Without it a cluster run stops here, as its
+    executors would write to disks that nobody else sees; a local session
+    (tests) gets a private folder, registered as the checkpoint dir."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -77,6 +79,8 @@ def shared_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return conf.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="ledgerlight-ckpt-")
     sc.setCheckpointDir(path)
     return (sc.getCheckpointDir() or path).rstrip("/")

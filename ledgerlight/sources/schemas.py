@@ -1,7 +1,9 @@
-"""Warehouse table schemas (1.3) with string lengths kept in field metadata.
+"""Warehouse table schemas (1.3).
 
-``max_length`` plays the role of ``NVARCHAR(n)``: the loader cuts strings to
-it (B3/B4) and reports how many values were cut.
+A string's length limit is a matter of the target table: it is field metadata
+(``max_length``, in the role of ``NVARCHAR(n)``) that ``with_widths`` declares.
+The loader cuts strings to it (B3/B4) and reports how many values were cut;
+without a declared limit nothing is cut.
 """
 
 from __future__ import annotations
@@ -9,45 +11,45 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _s(name: str, n: int | None = None) -> T.StructField:
-    return T.StructField(name, T.StringType(), True, {"max_length": n} if n else {})
+def _s(name: str) -> T.StructField:
+    return T.StructField(name, T.StringType(), True)
 
 
 def _ts(name: str) -> T.StructField:
     return T.StructField(name, T.TimestampNTZType(), True)
 
 
-TAGS = [_s("CountryCode", 10), _s("CountryName", 50), _ts("ETLDateUploaded")]
+TAGS = [_s("CountryCode"), _s("CountryName"), _ts("ETLDateUploaded")]
 
 QUOTE = T.StructType([
-    _s("Brand", 50), _ts("PolicyCreatedDate"), _s("QuoteNumber", 50), _ts("CreatedDate"),
-    _ts("QuoteStartDate"), _ts("QuoteExpiryDate"), _s("QuoteReceivedMethod", 20),
-    _s("PolicyNumber", 50), _ts("PolicyStartDate"), _ts("PolicyEndDate"), _s("FullName", 40),
-    _s("Email", 100), _s("Address"), _s("Suburb", 100), _s("PostCode", 20), _s("ContactNo", 50),
-    _s("PetName", 100), _s("PetType", 50), _ts("PetBirthDate"), _s("BreedName", 100), *TAGS,
+    _s("Brand"), _ts("PolicyCreatedDate"), _s("QuoteNumber"), _ts("CreatedDate"),
+    _ts("QuoteStartDate"), _ts("QuoteExpiryDate"), _s("QuoteReceivedMethod"),
+    _s("PolicyNumber"), _ts("PolicyStartDate"), _ts("PolicyEndDate"), _s("FullName"),
+    _s("Email"), _s("Address"), _s("Suburb"), _s("PostCode"), _s("ContactNo"),
+    _s("PetName"), _s("PetType"), _ts("PetBirthDate"), _s("BreedName"), *TAGS,
 ])
 
 SALES = T.StructType([
-    _s("Brand", 50), _s("PolicyNumber", 50), _ts("CreatedDate"), _ts("ActualStartDate"),
-    _s("ProductName", 100), _s("PetType", 50), _s("ClientName", 100), _s("PetName", 100),
-    _s("SaleMethod", 20), _s("QuoteNumber", 50), _ts("QuoteCreatedDate"), *TAGS,
+    _s("Brand"), _s("PolicyNumber"), _ts("CreatedDate"), _ts("ActualStartDate"),
+    _s("ProductName"), _s("PetType"), _s("ClientName"), _s("PetName"),
+    _s("SaleMethod"), _s("QuoteNumber"), _ts("QuoteCreatedDate"), *TAGS,
 ])
 
 FREE_POLICY = T.StructType([
-    _s("Brand", 50), _s("QuoteNumber", 50), _s("PolicyNumber", 50), _ts("CreatedDate"),
-    _s("SubAgentName", 16), T.StructField("AgentCategoryId", T.IntegerType(), True),
-    _s("PetType", 50), _s("ProductName", 100), _s("StateName", 50), _s("SaleMethod", 20),
-    _s("PolicyStatusName", 50), *TAGS,
+    _s("Brand"), _s("QuoteNumber"), _s("PolicyNumber"), _ts("CreatedDate"),
+    _s("SubAgentName"), T.StructField("AgentCategoryId", T.IntegerType(), True),
+    _s("PetType"), _s("ProductName"), _s("StateName"), _s("SaleMethod"),
+    _s("PolicyStatusName"), *TAGS,
 ])
 
 CRM = T.StructType([
-    _s("Brand", 50), _s("Country", 100), _s("BusinessName", 100), _s("BusinessType", 100),
-    _s("CustomerStatus", 50), _s("FreePolicy", 3), _s("QuoteStatus", 10), _s("QuoteNumber", 50),
-    _s("PolicyNumber", 50), _s("QuoteReceivedMethod", 20), _ts("QuoteCreatedDate"),
+    _s("Brand"), _s("Country"), _s("BusinessName"), _s("BusinessType"),
+    _s("CustomerStatus"), _s("FreePolicy"), _s("QuoteStatus"), _s("QuoteNumber"),
+    _s("PolicyNumber"), _s("QuoteReceivedMethod"), _ts("QuoteCreatedDate"),
     _ts("QuoteStartDate"), _ts("QuoteEndDate"), _ts("OriginalPolicyStartDate"), _ts("PolicyEndDate"),
-    _s("FirstName", 100), _s("LastName", 100), _s("Email", 100), _s("ContactNo", 50),
-    _s("EmailConcent", 3), _s("PetName", 100), _s("PetType", 50), _ts("PetBirthDate"),
-    T.StructField("PetBreedId", T.IntegerType(), True), _s("BreedName", 100), *TAGS,
+    _s("FirstName"), _s("LastName"), _s("Email"), _s("ContactNo"),
+    _s("EmailConcent"), _s("PetName"), _s("PetType"), _ts("PetBirthDate"),
+    T.StructField("PetBreedId", T.IntegerType(), True), _s("BreedName"), *TAGS,
 ])
 
 WAREHOUSE = {"Quote": QUOTE, "Sales": SALES, "FreePolicySales": FREE_POLICY, "CRM": CRM}
@@ -57,3 +59,10 @@ def max_length(field: T.StructField) -> int | None:
     """Length limit of a column, if any."""
     n = (field.metadata or {}).get("max_length")
     return int(n) if n else None
+
+
+def with_widths(schema: T.StructType, widths: dict[str, int]) -> T.StructType:
+    """The schema with length limits declared for some string columns."""
+    return T.StructType([
+        T.StructField(f.name, f.dataType, f.nullable, {**(f.metadata or {}), "max_length": widths[f.name]})
+        if f.name in widths else f for f in schema.fields])

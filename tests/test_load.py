@@ -5,6 +5,8 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,7 +92,8 @@ def test_csv_roundtrip_keeps_blanks_and_booleans(spark):
 
 
 def test_schemas_lengths():
-    assert schemas.max_length(schemas.QUOTE["FullName"]) == 40
+    assert schemas.max_length(schemas.QUOTE["FullName"]) is None
+    assert schemas.max_length(schemas.with_widths(schemas.QUOTE, {"FullName": 40})["FullName"]) == 40
     assert schemas.max_length(schemas.QUOTE["Address"]) is None
 
 
@@ -210,3 +213,54 @@ def test_windowed_replace_matches_a_brute_force_model(spark):
     r = load.windowed_replace(spark, _rows(spark, [("b", dt.datetime(2024, 2, 4), 2)]), target,
                               "2024-02-01", "2024-02-29", work_dir=work)
     assert [(x.k, x.v) for x in spark.read.parquet(target).collect()] == [("b", 2)]
+
+
+def test_reload_keeps_the_targets_columns(spark, tmp_path):
+    target, work = str(tmp_path / "t"), str(tmp_path / "w")
+    d = dt.datetime
+    old = _rows(spark, [("a", d(2024, 1, 10), 1), ("b", d(2024, 1, 25), 2)]).selectExpr("*", "'kept' AS extra")
+    load.windowed_replace(spark, old, target, "2024-01-01", "2024-01-31", work_dir=work)
+    new = _rows(spark, [("c", d(2024, 1, 11), 3)]).selectExpr("*", "1 AS unknown")
+    load.windowed_replace(spark, new, target, "2024-01-01", "2024-01-15", work_dir=work)
+    got = {r[0]: r["extra"] for r in spark.read.parquet(target).select(old.columns[0], "extra").collect()}
+    assert got == {"b": "kept", "c": None} and "unknown" not in spark.read.parquet(target).columns
+    assert not any((tmp_path / "w").glob("_staging/*/*"))
+
+
+def test_a_stopped_reload_is_finished_by_the_next(spark, tmp_path, monkeypatch):
+    target, work = str(tmp_path / "t"), str(tmp_path / "w")
+    d = dt.datetime
+    old = _rows(spark, [("a", d(2024, 1, 10), 1), ("b", d(2024, 1, 25), 2), ("c", d(2024, 2, 3), 3)])
+    load.windowed_replace(spark, old, target, "2024-01-01", "2024-02-28", work_dir=work)
+    publish = load._publish
+
+    def stop(spark, staging, target, present, emptied, location):
+        load._delete(spark, f"{target}/{load.MONTH_COL}=2024-01")  # between delete and rename
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(load, "_publish", stop)
+    with pytest.raises(RuntimeError):
+        load.windowed_replace(spark, _rows(spark, [("n", d(2024, 1, 11), 9)]), target, "2024-01-01", "2024-01-15", work_dir=work)
+    monkeypatch.setattr(load, "_publish", publish)
+    # Another window is loaded next: the first one is completed before it.
+    load.windowed_replace(spark, _rows(spark, [("z", d(2024, 2, 4), 5)]), target, "2024-02-01", "2024-02-10", work_dir=work)
+    assert sorted(r[0] for r in spark.read.parquet(target).collect()) == ["b", "n", "z"]
+
+
+def test_window_on_another_date_is_not_pruned(spark, tmp_path):
+    target, work = str(tmp_path / "t"), str(tmp_path / "w")
+    rows = spark.createDataFrame([(dt.datetime(2024, 2, 2), dt.datetime(2024, 1, 31))], "QuoteStartDate timestamp_ntz, QuoteCreatedDate timestamp_ntz")
+    load.windowed_replace(spark, rows, target, "2024-02-01", "2024-02-28", date_col="QuoteStartDate", work_dir=work)
+    assert load.month_source(spark.read.parquet(target).schema) == "QuoteStartDate"
+    assert load.read_window(spark, target, "2024-01-01", "2024-01-31", "QuoteCreatedDate").count() == 1
+    assert load.read_window(spark, target, "2024-02-01", "2024-02-28").count() == 1
+    with pytest.raises(ValueError):
+        load.windowed_replace(spark, rows, target, "2024-01-01", "2024-01-31", date_col="QuoteCreatedDate", work_dir=work)
+
+
+def test_csv_keeps_fractions(spark, tmp_path):
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1, 10, 0, 0, 123000),), (dt.datetime(2024, 1, 1, 10),)], "t timestamp_ntz")
+    path = csv_export.write_csv(rows, str(tmp_path / "x"), [F.col("t").asc()])
+    assert sorted(r["t"] for r in csv_export.read_csv(spark, path, rows.schema).collect()) == sorted(r["t"] for r in rows.collect())
+    lines = {r[0] for r in spark.read.text(path).collect()}
+    assert {"2024-01-01 10:00:00", "2024-01-01 10:00:00.123000"} <= lines
