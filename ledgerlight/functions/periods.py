@@ -23,14 +23,15 @@ DateLike = dt.date | str
 
 
 def to_date(value: DateLike) -> dt.date:
-    """Coerce an argument to a date; refuse NULL."""
+    """Coerce an argument (date, or ISO date or date-time text) to a date;
+    refuse NULL and text with anything else in it."""
     if value is None:
         raise ValueError("date argument is required")
     if isinstance(value, dt.datetime):
         return value.date()
     if isinstance(value, dt.date):
         return value
-    return dt.date.fromisoformat(str(value).strip()[:10])
+    return dt.datetime.fromisoformat(str(value).strip()).date()
 
 
 def add_months(d: DateLike, months: int) -> dt.date:
@@ -77,10 +78,9 @@ def lookback_start(start: DateLike, end: DateLike, months: int | None) -> dt.dat
     s, e = to_date(start), to_date(end)
     if not months or months <= 0:
         return s
-    total = e.year * 12 + (e.month - 1) - (months - 1)
-    y, m = divmod(total, 12)
-    m += 1
-    return dt.date(y, m, min(s.day, calendar.monthrange(y, m)[1]))
+    first = add_months(e.replace(day=1), 1 - months)
+    last = add_months(first, 1) - dt.timedelta(days=1)
+    return min(first + dt.timedelta(days=s.day - 1), last)
 
 
 def same_calendar_month(start: DateLike, end: DateLike) -> bool:

@@ -210,11 +210,21 @@ SELECT {METHOD.replace('m)', 'QuoteReceivedMethod)')} AS method,
 FROM quote_wh
 WHERE CreatedDate >= DATE '2000-12-05' AND CreatedDate < DATE '2001-06-21'
 GROUP BY 1
+HAVING total > 0 OR period_total > 0
 """)
 def method_period_totals(src):
     return R.method_totals(src["quote_wh"], "QuoteReceivedMethod", "QuoteNumber", *MW)
 
 
+@register("total_quotes", ("quote_wh",), ids="M15", oracle=f"""
+SELECT CAST(count(QuoteNumber) AS BIGINT) AS total_quotes FROM quote_wh
+WHERE CreatedDate >= DATE '2000-12-05' AND CreatedDate < DATE '2001-06-21' AND {_clamp('CreatedDate', 5, 20)}
+""")
+def total_quotes(src):
+    totals = R.method_totals(src["quote_wh"], "QuoteReceivedMethod", "QuoteNumber", *MW)
+    return R.grand_total(totals, "total", "total_quotes")
+
+
 @register("breakdown_share", ("free_wh",), ids="M18 F10 G9 L4", oracle="""
 WITH base AS (SELECT PolicyStatusName, PetType, SaleMethod FROM free_wh
               WHERE CreatedDate >= DATE '2001-01-15' AND CreatedDate < DATE '2001-06-21'),
@@ -328,7 +338,7 @@ def listing_by_pet_type(src):
           oracle=_quote_listing_oracle("conversion", "2001-01-15", "2001-06-21", f"AND {FLT}", 0, 10000))
 def listing_conversion(src):
     return R.quote_listing(src["quote_wh"], *WW, AS_OF, COUNTRIES, "all", PETS, skip=0,
-                           limit=50000, shape="conversion")
+                           limit=10000, shape="conversion")
 
 
 @register("listing_receive_method", ("quote_wh",), ids="M15 K5 K-clamp H1 H3 G8 N24",
@@ -394,3 +404,13 @@ SELECT pg.*, (SELECT CAST(count(*) AS BIGINT) FROM rows) AS TotalRecords FROM pg
 def listing_policy(src):
     return R.policy_listing(src["crm_wh"], *WW, EXTRACTED_AT, date_basis="QuoteStartDate",
                             policy_type="YES", order="asc", skip=5, limit=100)
+
+
+@register("total_policies", ("crm_wh",), ids="M22", oracle=f"""
+SELECT CAST(count(*) AS BIGINT) AS total_policies FROM crm_wh
+WHERE OriginalPolicyStartDate >= DATE '2000-08-15' AND OriginalPolicyStartDate < DATE '2001-06-21'
+  AND {_clamp('OriginalPolicyStartDate', 15, 20)}
+""")
+def total_policies(src):
+    trend = R.policy_month_trend(src["crm_wh"], *WW, months=11, date_basis="OriginalPolicyStartDate")
+    return R.grand_total(trend, "policyCount", "total_policies")

@@ -3,8 +3,10 @@
 The reference's ``*_stream`` modules stream a finite query to an HTTP client
 as CSV in 5 000-row fetches.  In Spark the same result is a distributed write:
 every task writes its own part file, nothing passes through the driver.  The
-writer options reproduce Python's ``csv`` module output: header row, empty
-field for NULL, doubled quotes, ``yyyy-MM-dd HH:mm:ss`` timestamps.
+writer options reproduce Python's ``csv`` module output: empty field for NULL,
+doubled quotes, timestamps with a fraction only where there is one.  Every part
+file has a header row and can be read on its own; part files are named in
+the order of the sort.
 """
 
 from __future__ import annotations
@@ -19,8 +21,6 @@ CSV_OPTIONS = {
     "nullValue": "",
     "quote": '"',
     "escape": '"',
-    "timestampFormat": "yyyy-MM-dd HH:mm:ss",
-    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
     "dateFormat": "yyyy-MM-dd",
     # Python's csv module keeps surrounding blanks; Spark trims them by default.
     "ignoreLeadingWhiteSpace": "false",
@@ -39,12 +39,16 @@ def export_filename(base: str, start, end, day_window: tuple[int, int] | None =
 
 
 def csv_ready(df: DataFrame) -> DataFrame:
-    """Booleans as ``True``/``False`` like Python's writer."""
+    """Booleans and timestamps as Python's writer prints them."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.BooleanType):
             cols.append(F.when(F.col(f.name), F.lit("True"))
                          .when(~F.col(f.name), F.lit("False")).alias(f.name))
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            whole = F.date_trunc("second", F.col(f.name)).cast(f.dataType) == F.col(f.name)
+            cols.append(F.when(whole, F.date_format(f.name, "yyyy-MM-dd HH:mm:ss"))
+                         .otherwise(F.date_format(f.name, "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -53,17 +57,19 @@ def csv_ready(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, order=None) -> str:
     """Sorted CSV export (range-partitioned sort, one part per task).
     Hidden columns (leading ``_``, e.g. a sort key) are not written."""
-    out = csv_ready(df)
-    if order is not None:
-        out = out.orderBy(*order)
-    out = out.select(*[c for c in out.columns if not c.startswith("_")])
+    out = df if order is None else df.orderBy(*order)
+    out = csv_ready(out.select(*[c for c in out.columns if not c.startswith("_")]))
     out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
     return path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read an export back with the schema it was written from."""
+    shown = [f for f in schema.fields if not f.name.startswith("_")]
+    stamps = (T.TimestampType, T.TimestampNTZType)
+    as_text = (T.BooleanType, *stamps)
     read_schema = T.StructType([
-        T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.BooleanType) else f.dataType)
-        for f in schema.fields if not f.name.startswith("_")])
-    return spark.read.options(**CSV_OPTIONS).schema(read_schema).csv(path)
+        T.StructField(f.name, T.StringType() if isinstance(f.dataType, as_text) else f.dataType) for f in shown])
+    rows = spark.read.options(**CSV_OPTIONS).schema(read_schema).csv(path)
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if isinstance(f.dataType, stamps)
+                         else F.col(f.name) for f in shown])

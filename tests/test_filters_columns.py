@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import columns as C
@@ -23,8 +24,10 @@ def test_normalize_regions():
 
 
 def test_page_and_sort_guards():
-    assert D.page_args(-5, 0) == (0, 1)
-    assert D.page_args(3, 50_000) == (3, 10_000)
+    assert D.page_args("3", 10_000) == (3, 10_000)
+    for bad in ((-5, 10), (0, 0), (3, 50_000)):
+        with pytest.raises(ValueError):
+            D.page_args(*bad)
     assert D.sort_direction("asc") == "ASC" and D.sort_direction("sideways") == "DESC"
     assert D.choose_date_basis("Nope") == "QuoteCreatedDate"
     assert D.status_list("all") is None and D.status_list([" Active ", ""]) == ["Active"]
