@@ -15,6 +15,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlight.functions.filters import page_args
 
@@ -22,7 +23,6 @@ from ledgerlight.functions.filters import page_args
 # Beyond this many rows (skip + limit) a page is cut from a range-partitioned
 # sort instead of per-task top-k lists.
 DEEP_PAGE_ROWS = 100_000
-_IDX_BITS = 33  # monotonically_increasing_id: partition id above bit 33
 
 
 def page(df: DataFrame, order: Sequence[Column], skip: int = 0, limit: int = 100,
@@ -44,31 +44,28 @@ def page(df: DataFrame, order: Sequence[Column], skip: int = 0, limit: int = 100
 
 
 def deep_page(df: DataFrame, order: Sequence[Column], skip: int, limit: int) -> DataFrame:
-    """Exact deep page: range-partition and sort once, number the rows within
-    each partition, write that to the shared folder (both passes then see the
-    same rows and the lineage ends there), turn the per-partition counts --
-    one number per partition -- into global offsets, and keep the slice."""
+    """Exact deep page: range-partition once and write the ranges to the shared
+    folder (both passes then see the same rows and the lineage ends there);
+    the count of each range tells which of them hold the slice."""
     from ledgerlight.session import shared_dir
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/_pages/{uuid.uuid4().hex}"
-    mid = F.monotonically_increasing_id()
-    numbered = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-                  .withColumn("_pid", F.shiftright(mid, _IDX_BITS))
-                  .withColumn("_idx", mid.bitwiseAND(F.lit((1 << _IDX_BITS) - 1))))
-    numbered.write.mode("overwrite").parquet(path)
-    rows = spark.read.parquet(path)
+    (df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+       .write.mode("overwrite").partitionBy("_pid").parquet(path))
+    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(path)
     counts = sorted((r["_pid"], r["n"]) for r in
                     rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, running = {}, 0
+    # Only the ranges that hold the slice are read again and sorted.
+    before, held, running = 0, [], 0
     for pid, n in counts:
-        offsets[pid] = running
+        if running + n <= skip:
+            before = running + n
+        elif running < skip + limit:
+            held.append(pid)
         running += n
-    if not offsets:
-        return rows.drop("_pid", "_idx")
-    start_of = F.create_map(*[x for pid, off in offsets.items() for x in (F.lit(pid), F.lit(off))])
-    pos = start_of[F.col("_pid")] + F.col("_idx")
-    return (rows.where((pos >= skip) & (pos < skip + limit))
-                .orderBy(pos).drop("_pid", "_idx"))
+    return (rows.where(F.col("_pid").isin(held)).drop("_pid").orderBy(*order)
+                .offset(skip - before).limit(limit))
 
 
 def total(df: DataFrame, count_col: str | None = None, out_col: str = "TotalRecords") -> DataFrame:

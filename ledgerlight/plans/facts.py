@@ -9,8 +9,8 @@ run time, so a dimension that grows past the threshold falls back to a
 shuffle join instead of blowing up executors.  Fan-out joins (quote ->
 policy activity, policy -> cancellation) are made skew-safe: the quote facts
 pre-reduce activities to the one row per quote the rank would keep
-(``best_policy_per_quote``), and the sales facts run the cancellation fan-out
-on a two-column projection with ``joins.fanout_left_join``.
+(``best_policy_per_quote``), and the sales facts count cancellations per
+policy before they join them.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from ledgerlight.config import Domain
 from ledgerlight.functions import columns as C
 from ledgerlight.functions import filters as D
 from ledgerlight.functions import periods as K
-from ledgerlight.operators import dedupe, joins, listagg
+from ledgerlight.operators import dedupe, listagg
 
 Src = Mapping[str, DataFrame]
 
@@ -252,8 +252,8 @@ def _sales_joins(src: Src, start, end, domain: Domain, product_how: str) -> Data
     """J9-J14 shared by both sales facts."""
     p = src["policy_full_src"].alias("p")
     p = p.where(K.in_window("created_date", start, end))
-    pc = src["cancel_src"].select(F.col("id").alias("pc_id"), F.col("policy_id").alias("pc_policy_id"),
-                                  F.col("created_date").alias("pc_created"))
+    pc = (src["cancel_src"].groupBy(F.col("policy_id").alias("pc_policy_id"), F.col("created_date").alias("pc_created"))
+          .agg(F.count(F.lit(1)).cast("int").alias("pc_n")))
     client = src["client_src"].alias("c")
     pa = src["policy_src"].where(F.col("transaction_type_id") == 1).select(
         F.col("id").alias("pa_policy_id"), F.col("product_id").alias("pa_product_id"),
@@ -266,15 +266,13 @@ def _sales_joins(src: Src, start, end, domain: Domain, product_how: str) -> Data
                                     F.col("hear_about_us").alias("q_hear_about"))
     user = src["user_dim"].select(F.col("id").alias("u_id"), F.col("first_name").alias("u_first"))
     test = domain.quote_name_patterns
-    # J9 + D13 on a two-column projection: one row per kept (policy,
-    # cancellation) pair -- several late cancellations repeat the policy, as
-    # in the reference.  The fan-out join is skew-safe; joining the kept ids
-    # back to the policies is an inner join, which AQE can split on a hot id.
-    narrow = p.select(F.col("p.id").alias("k_id"), F.col("p.created_date").alias("k_created"))
-    kept = (joins.fanout_left_join(narrow, pc, "k_id", "pc_policy_id")
-            .where(D.late_cancellation_keep("pc_id", "pc_created", "k_created"))
-            .select("k_id"))
-    return (p.join(kept, F.col("k_id") == F.col("p.id"), "inner")
+    # J9 + D13: several late cancellations repeat the policy, as in the
+    # reference, but nothing else of them is used.  They are counted per policy
+    # and time before the shuffle, so a policy with very many of them costs a
+    # few rows, and the policy is repeated by the count after the join.
+    late = D.late_cancellation_keep("pc_policy_id", "pc_created", "p.created_date")
+    return (p.join(pc, F.col("pc_policy_id") == F.col("p.id"), "left").where(late)
+             .withColumn("_again", F.explode(F.sequence(F.lit(1), F.coalesce("pc_n", F.lit(1)))))
              .join(client, F.col("p.client_id") == F.col("c.id"), "left")
              .join(pa, F.col("pa_policy_id") == F.col("p.id"), "left")
              .join(product, F.col("po_id") == F.col("pa_product_id"), product_how)

@@ -72,7 +72,7 @@ def _free_etl_oracle() -> str:
     return _etl_oracle("free_policies")
 
 
-@register("etl_job", (), ids="M8 A1 A2 A3 A4 I3 K11 B3 B4 B6 C17", oracle_fn=_free_etl_oracle)
+@register("etl_job", (), ids="M8 A2 A3 A4 I3 K11 B3 B4 B6 C17", oracle_fn=_free_etl_oracle)
 def etl_job(src):
     """Free-policy ETL frame: five regions, tagged, cleaned, conformed."""
     return etl.etl_frame("free_policies", _fixture_regions(src), *config.FULL_WINDOW, config.AS_OF, config.FIXTURE_DOMAIN)
@@ -121,7 +121,7 @@ SALES_COLS = ["CountryCode", "CountryName", "Brand", "PolicyNumber", "CreatedDat
               "QuoteCreatedDate"]
 
 
-@register("windowed_replace", ("sales_wh",), ids="B1 B9 B12 N18", oracle=f"""
+@register("windowed_replace", ("sales_wh",), ids="B1", oracle=f"""
 SELECT {', '.join(SALES_COLS)}, strftime(CreatedDate, '%Y-%m') AS created_month
 FROM sales_wh
 WHERE NOT (CAST(CreatedDate AS DATE) BETWEEN DATE '2001-01-15' AND DATE '2001-06-20')
@@ -181,7 +181,7 @@ def conform_truncate(src):
 CSV_COLS = R.QUOTE_LISTING_COLUMNS
 
 
-@register("csv_roundtrip", ("quote_wh",), ids="B10 B11 M10-CSV", oracle=f"""
+@register("csv_roundtrip", ("quote_wh",), ids="B10 M10-CSV", oracle=f"""
 SELECT CountryName, CountryCode, Brand, QuoteNumber,
        CASE WHEN coalesce(QuoteExpiryDate, QuoteStartDate) IS NULL THEN NULL
             WHEN DATE '2001-07-10' > QuoteExpiryDate THEN 'Lapsed' ELSE 'Live' END AS QuoteStatus,

@@ -37,7 +37,7 @@ _EXCL = ("{f} NOT ILIKE '%test%' AND {l} NOT ILIKE '%test%' AND "
          + " AND ".join("{e} NOT ILIKE '" + p + "'" for p in MAILS))
 
 
-@register("exclude_test_rows_drop_null", ("client_src",), ids="D8 D9 N8 (three-valued)", oracle=f"""
+@register("exclude_test_rows_drop_null", ("client_src",), ids="D8 N8 (three-valued)", oracle=f"""
 SELECT id, first_name, last_name, email FROM client_src
 WHERE {_EXCL.format(f='first_name', l='last_name', e='email')}
 """)
@@ -47,7 +47,7 @@ def exclude_test_rows_drop_null(src):
         "id", "first_name", "last_name", "email")
 
 
-@register("exclude_test_rows_keep_null", ("client_src",), ids="D8 D10 N8 (ISNULL form)", oracle=f"""
+@register("exclude_test_rows_keep_null", ("client_src",), ids="D8 N8 (ISNULL form)", oracle=f"""
 SELECT id, first_name, last_name, email FROM client_src
 WHERE {_EXCL.format(f="coalesce(first_name, '')", l="coalesce(last_name, '')", e="coalesce(email, '')")}
 """)
@@ -130,8 +130,16 @@ def existence_priority_rank(src):
     ).select("id", "first_name", "last_name", "pet_name")
 
 
-@register("semi_join_latest_policy", ("quote_src", "policy_src"), ids="J24 J25 J26 G6", oracle="""
-WITH picked AS (SELECT id FROM quote_src WHERE quote_save_from = 2),
+@register("semi_join_latest_policy", ("quote_src", "policy_src"), ids="J24 J25 J26 G5 G6", oracle="""
+WITH ranked AS (
+  SELECT q.id, row_number() OVER (PARTITION BY q.first_name, q.last_name, q.pet_name
+           ORDER BY CASE WHEN EXISTS (SELECT 1 FROM policy_src pa WHERE pa.quote_id = q.id) THEN 0 ELSE 1 END,
+                    q.quote_date DESC NULLS LAST,
+                    CASE WHEN coalesce(nullif(q.breed_id1, 0), nullif(q.breed_id2, 0), nullif(q.breed_id3, 0))
+                         IS NOT NULL THEN 0 ELSE 1 END,
+                    q.id) AS rn
+  FROM quote_src q),
+picked AS (SELECT id FROM ranked WHERE rn = 1),
 lp AS (SELECT pa.quote_id, pa.policy_number, pa.created_date,
               row_number() OVER (PARTITION BY pa.quote_id
                                  ORDER BY pa.created_date DESC NULLS LAST, pa.policy_number) AS rn
@@ -141,7 +149,7 @@ SELECT picked.id AS quote_id, lp.policy_number, lp.created_date
 FROM picked LEFT JOIN lp ON lp.quote_id = picked.id AND lp.rn = 1
 """)
 def semi_join_latest_policy(src):
-    picked = src["quote_src"].where(F.col("quote_save_from") == 2).select(F.col("id").alias("quote_id"))
+    picked = existence_priority_rank(src).select(F.col("id").alias("quote_id"))
     pa = src["policy_src"].select("quote_id", "policy_number", "created_date")
     pol = src["policy_src"].select(F.col("policy_number").alias("p_number"))
     lp = (pa.join(picked, "quote_id", "left_semi")
@@ -150,18 +158,20 @@ def semi_join_latest_policy(src):
     return picked.join(lp.select("quote_id", "policy_number", "created_date"), "quote_id", "left")
 
 
-@register("dedupe_normalised", ("quote_src",), ids="G1 D15", oracle="""
-WITH r AS (SELECT id, created_date, email, pet_name,
-                  row_number() OVER (PARTITION BY CAST(created_date AS DATE), lower(trim(email)),
-                                                  lower(trim(pet_name)) ORDER BY id DESC) AS rn
-           FROM quote_src)
-SELECT id, created_date, email, pet_name FROM r WHERE rn = 1
+@register("dedupe_normalised", ("quote_src", "product_dim"), ids="G1 D15", oracle="""
+WITH r AS (SELECT q.id, q.created_date, q.email, q.pet_name, p.pet_type_id,
+                  row_number() OVER (PARTITION BY CAST(q.created_date AS DATE), lower(trim(q.email)), p.pet_type_id,
+                                                  lower(trim(q.pet_name)) ORDER BY q.id DESC) AS rn
+           FROM quote_src q JOIN product_dim p ON p.id = q.product_id)
+SELECT id, created_date, email, pet_type_id, pet_name FROM r WHERE rn = 1
 """)
 def dedupe_normalised(src):
-    q = src["quote_src"]
+    product = src["product_dim"].select(F.col("id").alias("product_id"), "pet_type_id")
+    q = src["quote_src"].join(product, "product_id")
     return dedupe.latest_per_key(
-        q, [F.to_date("created_date"), dedupe.normalised_key("email"), dedupe.normalised_key("pet_name")],
-        [F.col("id").desc()]).select("id", "created_date", "email", "pet_name")
+        q, [F.to_date("created_date"), dedupe.normalised_key("email"), F.col("pet_type_id"),
+            dedupe.normalised_key("pet_name")],
+        [F.col("id").desc()]).select("id", "created_date", "email", "pet_type_id", "pet_name")
 
 
 def _clamp_oracle(s: int, e: int, lo: str, hi: str) -> str:
@@ -284,7 +294,7 @@ def quote_status_flags(src):
         C.details_completed().alias("QuoteDetailsCompleted"))
 
 
-@register("customer_status_flags", ("crm_wh",), ids="C22 C23 C24 C25 C26", oracle="""
+@register("customer_status_flags", ("crm_wh",), ids="C22 C25 C26", oracle="""
 SELECT QuoteNumber,
        CASE WHEN PolicyNumber IS NULL THEN 'Quote'
             WHEN DATE '2001-07-10' < PolicyEndDate THEN
@@ -451,7 +461,7 @@ def class_join_filtered(src):
              .select("id", "product_name", "pet_type_name"))
 
 
-@register("brand_rules", ("quote_wh",), ids="C15 C16 C17", oracle="""
+@register("brand_rules", ("quote_wh",), ids="C15 C16", oracle="""
 SELECT QuoteNumber,
        CASE WHEN PetType = 'BB_Commercial' THEN 'BB'
             WHEN length(coalesce(PolicyNumber, '')) % 3 = 0 THEN 'BPIS'

@@ -225,7 +225,7 @@ def total_quotes(src):
     return R.grand_total(totals, "total", "total_quotes")
 
 
-@register("breakdown_share", ("free_wh",), ids="M18 F10 G9 L4", oracle="""
+@register("breakdown_share", ("free_wh",), ids="M18 F10 G9", oracle="""
 WITH base AS (SELECT PolicyStatusName, PetType, SaleMethod FROM free_wh
               WHERE CreatedDate >= DATE '2001-01-15' AND CreatedDate < DATE '2001-06-21'),
 g AS (SELECT 'status' AS level, PolicyStatusName AS name, count(*) AS value FROM base GROUP BY PolicyStatusName
@@ -319,7 +319,7 @@ SELECT {cols}, (SELECT CAST(count(QuoteNumber) AS BIGINT) FROM rows) AS TotalRec
 """
 
 
-@register("listing_quote", ("quote_wh",), ids="M10 C18 C19 C21 C31 H1 H3 G8 F3 D23",
+@register("listing_quote", ("quote_wh",), ids="M10 C18 C19 C21 C31 H1 H3 G8 F3",
           oracle=_quote_listing_oracle("quote", "2001-01-15", "2001-06-21", f"AND {FLT}", 50, 100))
 def listing_quote(src):
     return R.quote_listing(src["quote_wh"], *WW, AS_OF, COUNTRIES, "all", PETS, skip=50, limit=100)

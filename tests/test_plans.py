@@ -49,10 +49,17 @@ def test_policy_choice_is_partial_top1_before_the_quote_join(spark):
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
-def test_fanout_join_has_no_outer_join_in_sales_fact(spark):
-    df = REGISTRY["fact_sales_a"].spark(spark, SF001)
+def test_sales_fact_counts_cancellations_before_one_join(spark):
+    """Cancellations are read once, and counted before the shuffle."""
+    from ledgerlight import config
+    from ledgerlight.plans import facts
+    from ledgerlight.sources.adapters import Sources
+    src = Sources(spark, SF001)
+    cancels = spark.createDataFrame([(1, 1, None)], "id long, policy_id long, created_date timestamp_ntz")
+    tables = {t: src[t] for t in ("policy_full_src", "client_src", "policy_src", "product_dim", "quote_src", "user_dim")}
+    df = facts.sales_fact_a({**tables, "cancel_src": cancels}, *config.FULL_WINDOW, config.FIXTURE_DOMAIN)
     p = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftAnti" in p
+    assert p.count("LogicalRDD") + p.count("LocalRelation") == 1 and "LeftAnti" not in p and "pc_n" in p
 
 
 def test_reports_prune_months_on_loader_tables(spark):
