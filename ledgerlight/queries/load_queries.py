@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ledgerlight import config
 from ledgerlight.functions import periods as K
 from ledgerlight.operators import load
-from ledgerlight.plans import etl
+from ledgerlight.plans import etl, facts
 from ledgerlight.plans import reports as R
 from ledgerlight.registry import REGISTRY, register
 from ledgerlight.session import shared_dir
 from ledgerlight.sources import schemas
 from ledgerlight.sources.adapters import RegionalSources
+from ledgerlight.sources.production import VIEWS, SourceViews
+from ledgerlight.sources.registry import source_registry
 from ledgerlight.streaming import csv_export
 
 WW = config.WIDE_WINDOW
@@ -325,3 +327,26 @@ def crm_window_read(src):
     rows = src["crm_wh"].select("QuoteNumber", "QuoteCreatedDate", "QuoteStartDate")
     load.windowed_replace(spark, rows, target, *config.FULL_WINDOW, date_col="QuoteStartDate")
     return load.read_window(spark, target, *WW, date_col="QuoteCreatedDate").drop(load.MONTH_COL)
+
+
+def _named_source(src, name: str, region_key: int, views) -> SourceViews:
+    """A region of the fixture as a named source: its tables written to the
+    shared folder in the source's own names and read back through the registry."""
+    region = RegionalSources(src.spark, src.sf_dir, region_key)
+    root = f"{shared_dir(src.spark)}/ledgerlight-src-{uuid.uuid4().hex}/{name}"
+    for view in views:
+        table, columns = VIEWS[view]
+        (region[view].select(*[F.col(c).cast(kind).alias(column) for c, (column, kind) in columns.items()])
+                     .write.parquet(f"{root}/{table}.parquet"))
+    return SourceViews(src.spark, source_registry({name: {"path": root}})[name])
+
+
+FREE_VIEWS = ("policy_full_src", "policy_src", "policy_status_dim", "product_dim", "quote_src",
+              "sub_agent_dim", "state_dim", "user_dim")
+
+
+@register("etl_named_source", (), ids="A1 A5 M6", oracle_fn=lambda: REGISTRY["fact_free_b"].oracle(config.FIXTURE_REGION_KEYS["UK"]))
+def etl_named_source(src):
+    """The UK's free-policy fact from a named source in the source's own tables."""
+    views = _named_source(src, "uk", config.FIXTURE_REGION_KEYS["UK"], FREE_VIEWS)
+    return facts.free_fact_b(views, *config.FULL_WINDOW, config.FIXTURE_DOMAIN)

@@ -20,10 +20,21 @@ class SourceSpec:
     format: str = "parquet"
     path: str | None = None
     options: dict = field(default_factory=dict)
+    # Table -> (whole-number column, lowest, highest value, parts): a JDBC table
+    # listed here is read in parts, by as many tasks.
+    parts: dict[str, tuple[str, int, int, int]] = field(default_factory=dict)
+
+    def jdbc_options(self, table: str) -> dict[str, str]:
+        out = {**self.options, "dbtable": table}
+        if table in self.parts:
+            column, low, high, n = self.parts[table]
+            out |= {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high),
+                    "numPartitions": str(n)}
+        return out
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         if self.format == "jdbc":
-            return spark.read.format("jdbc").options(dbtable=table, **self.options).load()
+            return spark.read.format("jdbc").options(**self.jdbc_options(table)).load()
         return spark.read.format(self.format).options(**self.options).load(f"{self.path}/{table}.{self.format}")
 
 
@@ -45,7 +56,8 @@ def source_registry(options_by_name: dict[str, dict]) -> dict[str, SourceSpec]:
         if name not in SOURCE_NAMES:
             raise KeyError(f"unknown source {name!r}")
         opts = dict(opts)
-        out[name] = SourceSpec(name, opts.pop("format", "parquet"), opts.pop("path", None), opts)
+        out[name] = SourceSpec(name, opts.pop("format", "parquet"), opts.pop("path", None),
+                               parts=opts.pop("parts", {}), options=opts)
     return out
 
 
