@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 
 
+from pyspark.sql import functions as F
+
 from ledgerlight import config
-from ledgerlight.operators import paging
+from ledgerlight.operators import paging, reshape
 from ledgerlight.plans import reports as R
-from ledgerlight.registry import register
+from ledgerlight.registry import REGISTRY, register
 
 AS_OF = config.AS_OF
 MW = config.MONTH_WINDOW          # 2001-06-05 .. 2001-06-20
@@ -414,3 +416,25 @@ WHERE OriginalPolicyStartDate >= DATE '2000-08-15' AND OriginalPolicyStartDate <
 def total_policies(src):
     trend = R.policy_month_trend(src["crm_wh"], *WW, months=11, date_basis="OriginalPolicyStartDate")
     return R.grand_total(trend, "policyCount", "total_policies")
+
+
+def _pet_breakdown_oracle() -> str:
+    return f"SELECT * EXCLUDE (level) FROM ({REGISTRY['breakdown_share'].oracle()}) b WHERE level = 'pet_type'"
+
+
+@register("breakdown_pet_type", ("free_wh",), ids="M18 L4", oracle_fn=_pet_breakdown_oracle)
+def breakdown_pet_type(src):
+    """One part of the tagged breakdown."""
+    return reshape.split_level(REGISTRY["breakdown_share"].build(src), "pet_type")
+
+
+@register("listing_deep_page", ("quote_wh",), ids="H1 H3", oracle="""
+SELECT QuoteNumber, CountryCode, CreatedDate, PetName FROM quote_wh
+ORDER BY CreatedDate DESC NULLS LAST, QuoteNumber NULLS FIRST, CountryCode NULLS FIRST, PetName NULLS FIRST
+LIMIT 300 OFFSET 700
+""")
+def listing_deep_page(src):
+    """A page far down: ranges are written once, the ones that hold it are sorted."""
+    rows = src["quote_wh"].select("QuoteNumber", "CountryCode", "CreatedDate", "PetName")
+    order = [F.col("CreatedDate").desc(), F.col("QuoteNumber").asc(), F.col("CountryCode").asc(), F.col("PetName").asc()]
+    return paging.deep_page(rows, order, 700, 300)
