@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerlight.llm import winnowing
 from ledgerlight.llm.common import cut, whole_text, with_code
 from ledgerlight.llm.empirical_bayes import fit_logistic
 
@@ -319,10 +320,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         picked += marks.filter(F.col("toxic") == value).orderBy(F.xxhash64("_id"), "_id").limit(rows // 2).collect()
     sample = spark.createDataFrame(picked, "_id long, toxic int")
     # One row for texts that agree in the smallest hash of their word 4-grams.
-    words = F.split(F.lower(F.col("text")), r"\s+")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 4)))
-    texts = cut(docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("text"))
-                .join(F.broadcast(sample), "_id").withColumn("_least", F.array_min(grams))
+    picked_docs = (docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("text"))
+                   .join(F.broadcast(sample), "_id"))
+    texts = cut(winnowing.winnow(picked_docs, F.lower("text"), "_fp", k=4, w=1)
+                .withColumn("_least", F.array_min(winnowing.hashes("_fp")))
                 .dropDuplicates(["_least", "toxic"]).select("text", "toxic"), "tox_sample")
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)

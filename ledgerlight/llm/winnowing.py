@@ -29,7 +29,7 @@ def _zip(col: str, by: int, merge) -> Column:
     return F.zip_with(F.slice(col, F.lit(1), n), F.slice(col, F.lit(1 + by), n), merge)
 
 
-def winnow(df: DataFrame, text_col: str, out: str, k: int = 4, w: int = 8) -> DataFrame:
+def winnow(df: DataFrame, text_col: str | Column, out: str, k: int = 4, w: int = 8) -> DataFrame:
     """Add ``out``: array<struct<hash long, pos int>> in order of position.
 
     Fewer than ``k`` words make one gram of all of them; fewer than ``w``
