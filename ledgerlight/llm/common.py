@@ -36,6 +36,15 @@ def id_crc(col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")))
 
 
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows (all, if there are no more), those whose key hash
+    lies below a cut found from the row count; the caller limits exactly."""
+    n, slots = df.count(), 1 << 30
+    if n <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(slots)) < int(slots * min(1.0, 1.2 * most / n)))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the cluster's shared folder and read it back:
     lineage ends there, and a lost executor costs only its own reads."""
@@ -46,12 +55,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+# Rows handed to a Python task at a time where the session has Spark's default
+# (10,000): whole texts are long, and a task holds a batch several times over.
+BATCH_CONF, DEFAULT_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def with_code(df: DataFrame) -> DataFrame:
     """``df``, after making this package importable in the session's Python
-    workers (once a session; Spark itself hands the archive to executors)."""
-    sc = df.sparkSession.sparkContext
+    workers (once a session; Spark itself hands the archive to executors) and
+    their batches small."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if spark.conf.get(BATCH_CONF) == DEFAULT_ROWS:
+        spark.conf.set(BATCH_CONF, TEXT_ROWS)
     if sc.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         # The context's own scratch folder: the driver serves the file from there.

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlight.llm.common import cut
+from ledgerlight.llm.common import cut, with_code
 
 FILTER_BITS = 26
 
@@ -69,3 +70,16 @@ def passes(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 def slot_of(col: str):
     return F.pmod(F.xxhash64(col), F.lit(1 << FILTER_BITS))
+
+
+def reach(docs: DataFrame, rows: DataFrame, key: str, inside: bool) -> DataFrame:
+    """Documents whose id may be (or surely is not) among the rows' ids, told by a bit table."""
+    table = id_filter(rows, key)
+
+    def run(batches):
+        for batch in batches:
+            keep = passes(table, batch.column(batch.num_columns - 1).to_numpy())
+            yield batch.filter(pa.array(keep if inside else ~keep))
+
+    wide = with_code(docs).withColumn("_slot", slot_of(key))
+    return wide.mapInArrow(run, wide.schema).drop("_slot")

@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.llm.common import cut, whole_text, with_code
-from ledgerlight.llm.graph import id_filter, passes, slot_of
+from ledgerlight.llm.graph import reach
 
 ANCHOR = 32
 # Bytes hashed at a time, blocks sorted at a time, and the most blocks of one
 # anchor that are sorted together.
-CHUNK_BYTES, RUN_BLOCKS, ANCHOR_BLOCKS = 2_000_000, 60_000, 200_000
+CHUNK_BYTES, RUN_BLOCKS, ANCHOR_BLOCKS = 1_000_000, 60_000, 200_000
 BASE = 0x5851F42D4C957F2D
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 POSITION_BITS = 22
@@ -314,19 +314,6 @@ def with_content(blocks: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                     F.substring("b", at + 1, F.col("p.span") + F.lit(length)).alias("content")))
 
 
-def reach(docs: DataFrame, rows: DataFrame, key: str, inside: bool) -> DataFrame:
-    """Documents whose id may be (or surely is not) among the rows' ids, told by a bit table."""
-    table = id_filter(rows, key)
-
-    def run(batches):
-        for batch in batches:
-            keep = passes(table, batch.column(batch.num_columns - 1).to_numpy())
-            yield batch.filter(pa.array(keep if inside else ~keep))
-
-    wide = docs.withColumn("_slot", slot_of(key))
-    return wide.mapInArrow(run, wide.schema).drop("_slot")
-
-
 def window_repeats(blocks: DataFrame, length: int) -> DataFrame:
     """Repeats among all windows of the blocks by grouped minima of window hashes."""
     def run(batches):
