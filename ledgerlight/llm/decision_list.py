@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlight.llm.common import cut
+from ledgerlight.llm.common import cut, hash_sample
 from ledgerlight.llm.features import FEATURES, measured, ratios
 
 # Labelled rows the rules are learned from, at most, chosen by a hash of the id.
@@ -117,7 +117,7 @@ def verdict(rules: list[Rule]) -> Column:
 def labelled_sample(rows: DataFrame, labels: DataFrame, label: str, id_col: str, key: str,
                     most: int = TRAIN_ROWS) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Features and labels of at most ``most`` labelled rows, smallest id hash first."""
-    marks = labels.select(F.col(id_col).alias(key), F.col(label).alias("_label")).dropna()
+    marks = hash_sample(labels.select(F.col(id_col).alias(key), F.col(label).alias("_label")).dropna(), key, most)
     found = (rows.join(marks, key).withColumn("_o", F.xxhash64(key))
              .orderBy("_o", key, *FEATURES, "_label").limit(most).select(*FEATURES, "_label").collect())
     x = {f: np.array([r[f] for r in found], float) for f in FEATURES}

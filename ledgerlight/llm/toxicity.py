@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.llm import winnowing
-from ledgerlight.llm.common import cut, whole_text, with_code
+from ledgerlight.llm.common import cut, hash_sample, whole_text, with_code
 from ledgerlight.llm.empirical_bayes import fit_logistic
 
 # Bounds of the labelled sample, of the lexicon, and of a task's word memory.
@@ -317,7 +317,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = marks.filter("toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic"))
     picked = []
     for value in (1, 0):
-        picked += marks.filter(F.col("toxic") == value).orderBy(F.xxhash64("_id"), "_id").limit(rows // 2).collect()
+        few = hash_sample(marks.filter(F.col("toxic") == value), "_id", rows // 2)
+        picked += few.orderBy(F.xxhash64("_id"), "_id").limit(rows // 2).collect()
     sample = spark.createDataFrame(picked, "_id long, toxic int")
     # One row for texts that agree in the smallest hash of their word 4-grams.
     picked_docs = (docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("text"))
