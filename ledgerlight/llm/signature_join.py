@@ -4,8 +4,9 @@
    class, represented by its smallest id.
 2. Two sets that reach the threshold share a shingle among the rarest few of
    each (prefix filter; rarity is estimated once on a bounded sample, and any
-   order gives exact results).  Classes that share one, and are of like size,
-   are linked into candidate blocks.
+   order gives exact results).  Under each shared shingle, classes that follow
+   each other by size are linked if their sizes are near enough, and what is
+   linked makes a candidate block.
 3. Blocks are joined exactly by signature trees: nodes hold the OR of their
    members' bitmaps and their size range, and a dual traversal leaves out node
    pairs whose largest possible overlap is too small.  A block too large for
@@ -22,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.llm.common import LOWER_BYTES, cut, whole_text, with_code
-from ledgerlight.llm.graph import components, id_filter, passes, slot_of
+from ledgerlight.llm.graph import components, reach
 
 # Documents sampled to find frequent shingles, and frequent shingles kept.
 SAMPLE_DOCS, MAX_FREQUENT = 20_000, 200_000
-# Shingles that one side of a tree join holds in memory, about.
-CHUNK_SHINGLES = 3_000_000
-MEMO_WORDS, LEAF = 500_000, 16
+# Shingles (of 8 bytes) that one side of a tree join holds in memory, about.
+CHUNK_SHINGLES = 20_000_000
+MEMO_WORDS, LEAF, HELD_LINKS = 500_000, 16, 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,9 +40,13 @@ class Shingler:
         self.width, self.memo = width, {}
 
     def __call__(self, text: str) -> np.ndarray:
+        return self.with_lengths(text)[0]
+
+    def with_lengths(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes, and how many bytes the words of each shingle have."""
         words = text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
         if not words:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         memo = self.memo
         codes = list(map(memo.get, words))
         if None in codes:
@@ -60,7 +65,10 @@ class Shingler:
                 grams = grams * ODD + ids[k:n + k]
             grams ^= grams >> np.uint64(29)
             grams = grams * ODD + np.uint64(width)
-        return np.unique(grams.view(np.int64))
+        grams, first = np.unique(grams.view(np.int64), return_index=True)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        before = np.concatenate([[0], ends[:-1]])
+        return grams, ends[first + width - 1] - before[first]
 
 
 def identity(grams: np.ndarray) -> tuple[int, int]:
@@ -71,8 +79,10 @@ def identity(grams: np.ndarray) -> tuple[int, int]:
     return low - 2**64 if low >= 2**63 else low, high - 2**64 if high >= 2**63 else high
 
 
-def prefix(grams: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest shingles, as many as any partner must share one of."""
+def prefix(grams: np.ndarray, lengths: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles, as many as any partner must share one of: first
+    those that the sample does not know as frequent, and of them the longest,
+    as long words are rare ones.  The order is the same for all sets."""
     n = len(grams)
     size = n - -(-percent * n // 100) + 1
     if n == 0 or size >= n:
@@ -81,7 +91,7 @@ def prefix(grams: np.ndarray, percent: int, frequent: np.ndarray, counts: np.nda
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
         rarity = np.where(frequent[at] == grams, counts[at], 0)
-    return grams[np.lexsort((grams, rarity))[:size]]
+    return grams[np.lexsort((grams, -lengths, rarity))[:size]]
 
 
 def frequent_shingles(docs: DataFrame, width: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +121,8 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray,
                 continue
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = shingle(text)
-                out.append((doc_id, len(grams), *identity(grams), prefix(grams, percent, frequent, counts)))
+                grams, lengths = shingle.with_lengths(text)
+                out.append((doc_id, len(grams), *identity(grams), prefix(grams, lengths, percent, frequent, counts)))
             ids, sizes, low, high, heads = zip(*out)
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
@@ -123,6 +133,40 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray,
     return docs.select("_id", "_text").mapInArrow(run, "_id long, n long, s1 long, s2 long, head array<long>")
 
 
+def like_sized(rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between ids that follow each other by size under one key
+    and are of like enough size.  Two sets that could reach the threshold have
+    only such steps between them, so they end in one block."""
+    def run(batches):
+        last = None
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            pairs = np.unique(np.concatenate(held), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, n, rep = (batch.column(i).to_numpy() for i in range(3))
+            if last is not None:
+                key, n, rep = (np.concatenate([[x], c]) for x, c in zip(last, (key, n, rep)))
+            last = (key[-1], n[-1], rep[-1])
+            step = (key[1:] == key[:-1]) & (rep[1:] != rep[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            found = np.column_stack([np.minimum(rep[:-1], rep[1:])[step], np.maximum(rep[:-1], rep[1:])[step]])
+            held.append(np.unique(found, axis=0))
+            size += len(held[-1])
+            if size > HELD_LINKS:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    return (rows.select("key", "n", "_id").repartition("key").sortWithinPartitions("key", "n", "_id")
+            .mapInArrow(run, "a long, b long"))
+
+
 class SignatureTree:
     """A binary tree over sets sorted by size."""
 
@@ -215,8 +259,8 @@ def tree_join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None
                 yield a, b
 
 
-def join_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Links within blocks: rows ``block, side, _id, grams``, blocks in runs."""
+def join_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links within blocks: rows ``block, side, _id, _text``, blocks in runs."""
     def links(ids, sides, sets):
         order = np.array(sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i])), np.int64)
         sides = np.array(sides)
@@ -228,6 +272,7 @@ def join_blocks(rows: DataFrame, percent: int) -> DataFrame:
         return [(ids[a], ids[b]) for a, b in found]
 
     def run(batches):
+        shingle = Shingler(width)
         held, ids, sides, sets = None, [], [], []
 
         def flush():
@@ -236,20 +281,18 @@ def join_blocks(rows: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            grams = batch.column(3)
-            flat, at = grams.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(grams.value_lengths()))])
-            for i, (block, side, doc_id) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+            for block, side, doc_id, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 if block != held:
                     if len(ids) > 1:
                         yield flush()
                     held, ids, sides, sets = block, [], [], []
                 ids.append(doc_id)
                 sides.append(side)
-                sets.append(flat[at[i]:at[i + 1]].copy())
+                sets.append(shingle(text))
         if len(ids) > 1:
             yield flush()
 
-    return rows.select("block", "side", "_id", "grams").mapInArrow(run, "a long, b long")
+    return rows.select("block", "side", "_id", "_text").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id",
@@ -268,30 +311,13 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
     frequent, counts = frequent_shingles(base, width, base.count())
     sigs = cut(signatures(base, width, percent, frequent, counts), "signatures")
     classes = cut(sigs.filter("n > 0").groupBy("s1", "s2").agg(
-        F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head")), "classes")
-    # Keys that two classes share, then classes of like size under each.
-    heads = classes.select("rep", "n", F.explode("head").alias("key"))
-    shared = heads.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("key")
-    held = cut(heads.join(shared, "key").withColumn(
-        "band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)), "shared_keys")
-    bands = held.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    hubs = bands.groupBy("key", "band").agg(F.min("rep").alias("hub"), F.max("rep").alias("hi")).filter("hub <> hi")
-    edges = bands.join(hubs, ["key", "band"]).filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        F.min("_id").alias("rep"), F.first("n").alias("n")), "classes")
+    # A copy that the bit table lets through is one more node beside its class.
+    heads = reach(sigs.filter("n > 0").select("_id", "n", "head"), classes.select(F.col("rep").alias("_id")), "_id", True)
+    edges = like_sized(heads.select(F.explode("head").alias("key"), "n", "_id"), percent)
     blocks = cut(components(edges), "blocks")
-    members = cut(blocks.join(classes.select(F.col("rep").alias("node"), "n"), "node"), "members")
-    wanted = id_filter(members, "node")
-
-    def grams(batches):
-        shingle = Shingler(width)
-        for batch in batches:
-            keep = passes(wanted, batch.column(2).to_numpy())
-            sets = [shingle(t) for t in batch.column(1).filter(pa.array(keep)).to_pylist()]
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).filter(pa.array(keep)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64()))],
-                names=["_id", "grams"])
-
+    sizes = sigs.filter("n > 0").groupBy(F.col("_id").alias("node")).agg(F.max("n").alias("n"))
+    members = cut(blocks.join(sizes, "node"), "members")
     totals = members.groupBy("root").agg(F.sum("n").alias("all"))
     placed = members.join(totals, "root").withColumn("chunks", F.ceil(F.col("all") / CHUNK_SHINGLES).cast("long"))
     whole = F.array(F.struct(F.xxhash64("root").alias("block"), F.lit(0).alias("side"), F.col("root").alias("r")))
@@ -310,10 +336,11 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
         F.transform(others, lambda o: pair(F.col("_b") - 1, o, F.col("_b"), F.col("_h"), F.lit(2))))
     placed = placed.withColumns({"_b": band, "_h": h}).select(
         F.col("node").alias("_id"), F.explode(F.when(F.col("chunks") <= 1, whole).otherwise(parts)).alias("p"))
-    sets = base.select("_id", "_text", slot_of("_id").alias("slot")).mapInArrow(grams, "_id long, grams array<long>")
-    rows = (placed.join(sets, "_id")
-            .select(F.col("p.block").alias("block"), F.col("p.side").alias("side"), "_id", "grams"))
-    links = join_blocks(rows.repartition("block").sortWithinPartitions("block"), percent)
+    # Texts are moved, not sets: they are shorter, and shingled where they meet.
+    texts = reach(base, members.select(F.col("node").alias("_id")), "_id", True)
+    rows = (placed.join(texts, "_id")
+            .select(F.col("p.block").alias("block"), F.col("p.side").alias("side"), "_id", "_text"))
+    links = join_blocks(rows.repartition("block").sortWithinPartitions("block"), width, percent)
     groups = components(cut(links, "links"))
     named = classes.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         "s1", "s2", F.coalesce("root", "rep").alias("root"))
