@@ -295,19 +295,23 @@ def join_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.select("block", "side", "_id", "_text").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """``<id_col>, n_shingles, component_id`` of every document.
-
-    Documents are linked when 100 * intersection >= percent * union of their
-    shingle sets; a component's id is its smallest document id.  Texts of fewer
-    than ``width`` words have one shingle, all of them; null, empty and blank
-    texts have none and stand alone.  Rows that share an id count as one
-    document, null ids as one with the smallest id; repeated rows each give a
-    row; an empty table gives none; other columns of ``docs`` are not read."""
-    lowest = -(1 << 63)
-    base = with_code(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("_id"),
-                                  whole_text(text_col).alias("_text"))
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``docs`` with its columns named c0, c1, .. and a row id ``_rid``, and
+    whether that is the id itself.  Where ids are null or repeated, the rows are
+    written in order of id (nulls last) and text hash and numbered."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key = F.col(names[docs.columns.index(id_col)]).cast("long")
+    wide = with_code(docs).toDF(*names)
+    tally = wide.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("ids")).first()
+    if tally["n"] == tally["ids"] == wide.select(key).distinct().count():
+        return wide.withColumn("_rid", key), True
+    text = whole_text(names[docs.columns.index(text_col)])
+    ordered = wide.orderBy(key.asc_nulls_last(), F.xxhash64(text))
+    return cut(ordered.withColumn("_rid", F.monotonically_increasing_id()), "numbered"), False
+
+
+def linked(base: DataFrame, width: int, percent: int) -> DataFrame:
+    """``_id, n, root`` of every row ``_id, _text``; ids are distinct."""
     frequent, counts = frequent_shingles(base, width, base.count())
     sigs = cut(signatures(base, width, percent, frequent, counts), "signatures")
     classes = cut(sigs.filter("n > 0").groupBy("s1", "s2").agg(
@@ -345,17 +349,36 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
     named = classes.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         "s1", "s2", F.coalesce("root", "rep").alias("root"))
     out = sigs.select("_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    nullable = lambda c: F.when(c == lowest, F.lit(None)).otherwise(c)
-    return out.select(nullable(F.col("_id")).alias(id_col), F.col("n").alias("n_shingles"),
-                      nullable(F.coalesce("root", "_id")).alias("component_id"))
+    return out.select("_id", "n", F.coalesce("root", "_id").alias("root"))
+
+
+def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """``<id_col>, n_shingles, component_id`` of every document.
+
+    Documents are linked when 100 * intersection >= percent * union of their
+    shingle sets; a component's id is its smallest document id.  Texts of fewer
+    than ``width`` words have one shingle, all of them; null, empty and blank
+    texts have none and stand alone.  Every row is a document of its own, also
+    if its id is null or repeated; a component's id is null if none of its rows
+    has one; an empty table gives no rows; other columns of ``docs`` are not
+    read."""
+    rows, own = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    out = linked(rows.select(F.col("_rid").alias("_id"), whole_text("c1").alias("_text")), width, percent)
+    if not own:
+        ids = rows.select("_rid", F.col("c0").cast("long").alias("c0"))
+        out = (out.join(ids.toDF("_id", "own"), "_id").join(ids.toDF("root", "first"), "root")
+               .drop("_id", "root").withColumnsRenamed({"own": "_id", "first": "root"}))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """``docs``, with all columns, cut down to the smallest id of every group of
-    near copies; of rows with one id (which count as one document) one stays."""
-    firsts = (similar_groups(docs, width, percent, id_col, text_col)
-              .filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct())
-    kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts["_first"]), "left_semi")
-    ids = docs.select(id_col)
-    return kept if ids.distinct().count() == ids.count() else kept.dropDuplicates([id_col])
+    """``docs``, with all columns, cut down to one row of every group of near
+    copies, that with the smallest id (an id before none).  Rows are told apart
+    by their texts alone: a null or repeated id costs no row its place."""
+    rows, _ = numbered(docs, id_col, text_col)
+    text = whole_text(rows.columns[docs.columns.index(text_col)])
+    firsts = linked(rows.select(F.col("_rid").alias("_id"), text.alias("_text")), width, percent).filter("_id = root")
+    kept = rows.join(firsts.select(F.col("_id").alias("_rid")), "_rid", "left_semi")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(rows.columns, docs.columns)])

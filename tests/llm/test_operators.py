@@ -303,6 +303,18 @@ def test_groups_against_all_pairs(prose, monkeypatch, width, percent, chunk):
     assert got == plain_groups(texts_of(prose), width, percent)
 
 
+def test_rows_without_an_id_of_their_own_are_kept(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = [" ".join(f"{w}{i}" for w in words) for i in range(6)]
+    rows = [row(None, texts[0]), row(None, texts[1]), row(None, texts[1]), row(4, texts[2]), row(4, texts[3]),
+            row(5, texts[3]), row(6, texts[4]), row(None, texts[4]), row(7, texts[5])]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    kept = sorted((r["text"], r["doc_id"] or 0) for r in signature_join.one_of_each(docs).collect())
+    assert kept == list(zip(texts, [0, 0, 4, 4, 6, 7]))
+    found = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in signature_join.similar_groups(docs).collect())
+    assert found == [(0, 0)] * 3 + [(0, 6), (4, 4), (4, 4), (5, 4), (6, 6), (7, 7)]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 60), min_size=1, max_size=40), min_size=2, max_size=40), st.sampled_from([50, 80, 85]))
 def test_tree_join_links_what_all_pairs_link(sets, percent):
