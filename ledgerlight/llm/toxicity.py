@@ -309,12 +309,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label: str = "toxic", usable: Column | None = None, rows: int = TRAIN_ROWS) -> Model:
     """Lexicon and weights from at most ``rows`` labelled rows (half of them
     toxic at most), those with the smallest id hashes.  ``usable`` tells which
-    rows of ``labels`` may be learned from.  Near copies count once."""
+    rows of ``labels`` may be learned from.  Near copies count once.  The
+    intercept is set for the classes' counts over all usable labels, as the
+    sample holds another share of either."""
     spark = docs.sparkSession
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("toxic")).dropna()
     if usable is not None:
         marks = labels.filter(usable).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("toxic")).dropna()
     marks = marks.filter("toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    every = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = []
     for value in (1, 0):
         few = hash_sample(marks.filter(F.col("toxic") == value), "_id", rows // 2)
@@ -336,7 +339,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = scored(texts, terms, ["toxic"], "text").collect()
     x = np.array([[r[f] for f in FEATURES] for r in found])
     y = np.array([r["toxic"] for r in found], float)
-    return Model(terms, [float(w) for w in fit_logistic(x, y)])
+    weights = [float(w) for w in fit_logistic(x, y)]
+    weights[0] += float(np.log(every[1] / every[0]) - np.log(toxic / clean))
+    return Model(terms, weights)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlight.llm import (decision_list, features, graph, hilbert, mixing, packing, queries, signature_join,
                              suffix_dedup, suffix_tree_lm, toxicity, winnowing)
 from ledgerlight.llm.common import table
-from samples import DOC_SCHEMA, row
+from samples import DOC_SCHEMA, LABEL_SCHEMA, row
 
 SF001 = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -262,6 +262,24 @@ def test_quoted_hits_count_apart():
     assert quoted["direct"] == 0.0 and quoted["quoted"] == 3.0
 
 
+def test_threshold_does_not_move_with_the_number_of_labels(spark):
+    def intercept(toxic, rows):
+        rng = random.Random(toxic)
+        docs, marks = [], []
+        for i in range(9 * toxic):
+            bad = i < toxic
+            text = [f"w{rng.randrange(3000)}" for _ in range(12)]
+            if rng.random() < (0.7 if bad else 0.05):
+                text[rng.randrange(12)] = "blockhead"
+            docs.append(row(i, " ".join(text)))
+            marks.append((i, 1, int(bad), 0.0))
+        model = toxicity.train(spark.createDataFrame(docs, DOC_SCHEMA), spark.createDataFrame(marks, LABEL_SCHEMA), rows=rows)
+        return model.weights[0] + math.log1p(12) * model.weights[-1]
+
+    # All 900 and 7,200 labels, then 1,000 of either class out of 1,000 and 8,000.
+    assert abs(intercept(100, 4000) - intercept(1000, 2000)) < 0.7
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op6_levenshtein_toxicity(spark, sf).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").collect()
