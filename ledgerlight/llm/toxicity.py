@@ -227,7 +227,8 @@ def learn_lexicon(words: DataFrame, toxic: int, clean: int, least: int = 3, sure
     """Words and stems that mark toxic documents, with their log-odds.
 
     A term needs ``least`` toxic documents and log-odds that exceed ``sure`` by
-    a standard error; a word under a chosen stem is left to the stem."""
+    a standard error.  Words under a chosen stem come after ``MAX_TERMS`` others:
+    the stem has their exact spellings too, but only words are met with edits."""
     n1, n0 = F.col("n1"), F.col("n0")
     strong = odds(n1, n0, toxic, clean) - F.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5)) >= sure
     stems = (words.withColumn("term", F.explode(F.array(*[
@@ -241,9 +242,12 @@ def learn_lexicon(words: DataFrame, toxic: int, clean: int, least: int = 3, sure
              .orderBy(F.desc("n1"), F.length("term"), "term", "stem").limit(4 * MAX_TERMS).collect())
     roots: set[str] = set()
     out: list[Term] = []
+    covered: list[Term] = []
     for r in found:
         heads = {r["term"][:k] for k in STEM_CHARS if k < len(r["term"]) or (r["stem"] and k == len(r["term"]))}
         if heads & roots:
+            if not r["stem"]:
+                covered.append(Term(r["term"], False, float(r["weight"])))
             continue
         if r["stem"]:
             # A stem that one whole word accounts for adds nothing to the word.
@@ -251,7 +255,7 @@ def learn_lexicon(words: DataFrame, toxic: int, clean: int, least: int = 3, sure
                 continue
             roots.add(r["term"])
         out.append(Term(r["term"], r["stem"], float(r["weight"])))
-    return out[:MAX_TERMS]
+    return out[:MAX_TERMS] + covered
 
 
 def weigh_edits(terms: list[Term], words: DataFrame, toxic: int, clean: int) -> list[Term]:

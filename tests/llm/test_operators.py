@@ -280,6 +280,18 @@ def test_threshold_does_not_move_with_the_number_of_labels(spark):
     assert abs(intercept(100, 4000) - intercept(1000, 2000)) < 0.7
 
 
+def test_a_word_with_inflections_is_still_met_with_edits(spark):
+    counts = {"idiot": 20, "idiots": 9, "idiotic": 8, "idiocy": 6, "idiott": 4, "idiotx": 3}
+    words = spark.createDataFrame([(w, n, 0) for w, n in counts.items()], "word string, n1 long, n0 long")
+    terms = toxicity.learn_lexicon(words, 50, 400)
+    assert any(t.stem and t.text == "idio" for t in terms)
+    trie = toxicity.FuzzyTrie(terms)
+    for word in ("idi0t", "ldiot", "idot"):
+        hit = trie.match(word)
+        assert hit is not None and hit[1] == 1 and terms[hit[0]].text == "idiot"
+    assert trie.match("idioms") == (next(i for i, t in enumerate(terms) if t.stem), 0)
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op6_levenshtein_toxicity(spark, sf).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").collect()
