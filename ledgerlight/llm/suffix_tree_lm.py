@@ -2,35 +2,44 @@
 
 Symbols are the words of the training texts, the end mark, and one symbol for
 all words that are not among them.  A context of up to ``depth`` preceding
-words becomes a state of the tree if it makes up a large enough share of the
-training tokens and if what follows it differs enough from what follows its
-shorter suffix.  A state's next-word distribution holds the counts of its
-frequent successors and is smoothed towards its suffix's; at the root, counts
-are discounted by Kneser and Ney's rule and the discounts go to unseen words.
-Every token is scored in the longest suffix that is a state.
-
-Counts are gathered over all training tokens by grouped sums, one pass per
-level.  Everything that is sent to the tasks is bounded by shares of the
-tokens: at most 1 / share words, contexts and successors.  Counts of all other
-words have no such bound; tokens meet them in a join.
+words becomes a state of the tree if it was seen a few times in training and if
+what follows it differs enough from what follows its shorter suffix.  A state's
+next-word distribution holds the counts of all successors seen again and is
+smoothed towards its suffix's; at the root, counts are discounted by Kneser and
+Ney's rule and the discounts go to unseen words.  Every token is scored in the
+longest suffix that is a state.
+
+The tree is tables, level by level: runs of words are known by 64-bit hashes
+(two runs that share one would share counts), counted over all training tokens
+by grouped sums, and met with the level before in joins.  The log-probability
+of a token is a sum over the states on its way to the root: the weight that a
+state leaves to its suffix, or what a held successor gains over the suffix.  So
+every run of words has one value, and a text's score is the sum of the values
+of its runs.  Values of frequent runs and words (at most 1 / share) are sent to
+every task; all others are met in a join.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.llm.common import LOWER_BYTES, cut, whole_text, with_code
+from ledgerlight.llm.graph import FILTER_BITS, passes
 
-# Least shares of all training tokens: of a word or a successor to be held by
-# every task, and of a context to be a state.
-COMMON_SHARE, SUCCESSOR_SHARE, STATE_SHARE = 5e-6, 1e-6, 5e-5
+# Shares of all training tokens from which on a word or a run of words is sent
+# to every task; those below are joined.
+COMMON_SHARE, HOT_SHARE = 5e-6, 4e-6
+# Sightings that make a context a candidate and a successor held.
+STATE_COUNT, SUCCESSOR_COUNT = 16, 2
 DEPTH, LEAST_DIVERGENCE = 3, 0.01
 CHUNK, HELD_WORDS, HELD_PAIRS = 4_000_000, 400_000, 3_000_000
+ODD = np.uint64(0x9E3779B97F4A7C15)
 END = b""                      # as a word; no word is empty
 
 
@@ -92,108 +101,137 @@ class Root:
 
 @dataclass
 class Tree:
-    """``names[d]``: sorted names of the contexts of d + 1 words, a name being
-    (number of the context without the newest word, newest word); ``states[d]``:
-    the state of each, -1 if it is none.  ``pairs``: sorted (state, successor)."""
-
-    words: dict[bytes, int]
-    root: np.ndarray                                   # log10 p of every held word
-    counts: np.ndarray
-    names: list[np.ndarray] = field(default_factory=list)    # level d: sorted suffix codes
-    states: list[np.ndarray] = field(default_factory=list)   # level d: state number or -1 if not kept
-    parent: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    rest: np.ndarray = field(default_factory=lambda: np.empty(0))      # log10 weight of the suffix
-    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    logp: np.ndarray = field(default_factory=lambda: np.empty(0))
+    """The tables of a small corpus as arrays.  ``pairs``: sorted (state, successor)."""
+
+    root: np.ndarray                                   # log10 p of every word
+    parent: np.ndarray
+    rest: np.ndarray                                   # log10 weight of the suffix
+    pairs: np.ndarray
+    logp: np.ndarray
+
+
+class Coder:
+    """Hashes of words and of runs of words; equal in every task."""
+
+    END = np.uint64(xxhash.xxh3_64_intdigest(END))
+
+    def __init__(self):
+        self.memo: dict[bytes, int] = {}
 
     def codes(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Word numbers of the texts, each after an end mark; -1 if not held."""
-        get, end = self.words.get, self.words[END]
+        """Hashes of the words of the texts, each after an end mark."""
+        memo, end = self.memo, int(self.END)
+        if len(memo) > HELD_WORDS:
+            memo.clear()
         out = [end]
         for words in texts:
-            out.extend(map(get, words, [-1] * len(words)))
+            for word in words:
+                code = memo.get(word)
+                if code is None:
+                    code = memo[word] = xxhash.xxh3_64_intdigest(word)
+                out.append(code)
             out.append(end)
-        return np.array(out, np.int64)
-
-    def contexts(self, codes: np.ndarray, upto: int) -> list[np.ndarray]:
-        """For every token but the first mark: the number of its context among
-        the candidates of level 1, 2, .. ``upto``, or -1."""
-        n, size, end = len(codes) - 1, len(self.root), self.words[END]
-        out, before = [], np.full(n, -1, np.int64)
-        for d in range(1, upto + 1):
-            # Level d's name: (level d - 1 context of the older words, newest word);
-            # older words are those of the token before.
-            newest = codes[:n]
-            if d == 1:
-                name = newest
-                valid = newest >= 0
-            else:
-                older = np.concatenate([[-1], before[:-1]])
-                name = older * size + newest
-                valid = (older >= 0) & (newest >= 0) & (newest != end)
-            found = np.full(n, -1, np.int64)
-            names = self.names[d - 1]
-            if len(names) and valid.any():
-                at = np.minimum(np.searchsorted(names, name[valid]), len(names) - 1)
-                found[valid] = np.where(names[at] == name[valid], at, -1)
-            out.append(found)
-            before = found
+        return np.array(out, np.uint64)
+
+    @staticmethod
+    def extend(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            g = (run ^ (run >> np.uint64(31))) * ODD + word
+            g = (g ^ (g >> np.uint64(29))) * ODD
+            return g ^ (g >> np.uint64(32))
+
+    def runs(self, codes: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For 1, 2, .. ``longest`` words: places in ``codes`` where a run of so
+        many words ends, and its hash.  No run goes beyond the ends of a text."""
+        inside = codes != self.END
+        at, run = np.arange(len(codes) - 1), codes[:-1]
+        out = [(at, run)]
+        for m in range(2, longest + 1):
+            if m > 2:
+                use = inside[at]
+                at, run = at[use], run[use]
+            run, at = self.extend(run, codes[at + 1]), at + 1
+            out.append((at, run))
         return out
 
-    def score(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For every token: log10 of its probability, or for a word that is not
-        held the weight that its longest state leaves to the root; and whether it is held."""
-        n, size = len(codes) - 1, len(self.root)
-        word = codes[1:]
-        state = np.full(n, -1, np.int64)
-        for d, found in enumerate(self.contexts(codes, len(self.names))):
-            kept = np.where(found >= 0, self.states[d][found] if len(self.states[d]) else -1, -1)
-            state = np.where(kept >= 0, kept, state)
-        out = np.zeros(n)
-        live = np.flatnonzero(state >= 0)
-        done = np.zeros(n, bool)
-        while len(live):
-            s, w = state[live], word[live]
-            at = np.minimum(np.searchsorted(self.pairs, s * size + w), len(self.pairs) - 1) if len(self.pairs) else np.zeros(len(s), np.int64)
-            hit = (w >= 0) & (self.pairs[at] == s * size + w) if len(self.pairs) else np.zeros(len(s), bool)
-            out[live[hit]] += self.logp[at[hit]]
-            done[live[hit]] = True
-            miss = live[~hit]
-            out[miss] += self.rest[state[miss]]
-            state[miss] = self.parent[state[miss]]
-            live = miss[state[miss] >= 0]
-        left = ~done & (word >= 0)
-        out[left] += self.root[word[left]]
-        return out, word >= 0
-
-
-def successor_counts(docs: DataFrame, tree_ref, level: int) -> DataFrame:
-    """``g, n``: counts of (context of ``level`` words, held next word)."""
+
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """8 MB of bits for passing over keys that a later join would drop; the
+    uppermost bits of a key are its place.  False hits are possible."""
+    slot = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    found = (keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w"))
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+             .toArrow())
+    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    table[found["w"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return passes(table, keys >> np.uint64(64 - FILTER_BITS))
+
+
+def keyed(vocab: DataFrame) -> DataFrame:
+    """``key, c``: the words by their hashes."""
+    def run(batches):
+        for batch in batches:
+            keys = np.array([xxhash.xxh3_64_intdigest(w) for w in batch.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1)], names=["key", "c"])
+
+    return vocab.select("word", "c").mapInArrow(run, "key long, c long")
+
+
+def successor_counts(docs: DataFrame, bits_ref, level: int) -> DataFrame:
+    """``ctx, w, n``: counts of (context of ``level`` words, next word), for the
+    contexts that pass the bit table."""
     def run(batches):
-        tree: Tree = tree_ref.value
-        size = len(tree.root)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        coder, bits = Coder(), bits_ref.value
+        held: list[tuple[np.ndarray, ...]] = []
 
         def merged():
-            keys, index = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(index, np.concatenate([c for _, c in held])).astype(np.int64)
+            ctx, w, n = map(np.concatenate, zip(*held))
+            keys, first, index = np.unique(coder.extend(ctx, w), return_index=True, return_inverse=True)
+            return ctx[first], w[first], np.bincount(index, n, len(keys)).astype(np.int64)
+
+        def rows(ctx, w, n):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ctx.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n)], names=["ctx", "w", "n"])
 
         for batch in batches:
             for part in slices(batch.column(0).to_pylist()):
-                codes = tree.codes([w for _, w in part])
-                context, word = tree.contexts(codes, level)[-1], codes[1:]
-                use = (context >= 0) & (word >= 0)
-                held.append(np.unique(context[use] * size + word[use], return_counts=True))
-                if sum(len(k) for k, _ in held) > HELD_PAIRS:
+                codes = coder.codes([w for _, w in part])
+                at, ctx = coder.runs(codes, level)[-1]
+                use = may_hold(bits, ctx)
+                if level > 1:
+                    use &= codes[at] != coder.END
+                at, ctx = at[use], ctx[use]
+                w = codes[at + 1]
+                _, first, n = np.unique(coder.extend(ctx, w), return_index=True, return_counts=True)
+                held.append((ctx[first], w[first], n.astype(np.int64)))
+                if sum(len(x[0]) for x in held) > HELD_PAIRS:
                     held = [merged()]
                     if len(held[0][0]) > HELD_PAIRS // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["g", "n"])
+                        yield rows(*held[0])
                         held = []
         if held:
-            keys, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["g", "n"])
+            yield rows(*merged())
+
+    return docs.select("_text").mapInArrow(run, "ctx long, w long, n long").groupBy("ctx", "w").agg(F.sum("n").alias("n"))
+
+
+def named(pairs: DataFrame, level: int) -> DataFrame:
+    """``pairs`` (ctx, w, n, sfx, seen) with ``key``, the hash of context and
+    word, and ``next_sfx``, that without the oldest word."""
+    def run(batches):
+        for batch in batches:
+            ctx, w, sfx = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (0, 1, 3))
+            shorter = w if level == 1 else Coder.extend(sfx, w)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(c.view(np.int64)) for c in (Coder.extend(ctx, w), shorter))],
+                names=["ctx", "w", "n", "sfx", "seen", "key", "next_sfx"])
 
-    return docs.select("_text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return pairs.select("ctx", "w", "n", "sfx", "seen").mapInArrow(
+        run, "ctx long, w long, n long, sfx long, seen long, key long, next_sfx long")
 
 
 def slices(texts: list[str]):
@@ -209,73 +247,82 @@ def slices(texts: list[str]):
         yield held
 
 
-def grow(docs: DataFrame, vocab: DataFrame, root: Root, depth: int, state_share: float, successor_share: float,
-         least_divergence: float) -> Tree:
-    """The tree, level by level."""
+def levels(docs: DataFrame, words: DataFrame, root: Root, depth: int, least_state: float, least_successor: float,
+           least_divergence: float) -> list[DataFrame]:
+    """The laws of the candidate contexts of 1, 2, .. words, one row a successor:
+    ``ctx, sfx, w, n, seen, key, kept, rest, before, logp``; logarithms to base
+    10.  ``logp`` is the law of the context, or of its longest suffix that is
+    kept if it is not kept itself; ``before`` is that of its suffix."""
     spark = docs.sparkSession
-    found = vocab.filter(F.col("c") >= max(1.0, COMMON_SHARE * root.tokens)).toArrow().sort_by("word")
-    words = {w: i for i, w in enumerate(found["word"].to_pylist())}
-    counts = found["c"].to_numpy().astype(np.int64)
-    if END not in words:
-        words[END] = len(words)
-        counts = np.append(counts, 0)
-    logs = np.where(counts > 0, root.log10(np.maximum(counts, 1)), np.log10(root.unseen))
-    tree = Tree(words, logs, counts)
-    size, least = len(counts), max(2.0, state_share * root.tokens)
-    # Candidates of level 1 are words; a level's parents are the candidates
-    # without their oldest word.
-    names = np.flatnonzero(counts >= least)
-    shorter = np.full(len(names), -1, np.int64)      # number of that candidate on the level before
-    parents, kept_rest, keys, values = [], [], [], []
-    number = 0
-    suffix_states: list[np.ndarray] = []
+    least, again = max(2.0, least_state), max(2.0, least_successor)
+    end = int(Coder.END.view(np.int64))
+    candidates = words.filter(F.col("c") >= least).select("key", F.lit(0).cast("long").alias("sfx"), F.col("c").alias("seen"))
+    before = words.select(F.col("key").alias("w"), root.column(F.col("c")).alias("before"))
+    out: list[DataFrame] = []
     for level in range(1, depth + 1):
-        if not len(names):
-            break
-        tree.names.append(names)
-        tree.states.append(np.full(len(names), -1, np.int64))
-        ref = spark.sparkContext.broadcast(tree)
-        pairs = cut(successor_counts(docs, ref, level), f"pairs{level}")
-        totals = pairs.groupBy(F.expr(f"g div {size}").alias("s")).agg(F.sum("n").alias("n")).toArrow()
-        strong = pairs.filter(F.col("n") >= max(2.0, successor_share * root.tokens)).toArrow()
-        order = np.argsort(strong["g"].to_numpy())
-        g, n = strong["g"].to_numpy()[order], strong["n"].to_numpy()[order].astype(float)
-        seen = np.zeros(len(names))
-        seen[totals["s"].to_numpy()] = totals["n"].to_numpy()
-        s, w = g // size, g % size
-        sums = np.bincount(s, n, len(names))
-        kinds = np.bincount(s, minlength=len(names))
-        # What the suffix's state gives each successor.
-        up = np.full(len(names), -1, np.int64) if level == 1 else suffix_states[-1][shorter]
-        before = lookup(tree, np.array(parents), np.array(kept_rest), *joined(keys, values), up[s], w)
-        weight = np.maximum(seen - sums, 0) + kinds
-        p = (n + weight[s] * 10.0 ** before) / (sums + weight)[s]
-        gain = np.bincount(s, n / np.maximum(seen[s], 1) * (np.log(p) - np.log(10) * before), len(names))
-        keep = (gain >= least_divergence) & (kinds > 0)
-        mine = np.where(keep, number + np.cumsum(keep) - 1, -1)
-        tree.states[-1] = mine
-        # A candidate that is not kept behaves like its suffix.
-        suffix_states.append(np.where(keep, mine, up))
-        number += int(keep.sum())
-        parents += up[keep].tolist()
-        with np.errstate(divide="ignore"):
-            kept_rest += np.log10(weight / (sums + weight))[keep].tolist()
-        use = keep[s]
-        keys.append(mine[s[use]] * size + w[use])
-        values.append(np.log10(p[use]))
-        # Next candidates: frequent (context, word) whose word is a context too;
-        # the suffix of (context, word) is (context's suffix, word).
-        ends = words[END]
-        grown = (n >= least) & (w != ends)
-        codes, old, new = g[grown], s[grown], w[grown]
-        suffix_name = new if level == 1 else shorter[old] * size + new
-        base = tree.names[level - 1]
-        at = np.minimum(np.searchsorted(base, suffix_name), len(base) - 1)
-        exists = base[at] == suffix_name
-        names, shorter = codes[exists], at[exists]
-    tree.parent, tree.rest = np.array(parents, np.int64), np.array(kept_rest)
-    tree.pairs, tree.logp = joined(keys, values)
-    return tree
+        bits = spark.sparkContext.broadcast(bit_table(candidates))
+        pairs = successor_counts(docs, bits, level).filter(F.col("n") >= again)
+        pairs = named(pairs.join(candidates.withColumnRenamed("key", "ctx"), "ctx"), level)
+        # A run seen so often has a suffix seen as often, so no row is lost here.
+        pairs = cut(pairs.join(before, "w" if level == 1 else ["sfx", "w"]), f"pairs{level}")
+        sums = pairs.groupBy("ctx").agg(F.sum("n").alias("sums"), F.count(F.lit(1)).alias("kinds"))
+        weight = F.greatest(F.col("seen") - F.col("sums"), F.lit(0)) + F.col("kinds")
+        priced = (pairs.join(sums, "ctx").withColumn("weight", weight.cast("double"))
+                  .withColumn("rest", F.log10(F.col("weight") / (F.col("sums") + F.col("weight"))))
+                  .withColumn("own", F.log10((F.col("n") + F.col("weight") * F.pow(F.lit(10.0), "before")) / (F.col("sums") + F.col("weight"))))
+                  .drop("weight", "sums", "kinds"))
+        gain = F.sum(F.col("n") / F.col("seen") * (F.col("own") - F.col("before")) * float(np.log(10)))
+        kept = priced.groupBy("ctx").agg((gain >= least_divergence).alias("kept"))
+        laws = priced.join(kept, "ctx").withColumn("logp", F.when(F.col("kept"), F.col("own")).otherwise(F.col("before")))
+        laws = cut(laws.drop("own"), f"laws{level}")
+        out.append(laws.drop("next_sfx"))
+        # Next candidates: context and word, seen often, the word not the end.
+        candidates = laws.filter((F.col("n") >= least) & (F.col("w") != end)).select(
+            "key", F.col("next_sfx").alias("sfx"), F.col("n").alias("seen"))
+        before = laws.select(F.col("ctx").alias("sfx"), "w", F.col("logp").alias("before"))
+    return out
+
+
+def values(laws: list[DataFrame]) -> DataFrame:
+    """``key, n, v``: what a run of words adds to the log-probability of a text
+    in which it stands, as a context (the weight left to the suffix) and as a
+    context with its successor (which takes that weight back)."""
+    parts = []
+    for level in laws:
+        kept = level.filter("kept")
+        parts.append(kept.groupBy(F.col("ctx").alias("key")).agg(F.first("seen").alias("n"), F.first("rest").alias("v")))
+        parts.append(kept.select("key", "n", (F.col("logp") - F.col("before") - F.col("rest")).alias("v")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v"))
+
+
+def grow(docs: DataFrame, vocab: DataFrame, root: Root, depth: int, least_state: float, least_successor: float,
+         least_divergence: float) -> Tree:
+    """The tree of a small corpus, collected."""
+    words = keyed(vocab).withColumn("log", root.column(F.col("c"))).toArrow().sort_by("key")
+    number = {k: i for i, k in enumerate(words["key"].to_pylist())}
+    size, states = len(number), {}
+    parents, rests, keys, logs = [], [], [], []
+    shorter: dict[int, int] = {}                       # state of every candidate, or of its longest kept suffix
+    for laws in levels(docs, keyed(vocab), root, depth, least_state, least_successor, least_divergence):
+        mine: dict[int, int] = {}
+        for r in laws.collect():
+            up = shorter.get(r["sfx"], -1)
+            if not r["kept"]:
+                mine[r["ctx"]] = up
+                continue
+            if r["ctx"] not in states:
+                states[r["ctx"]] = len(parents)
+                parents.append(up)
+                rests.append(r["rest"])
+            mine[r["ctx"]] = states[r["ctx"]]
+            keys.append(states[r["ctx"]] * size + number[r["w"]])
+            logs.append(r["logp"])
+        shorter = mine
+    pairs, logp = joined([np.array(keys, np.int64)], [np.array(logs)])
+    return Tree(words["log"].to_numpy(), np.array(parents, np.int64), np.array(rests), pairs, logp)
 
 
 def joined(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -308,8 +355,8 @@ def lookup(tree: Tree, parent: np.ndarray, rest: np.ndarray, pairs: np.ndarray,
     return out
 
 
-def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_share: float = STATE_SHARE,
-                successor_share: float = SUCCESSOR_SHARE, least_divergence: float = LEAST_DIVERGENCE,
+def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_count: int = STATE_COUNT,
+                successor_count: int = SUCCESSOR_COUNT, least_divergence: float = LEAST_DIVERGENCE,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, in_training, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -328,39 +375,68 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_share: fl
     few = {r["c"]: r["k"] for r in vocab.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
     root = Root.fit(row["n"], row["v"], few)
     denominator = row["n"] + row["v"] + 1
-    tree = grow(lessons, vocab, root, depth, state_share, successor_share, least_divergence)
+    words = cut(keyed(vocab), "keys")
+    added = cut(values(levels(lessons, words, root, depth, state_count, successor_count, least_divergence)), "values")
+    hot = added.filter(F.col("n") >= max(1.0, HOT_SHARE * root.tokens)).select("key", "v").toArrow()
+    hot_keys, hot_values = hot["key"].to_numpy().view(np.uint64), hot["v"].to_numpy()
+    order = np.argsort(hot_keys)
+    others = added.filter(F.col("n") < max(1.0, HOT_SHARE * root.tokens)).select("key", "v")
     common_from = max(1.0, COMMON_SHARE * root.tokens)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    common = words.filter(F.col("c") >= common_from).toArrow()
+    word_keys, word_counts = common["key"].to_numpy().view(np.uint64), common["c"].to_numpy()
+    by_word = np.argsort(word_keys)
+    shared = docs.sparkSession.sparkContext.broadcast((
+        hot_keys[order], hot_values[order], bit_table(others), word_keys[by_word], word_counts[by_word]))
+
+    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return at, keys[at] == wanted
 
     def run(batches):
-        tree: Tree = shared.value
-        plain = np.log10((tree.counts + 1) / denominator)
-        known = tree.counts > 0
+        keys, gains, bits, common_keys, common_counts = shared.value
+        common_base = np.log10((common_counts + 1) / denominator)
+        common_root = root.log10(common_counts)
+        coder = Coder()
         for batch in batches:
             ids, trained = (batch.column(i).to_pylist() for i in range(2))
             for part in slices(batch.column(2).to_pylist()):
-                words = [w for _, w in part]
-                codes = tree.codes(words)
-                logs, held = tree.score(codes)
-                word = codes[1:]
-                n = np.array([len(w) + 1 for w in words])
+                texts = [w for _, w in part]
+                codes = coder.codes(texts)
+                n = np.array([len(w) + 1 for w in texts])
                 begin = np.cumsum(n) - n
-                safe = np.maximum(word, 0)
-                sums = [np.add.reduceat(v, begin) for v in (
-                    (held & known[safe]).astype(np.int64), np.where(held, plain[safe], 0.0), logs)]
-                rare = [Counter(w for w, h in zip(ws, held[b:b + len(ws)].tolist()) if not h) if not held[b:b + len(ws)].all() else {}
-                        for ws, b in zip(words, begin.tolist())]
+                owner = np.repeat(np.arange(len(texts)), n)      # text of every token
+                at, held = find(common_keys, codes[1:])
+                known = np.bincount(owner[held], minlength=len(texts))
+                plain = np.bincount(owner[held], common_base[at[held]], len(texts)).astype(float)
+                score = np.bincount(owner[held], common_root[at[held]], len(texts)).astype(float)
+                rare = [Counter(w for w, h in zip(ws + [END], held[b:b + len(ws) + 1].tolist()) if not h)
+                        if not held[b:b + len(ws) + 1].all() else {} for ws, b in zip(texts, begin.tolist())]
+                runs, places = [], []
+                for m, (end, run_keys) in enumerate(coder.runs(codes, depth + 1), 1):
+                    # A run of one word counts for the token behind it.
+                    place = owner[end if m == 1 else end - 1]
+                    at, hit = find(keys, run_keys)
+                    score += np.bincount(place[hit], gains[at[hit]], len(texts))
+                    left = ~hit & may_hold(bits, run_keys)
+                    runs.append(run_keys[left])
+                    places.append(place[left])
+                place, found = np.concatenate(places), np.concatenate(runs)
+                order = np.argsort(place, kind="stable")
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(texts)))]).astype(np.int32)
                 kinds = (batch.schema.field(0).type, pa.bool_())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([c[i] for i, _ in part], k) for c, k in zip((ids, trained), kinds)]
-                    + [pa.array(n), *map(pa.array, sums),
+                    + [pa.array(n), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(score),
                        pa.array([list(r) for r in rare], pa.list_(pa.binary())),
-                       pa.array([list(r.values()) for r in rare], pa.list_(pa.int64()))],
-                    names=["_id", "trained", "n_tokens", "known", "base", "score", "rare", "rare_n"])
+                       pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
+                       pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[order].view(np.int64)))],
+                    names=["_id", "trained", "n_tokens", "known", "base", "score", "rare", "rare_n", "runs"])
 
     kind = base.schema["_id"].dataType.simpleString()
     scored = base.mapInArrow(run, f"_id {kind}, trained boolean, n_tokens long, known long, base double, "
-                                  "score double, rare array<binary>, rare_n array<long>")
+                                  "score double, rare array<binary>, rare_n array<long>, runs array<long>")
     scored = cut(scored.withColumn("_rid", F.monotonically_increasing_id()), "scored")
     rare = scored.select("_rid", F.explode(F.arrays_zip("rare", "rare_n")).alias("z")).select(
         "_rid", F.col("z.rare").alias("word"), F.col("z.rare_n").alias("k"))
@@ -369,8 +445,10 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_share: fl
             .groupBy("_rid").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k"),
                                  F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))).alias("b"),
                                  F.sum(F.col("k") * root.column(F.col("c"))).alias("m")))
-    return scored.drop("rare", "rare_n").join(sums, "_rid", "left").select(
+    gains = (scored.select("_rid", F.explode("runs").alias("key")).join(others, "key")
+             .groupBy("_rid").agg(F.sum("v").alias("v")))
+    return scored.drop("rare", "rare_n", "runs").join(sums, "_rid", "left").join(gains, "_rid", "left").select(
         F.col("_id").alias(id_col), F.col("trained").alias("in_training"), "n_tokens",
         (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(root.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("m", F.lit(0.0))).alias("score"))
+        (F.col("score") + F.coalesce("m", F.lit(0.0)) + F.coalesce("v", F.lit(0.0))).alias("score"))
