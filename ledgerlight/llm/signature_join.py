@@ -12,7 +12,9 @@
    pairs whose largest possible overlap is too small.  A block too large for
    one task is first cut into chunks by size and hash, and chunk pairs whose
    size ranges can meet are joined one by one.
-4. Links are merged into components.
+4. Links are merged into components.  Where links are counted, every pair that
+   the trees leave is verified, and a task gives a class its number of links;
+   otherwise pairs that earlier links connect are passed over.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SAMPLE_DOCS, MAX_FREQUENT = 20_000, 200_000
 # Shingles (of 8 bytes) that one side of a tree join holds in memory, about.
 CHUNK_SHINGLES = 20_000_000
 MEMO_WORDS, LEAF, HELD_LINKS = 500_000, 16, 1_000_000
+# Cells of a table of sets by shingles that is multiplied out at a time.
+DENSE = 4_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -208,11 +212,22 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def tree_join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int):
-    """Pairs (i, j) of set numbers whose Jaccard likeness reaches the threshold,
-    except pairs that links already found connect.  ``left`` and ``right`` list
-    the set numbers of either side by size; no right side joins the left with
-    itself."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a set on the left with one on the right."""
+    both = left + right
+    grams, at = np.unique(np.concatenate(both), return_inverse=True)
+    if len(both) * len(grams) > DENSE:
+        return np.array([[overlap(a, b) for b in right] for a in left], np.int64)
+    flags = np.zeros((len(both), len(grams)), np.float32)
+    flags[np.repeat(np.arange(len(both)), list(map(len, both))), at] = 1
+    return (flags[:len(left)] @ flags[len(left):].T).astype(np.int64)
+
+
+def tree_join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int, every: bool = False):
+    """Pairs (i, j) of set numbers whose Jaccard likeness reaches the threshold;
+    unless ``every`` one is asked for, without those that links already found
+    connect.  ``left`` and ``right`` list the set numbers of either side by
+    size; no right side joins the left with itself."""
     bits = 256
     longest = max(len(s) for s in sets)
     while bits < 2 * longest and bits < 16_384:
@@ -251,6 +266,15 @@ def tree_join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None
         hopeful = meet >= needed(ltree.sizes[u0:u1, None], rtree.sizes[None, v0:v1], percent)
         if right is None and u == v:
             hopeful = np.triu(hopeful, 1)
+        if every:
+            i, j = np.nonzero(hopeful)
+            if len(i):
+                us, vs = np.unique(i), np.unique(j)
+                met = overlaps([sets[m] for m in ltree.members[u0 + us]], [sets[m] for m in rtree.members[v0 + vs]])
+                met = met[np.searchsorted(us, i), np.searchsorted(vs, j)]
+                linked = met >= needed(ltree.sizes[u0 + i], rtree.sizes[v0 + j], percent)
+                yield from zip(ltree.members[u0 + i[linked]].tolist(), rtree.members[v0 + j[linked]].tolist())
+            continue
         for i, j in zip(*np.nonzero(hopeful)):
             a, b = int(ltree.members[u0 + i]), int(rtree.members[v0 + j])
             ra, rb = root(a), root(b)
@@ -259,17 +283,33 @@ def tree_join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None
                 yield a, b
 
 
-def join_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links within blocks: rows ``block, side, _id, _text``, blocks in runs."""
+def join_blocks(rows: DataFrame, width: int, percent: int, every: bool = False) -> DataFrame:
+    """``a, b, n`` within blocks: rows ``block, side, _id, _text``, blocks in
+    runs.  Links that join a block's components have no ``n``; if ``every`` link
+    is asked for, a row with a = b gives the number of those of one id."""
     def links(ids, sides, sets):
         order = np.array(sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i])), np.int64)
         sides = np.array(sides)
         if (sides == 0).all():
-            found = tree_join(sets, order, None, percent)
+            found = tree_join(sets, order, None, percent, every)
         else:
             left, right = order[sides[order] == 1], order[sides[order] == 2]
-            found = tree_join(sets, left, right, percent) if len(left) and len(right) else ()
-        return [(ids[a], ids[b]) for a, b in found]
+            found = tree_join(sets, left, right, percent, every) if len(left) and len(right) else ()
+        if not every:
+            return [(ids[a], ids[b], None) for a, b in found]
+        number, parent, out = [0] * len(ids), list(range(len(ids))), []
+        for a, b in found:
+            number[a] += 1
+            number[b] += 1
+            ra, rb = a, b
+            while parent[ra] != ra:
+                parent[ra] = ra = parent[parent[ra]]
+            while parent[rb] != rb:
+                parent[rb] = rb = parent[parent[rb]]
+            if ra != rb:
+                parent[rb] = ra
+                out.append((ids[a], ids[b], None))
+        return out + [(i, i, n) for i, n in zip(ids, number) if n]
 
     def run(batches):
         shingle = Shingler(width)
@@ -277,8 +317,8 @@ def join_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
         def flush():
             out = links(ids, sides, sets) if len(ids) > 1 else []
-            a, b = zip(*out) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))],
+                                              names=["a", "b", "n"])
 
         for batch in batches:
             for block, side, doc_id, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
@@ -292,7 +332,7 @@ def join_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
         if len(ids) > 1:
             yield flush()
 
-    return rows.select("block", "side", "_id", "_text").mapInArrow(run, "a long, b long")
+    return rows.select("block", "side", "_id", "_text").mapInArrow(run, "a long, b long, n long")
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
@@ -310,18 +350,18 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bo
     return cut(ordered.withColumn("_rid", F.monotonically_increasing_id()), "numbered"), False
 
 
-def linked(base: DataFrame, width: int, percent: int) -> DataFrame:
-    """``_id, n, root`` of every row ``_id, _text``; ids are distinct."""
+def linked(base: DataFrame, width: int, percent: int, every: bool = False) -> DataFrame:
+    """``_id, n, root`` of every row ``_id, _text``; ids are distinct.  With
+    ``every`` also ``links``, how many other classes its class is linked to."""
     frequent, counts = frequent_shingles(base, width, base.count())
     sigs = cut(signatures(base, width, percent, frequent, counts), "signatures")
     classes = cut(sigs.filter("n > 0").groupBy("s1", "s2").agg(
         F.min("_id").alias("rep"), F.first("n").alias("n")), "classes")
-    # A copy that the bit table lets through is one more node beside its class.
+    # A copy that the bit table lets through joins no block.
     heads = reach(sigs.filter("n > 0").select("_id", "n", "head"), classes.select(F.col("rep").alias("_id")), "_id", True)
     edges = like_sized(heads.select(F.explode("head").alias("key"), "n", "_id"), percent)
     blocks = cut(components(edges), "blocks")
-    sizes = sigs.filter("n > 0").groupBy(F.col("_id").alias("node")).agg(F.max("n").alias("n"))
-    members = cut(blocks.join(sizes, "node"), "members")
+    members = cut(blocks.join(classes.select(F.col("rep").alias("node"), "n"), "node"), "members")
     totals = members.groupBy("root").agg(F.sum("n").alias("all"))
     placed = members.join(totals, "root").withColumn("chunks", F.ceil(F.col("all") / CHUNK_SHINGLES).cast("long"))
     whole = F.array(F.struct(F.xxhash64("root").alias("block"), F.lit(0).alias("side"), F.col("root").alias("r")))
@@ -344,32 +384,41 @@ def linked(base: DataFrame, width: int, percent: int) -> DataFrame:
     texts = reach(base, members.select(F.col("node").alias("_id")), "_id", True)
     rows = (placed.join(texts, "_id")
             .select(F.col("p.block").alias("block"), F.col("p.side").alias("side"), "_id", "_text"))
-    links = join_blocks(rows.repartition("block").sortWithinPartitions("block"), width, percent)
-    groups = components(cut(links, "links"))
-    named = classes.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-        "s1", "s2", F.coalesce("root", "rep").alias("root"))
+    links = cut(join_blocks(rows.repartition("block").sortWithinPartitions("block"), width, percent, every), "links")
+    groups = components(links.filter("a <> b"))
+    named = classes.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    if every:
+        number = links.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+        named = named.join(number, "rep", "left")
+    found = ["links"] if every else []
+    named = named.select("s1", "s2", F.coalesce("root", "rep").alias("root"), *found)
     out = sigs.select("_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    return out.select("_id", "n", F.coalesce("root", "_id").alias("root"))
+    return out.select("_id", "n", F.coalesce("root", "_id").alias("root"),
+                      *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in found])
+
 
 
 def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """``<id_col>, n_shingles, component_id`` of every document.
+    """``<id_col>, n_shingles, component_id, n_links`` of every document.
 
     Documents are linked when 100 * intersection >= percent * union of their
-    shingle sets; a component's id is its smallest document id.  Texts of fewer
+    shingle sets; a component's id is its smallest document id.  ``n_links`` is
+    the number of other shingle sets that the document's own is linked to,
+    however many documents have them.  Texts of fewer
     than ``width`` words have one shingle, all of them; null, empty and blank
     texts have none and stand alone.  Every row is a document of its own, also
     if its id is null or repeated; a component's id is null if none of its rows
     has one; an empty table gives no rows; other columns of ``docs`` are not
     read."""
     rows, own = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    out = linked(rows.select(F.col("_rid").alias("_id"), whole_text("c1").alias("_text")), width, percent)
+    out = linked(rows.select(F.col("_rid").alias("_id"), whole_text("c1").alias("_text")), width, percent, True)
     if not own:
         ids = rows.select("_rid", F.col("c0").cast("long").alias("c0"))
         out = (out.join(ids.toDF("_id", "own"), "_id").join(ids.toDF("root", "first"), "root")
                .drop("_id", "root").withColumnsRenamed({"own": "_id", "first": "root"}))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"),
+                      F.col("links").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",

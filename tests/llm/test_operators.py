@@ -361,6 +361,20 @@ def test_groups_against_all_pairs(prose, monkeypatch, width, percent, chunk):
     assert got == plain_groups(texts_of(prose), width, percent)
 
 
+@pytest.mark.parametrize("chunk", [20_000_000, 600])
+def test_every_link_counts(spark, monkeypatch, chunk):
+    monkeypatch.setattr(signature_join, "CHUNK_SHINGLES", chunk)
+    words = [f"w{i}" for i in range(60)]
+    # Each text has one word of its own.
+    texts = [" ".join(words[:-4 - i] + [f"own{i}"] + words[-3 - i:]) for i in range(30)] + ["something else altogether here now"]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts + texts[:5])], DOC_SCHEMA)
+    sets = [set(signature_join.Shingler(4)(t).tolist()) for t in texts]
+    want = [sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in sets) for a in sets]
+    assert max(want) > 2 and want[-1] == 0
+    found = {r["doc_id"]: r["n_links"] for r in signature_join.similar_groups(docs, 4, 80).collect()}
+    assert [found[i] for i in range(len(found))] == want + want[:5]
+
+
 def test_rows_without_an_id_of_their_own_are_kept(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     texts = [" ".join(f"{w}{i}" for w in words) for i in range(6)]
