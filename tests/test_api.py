@@ -9,7 +9,7 @@ import pytest
 from ledgerlight import config
 from ledgerlight.plans import api
 from ledgerlight.sources.adapters import Sources
-from conftest import SF001
+from fixture_paths import SF001
 
 AS_OF = config.AS_OF
 

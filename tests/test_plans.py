@@ -3,7 +3,7 @@
 from ledgerlight.registry import REGISTRY
 import ledgerlight.queries  # noqa: F401
 
-from conftest import SF001
+from fixture_paths import SF001
 
 
 def _plan(spark, name):
