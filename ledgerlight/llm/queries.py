@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import decision_list, empirical_bayes, hilbert, mixing, packing, signature_join, suffix_dedup, suffix_tree_lm, toxicity, winnowing
+from ledgerlight.llm import conversation_repair, decision_list, empirical_bayes, hilbert, mixing, packing, signature_join, suffix_dedup, suffix_tree_lm, toxicity, winnowing
 from ledgerlight.llm.common import id_crc, table
 
 
@@ -67,6 +67,11 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}))
 
 
+def op13_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(damaged, present=damaged["live"])
+
+
 QUERIES = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op2_winnowing": op2_winnowing,
@@ -78,5 +83,6 @@ QUERIES = {
     "op8_nnls_packing": op8_nnls_packing,
     "op9_decision_list": op9_decision_list,
     "op10_hilbert": op10_hilbert,
+    "op13_auction_repair": op13_auction_repair,
 }
 ORACLES: dict[str, str] = {}
