@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import conversation_repair, decision_list, empirical_bayes, hilbert, mixing, packing, signature_join, suffix_dedup, suffix_tree_lm, toxicity, winnowing
+from ledgerlight.llm import byte_gru, conversation_repair, decision_list, empirical_bayes, hilbert, mixing, packing, periodic_runs, signature_join, suffix_dedup, suffix_tree_lm, toxicity, winnowing
 from ledgerlight.llm.common import id_crc, table
 
 
@@ -67,6 +67,28 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}))
 
 
+def cover_runs(docs: DataFrame) -> DataFrame:
+    """Runs of ``docs`` with planted periods, as the strongest run and digests."""
+    found = periodic_runs.find_runs(periodic_runs.plant_periods(docs))
+    best = periodic_runs.strongest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op11_cover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_runs(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = byte_gru.train(docs, usable=id_crc() % 3 != 1)
+    return byte_gru.predict(docs, net).select("doc_id", (id_crc() % 3 == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op13_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
     return conversation_repair.repair(damaged, present=damaged["live"])
@@ -83,6 +105,8 @@ QUERIES = {
     "op8_nnls_packing": op8_nnls_packing,
     "op9_decision_list": op9_decision_list,
     "op10_hilbert": op10_hilbert,
+    "op11_cover_runs": op11_cover_runs,
+    "op12_byte_gru": op12_byte_gru,
     "op13_auction_repair": op13_auction_repair,
 }
 ORACLES: dict[str, str] = {}
