@@ -4,23 +4,27 @@ The reference deletes a date window in 50 000-row batches and inserts in
 retried chunks inside one transaction.  On files the same contract is a
 windowed replace of month partitions:
 
-1. read only the months the window touches (partition pruning on
-   ``created_month``) and keep their rows outside the window, with all of the
+1. note which version of each touched month the target shows (a catalog table:
+   the folder its partition points to; a storage path: the files it holds);
+2. read those months and keep their rows outside the window, with all of the
    target's columns;
-2. write them and the new rows, once, to a staging folder in the shared work
-   area that is named after the target and the window, then a marker with what
-   is to be published (never overwrite a path that is being read);
-3. dynamic-overwrite exactly those month partitions from the staging copy;
-4. delete touched months that have no staged row (dynamic overwrite only
-   replaces partitions present in the new data);
-5. delete the staging copy.
+3. write them and the new rows, once, to a fresh folder of this run's own, and
+   count loaded and rejected rows during that write;
+4. take the target's claim (``claims.Claim``).  A month whose version is another
+   by now was changed by a second run: its rows are put together again from
+   this run's new rows and the month as it is;
+5. write a marker with what is to be published and publish.  Months of a catalog
+   table are swapped by pointer (``ALTER TABLE ... SET LOCATION``), so a reader
+   finds the old or the new month at any time; months of a storage path are
+   overwritten in place, and a reader may miss one for a moment;
+6. give the claim back.
 
 A lost executor only retries its tasks.  A run that stops before the marker
 has not touched the target; one that stops after it is finished first by the
-next run on that target, from the complete staging copy, whatever state the
-target was left in.  Readers may see a month missing while it is published.
-Rows whose date is NULL or outside the window cannot be placed and go to a
-``rejects`` folder instead of piling up (N18).
+next run on that target, from its complete folder.  Two runs never share a
+folder, so neither can destroy what the other writes.  Rows whose date is NULL
+or outside the window cannot be placed and go to a ``rejects`` folder instead of
+piling up (N18).
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import hashlib
 import json
 import re
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -38,14 +42,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlight.functions import periods as K
+from ledgerlight.operators.claims import Claim, age, filesystem, names_in, path_exists, read_text, write_text
 from ledgerlight.session import shared_dir
-from ledgerlight.sources.schemas import max_length
+from ledgerlight.sources.schemas import CATALOG_WIDTH, max_length
 
 MONTH_COL = "created_month"
 # Column metadata of the date that a table is partitioned by the month of.
 SOURCE_KEY = "partition_source"
 # Partition of the staging copy that holds the rows a load rejects.
 REJECTED = "rejected"
+# An unfinished folder that nobody has added to for so long is dropped.
+ABANDONED_AFTER = 7 * 24 * 3600.0
 _TABLE_NAME = re.compile(r"^[A-Za-z0-9_$]{1,128}$")
 
 
@@ -71,7 +78,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             c = F.date_trunc("millisecond", c.cast(f.dataType)).cast(f.dataType)
         else:
             c = c.cast(f.dataType)
-        cols.append(c.alias(f.name, metadata=dict(f.metadata or {})))
+        # A catalog's own mark stays with the catalog.
+        cols.append(c.alias(f.name, metadata={k: v for k, v in (f.metadata or {}).items() if k != CATALOG_WIDTH}))
     return df.select(*cols)
 
 
@@ -144,29 +152,18 @@ def months_between_bounds(start, end) -> list[str]:
 
 
 def read_window(spark: SparkSession, path: str, start, end, date_col: str | None = None) -> DataFrame:
-    """Read a month-partitioned table for a date window on ``date_col``
+    """Read a month-partitioned table (path or catalog name) for a date window on ``date_col``
     (default: the column its months come from).  The month filter prunes
     partitions where the months are that column's; the date filter prunes row
     groups (§4)."""
-    table = spark.read.parquet(path)
+    table = spark.table(path) if _is_table(path) else spark.read.parquet(path)
     date_col = date_col or month_source(table.schema) or "CreatedDate"
     rows = table.where(K.in_window(date_col, start, end))
     return rows.where(F.col(MONTH_COL).isin(months_between_bounds(start, end))) if prunes(table, date_col) else rows
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath, jvm
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p, _ = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
 def _delete(spark: SparkSession, path: str) -> None:
-    fs, p, _ = _fs(spark, path)
+    fs, p, _ = filesystem(spark, path)
     if fs.exists(p):
         fs.delete(p, True)
 
@@ -178,6 +175,8 @@ class LoadResult:
     months_rewritten: list[str]
     months_emptied: list[str]
     rejects_path: str | None
+    # Months that another run changed meanwhile, put together again.
+    months_restaged: list[str] = field(default_factory=list)
 
 
 def _is_table(target: str) -> bool:
@@ -198,68 +197,117 @@ def read_target(spark: SparkSession, target: str) -> DataFrame | None:
         return None
 
 
-def _publish(spark: SparkSession, staging: str, target: str, present: list[str], emptied: list[str],
-             location: str | None) -> None:
-    """Replace the staged months in the target, drop the emptied ones.  Doing
-    it again has the same result."""
-    if present:
-        staged = spark.read.parquet(staging).where(F.col(MONTH_COL).isin(present))
-        if _is_table(target) and spark.catalog.tableExists(target):
-            cols = spark.table(target).columns  # insertInto is positional
-            (staged.select(*cols).write.option("partitionOverwriteMode", "dynamic")
-                   .insertInto(target, overwrite=True))
-        elif _is_table(target):
-            writer = staged.write.format("parquet").partitionBy(MONTH_COL)
-            if location:
-                writer = writer.option("path", location)
-            writer.saveAsTable(target)
-        else:
-            (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                   .partitionBy(MONTH_COL).parquet(target))
-    for m in emptied:
-        if _is_table(target):
+def table_location(spark: SparkSession, table: str, month: str | None = None) -> str:
+    """Where the catalog says a table (or one of its months) lies."""
+    part = f" PARTITION ({MONTH_COL} = '{month}')" if month else ""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}{part}").where("col_name = 'Location'").collect()
+    return rows[0]["data_type"].rstrip("/")
+
+
+def _table_months(spark: SparkSession, table: str) -> set[str]:
+    return {r[0].partition("=")[2] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()}
+
+
+def month_versions(spark: SparkSession, target: str, months: list[str]) -> dict[str, str]:
+    """What tells one state of a month from the next, for the months that are there."""
+    if _is_table(target):
+        if not spark.catalog.tableExists(target):
+            return {}
+        return {m: table_location(spark, target, m) for m in sorted(_table_months(spark, target) & set(months))}
+    found = {m: names_in(spark, f"{target}/{MONTH_COL}={m}") for m in months}
+    return {m: "/".join(names) for m, names in found.items() if names}
+
+
+def _publish(spark: SparkSession, target: str, folders: dict[str, str], emptied: list[str], location: str | None,
+             check=lambda: None) -> None:
+    """Let the target show the months in ``folders`` (month -> folder that holds
+    its partition) and none of the emptied ones.  Doing it again has the same
+    result.  ``check`` stops a run that has lost its claim."""
+    if _is_table(target):
+        if not spark.catalog.tableExists(target):
+            return
+        there = _table_months(spark, target)
+        for m, folder in folders.items():
+            check()
+            where = f"{folder}/{MONTH_COL}={m}"
+            _point(spark, target, m, where, m in there)
+        for m in emptied:
+            check()
             spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({MONTH_COL} = '{m}')")
-        else:
-            _delete(spark, f"{target}/{MONTH_COL}={m}")
+        return
+    for folder in sorted(set(folders.values())):
+        check()
+        staged = spark.read.parquet(folder).where(F.col(MONTH_COL).isin([m for m, f in folders.items() if f == folder]))
+        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+               .partitionBy(MONTH_COL).parquet(target))
+    for m in emptied:
+        check()
+        _delete(spark, f"{target}/{MONTH_COL}={m}")
 
 
-def _staging_root(work: str, target: str) -> str:
-    return f"{work}/_staging/{hashlib.sha256(target.encode()).hexdigest()[:16]}"
+def _point(spark: SparkSession, table: str, month: str, folder: str, there: bool) -> None:
+    """One pointer: the month is the old folder before and the new one after."""
+    if there:
+        spark.sql(f"ALTER TABLE {table} PARTITION ({MONTH_COL} = '{month}') SET LOCATION '{folder}'")
+    else:
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({MONTH_COL} = '{month}') LOCATION '{folder}'")
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p, _ = _fs(spark, path)
-    out = fs.create(p, True)
-    out.write(bytearray(text.encode()))
-    out.close()
+def _staging_root(work: str, target: str) -> str:
+    return f"{work}/_staging/{hashlib.sha256(target.encode()).hexdigest()[:16]}"
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
-    fs, p, jvm = _fs(spark, path)
-    stream = fs.open(p)
-    text = bytes(stream.readAllBytes()).decode()
-    stream.close()
-    return text
+def _claim(spark: SparkSession, target: str, work: str) -> Claim:
+    return Claim(spark, f"{_staging_root(work, target)}/_claims")
 
 
-def recover(spark: SparkSession, target: str, work: str) -> int:
-    """Publish complete staging copies that earlier runs on the target left
-    behind; drop incomplete ones.  Returns how many were published."""
-    root = _staging_root(work, target)
-    fs, p, jvm = _fs(spark, root)
-    if not fs.exists(p):
-        return 0
-    done = 0
-    for status in sorted(fs.listStatus(p), key=lambda s: s.getModificationTime()):
-        folder = f"{root}/{status.getPath().getName()}"
+def recover(spark: SparkSession, target: str, work: str, check=lambda: None) -> int:
+    """Publish complete folders that stopped runs on the target left behind, and
+    drop incomplete ones that nobody has added to for a week.  Returns how many
+    were published.  Runs under the target's claim: a marker that is there then
+    belongs to a run that has stopped."""
+    root, done = _staging_root(work, target), 0
+    runs = [n for n in names_in(spark, root) if n != "_claims"]
+    for folder in sorted((f"{root}/{n}" for n in runs), key=lambda f: -age(spark, f)):
         if path_exists(spark, f"{folder}/marker.json"):
-            todo = json.loads(_read_text(spark, f"{folder}/marker.json"))
-            _publish(spark, f"{folder}/rows", target, todo["present"], todo["emptied"], todo["location"])
+            todo = json.loads(read_text(spark, f"{folder}/marker.json"))
+            _publish(spark, target, todo["folders"], todo["emptied"], todo["location"], check)
             done += 1
-        _delete(spark, folder)
+            _delete(spark, folder)
+        elif age(spark, folder) > ABANDONED_AFTER:
+            _delete(spark, folder)
     return done
 
 
+def _shaped(rows: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """``rows`` in the columns of an existing target, cut to its widths."""
+    if existing is None:
+        return rows
+    have, cols = set(rows.columns), []
+    for f in existing.schema.fields:
+        if f.name != MONTH_COL:
+            c = F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType)
+            n = max_length(f) if isinstance(f.dataType, T.StringType) else None
+            cols.append((F.substring(c, 1, n) if n else c).alias(
+                f.name, metadata={k: v for k, v in (f.metadata or {}).items() if k != CATALOG_WIDTH}))
+    return rows.select(*cols)
+
+
+def _write_months(rows: DataFrame, date_col: str, folder: str, obs: Observation | None = None, metrics=()) -> set[str]:
+    """Write ``rows`` by month; the months that have rows."""
+    marked = F.col(date_col).alias(date_col, metadata={**(rows.schema[date_col].metadata or {}), SOURCE_KEY: True})
+    rows = rows.select(*[marked if c == date_col else F.col(c) for c in rows.columns])
+    # REBALANCE by month: AQE packs each month into files of the advisory
+    # size and splits a hot month over several tasks, instead of every task
+    # writing one small file per month it happens to hold.  The counts are
+    # taken behind it, in the tasks that write.
+    rows = rows.hint("rebalance", MONTH_COL)
+    if obs is not None:
+        rows = rows.observe(obs, *metrics)
+    rows.write.mode("overwrite").partitionBy(MONTH_COL).parquet(folder)
+    return {n.partition("=")[2] for n in names_in(rows.sparkSession, folder) if n.startswith(f"{MONTH_COL}=")}
+
+
 def windowed_replace(spark: SparkSession, new_rows: DataFrame, target: str, start, end,
                      date_col: str = "CreatedDate", work_dir: str | None = None,
                      location: str | None = None) -> LoadResult:
@@ -269,57 +317,98 @@ def windowed_replace(spark: SparkSession, new_rows: DataFrame, target: str, star
     ``target`` is a storage path or a catalog table name; a table that does
     not exist yet is created partitioned by month (at ``location`` if given).
     An existing target keeps its columns: those that ``new_rows`` lack are NULL
-    in the new rows, and others of ``new_rows`` are left out."""
+    in the new rows, others of ``new_rows`` are left out, and strings are cut to
+    declared widths.  Loads of one target may run at the same time: they
+    publish one after the other, and each keeps what the other has loaded."""
     s, e = K.to_date(start), K.to_date(end)
     if e < s:
         raise ValueError("end_date before start_date")
     if _is_table(target) and not re.match(r"^[A-Za-z0-9_$]{1,128}(\.[A-Za-z0-9_$]{1,128})?$", target):
         raise ValueError(f"invalid table name {target!r}")
     work = (work_dir or shared_dir(spark)).rstrip("/")
-    recover(spark, target, work)
-    name = f"{s}_{e}"
-    staging = f"{_staging_root(work, target)}/{name}"
-    rejects = f"{work}/_rejects/{uuid.uuid4().hex}"
+    with _claim(spark, target, work) as claim:
+        recover(spark, target, work, claim.check)
+    token = uuid.uuid4().hex
+    staging = f"{_staging_root(work, target)}/{token}"
     months = months_between_bounds(s, e)
     in_win = F.coalesce(F.to_date(F.col(date_col)).between(F.lit(s), F.lit(e)), F.lit(False))
 
+    seen = month_versions(spark, target, months)
     existing = read_target(spark, target)
     if existing is not None:
         source = month_source(existing.schema)
         if source not in (None, date_col):
             raise ValueError(f"{target} is partitioned by the month of {source}, not of {date_col}")
-        have = set(new_rows.columns)
-        new_rows = new_rows.select(*[
-            F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in existing.schema.fields if f.name != MONTH_COL])
     # A row outside the window would land in a month partition this run does
     # not own and overwrite it: such rows, and rows without a date, are rejected.
-    staged = new_rows.withColumn(MONTH_COL, F.when(in_win, F.date_format(date_col, "yyyy-MM")).otherwise(F.lit(REJECTED)))
+    staged = _shaped(new_rows, existing).withColumn(
+        MONTH_COL, F.when(in_win, F.date_format(date_col, "yyyy-MM")).otherwise(F.lit(REJECTED)))
+    if existing is None and _is_table(target):
+        made = spark.createDataFrame([], staged.schema)
+        marked = F.col(date_col).alias(date_col, metadata={SOURCE_KEY: True})
+        writer = made.select(*[marked if c == date_col else F.col(c) for c in made.columns]).write.format("parquet").partitionBy(MONTH_COL)
+        (writer.option("path", location) if location else writer).mode("ignore").saveAsTable(target)
+    # A table's months stay where they are written; a path's are copied.
+    home = f"{table_location(spark, target)}/_loads/{token}" if _is_table(target) else staging
     if existing is not None:
-        kept = existing.where(F.col(MONTH_COL).isin(months) & ~in_win)
-        staged = staged.unionByName(kept)
-    marked = F.col(date_col).alias(date_col, metadata={**(staged.schema[date_col].metadata or {}), SOURCE_KEY: True})
-    staged = staged.select(*[marked if c == date_col else F.col(c) for c in staged.columns])
-    # REBALANCE by month: AQE packs each month into files of the advisory
-    # size and splits a hot month over several tasks, instead of every task
-    # writing one small file per month it happens to hold.
-    (staged.hint("rebalance", MONTH_COL)
-           .write.mode("overwrite").partitionBy(MONTH_COL).parquet(f"{staging}/rows"))
-    # Months present in the staging copy: its folders.  Kept rows lie outside
-    # the window, so the rows inside it are the loaded ones.
-    fs, p, _ = _fs(spark, f"{staging}/rows")
-    found = {st.getPath().getName().partition("=")[2] for st in fs.listStatus(p) if st.isDirectory()}
-    loaded = rejected = 0
-    if found:
-        rows = spark.read.parquet(f"{staging}/rows")
-        placed = F.col(MONTH_COL) != REJECTED
-        loaded, rejected = rows.agg(F.count_if(placed & in_win), F.count_if(~placed)).first()
-        if rejected:
-            rows.where(~placed).drop(MONTH_COL).write.mode("overwrite").parquet(rejects)
-    present = [m for m in months if m in found]
-    emptied = [m for m in months if m not in found] if existing is not None else []
-    _write_text(spark, f"{staging}/marker.json",
-                json.dumps({"present": present, "emptied": emptied, "location": location}))
-    _publish(spark, f"{staging}/rows", target, present, emptied, location)
-    _delete(spark, staging)
-    return LoadResult(loaded, rejected, present, [m for m in months if m not in found], rejects if rejected else None)
+        staged = staged.unionByName(existing.where(F.col(MONTH_COL).isin(months) & ~in_win))
+    # Kept rows lie outside the window, so the rows inside it are the loaded ones.
+    placed = F.col(MONTH_COL) != REJECTED
+    obs = Observation("load")
+    found = _write_months(staged, date_col, f"{home}/rows", obs,
+                          [F.count_if(placed & in_win).alias("loaded"), F.count_if(~placed).alias("rejected")])
+    counts = obs.get if found else {"loaded": 0, "rejected": 0}
+    rejects = f"{work}/_rejects/{token}" if counts["rejected"] else None
+    if rejects:
+        spark.read.parquet(f"{home}/rows").where(~placed).drop(MONTH_COL).write.mode("overwrite").parquet(rejects)
+
+    with _claim(spark, target, work) as claim:
+        recover(spark, target, work, claim.check)
+        now = month_versions(spark, target, months)
+        moved = [m for m in months if now.get(m) != seen.get(m)]
+        folders = {m: f"{home}/rows" for m in months if m in found}
+        if moved:
+            folders |= dict.fromkeys(_restage(spark, target, f"{home}/rows", f"{home}/again", moved, bool(found), in_win, date_col), f"{home}/again")
+            again = set(names_in(spark, f"{home}/again"))
+            folders = {m: f for m, f in folders.items() if m not in moved or f"{MONTH_COL}={m}" in again}
+        emptied = [m for m in months if m not in folders]
+        gone = [m for m in emptied if m in now]
+        write_text(spark, f"{staging}/marker.json", json.dumps({"folders": folders, "emptied": gone, "location": location}))
+        claim.check()
+        _publish(spark, target, folders, gone, location, claim.check)
+        _delete(spark, staging)
+    return LoadResult(counts["loaded"], counts["rejected"], sorted(folders), emptied, rejects, moved)
+
+
+def _restage(spark: SparkSession, target: str, written: str, folder: str, months: list[str], any_rows: bool,
+             in_win, date_col: str) -> set[str]:
+    """Months that changed since they were read: this run's new rows with the
+    rows outside the window as they are now."""
+    existing = read_target(spark, target)
+    parts = []
+    if any_rows:
+        fresh = spark.read.parquet(written).where(F.col(MONTH_COL).isin(months) & in_win)
+        parts.append(_shaped(fresh, existing).withColumn(MONTH_COL, F.date_format(date_col, "yyyy-MM")))
+    if existing is not None:
+        parts.append(existing.where(F.col(MONTH_COL).isin(months) & ~in_win))
+    if not parts:
+        return set()
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _write_months(rows, date_col, folder)
+
+
+def drop_unused_months(spark: SparkSession, table: str, older_than: float = ABANDONED_AFTER) -> list[str]:
+    """Delete month folders of a catalog table that no partition points to and
+    nobody has touched for ``older_than`` seconds (readers that began before a
+    swap have ended by then).  Returns them."""
+    home = f"{table_location(spark, table)}/_loads"
+    used = {table_location(spark, table, m) for m in _table_months(spark, table)}
+    out = []
+    for run in names_in(spark, home):
+        for part in ("rows", "again"):
+            for name in names_in(spark, f"{home}/{run}/{part}"):
+                folder = f"{home}/{run}/{part}/{name}"
+                if name.startswith(f"{MONTH_COL}=") and folder not in used and age(spark, folder) > older_than:
+                    _delete(spark, folder)
+                    out.append(folder)
+    return out

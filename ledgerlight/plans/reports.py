@@ -296,13 +296,12 @@ POLICY_EXPORT_COLUMNS = [
 ]
 
 
-def policy_order(rows: DataFrame, basis: str, order: str) -> list[Column]:
+def policy_order(rows: DataFrame, basis: str, order: str) -> list[paging.SortKey]:
     """H2: basis and direction, policy number, then every other column, so that
     pages never overlap even where numbers of several sources repeat."""
-    first = F.col(basis).asc() if D.sort_direction(order) == "ASC" else F.col(basis).desc()
     lead = ["PolicyNumber", "QuoteNumber"]
-    return [first, *[F.col(c).asc() for c in lead],
-            *[F.col(c).asc() for c in rows.columns if c not in (basis, "DateExtracted", *lead)]]
+    return [paging.SortKey(basis, D.sort_direction(order) == "DESC"), *paging.asc(*lead),
+            *paging.asc(*[c for c in rows.columns if c not in (basis, "DateExtracted", *lead)])]
 
 
 def policy_listing(crm: DataFrame, start, end, extracted_at: dt.datetime, months=None,
@@ -383,13 +382,13 @@ def quote_rows(quote: DataFrame, start, end, as_of: dt.date, countries="all", br
     return base.select(*cols, F.col("CreatedDate").alias(_ORDER_KEY))
 
 
-def listing_order(df: DataFrame, created: str = "CreatedDate", number: str = "QuoteNumber") -> list[Column]:
+def listing_order(df: DataFrame, created: str = "CreatedDate", number: str = "QuoteNumber") -> list[paging.SortKey]:
     """H1: ``CreatedDate DESC, QuoteNumber`` then every other output column,
     so the order is total (the two reference keys may tie)."""
     if _ORDER_KEY in df.columns:
         created = _ORDER_KEY
-    rest = [F.col(c).asc() for c in df.columns if c not in (created, number, _ORDER_KEY)]
-    return [F.col(created).desc(), F.col(number).asc(), *rest]
+    rest = [c for c in df.columns if c not in (created, number, _ORDER_KEY)]
+    return [paging.desc(created), *paging.asc(number, *rest)]
 
 
 def quote_listing(quote: DataFrame, start, end, as_of: dt.date, countries="all", brands="all",
@@ -403,7 +402,7 @@ def quote_listing(quote: DataFrame, start, end, as_of: dt.date, countries="all",
 
 def quote_export_rows(quote: DataFrame, start, end, as_of: dt.date, countries="all", brands="all",
                       pets="all", shape: str = "quote_csv", months: int | None = None,
-                      clamp_days: bool = False) -> tuple[DataFrame, list[Column]]:
+                      clamp_days: bool = False) -> tuple[DataFrame, list[paging.SortKey]]:
     """M10/M12/M14/M15 CSV form: all rows of the window and their order."""
     rows = quote_rows(quote, start, end, as_of, countries, brands, pets, shape, months, clamp_days)
     return rows, listing_order(rows)
@@ -448,7 +447,7 @@ SALES_EXPORT_COLUMNS = [
 
 
 def sales_export_rows(sales: DataFrame, start, end, countries="all", brands="all",
-                      pets="all") -> tuple[DataFrame, list[Column]]:
+                      pets="all") -> tuple[DataFrame, list[paging.SortKey]]:
     """M20 CSV form (N15: the duplicated PetType is written once)."""
     base = sales.where(D.conjunction([_created_in(sales, start, end),
                                       D.report_filters(countries, brands, pets)]))
@@ -465,7 +464,7 @@ FREE_EXPORT_COLUMNS = [
 
 
 def free_export_rows(free: DataFrame, start, end, countries="all", brands="all",
-                     pets="all") -> tuple[DataFrame, list[Column]]:
+                     pets="all") -> tuple[DataFrame, list[paging.SortKey]]:
     """M19 CSV form."""
     base = free.where(D.conjunction([_created_in(free, start, end),
                                      D.report_filters(countries, brands, pets)]))
@@ -477,7 +476,7 @@ def free_export_rows(free: DataFrame, start, end, countries="all", brands="all",
 def policy_export_rows(crm: DataFrame, start, end, extracted_at: dt.datetime, months=None,
                        date_basis: str = config.DEFAULT_DATE_BASIS, regions="all",
                        policy_status="all", policy_type="all", brands="all", pets="all",
-                       order: str = "DESC") -> tuple[DataFrame, list[Column]]:
+                       order: str = "DESC") -> tuple[DataFrame, list[paging.SortKey]]:
     """M23 CSV form: every row of the window in listing order."""
     base, basis = _policy_base(crm, start, end, months, date_basis, regions, policy_status,
                                policy_type, brands, pets)

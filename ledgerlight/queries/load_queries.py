@@ -237,6 +237,22 @@ def csv_free_export(src):
     return _roundtrip(src.spark, rows, order, csv_export.export_filename("free_policies.csv", *MW))
 
 
+@register("csv_manifest", ("sales_wh",), ids="B10 B11 M20-CSV", oracle="""
+SELECT count(*) AS rows_in_parts, 'CountryName' AS first_column
+FROM sales_wh
+WHERE CreatedDate >= DATE '2001-06-05' AND CreatedDate < DATE '2001-06-21'
+""")
+def csv_manifest(src):
+    """Rows that the manifest of a sales export counts in its parts, and the
+    first name of its header."""
+    spark = src.spark
+    rows, order = R.sales_export_rows(src["sales_wh"], *MW)
+    path = f"{shared_dir(spark)}/ledgerlight-csv-{uuid.uuid4().hex}/{csv_export.export_filename('sales.csv', *MW)}"
+    csv_export.write_csv(rows, path, order=order)
+    head = F.lit(csv_export.read_text(spark, f"{path}/{csv_export.HEADER}").split(",")[0])
+    return csv_export.manifest(spark, path).agg(F.sum("rows").alias("rows_in_parts"), F.max(head).alias("first_column"))
+
+
 @register("csv_policy_export", ("crm_wh",), ids="M23-CSV B10 B11 C20 C26 C27 K-clamp", oracle="""
 SELECT TIMESTAMP '2001-07-10 12:00:00' AS DateExtracted, Brand,
        coalesce(nullif(Country, ''), CountryCode) AS Country,

@@ -434,7 +434,36 @@ ORDER BY CreatedDate DESC NULLS LAST, QuoteNumber NULLS FIRST, CountryCode NULLS
 LIMIT 300 OFFSET 700
 """)
 def listing_deep_page(src):
-    """A page far down: ranges are written once, the ones that hold it are sorted."""
+    """A page found by refining the key: at most fifty rows before it are sorted."""
     rows = src["quote_wh"].select("QuoteNumber", "CountryCode", "CreatedDate", "PetName")
-    order = [F.col("CreatedDate").desc(), F.col("QuoteNumber").asc(), F.col("CountryCode").asc(), F.col("PetName").asc()]
-    return paging.deep_page(rows, order, 700, 300)
+    order = [paging.desc("CreatedDate"), *paging.asc("QuoteNumber", "CountryCode", "PetName")]
+    return paging.page(rows, order, 700, 300, top_rows=50)
+
+
+@register("listing_equal_keys", ("quote_wh",), ids="H1 H3", oracle="""
+SELECT CountryCode, PetType, CreatedDate, QuoteNumber, PetName FROM quote_wh
+ORDER BY CountryCode DESC NULLS LAST, PetType NULLS FIRST, CreatedDate DESC NULLS LAST,
+         QuoteNumber NULLS FIRST, PetName NULLS FIRST
+LIMIT 400 OFFSET 650
+""")
+def listing_equal_keys(src):
+    """A page inside long stretches of equal first and second keys."""
+    rows = src["quote_wh"].select("CountryCode", "PetType", "CreatedDate", "QuoteNumber", "PetName")
+    order = [paging.desc("CountryCode"), *paging.asc("PetType"), paging.desc("CreatedDate"),
+             *paging.asc("QuoteNumber", "PetName")]
+    return paging.page(rows, order, 650, 400, top_rows=20)
+
+
+@register("listing_next_page", ("quote_wh",), ids="H1 H3", oracle="""
+SELECT QuoteNumber, CountryCode, CreatedDate, PetName FROM quote_wh
+ORDER BY CreatedDate DESC NULLS LAST, QuoteNumber NULLS FIRST, CountryCode NULLS FIRST, PetName NULLS FIRST
+LIMIT 250 OFFSET 500
+""")
+def listing_next_page(src):
+    """The second page, begun behind the last row of the first."""
+    rows = src["quote_wh"].select("QuoteNumber", "CountryCode", "CreatedDate", "PetName")
+    order = [paging.desc("CreatedDate"), *paging.asc("QuoteNumber", "CountryCode", "PetName")]
+    last = paging.page(rows, order, 499, 1).first()
+    if last is None:
+        return rows.limit(0)
+    return paging.page_after(rows, order, last.asDict(), 250)

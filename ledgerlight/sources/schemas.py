@@ -1,15 +1,20 @@
 """Warehouse table schemas (1.3).
 
-A string's length limit is a matter of the target table: it is field metadata
-(``max_length``, in the role of ``NVARCHAR(n)``) that ``with_widths`` declares.
+A string's length limit is a matter of the target table: the catalog's
+``VARCHAR(n)``, or field metadata (``max_length``) that ``with_widths`` declares.
 The loader cuts strings to it (B3/B4) and reports how many values were cut;
 without a declared limit nothing is cut.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
+# Where Spark notes a catalog column's CHAR(n) or VARCHAR(n).
+CATALOG_WIDTH = "__CHAR_VARCHAR_TYPE_STRING"
+
 
 def _s(name: str) -> T.StructField:
     return T.StructField(name, T.StringType(), True)
@@ -56,8 +61,11 @@ WAREHOUSE = {"Quote": QUOTE, "Sales": SALES, "FreePolicySales": FREE_POLICY, "CR
 
 
 def max_length(field: T.StructField) -> int | None:
-    """Length limit of a column, if any."""
-    n = (field.metadata or {}).get("max_length")
+    """Length limit of a column, if any: declared by ``with_widths``, or by
+    the catalog as CHAR(n) or VARCHAR(n)."""
+    meta = field.metadata or {}
+    declared = re.search(r"char\((\d+)\)", meta.get(CATALOG_WIDTH, ""))
+    n = meta.get("max_length") or (declared and declared.group(1))
     return int(n) if n else None
 
 

@@ -2,21 +2,36 @@
 
 The reference's ``*_stream`` modules stream a finite query to an HTTP client
 as CSV in 5 000-row fetches.  In Spark the same result is a distributed write:
-every task writes its own part file, nothing passes through the driver.  The
-writer options reproduce Python's ``csv`` module output: empty field for NULL,
-doubled quotes, timestamps with a fraction only where there is one.  Every part
-file has a header row and can be read on its own; part files are named in
-the order of the sort.
+every task of the sort writes its own part file, nothing passes through the
+driver.  An export is a folder with
+
+* ``_header.csv``, the line of column names;
+* the part files, without a header, in the order of the sort;
+* ``_manifest.json``, the files in order with their row counts.
+
+The files in manifest order, one behind the other, are the bytes that Python's
+``csv.writer`` with ``\n`` line ends makes of the same rows: an empty field for
+NULL, quotes only around fields that need them, quotes doubled, timestamps with
+a fraction only where there is one.  Spark's readers skip the two files whose
+names begin with an underscore.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlight.operators.claims import names_in, read_text, write_text
+from ledgerlight.operators.paging import sort_columns
+
+HEADER, MANIFEST = "_header.csv", "_manifest.json"
+# How an export is read back.
 CSV_OPTIONS = {
-    "header": "true",
+    "header": "false",
+    "multiLine": "true",
     "emptyValue": "",
     "nullValue": "",
     "quote": '"',
@@ -54,15 +69,54 @@ def csv_ready(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _field(col: Column) -> Column:
+    """One value as the writer prints it."""
+    text = F.coalesce(col.cast("string"), F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[,"\\r\\n]'), quoted).otherwise(text)
+
+
+def _line(cols: list[Column]) -> Column:
+    """A row; one that would be an empty line is a pair of quotes."""
+    if len(cols) > 1:
+        return F.concat_ws(",", *[_field(c) for c in cols])
+    return F.when(_field(cols[0]) == "", '""').otherwise(_field(cols[0]))
+
+
 def write_csv(df: DataFrame, path: str, order=None) -> str:
-    """Sorted CSV export (range-partitioned sort, one part per task).
-    Hidden columns (leading ``_``, e.g. a sort key) are not written."""
-    out = df if order is None else df.orderBy(*order)
-    out = csv_ready(out.select(*[c for c in out.columns if not c.startswith("_")]))
-    out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    """Sorted CSV export (range-partitioned sort, one part per task), with
+    its header and manifest.  Hidden columns (leading ``_``, e.g. a sort key)
+    are not written."""
+    spark = df.sparkSession
+    out = df if order is None else df.orderBy(*sort_columns(order))
+    shown = [c for c in out.columns if not c.startswith("_")]
+    ready = csv_ready(out.select(*shown))
+    obs = Observation("export")
+    lines = ready.select(_line([F.col(c) for c in shown]).alias("value")).observe(obs, F.count(F.lit(1)).alias("rows"))
+    lines.write.mode("overwrite").text(path, lineSep="\n")
+    names = [n for n in names_in(spark, path) if not n.startswith(("_", "."))]
+    # Rows of each part, read back (a field may hold line ends).
+    per_file = spark.read.options(**CSV_OPTIONS).schema(T.StructType([T.StructField(c, T.StringType()) for c in shown]))
+    rows = {r["name"]: r["n"] for r in per_file.csv(path).select("*", F.col("_metadata.file_name").alias("name"))
+            .groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()} if names else {}
+    total = sum(rows.values())
+    if total and obs.get["rows"] != total:
+        raise RuntimeError(f"{path}: {obs.get['rows']} rows written, {total} found")
+    header = spark.range(1).select(_line([F.lit(c) for c in shown])).first()[0]
+    write_text(spark, f"{path}/{HEADER}", header + "\n")
+    write_text(spark, f"{path}/{MANIFEST}", json.dumps({
+        "columns": shown, "rows": total,
+        "files": [{"name": HEADER, "rows": 0}, *[{"name": n, "rows": rows.get(n, 0)} for n in names]]}))
     return path
 
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``position, name, rows``: the files of an export in the order that makes
+    one CSV file of them."""
+    files = json.loads(read_text(spark, f"{path}/{MANIFEST}"))["files"]
+    return spark.createDataFrame([(i, f["name"], f["rows"]) for i, f in enumerate(files)], "position int, name string, rows long")
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read an export back with the schema it was written from."""
     shown = [f for f in schema.fields if not f.name.startswith("_")]

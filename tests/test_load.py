@@ -1,16 +1,19 @@
 """Load tests: reload is idempotent, emptied months disappear, rows outside
 the window and NULL-date rows survive or are rejected, cuts are counted."""
 
+import csv
 import datetime as dt
+import io
 import os
 import tempfile
+import uuid
 
 import pytest
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.operators import load
+from ledgerlight.operators import claims, load, paging
 from ledgerlight.sources import schemas
 from ledgerlight.streaming import csv_export
 
@@ -81,14 +84,44 @@ def test_export_filename():
     assert csv_export.export_filename("policy.csv", "a", "b", (5, 20)) == "policy_d5-20_a_to_b.csv"
 
 
+def _joined(spark, path):
+    names = [r["name"] for r in csv_export.manifest(spark, path).orderBy("position").collect()]
+    return b"".join(open(os.path.join(path, n), "rb").read() for n in names)
+
+
 def test_csv_roundtrip_keeps_blanks_and_booleans(spark):
     work = tempfile.mkdtemp(prefix="ll-csv-")
     df = spark.createDataFrame([(" a ", True, 'q"x'), (None, False, "p")], "s string, b boolean, t string")
     path = csv_export.write_csv(df, os.path.join(work, "out.csv"))
     back = csv_export.read_csv(spark, path, df.schema).collect()
     assert sorted((r.s, r.b, r.t) for r in back if r.s) == [(" a ", "True", 'q"x')]
-    text = "".join(open(os.path.join(path, f)).read() for f in os.listdir(path) if f.endswith(".csv"))
-    assert '"q""x"' in text
+    assert b'"q""x"' in _joined(spark, path)
+
+
+def test_csv_files_in_order_are_python_csv(spark, tmp_path):
+    """The files in manifest order are byte for byte what Python writes."""
+    texts = ["plain", "", None, "a,b", 'say "x"', "two\nlines", "cr\rhere", " blanks ", '"', "#hash", "ü,ö", "\\back", "'", ";", "\t"]
+    stamps = [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 60), None]
+    rows = [(i, texts[i % len(texts)], stamps[i % 3], [True, False, None][i % 3 - 1], dt.date(2020, 1, 1 + i % 9))
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "`no,1` int, s string, t timestamp_ntz, b boolean, d date").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    path = csv_export.write_csv(df, str(tmp_path / "x.csv"), paging.asc("no,1"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = io.StringIO()
+    out = csv.writer(want, lineterminator="\n")
+    out.writerow(df.columns)
+    out.writerows(rows)
+    assert _joined(spark, path) == want.getvalue().encode()
+    files = csv_export.manifest(spark, path).collect()
+    assert sum(f["rows"] for f in files) == 200 and len(files) > 2
+    back = csv_export.read_csv(spark, path, df.schema).orderBy("`no,1`").collect()
+    assert [r["s"] for r in back] == [r[1] or None for r in rows]
+    one = spark.createDataFrame([("",), (None,), ("x",)], "s string")
+    path = csv_export.write_csv(one, str(tmp_path / "one.csv"))
+    assert sorted(_joined(spark, path).split(b"\n")) == sorted([b"s", b'""', b'""', b"x", b""])
+    none = csv_export.write_csv(one.where("s = 'nothing'"), str(tmp_path / "none.csv"))
+    assert _joined(spark, none) == b"s\n"
 
 
 def test_schemas_lengths():
@@ -224,7 +257,7 @@ def test_reload_keeps_the_targets_columns(spark, tmp_path):
     load.windowed_replace(spark, new, target, "2024-01-01", "2024-01-15", work_dir=work)
     got = {r[0]: r["extra"] for r in spark.read.parquet(target).select(old.columns[0], "extra").collect()}
     assert got == {"b": "kept", "c": None} and "unknown" not in spark.read.parquet(target).columns
-    assert not any((tmp_path / "w").glob("_staging/*/*"))
+    assert not any(p for p in (tmp_path / "w").glob("_staging/*/*") if p.name != "_claims")
 
 
 def test_a_stopped_reload_is_finished_by_the_next(spark, tmp_path, monkeypatch):
@@ -234,7 +267,7 @@ def test_a_stopped_reload_is_finished_by_the_next(spark, tmp_path, monkeypatch):
     load.windowed_replace(spark, old, target, "2024-01-01", "2024-02-28", work_dir=work)
     publish = load._publish
 
-    def stop(spark, staging, target, present, emptied, location):
+    def stop(spark, target, folders, emptied, location, check):
         load._delete(spark, f"{target}/{load.MONTH_COL}=2024-01")  # between delete and rename
         raise RuntimeError("stopped")
 
@@ -260,7 +293,117 @@ def test_window_on_another_date_is_not_pruned(spark, tmp_path):
 
 def test_csv_keeps_fractions(spark, tmp_path):
     rows = spark.createDataFrame([(dt.datetime(2024, 1, 1, 10, 0, 0, 123000),), (dt.datetime(2024, 1, 1, 10),)], "t timestamp_ntz")
-    path = csv_export.write_csv(rows, str(tmp_path / "x"), [F.col("t").asc()])
+    path = csv_export.write_csv(rows, str(tmp_path / "x"), paging.asc("t"))
     assert sorted(r["t"] for r in csv_export.read_csv(spark, path, rows.schema).collect()) == sorted(r["t"] for r in rows.collect())
     lines = {r[0] for r in spark.read.text(path).collect()}
     assert {"2024-01-01 10:00:00", "2024-01-01 10:00:00.123000"} <= lines
+
+
+@pytest.mark.parametrize("kind", ["path", "table"])
+@pytest.mark.parametrize("second", [("2024-01-16", "2024-02-10"), ("2024-01-05", "2024-01-12"), ("2024-03-01", "2024-03-31")])
+def test_two_loads_at_a_time_keep_each_others_rows(spark, tmp_path, monkeypatch, kind, second):
+    """A second load begins and ends while the first has written its rows but
+    not yet published them; their windows share a month, or cut one another."""
+    work = str(tmp_path / "w")
+    target = str(tmp_path / "t") if kind == "path" else "ll_two_" + uuid.uuid4().hex[:12]
+    d = dt.datetime
+    old = [("a", d(2024, 1, 3), 0), ("b", d(2024, 1, 11), 0), ("c", d(2024, 1, 20), 0), ("e", d(2024, 2, 5), 0), ("f", d(2024, 2, 20), 0)]
+    load.windowed_replace(spark, _rows(spark, old), target, "2024-01-01", "2024-03-31", work_dir=work, location=str(tmp_path / "loc"))
+    first = ("2024-01-10", "2024-01-15")
+    mine, others = [("n", d(2024, 1, 14), 1)], [("m", dt.datetime.fromisoformat(second[0]), 2)]
+    real, state = load._claim, {"calls": 0}
+
+    def claim(*args):
+        state["calls"] += 1
+        if state["calls"] == 2:  # the first load's publishing
+            load.windowed_replace(spark, _rows(spark, others), target, *second, work_dir=work)
+        return real(*args)
+
+    monkeypatch.setattr(load, "_claim", claim)
+    result = load.windowed_replace(spark, _rows(spark, mine), target, *first, work_dir=work)
+    assert bool(result.months_restaged) == (second[0] < "2024-02-01")
+
+    def inside(row, window):
+        return window[0] <= row[1].date().isoformat() <= window[1]
+
+    model = [r for r in old if not inside(r, second)] + others
+    model = [r for r in model if not inside(r, first)] + mine
+    rows = spark.table(target) if kind == "table" else spark.read.parquet(target)
+    assert sorted(tuple(r)[:3] for r in rows.select("k", "CreatedDate", "v").collect()) == sorted(model)
+
+
+def test_a_table_shows_the_old_or_the_new_month_at_any_time(spark, tmp_path, monkeypatch):
+    table, d = "ll_swap_" + uuid.uuid4().hex[:12], dt.datetime
+    rows = [("a", d(2024, m, 10), m) for m in (1, 2, 3)]
+    load.windowed_replace(spark, _rows(spark, rows), table, "2024-01-01", "2024-03-31", work_dir=str(tmp_path / "w"), location=str(tmp_path / "t"))
+    seen, real = [], load._point
+
+    def look():
+        spark.catalog.refreshTable(table)
+        seen.append(sorted((r.k, r.v) for r in spark.table(table).collect()))
+
+    def point(*args):
+        look()
+        real(*args)
+        look()
+
+    monkeypatch.setattr(load, "_point", point)
+    new = [("b", d(2024, m, 12), m) for m in (1, 2, 3)]
+    reader = spark.table(table)  # a query that began before
+    load.windowed_replace(spark, _rows(spark, new), table, "2024-01-01", "2024-03-31", work_dir=str(tmp_path / "w"))
+    assert len(seen) == 6 and seen[0] == [("a", 1), ("a", 2), ("a", 3)] and seen[-1] == [("b", 1), ("b", 2), ("b", 3)]
+    assert all([v for _, v in state] == [1, 2, 3] for state in map(lambda s: sorted(s, key=lambda r: r[1]), seen))
+    assert reader.count() == 3
+    assert load.drop_unused_months(spark, table) == [] and len(load.drop_unused_months(spark, table, older_than=-1)) == 3
+    spark.catalog.refreshTable(table)
+    assert spark.table(table).count() == 3
+
+
+def test_stopped_swap_of_a_table_is_finished(spark, tmp_path, monkeypatch):
+    table, work, d = "ll_stop_" + uuid.uuid4().hex[:12], str(tmp_path / "w"), dt.datetime
+    load.windowed_replace(spark, _rows(spark, [("a", d(2024, m, 10), m) for m in (1, 2)]), table, "2024-01-01", "2024-02-28", work_dir=work)
+    real, calls = load._point, []
+
+    def point(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+        real(*args)
+
+    monkeypatch.setattr(load, "_point", point)
+    with pytest.raises(RuntimeError):
+        load.windowed_replace(spark, _rows(spark, [("b", d(2024, m, 12), m) for m in (1, 2)]), table, "2024-01-01", "2024-02-28", work_dir=work)
+    monkeypatch.setattr(load, "_point", real)
+    load.windowed_replace(spark, _rows(spark, [("c", d(2024, 5, 1), 5)]), table, "2024-05-01", "2024-05-31", work_dir=work)
+    assert sorted((r.k, r.v) for r in spark.table(table).collect()) == [("b", 1), ("b", 2), ("c", 5)]
+
+
+def test_claims_are_exclusive_and_fenced(spark, tmp_path):
+    folder = str(tmp_path / "c")
+    with claims.Claim(spark, folder) as first:
+        first.check()
+        with pytest.raises(TimeoutError):
+            with claims.Claim(spark, folder, wait=0.2, poll=0.05):
+                pass
+        # One that has not been heard of is passed over, and finds out.
+        with claims.Claim(spark, folder, stale_after=-1) as other:
+            other.check()
+            with pytest.raises(claims.ClaimLost):
+                first.check()
+    with claims.Claim(spark, folder) as third:
+        assert third.generation == 3
+
+
+def test_catalog_widths_are_reflected_cut_and_counted(spark, tmp_path):
+    table, d = "ll_width_" + uuid.uuid4().hex[:12], dt.datetime
+    spark.sql(f"CREATE TABLE {table} (Name VARCHAR(3), Code CHAR(2), Free STRING, CreatedDate TIMESTAMP_NTZ, {load.MONTH_COL} STRING) "
+              f"USING parquet PARTITIONED BY ({load.MONTH_COL}) LOCATION '{tmp_path / 'loc'}'")
+    schema = load.target_schema(spark, table)
+    assert [schemas.max_length(f) for f in schema.fields] == [3, 2, None, None, None]
+    rows = spark.createDataFrame([("abcdef", "xyz", "long text", d(2024, 1, 1)), ("ab", "q", None, d(2024, 1, 2))],
+                                 "Name string, Code string, Free string, CreatedDate timestamp_ntz")
+    report = {r.column_name: r.cut_rows for r in load.truncation_report(rows, schema).collect()}
+    assert report == {"Name": 1, "Code": 1}
+    load.windowed_replace(spark, rows, table, "2024-01-01", "2024-01-31", work_dir=str(tmp_path / "w"))
+    got = sorted((r.Name, r.Code.rstrip(), r.Free) for r in spark.table(table).collect())
+    assert got == [("ab", "q", None), ("abc", "xy", "long text")]

@@ -1,6 +1,11 @@
 """One test per remaining non-standard semantics row."""
 
 import datetime as dt
+import decimal
+import os
+import random
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -19,9 +24,9 @@ def _quotes(spark, rows):
 
 def test_n12_null_ordering_in_pages(spark):
     df = spark.createDataFrame([("b", None), ("a", 1), ("c", 2)], "k string, v int")
-    got = [r.k for r in paging.page(df, [F.col("v").asc(), F.col("k").asc()], 0, 10).collect()]
+    got = [r.k for r in paging.page(df, paging.asc("v", "k"), 0, 10).collect()]
     assert got == ["b", "a", "c"]  # NULL lowest: first ascending
-    got = [r.k for r in paging.page(df, [F.col("v").desc(), F.col("k").asc()], 0, 10).collect()]
+    got = [r.k for r in paging.page(df, [paging.desc("v"), *paging.asc("k")], 0, 10).collect()]
     assert got == ["c", "a", "b"]  # ... and last descending
 
 
@@ -80,13 +85,76 @@ def test_n9_not_in_drops_null_names_unless_asked(spark):
     assert sorted(keep, key=repr) == sorted([(40, None), (40, "OK"), (7, None)], key=repr)
 
 
-def test_deep_page_equals_top_k_page(spark):
-    """The deep-page path (forced with a zero threshold) returns exactly the
-    top-k page, including across range-partition boundaries."""
-    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"),
-                                     (F.col("id") % 13).alias("g"))
-    order = [F.col("g").desc(), F.col("k").asc()]
-    for skip, limit in ((0, 10), (1234, 100), (4990, 50)):
-        want = [tuple(r) for r in paging.page(df, order, skip, limit).collect()]
-        got = [tuple(r) for r in paging.page(df, order, skip, limit, deep_threshold=0).collect()]
-        assert got == want
+PAGED = ("v double, k string, t timestamp_ntz, s timestamp, d date, b bigint, i int, m decimal(10,2), z boolean")
+
+
+def _paged_rows(n, seed):
+    """Few values a column, nulls in each, and values that nearly agree."""
+    rng = random.Random(seed)
+
+    def one(values):
+        return None if rng.random() < 0.15 else rng.choice(values)
+
+    t0 = dt.datetime(2001, 5, 1, 23, 59, 59, 999_998)
+    return [(one([0.1, 0.1 + 1e-16, -2.5, float("nan"), 1e300]), one(["", "abcdefg", "abcdefgh", "abcdefghijklmnop", "ab", "ü"]),
+             one([t0, t0 + dt.timedelta(microseconds=1), t0 + dt.timedelta(microseconds=5), t0 - dt.timedelta(days=400)]),
+             one([dt.datetime(1969, 1, 2), dt.datetime(2030, 1, 1)]), one([dt.date(1950, 2, 3), dt.date(2020, 2, 3)]),
+             one([-(2**63), 2**63 - 1, 0, 5]), one([-(2**31), 7]), one([decimal.Decimal("1.10"), decimal.Decimal("-3.25")]),
+             one([True, False])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("lead", PAGED.replace(",2)", ";2)").split(", "))
+def test_pages_by_rank_equal_slices_of_the_sort(spark, lead):
+    """Whatever the first key's type and direction: the pages are the slices of
+    one sort (equal rows are interchangeable)."""
+    df = spark.createDataFrame(_paged_rows(400, 5), PAGED).repartition(3).persist()
+    name = lead.split(" ")[0]
+    for down in (False, True):
+        order = [paging.SortKey(name, down), paging.SortKey("k", not down), *paging.asc("t", "b", "v"), paging.desc("m"),
+                 *paging.asc("d", "i", "z", "s")]
+        want = [repr(tuple(r)) for r in df.orderBy(*paging.sort_columns(order)).collect()]
+        for skip, limit in ((0, 10), (37, 40), (250, 60), (395, 50), (400, 5), (1000, 5)):
+            got = [repr(tuple(r)) for r in paging.page(df, order, skip, limit, top_rows=6).collect()]
+            assert got == want[skip:skip + limit], (name, down, skip)
+    df.unpersist()
+
+
+def test_copies_of_one_row_are_paged_whole(spark):
+    df = spark.createDataFrame([(1, "a")] * 300 + [(2, "b")] * 5 + [(None, "n")] * 40, "v int, k string")
+    order = paging.asc("v", "k")
+    want = [tuple(r) for r in df.orderBy(*paging.sort_columns(order)).collect()]
+    for skip, limit in ((20, 10), (100, 30), (330, 15), (300, 45)):
+        assert [tuple(r) for r in paging.page(df, order, skip, limit, top_rows=3).collect()] == want[skip:skip + limit]
+
+
+def test_a_deep_page_sorts_and_writes_no_table(spark, tmp_path):
+    """The page of a deep slice is a top-k behind a filter that reaches the
+    scan, and refining costs counts alone."""
+    from ledgerlight.session import shared_dir
+    path = str(tmp_path / "t")
+    days = F.expr("timestamp_ntz'1995-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 2000 as int))")
+    spark.range(0, 40_000).select("id", days.alias("t")).write.parquet(path)
+    df = spark.read.parquet(path)
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    order = [paging.desc("t"), *paging.asc("id")]
+    found = paging.boundary(df, order, 31_000, 50, top_rows=100)
+    assert found.rest <= 100 and found.passes < 8
+    out = paging.page(df, order, 31_000, 50, top_rows=100)
+    want = [r.id for r in df.orderBy(F.col("t").desc(), "id").collect()][31_000:31_050]
+    assert [r.id for r in out.collect()] == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+    assert "GreaterThanOrEqual(t" in plan and "LessThan(t" in plan
+    assert set(os.listdir(shared_dir(spark).removeprefix("file:"))) == before
+
+
+def test_pages_go_on_behind_the_last_row(spark):
+    df = spark.createDataFrame(_paged_rows(300, 6), PAGED).distinct().persist()
+    order = [paging.desc("k"), *paging.asc("t", "b"), paging.desc("i"), *paging.asc("m", "d", "z", "s", "v")]
+    df = df.where("v is null or not isnan(v)")
+    want = [tuple(r) for r in df.orderBy(*paging.sort_columns(order)).collect()]
+    got, rows = [], paging.page(df, order, 0, 70).collect()
+    while rows:
+        got += [tuple(r) for r in rows]
+        rows = paging.page_after(df, order, rows[-1].asDict(), 70).collect()
+    assert got == want
