@@ -170,7 +170,10 @@ def runs_of(texts: list[np.ndarray], vocabulary: int, min_words: int = 24) -> li
     if not sum(len(x) for x, _ in hopeful):
         return out
     x, q = map(np.concatenate, zip(*hopeful))
+    # A pair may also lie in two texts, of which one copies the other.
     of = np.searchsorted(starts, x, side="right") - 1
+    same = np.searchsorted(starts, x + q, side="right") - 1 == of
+    x, q, of = x[same], q[same], of[same]
     kept = np.unique(of)
     if len(kept) < len(texts):
         symbols, new_starts = joined([texts[k] for k in kept], vocabulary)

@@ -92,7 +92,10 @@ def test_extension_against_plain(seed):
 def test_runs_against_plain(seed):
     rng = random.Random(seed)
     texts = [repetitive(rng) for _ in range(rng.choice([1, 3, 12]))]
-    assert pr.runs_of([np.array(t) for t in texts], 100) == [plain_runs(t) for t in texts]
+    texts += [t for t in texts if rng.random() < 0.5]  # copies: equal words of two texts
+    if rng.random() < 0.5:
+        texts += [[k * 100 + i for i in range(80)] for k in (1, 1, 2, 1)]
+    assert pr.runs_of([np.array(t) for t in texts], 300) == [plain_runs(t) for t in texts]
 
 
 def test_many_pairs_come_in_parts(monkeypatch):
