@@ -208,6 +208,13 @@ def _table_months(spark: SparkSession, table: str) -> set[str]:
     return {r[0].partition("=")[2] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()}
 
 
+def all_months(spark: SparkSession, target: str) -> list[str]:
+    """Every month that a target holds."""
+    if _is_table(target):
+        return sorted(_table_months(spark, target)) if spark.catalog.tableExists(target) else []
+    return [n.partition("=")[2] for n in names_in(spark, target) if n.startswith(f"{MONTH_COL}=")]
+
+
 def month_versions(spark: SparkSession, target: str, months: list[str]) -> dict[str, str]:
     """What tells one state of a month from the next, for the months that are there."""
     if _is_table(target):

@@ -105,8 +105,9 @@ def etl_frame(kind: str, sources: Mapping[str, Mapping[str, DataFrame]], start,
 
 
 def run_etl(spark: SparkSession, kind: str, sources, start, end, as_of, target: str,
-            domain: Domain) -> load.LoadResult:
-    """M8: build and reload one fact for ``[start, end]``."""
+            domain: Domain, location: str | None = None) -> load.LoadResult:
+    """M8: build and reload one fact for ``[start, end]`` (a catalog table that
+    does not exist yet is made at ``location``)."""
     table = JOBS[kind][3]
     if not load.valid_table_name(table):
         raise ValueError(f"invalid table name {table!r}")
@@ -119,7 +120,7 @@ def run_etl(spark: SparkSession, kind: str, sources, start, end, as_of, target:
         logger.warning("%s: column %s is %s in the target", table, column, issue)
     frame, cuts = load.cut_counts(frame, schema)
     result = load.windowed_replace(spark, load.conform(frame, schema), target, start, end,
-                                   date_col=WINDOW_COLUMN[kind])
+                                   date_col=WINDOW_COLUMN[kind], location=location)
     for column, n in (cuts.get if cuts and result.rows_loaded + result.rows_rejected else {}).items():
         if n:
             logger.warning("%s: %d values of %s were cut to the target's width", table, n, column)
