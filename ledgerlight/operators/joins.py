@@ -24,9 +24,32 @@ that exchange instead of reading ``left`` twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlight.session import shared_dir
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once to the shared folder and read back.  The planner
+    then knows its real size: small key sets are broadcast, larger ones become
+    runtime filters, and the rows are not worked out again for each use."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/_keys/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def reduced(rows: DataFrame, row_key: str, keys: DataFrame, key: str, selective: Column) -> DataFrame:
+    """The rows whose key is among ``keys`` -- what a later join on that key
+    would keep of them, cut off before ``rows`` are shuffled: by a broadcast if
+    the keys are few, else by the bloom filter that Spark builds of a key side
+    with a ``selective`` condition."""
+    found = keys.where(selective & F.col(key).isNotNull()).select(F.col(key).alias("_rk"))
+    return rows.join(found, F.col(row_key) == F.col("_rk"), "left_semi")
+
 
 def fanout_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Same result as ``left.join(right, left[left_key] == right[right_key], "left")``.

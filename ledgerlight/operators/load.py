@@ -132,6 +132,19 @@ def column_mismatch(df: DataFrame, schema: T.StructType) -> list[tuple[str, str]
             + [(c, "missing") for c in target if c not in df.columns])
 
 
+def mismatch_report(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``(column, issue, lost_values)`` for every column that the frame or
+    the target lacks; an extra column's values are lost in a load."""
+    found = column_mismatch(df, schema)
+    extra = [c for c, issue in found if issue == "extra"]
+    lost = df.agg(*[F.count(c).alias(c) for c in extra], F.lit(0).cast("long").alias("_none"))
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(issue).alias("issue"),
+                     F.col(c if issue == "extra" else "_none").alias("lost_values")) for c, issue in found]
+    if not rows:
+        return df.sparkSession.createDataFrame([], "column string, issue string, lost_values bigint")
+    return lost.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def month_source(schema: T.StructType) -> str | None:
     """The date column that a loader-written table's months come from."""
     return next((f.name for f in schema.fields if (f.metadata or {}).get(SOURCE_KEY)), None)

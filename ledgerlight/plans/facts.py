@@ -15,6 +15,7 @@ policy before they join them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,7 @@ from ledgerlight.config import Domain
 from ledgerlight.functions import columns as C
 from ledgerlight.functions import filters as D
 from ledgerlight.functions import periods as K
-from ledgerlight.operators import dedupe, listagg
+from ledgerlight.operators import dedupe, joins, listagg
 
 Src = Mapping[str, DataFrame]
 
@@ -248,19 +249,51 @@ SALES_FACT_COLUMNS = [
 ]
 
 
+@dataclass(frozen=True)
+class Window:
+    """The windowed policies of one extraction and, for sources whose tables are
+    large beside a window (``src.reduces``), their keys: written once with the
+    policies' own activities, they cut cancellations, clients and quotes down
+    before those are shuffled."""
+    policies: DataFrame
+    activities: DataFrame
+    keys: DataFrame | None
+    inside: Column
+
+    def reduce(self, rows: DataFrame, row_key: str, key: str) -> DataFrame:
+        return rows if self.keys is None else joins.reduced(rows, row_key, self.keys, key, self.inside)
+
+
+def _policy_window(src: Src, policies: DataFrame, start, end) -> Window:
+    pa = src["policy_src"].where(F.col("transaction_type_id") == 1).select(
+        F.col("id").alias("pa_policy_id"), F.col("product_id").alias("pa_product_id"),
+        F.col("quote_id").alias("pa_quote_id"), F.col("pet_name").alias("pa_pet_name"))
+    if not getattr(src, "reduces", False):
+        return Window(policies, pa, None, F.lit(True))
+    ids = policies.select(F.col("id").alias("w_policy_id"), F.col("client_id").alias("w_client_id"),
+                          F.col("created_date").alias("w_created"))
+    keys = joins.written(ids.join(pa, F.col("pa_policy_id") == F.col("w_policy_id"), "left"), "policies")
+    own = keys.where(F.col("pa_policy_id").isNotNull()).select(*pa.columns)
+    return Window(policies, own, keys, K.in_window("w_created", start, end))
+
+
 def _sales_joins(src: Src, start, end, domain: Domain, product_how: str) -> DataFrame:
     """J9-J14 shared by both sales facts."""
-    p = src["policy_full_src"].alias("p")
-    p = p.where(K.in_window("created_date", start, end))
-    pc = (src["cancel_src"].groupBy(F.col("policy_id").alias("pc_policy_id"), F.col("created_date").alias("pc_created"))
+    p = src["policy_full_src"].where(K.in_window("created_date", start, end))
+    window = _policy_window(src, p, start, end)
+    pa = window.activities.drop("pa_pet_name")
+    # Only cancellations of the window's policies are counted.
+    ids = p.select(F.col("id").alias("_rk")).where(F.col("_rk").isNotNull())
+    pc = (src["cancel_src"].join(ids, F.col("policy_id") == F.col("_rk"), "left_semi") if window.keys is None
+          else window.reduce(src["cancel_src"], "policy_id", "w_policy_id"))
+    pc = (pc.groupBy(F.col("policy_id").alias("pc_policy_id"), F.col("created_date").alias("pc_created"))
           .agg(F.count(F.lit(1)).cast("int").alias("pc_n")))
-    client = src["client_src"].alias("c")
-    pa = src["policy_src"].where(F.col("transaction_type_id") == 1).select(
-        F.col("id").alias("pa_policy_id"), F.col("product_id").alias("pa_product_id"),
-        F.col("quote_id").alias("pa_quote_id"))
+    p = p.alias("p")
+    client = window.reduce(src["client_src"], "id", "w_client_id").alias("c")
     product = src["product_dim"].select(F.col("id").alias("po_id"), F.col("product_name").alias("po_name"),
                                         F.col("product_code").alias("po_code"))
-    quote = src["quote_src"].select(F.col("id").alias("q_id"), F.col("quote_number").alias("q_number"),
+    quote = window.reduce(src["quote_src"], "id", "pa_quote_id").select(
+                                    F.col("id").alias("q_id"), F.col("quote_number").alias("q_number"),
                                     F.col("created_date").alias("q_created"),
                                     F.col("product_id").alias("q_product_id"),
                                     F.col("hear_about_us").alias("q_hear_about"))
@@ -335,16 +368,16 @@ FREE_FACT_COLUMNS = [
 def _free_joins(src: Src, start, end, domain: Domain, inner: bool) -> DataFrame:
     """Free policies with status, product, quote, agent, state, user."""
     how = "inner" if inner else "left"
-    p = src["policy_full_src"].alias("p").where(
+    p = src["policy_full_src"].where(
         K.in_window("created_date", start, end) & (F.col("is_free_product") == F.lit(True)))
-    pa = src["policy_src"].where(F.col("transaction_type_id") == 1).select(
-        F.col("id").alias("pa_policy_id"), F.col("product_id").alias("pa_product_id"),
-        F.col("quote_id").alias("pa_quote_id"), F.col("pet_name").alias("pa_pet_name"))
+    window = _policy_window(src, p, start, end)
+    p, pa = p.alias("p"), window.activities
     ps = src["policy_status_dim"].select(F.col("id").alias("ps_id"),
                                          F.col("policy_status_name").alias("PolicyStatusName"))
     product = src["product_dim"].select(F.col("id").alias("po_id"), F.col("product_name").alias("po_name"),
                                         F.col("product_code").alias("po_code"))
-    quote = src["quote_src"].select(F.col("id").alias("q_id"), F.col("quote_number").alias("q_number"),
+    quote = window.reduce(src["quote_src"], "id", "pa_quote_id").select(
+                                    F.col("id").alias("q_id"), F.col("quote_number").alias("q_number"),
                                     F.col("product_id").alias("q_product_id"),
                                     F.col("sub_agent_id").alias("q_sub_agent"))
     sa = src["sub_agent_dim"].select(F.col("id").alias("sa_id"), F.col("name").alias("sa_name"),
@@ -417,10 +450,22 @@ def crm_fact(src: Src, start, end_exclusive, as_of, domain: Domain) -> DataFrame
     ]))
     j = (base.join(pd_, F.col("pd_id") == F.col("q.product_id"), "left")
              .join(client, F.col("c.id") == F.col("q.client_id"), "left"))
-    # Activities of the windowed quotes only (semi join), then distinct.
-    activities = src["policy_src"].select("quote_id").join(
-        base.select(F.col("id").alias("quote_id")), "quote_id", "left_semi")
-    j = dedupe.existence_flag(j, "q.id", activities, "quote_id", flag="_has_policy")
+    # J21, J24, J26, G6 in one reading of the activities: per windowed quote the
+    # activity that a latest policy comes from, if any has one, else any other.
+    # That a row is there is the existence flag.
+    pa = src["policy_src"].select(F.col("quote_id").alias("lp_quote_id"),
+                                  F.col("policy_number").alias("lp_number"),
+                                  F.col("created_date").alias("lp_created"))
+    pol = src["policy_full_src"].select(F.col("policy_number").alias("p_number"),
+                                        F.col("actual_start_date").alias("OriginalPolicyStartDate"),
+                                        F.col("actual_end_date").alias("PolicyEndDate"),
+                                        F.col("policy_status_id").alias("p_status"))
+    lp = (pa.join(base.select(F.col("id").alias("lp_quote_id")), "lp_quote_id", "left_semi")
+            .join(pol, F.col("p_number") == F.col("lp_number"), "left"))
+    lp = dedupe.latest_per_key(lp, ["lp_quote_id"], [
+        F.col("p_number").isNull().asc(), F.col("lp_created").desc(), F.col("lp_number").asc()])
+    j = (j.join(lp, F.col("lp_quote_id") == F.col("q.id"), "left")
+          .withColumn("_has_policy", F.col("lp_quote_id").isNotNull()))
     breed_key = C.first_nonzero("q.breed_id1", "q.breed_id2", "q.breed_id3")
     quotes = j.select(
         F.col("q.id").alias("QuoteId"), F.col("q.quote_number").alias("QuoteNumber"),
@@ -436,30 +481,17 @@ def crm_fact(src: Src, start, end_exclusive, as_of, domain: Domain) -> DataFrame
         F.col("pd_free").alias("IsFreeProduct"),
         C.received_method("q.quote_save_from").alias("QuoteReceivedMethod"),
         C.quote_status("q.expire_date", "q.quote_date", as_of).alias("QuoteStatus"),
-        breed_key.alias("PetBreedId"), F.col("_has_policy"))
+        breed_key.alias("PetBreedId"), F.col("_has_policy"), F.col("p_number").alias("PolicyNumber"),
+        "OriginalPolicyStartDate", "PolicyEndDate", "p_status")
     picked = dedupe.latest_per_key(
         quotes, ["FirstName", "LastName", "PetName"],
         [F.col("_has_policy").desc(), F.col("QuoteStartDate").desc(),
          F.col("PetBreedId").isNull().asc(), F.col("QuoteId").asc()])
 
-    # Latest policy per picked quote, matched by policy number.
-    pa = src["policy_src"].select(F.col("quote_id").alias("lp_quote_id"),
-                                  F.col("policy_number").alias("lp_number"),
-                                  F.col("created_date").alias("lp_created"))
-    pol = src["policy_full_src"].select(F.col("policy_number").alias("p_number"),
-                                        F.col("actual_start_date").alias("OriginalPolicyStartDate"),
-                                        F.col("actual_end_date").alias("PolicyEndDate"),
-                                        F.col("policy_status_id").alias("p_status"))
-    lp = (pa.join(picked.select(F.col("QuoteId").alias("lp_quote_id")), "lp_quote_id", "left_semi")
-            .join(pol, F.col("p_number") == F.col("lp_number"), "inner"))
-    lp = dedupe.latest_per_key(lp, ["lp_quote_id"], [F.col("lp_created").desc(), F.col("lp_number").asc()])
     ps = src["policy_status_dim"].select(F.col("id").alias("ps_id"),
                                          F.col("policy_status_name").alias("PolicyStatusName"))
-    info = lp.join(ps, F.col("ps_id") == F.col("p_status"), "left").select(
-        F.col("lp_quote_id"), F.col("lp_number").alias("PolicyNumber"), "OriginalPolicyStartDate",
-        "PolicyEndDate", "PolicyStatusName")
     breed = src["breed_dim"].select(F.col("id").alias("b_id"), F.col("breed_name").alias("BreedName"))
-    final = (picked.join(info, F.col("lp_quote_id") == F.col("QuoteId"), "left")
+    final = (picked.join(ps, F.col("ps_id") == F.col("p_status"), "left")
                    .join(breed, F.col("b_id") == F.col("PetBreedId"), "left"))
     final = final.select(
         F.lit(domain.brand_constant).alias("Brand"), F.lit("").alias("Country"),

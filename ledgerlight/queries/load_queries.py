@@ -6,6 +6,7 @@ import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlight import config
 from ledgerlight.functions import periods as K
@@ -366,3 +367,68 @@ def etl_named_source(src):
     """The UK's free-policy fact from a named source in the source's own tables."""
     views = _named_source(src, "uk", config.FIXTURE_REGION_KEYS["UK"], FREE_VIEWS)
     return facts.free_fact_b(views, *config.FULL_WINDOW, config.FIXTURE_DOMAIN)
+
+
+SALES_VIEWS = ("policy_full_src", "policy_src", "cancel_src", "client_src", "product_dim", "quote_src", "user_dim",
+               "hear_about_dim", "pet_type_dim")
+
+
+@register("sales_named_source", (), ids="A1 A5 M4 J9 J10 J11 J13",
+          oracle_fn=lambda: REGISTRY["fact_sales_b"].oracle(config.FIXTURE_REGION_KEYS["UK"]))
+def sales_named_source(src):
+    """The UK's sales fact from a named source: the window's keys cut
+    cancellations, clients and quotes down before they are shuffled."""
+    views = _named_source(src, "uk", config.FIXTURE_REGION_KEYS["UK"], SALES_VIEWS)
+    return facts.sales_fact_b(views, *config.FULL_WINDOW, config.FIXTURE_DOMAIN)
+
+
+# A target table with widths that the catalog declares.
+WIDTHS = {"ProductName": 6, "ClientName": 9, "PetType": 3}
+
+
+def _width_table(src) -> str:
+    """The sales of the warehouse, loaded into a catalog table of VARCHARs."""
+    spark = src.spark
+    name = f"ll_widths_{uuid.uuid4().hex[:16]}"
+    columns = ", ".join(f"{f.name} " + (f"VARCHAR({WIDTHS[f.name]})" if f.name in WIDTHS else f.dataType.simpleString())
+                        for f in schemas.SALES.fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}, {load.MONTH_COL} STRING) USING parquet "
+              f"PARTITIONED BY ({load.MONTH_COL}) LOCATION '{shared_dir(spark)}/ledgerlight-tables/{name}'")
+    rows = load.conform(src["sales_wh"], T.StructType([f for f in load.target_schema(spark, name).fields if f.name != load.MONTH_COL]))
+    load.windowed_replace(spark, rows, name, *config.FULL_WINDOW)
+    return name
+
+
+@register("catalog_width_load", ("sales_wh",), ids="A8 B1 B3 B4", oracle="""
+SELECT PolicyNumber, CreatedDate, substring(ProductName, 1, 6) AS ProductName,
+       substring(ClientName, 1, 9) AS ClientName, substring(PetType, 1, 3) AS PetType, PetName
+FROM sales_wh
+""")
+def catalog_width_load(src):
+    """A load into a table with declared widths: longer values are cut."""
+    return src.spark.table(_width_table(src)).select(
+        "PolicyNumber", "CreatedDate", *WIDTHS, "PetName")
+
+
+@register("catalog_width_cuts", ("sales_wh",), ids="A8 B3 B4", oracle="""
+SELECT 'ProductName' AS column_name, 6 AS max_length, CAST(count_if(length(ProductName) > 6) AS BIGINT) AS cut_rows,
+       CAST(max(length(ProductName)) AS INTEGER) AS max_seen FROM sales_wh
+UNION ALL SELECT 'ClientName', 9, CAST(count_if(length(ClientName) > 9) AS BIGINT), CAST(max(length(ClientName)) AS INTEGER) FROM sales_wh
+UNION ALL SELECT 'PetType', 3, CAST(count_if(length(PetType) > 3) AS BIGINT), CAST(max(length(PetType)) AS INTEGER) FROM sales_wh
+""")
+def catalog_width_cuts(src):
+    """How many values of each limited column that load cuts, by the widths
+    that the catalog gives back."""
+    return load.truncation_report(src["sales_wh"], load.target_schema(src.spark, _width_table(src)))
+
+
+@register("load_mismatch", ("sales_wh",), ids="B5", oracle="""
+SELECT 'SaleMethod' AS column, 'extra' AS issue, count(SaleMethod) AS lost_values FROM sales_wh
+UNION ALL SELECT 'Channel', 'missing', 0
+UNION ALL SELECT 'PetName', 'extra', count(PetName) FROM sales_wh
+""")
+def load_mismatch(src):
+    """Columns that a load would leave out, with the values lost, or leave empty."""
+    target = T.StructType([f for f in src["sales_wh"].schema.fields if f.name not in ("SaleMethod", "PetName")]
+                          + [T.StructField("Channel", T.StringType())])
+    return load.mismatch_report(src["sales_wh"], target)

@@ -84,7 +84,11 @@ def source_schema(view: str) -> T.StructType:
 
 
 class SourceViews(Mapping):
-    """The views of one named source, each read when asked for."""
+    """The views of one named source, each read when asked for.  Its tables are
+    large beside a window: the facts read their keys first and cut the other
+    tables by them (``reduces``)."""
+
+    reduces = True
 
     def __init__(self, spark: SparkSession, spec: SourceSpec):
         self.spark, self.spec = spark, spec

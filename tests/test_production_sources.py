@@ -3,10 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from fixture_paths import SF001
 from ledgerlight import config
 from ledgerlight.plans import api, facts
 from ledgerlight.sources import production
+from ledgerlight.sources.adapters import RegionalSources
 from ledgerlight.sources.registry import SourceSpec, source_registry
 
 
@@ -75,3 +78,63 @@ def test_free_policies_fall_back_to_the_activitys_pet(spark, tmp_path):
         "SubAgent": [dict(Id=6, Email="x@y.z", Name="Agent")]})
     rows = facts.free_fact_a(src, "2024-01-01", "2024-01-31", config.PET_DOMAIN).collect()
     assert sorted(r["PolicyNumber"] for r in rows) == ["P1", "P3"]
+
+
+@pytest.fixture(scope="module")
+def named(spark, tmp_path_factory):
+    """A region of the fixture in a source's own tables."""
+    root = tmp_path_factory.mktemp("named")
+    region = RegionalSources(spark, SF001, config.FIXTURE_REGION_KEYS["UK"])
+    for view in ("policy_full_src", "policy_src", "cancel_src", "client_src", "product_dim", "quote_src", "user_dim",
+                 "hear_about_dim", "pet_type_dim", "policy_status_dim", "sub_agent_dim", "state_dim"):
+        table, columns = production.VIEWS[view]
+        region[view].select(*[F.col(c).cast(kind).alias(name) for c, (name, kind) in columns.items()]).write.parquet(f"{root}/{table}.parquet")
+    return production.SourceViews(spark, SourceSpec("uk", path=str(root)))
+
+
+WINDOW = config.FULL_WINDOW
+BUILDERS = {"sales_a": facts.sales_fact_a, "sales_b": facts.sales_fact_b, "free_a": facts.free_fact_a, "free_b": facts.free_fact_b}
+
+
+@pytest.mark.parametrize("name", BUILDERS)
+def test_reduced_sources_give_the_same_facts(spark, named, monkeypatch, name):
+    def rows():
+        return sorted(map(repr, BUILDERS[name](named, *WINDOW, config.FIXTURE_DOMAIN).collect()))
+
+    assert named.reduces
+    cut = rows()
+    monkeypatch.setattr(type(named), "reduces", False)
+    assert cut == rows() and cut
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_window_keys_are_broadcast_to_the_scans(spark, named):
+    plan = _plan(facts.sales_fact_b(named, *WINDOW, config.FIXTURE_DOMAIN))
+    for column in ("policy_id", "id"):
+        assert "BroadcastHashJoin" in plan and "LeftSemi" in plan, column
+    assert plan.count("LeftSemi") == 3  # cancellations, clients, quotes
+
+
+def test_many_window_keys_become_bloom_filters_on_the_scans(spark, named):
+    """With keys too large to broadcast, the scans of cancellations, clients and
+    quotes are filtered by what the window holds."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = facts.sales_fact_b(named, *WINDOW, config.FIXTURE_DOMAIN)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        rows = sorted(map(repr, df.collect()))
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert rows == sorted(map(repr, facts.sales_fact_b(named, *WINDOW, config.FIXTURE_DOMAIN).collect()))
+    filtered = [line for line in plan.splitlines() if "might_contain" in line]
+    assert len(filtered) >= 3 and "bloom_filter_agg" in plan
+    # Below the aggregate of the cancellations, on their scan.
+    at = plan.index("PolicyId#", plan.index("Aggregate"))
+    assert "might_contain" in plan[:at + 2000]
