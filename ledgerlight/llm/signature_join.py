@@ -2,11 +2,15 @@
 
 1. Every text becomes a set of shingle hashes.  Texts with equal sets form one
    class, represented by its smallest id.
-2. Two sets that reach the threshold share a shingle among the rarest few of
-   each (prefix filter; rarity is estimated once on a bounded sample, and any
-   order gives exact results).  Under each shared shingle, classes that follow
-   each other by size are linked if their sizes are near enough, and what is
-   linked makes a candidate block.
+2. Two sets that reach the threshold share a shingle among the first few of each
+   in any one order of all shingles (prefix filter).  The order is: a hashed part
+   of the shingles, rarest first; the others, by hash; and last those that a
+   bounded sample of documents knows as frequent.  The part is large enough to
+   fill the prefix of all but the shortest texts, so only its shingles are
+   counted, exactly, over all classes: most occur once, and such a shingle takes
+   a place in the prefix but leads to no partner.  Under each shingle that is
+   left, classes that follow each other by size are linked if their sizes are
+   near enough, and what is linked makes a candidate block.
 3. Blocks are joined exactly by signature trees: nodes hold the OR of their
    members' bitmaps and their size range, and a dual traversal leaves out node
    pairs whose largest possible overlap is too small.  A block too large for
@@ -22,15 +26,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerlight.llm.common import LOWER_BYTES, cut, whole_text, with_code
 from ledgerlight.llm.graph import components, reach
 
 # Documents sampled to find frequent shingles, and frequent shingles kept.
 SAMPLE_DOCS, MAX_FREQUENT = 20_000, 200_000
-# Shingles (of 8 bytes) that one side of a tree join holds in memory, about.
-CHUNK_SHINGLES = 20_000_000
+# Counted shingles, as a multiple of those that a prefix takes.
+COUNTED = 1.6
+# Sets and shingles (of 8 bytes) that one side of a tree join holds, about.
+CHUNK_SETS, CHUNK_SHINGLES = 1_000, 20_000_000
 MEMO_WORDS, LEAF, HELD_LINKS = 500_000, 16, 1_000_000
 # Cells of a table of sets by shingles that is multiplied out at a time.
 DENSE = 4_000_000
@@ -44,13 +50,9 @@ class Shingler:
         self.width, self.memo = width, {}
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.with_lengths(text)[0]
-
-    def with_lengths(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes, and how many bytes the words of each shingle have."""
         words = text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
         if not words:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return np.empty(0, np.int64)
         memo = self.memo
         codes = list(map(memo.get, words))
         if None in codes:
@@ -69,10 +71,7 @@ class Shingler:
                 grams = grams * ODD + ids[k:n + k]
             grams ^= grams >> np.uint64(29)
             grams = grams * ODD + np.uint64(width)
-        grams, first = np.unique(grams.view(np.int64), return_index=True)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        before = np.concatenate([[0], ends[:-1]])
-        return grams, ends[first + width - 1] - before[first]
+        return np.unique(grams.view(np.int64))
 
 
 def identity(grams: np.ndarray) -> tuple[int, int]:
@@ -83,19 +82,25 @@ def identity(grams: np.ndarray) -> tuple[int, int]:
     return low - 2**64 if low >= 2**63 else low, high - 2**64 if high >= 2**63 else high
 
 
-def prefix(grams: np.ndarray, lengths: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest shingles, as many as any partner must share one of: first
-    those that the sample does not know as frequent, and of them the longest,
-    as long words are rare ones.  The order is the same for all sets."""
-    n = len(grams)
-    size = n - -(-percent * n // 100) + 1
-    if n == 0 or size >= n:
-        return grams
-    rarity = np.zeros(n, np.int64)
-    if len(frequent):
+def prefix_size(n: int, percent: int) -> int:
+    """How many of the first shingles of a set of ``n`` any partner shares one of."""
+    return min(n, n - -(-percent * n // 100) + 1)
+
+
+def head(grams: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counted shingles of a set, and the further ones of its prefix where
+    those are too few, in the order that all sets have in common."""
+    known = np.zeros(len(grams), np.int64)
+    if len(frequent) and len(grams):
         at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        rarity = np.where(frequent[at] == grams, counts[at], 0)
-    return grams[np.lexsort((grams, -lengths, rarity))[:size]]
+        known = np.where(frequent[at] == grams, counts[at], 0)
+    part = (grams & 0xFFFFFFFF) < int(min(1.0, COUNTED * (1 - percent / 100)) * 2**32)
+    counted = grams[part & (known == 0)]
+    more = prefix_size(len(grams), percent) - len(counted)
+    if more <= 0:
+        return counted, grams[:0]
+    rest = ~part | (known > 0)
+    return counted, grams[rest][np.lexsort((grams[rest], known[rest]))[:more]]
 
 
 def frequent_shingles(docs: DataFrame, width: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +123,12 @@ def frequent_shingles(docs: DataFrame, width: int, n_docs: int) -> tuple[np.ndar
 
 
 def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``_id, n, s1, s2, have, head, extra``: size and identity of every set, how
+    many counted shingles it has, those, and the others of its prefix."""
+    def lists(arrays):
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), pa.int64()))
+
     def run(batches):
         shingle = Shingler(width)
         for batch in batches:
@@ -125,16 +136,32 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray,
                 continue
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams, lengths = shingle.with_lengths(text)
-                out.append((doc_id, len(grams), *identity(grams), prefix(grams, lengths, percent, frequent, counts)))
-            ids, sizes, low, high, heads = zip(*out)
-            offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()),
-                pa.array(high, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads), pa.int64()))],
-                names=["_id", "n", "s1", "s2", "head"])
-
-    return docs.select("_id", "_text").mapInArrow(run, "_id long, n long, s1 long, s2 long, head array<long>")
+                grams = shingle(text)
+                counted, extra = head(grams, percent, frequent, counts)
+                out.append((doc_id, len(grams), *identity(grams), len(counted), counted, extra))
+            *numbers, heads, extras = zip(*out)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in numbers], lists(heads), lists(extras)],
+                                             names=["_id", "n", "s1", "s2", "have", "head", "extra"])
+
+    return docs.select("_id", "_text").mapInArrow(
+        run, "_id long, n long, s1 long, s2 long, have long, head array<long>, extra array<long>")
+
+
+def prefix_keys(sigs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``key, n, _id``: the prefix shingles of each class that may occur in
+    another.  Each counted shingle goes to one task with its ids alone; one that
+    many classes have is among the frequent ones, which are not counted."""
+    reps = sigs.join(classes.select(F.col("rep").alias("_id")), "_id", "left_semi")
+    seen = reps.select("_id", F.explode("head").alias("g")).withColumn("df", F.count(F.lit(1)).over(W.partitionBy("g")))
+    shared = seen.filter("df > 1").groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("shared"))
+    light = sigs.select("_id", "n", "have")
+    # Of the prefix, those that occur once come first and lead nowhere.
+    size = F.expr(f"least(n, n - ({percent} * n + 99) div 100 + 1)")
+    left = F.least(size, F.col("have")) - (F.col("have") - F.size("shared"))
+    keys = shared.join(light, "_id").select(
+        "_id", "n", F.explode(F.slice("shared", 1, F.greatest(left, F.lit(0)).cast("int"))).alias("k"))
+    extras = reps.filter(F.size("extra") > 0).select(F.explode("extra").alias("key"), "n", "_id")
+    return keys.select(F.col("k.g").alias("key"), "n", "_id").unionByName(extras)
 
 
 def like_sized(rows: DataFrame, percent: int) -> DataFrame:
@@ -357,16 +384,16 @@ def linked(base: DataFrame, width: int, percent: int, every: bool = False) -> Da
     sigs = cut(signatures(base, width, percent, frequent, counts), "signatures")
     classes = cut(sigs.filter("n > 0").groupBy("s1", "s2").agg(
         F.min("_id").alias("rep"), F.first("n").alias("n")), "classes")
-    # A copy that the bit table lets through joins no block.
-    heads = reach(sigs.filter("n > 0").select("_id", "n", "head"), classes.select(F.col("rep").alias("_id")), "_id", True)
-    edges = like_sized(heads.select(F.explode("head").alias("key"), "n", "_id"), percent)
+    edges = like_sized(prefix_keys(sigs, classes, percent), percent)
     blocks = cut(components(edges), "blocks")
     members = cut(blocks.join(classes.select(F.col("rep").alias("node"), "n"), "node"), "members")
-    totals = members.groupBy("root").agg(F.sum("n").alias("all"))
-    placed = members.join(totals, "root").withColumn("chunks", F.ceil(F.col("all") / CHUNK_SHINGLES).cast("long"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("long")
+    totals = members.groupBy("root").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("sets"),
+                                         F.min(band).alias("low"), F.max(band).alias("high"))
+    chunks = F.greatest(F.ceil(F.col("all") / CHUNK_SHINGLES), F.ceil(F.col("sets") / CHUNK_SETS)).cast("long")
+    placed = members.join(totals, "root").withColumn("chunks", chunks)
     whole = F.array(F.struct(F.xxhash64("root").alias("block"), F.lit(0).alias("side"), F.col("root").alias("r")))
     # Of a large block: chunk (band, h) meets (band, h2) and (band + 1, h2).
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("long")
     h = F.pmod(F.xxhash64("node"), F.col("chunks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
 
@@ -376,8 +403,9 @@ def linked(base: DataFrame, width: int, percent: int, every: bool = False) -> Da
     parts = F.concat(
         F.transform(others, lambda o: F.when(o < F.col("_h"), pair(F.col("_b"), o, F.col("_b"), F.col("_h"), F.lit(2)))
                     .otherwise(pair(F.col("_b"), F.col("_h"), F.col("_b"), o, F.when(o == F.col("_h"), F.lit(0)).otherwise(F.lit(1))))),
-        F.transform(others, lambda o: pair(F.col("_b"), F.col("_h"), F.col("_b") + 1, o, F.lit(1))),
-        F.transform(others, lambda o: pair(F.col("_b") - 1, o, F.col("_b"), F.col("_h"), F.lit(2))))
+        # Next bands, where the block has any.
+        F.filter(F.transform(others, lambda o: F.when(F.col("_b") < F.col("high"), pair(F.col("_b"), F.col("_h"), F.col("_b") + 1, o, F.lit(1)))), lambda x: x.isNotNull()),
+        F.filter(F.transform(others, lambda o: F.when(F.col("_b") > F.col("low"), pair(F.col("_b") - 1, o, F.col("_b"), F.col("_h"), F.lit(2)))), lambda x: x.isNotNull()))
     placed = placed.withColumns({"_b": band, "_h": h}).select(
         F.col("node").alias("_id"), F.explode(F.when(F.col("chunks") <= 1, whole).otherwise(parts)).alias("p"))
     # Texts are moved, not sets: they are shorter, and shingled where they meet.

@@ -353,10 +353,13 @@ def plain_groups(texts, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("width,percent,chunk", [(4, 85, None), (5, 80, 150), (2, 40, 300)])
-def test_groups_against_all_pairs(prose, monkeypatch, width, percent, chunk):
+@pytest.mark.parametrize("width,percent,chunk,sets,known", [
+    (4, 85, None, 1000, 200_000), (5, 80, 150, 1000, 200_000), (2, 40, 300, 1000, 0), (4, 85, None, 2, 0), (1, 60, None, 3, 5)])
+def test_groups_against_all_pairs(prose, monkeypatch, width, percent, chunk, sets, known):
     if chunk:
         monkeypatch.setattr(signature_join, "CHUNK_SHINGLES", chunk)
+    monkeypatch.setattr(signature_join, "CHUNK_SETS", sets)
+    monkeypatch.setattr(signature_join, "MAX_FREQUENT", known)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in signature_join.similar_groups(prose, width, percent).collect()}
     assert got == plain_groups(texts_of(prose), width, percent)
 
@@ -375,6 +378,46 @@ def test_every_link_counts(spark, monkeypatch, chunk):
     assert [found[i] for i in range(len(found))] == want + want[:5]
 
 
+def test_a_group_of_thousands_is_joined_in_many_tasks(spark, monkeypatch):
+    """Every two of 2,500 near copies are linked; no task gets them all."""
+    monkeypatch.setattr(signature_join, "CHUNK_SETS", 400)
+    words = " ".join(f"w{i}" for i in range(120))
+    docs = spark.createDataFrame([(i, f"{words} own{i}") for i in range(2500)] + [(9000, "a text on its own here")], "doc_id long, text string")
+    seen = []
+    join_blocks = signature_join.join_blocks
+    monkeypatch.setattr(signature_join, "join_blocks", lambda rows, *args: seen.append(
+        [r["count"] for r in rows.groupBy("block").count().collect()]) or join_blocks(rows, *args))
+    found = signature_join.similar_groups(docs.repartition(7))
+    assert {(r["doc_id"] < 9000, r["component_id"], r["n_links"]) for r in found.collect()} == {(True, 0, 2499), (False, 9000, 0)}
+    assert max(seen[0]) < 1000 and len(seen[0]) > 20
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([50, 80, 85, 95]))
+def test_like_sets_share_a_prefix_shingle_that_occurs_twice(seed, percent):
+    """The order by counted rarity, whatever the sample knows."""
+    rng = random.Random(seed)
+    base = [rng.getrandbits(63) for _ in range(rng.choice([3, 10, 60]))]
+    sets = []
+    for _ in range(12):
+        own = {g for g in base if rng.random() < 0.97} | {rng.getrandbits(63) for _ in range(rng.choice([0, 1, 3]))}
+        sets.append(np.array(sorted(own), np.int64))
+    frequent = np.array(sorted(rng.sample(base, len(base) // 4)), np.int64)
+    counts = np.array([rng.randrange(3, 9) for _ in frequent], np.int64)
+    heads = [signature_join.head(g, percent, frequent, counts) for g in sets]
+    df = Counter(g for counted, _ in heads for g in counted.tolist())
+    keys = []
+    for grams, (counted, extra) in zip(sets, heads):
+        size = min(signature_join.prefix_size(len(grams), percent), len(counted))
+        first = sorted(counted.tolist(), key=lambda g: (df[g], g))[:size]
+        keys.append({g for g in first if df[g] > 1} | set(extra.tolist()))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(set(a.tolist()) & set(b.tolist()))
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
+                assert keys[i] & keys[j]
+
+
 def test_rows_without_an_id_of_their_own_are_kept(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     texts = [" ".join(f"{w}{i}" for w in words) for i in range(6)]
@@ -530,3 +573,31 @@ def test_shards_are_even_and_gapless(prose):
     texts = texts_of(prose)
     for r in rows.itertuples():
         assert r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
+
+
+@pytest.mark.parametrize("blank", ["\n", "\t", "\u00a0", " "])
+def test_tokens_of_long_blank_runs(blank):
+    """Runs of a million blanks give the named tokenizer's ids."""
+    coder = packing.WordTokens("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    for text in (blank * 1_000_000, f"one{blank * 1_000_000}two three", f"{blank * 5000}x {blank * 4095} y"):
+        want = coder.whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(coder(text), "<u4").tolist() == want
+
+
+def test_pages_of_blanks_do_not_stop_the_packing(spark):
+    docs = spark.createDataFrame([(1, "\n" * 2_000_000), (2, "a" + "\n" * 5_000_000 + "b"), (3, "plain words")], "doc_id long, text string")
+    rows = packing.pack(docs, 1024).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("all")).collect()
+    assert len(rows) == 3 and all(r["n"] == r["all"] for r in rows)
+
+
+def test_copies_do_not_rest_on_ids(spark, prose):
+    """Null, equal and distinct ids: every row gets the copies of its source."""
+    wanted = Counter(r["source"] for r in mixing.repeat_documents(prose, 1.5).collect())
+    assert sum(wanted.values()) > prose.count()
+    for ids in (F.lit(None).cast("long"), F.lit(7).cast("long"), F.col("doc_id") % 5):
+        docs = prose.withColumn("doc_id", ids)
+        found = mixing.repeat_documents(docs, 1.5)
+        assert found.columns == docs.columns
+        counts = Counter(r["source"] for r in found.collect())
+        assert all(abs(counts[x] - wanted[x]) <= 3 for x in wanted) and set(counts) == set(wanted)
+        assert {r["text"] for r in found.collect()} == {r["text"] for r in docs.collect()}
