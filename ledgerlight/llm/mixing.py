@@ -167,13 +167,20 @@ def mix_documents(docs: DataFrame, block_tokens: int = 1 << 18, max_repeats: flo
 
 def repeat_documents(docs: DataFrame, max_repeats: float, block_tokens: int = 1 << 18, id_col: str = "doc_id",
                      text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """``docs`` with as many rows of each document as the mixed stream has copies."""
-    mixed_rows = mix_documents(docs, block_tokens, max_repeats, None, True, id_col, text_col, source_col, seed)
-    # One row per document: how often it comes, per row of the table.
-    copies = mixed_rows.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_copies"))
-    same = docs.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    times = copies.join(same, copies["_id"].eqNullSafe(same["_id"])).select(
-        copies["_id"], F.floor(F.col("_copies") / F.col("_rows")).cast("int").alias("_times"))
-    return (docs.join(times, docs[id_col].eqNullSafe(times["_id"]))
-            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_times"), F.lit(1)))))
-            .select(*[docs[c] for c in docs.columns]))
+    """``docs``, all columns, with as many rows of each document as the mixed
+    stream has copies, and each at least once.
+
+    Every row is a document of its own, told apart by a number it is given as it
+    is read, so null and repeated ids, equal texts and equal rows get the copies
+    that their source's weight asks for.  Null text is empty, a null source is
+    the source ''; an empty table gives no rows.  The number of a row rests on the
+    order of the rows, so ``docs`` is written once and read back."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, source = (names[docs.columns.index(c)] for c in (text_col, source_col))
+    wide = cut(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "documents")
+    rows = wide.select("_row", F.coalesce(F.col(source), F.lit("")).alias("source"), n_tokens(text).alias("tokens"))
+    mixed_rows = mixed(cut(rows, "rows"), block_tokens, max_repeats, None, True, seed)
+    times = mixed_rows.groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    copies = wide.join(times, "_row", "left").withColumn(
+        "_n", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("_times", F.lit(1)), F.lit(1)))))
+    return copies.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

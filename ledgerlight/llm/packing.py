@@ -30,6 +30,9 @@ CACHE_WORDS, CACHE_CHARS = 600_000, 64
 # Blanks on both sides of a space (or up to the end), or a special token:
 # such texts are not parted at spaces before tokenizing.
 WHOLE_ONLY = re.compile(r"\s \s|\s \Z|<\|")
+# The fast coder's pattern fails on blank runs of some hundred thousand
+# characters; parts with a run of so many go to the tokenizer itself.
+BLANK_RUN = re.compile(r"\s{4096}")
 
 
 @lru_cache(maxsize=2)
@@ -50,13 +53,18 @@ class WordTokens:
     once while the cache holds it."""
 
     def __init__(self, tokenizer: str, ranks: str):
-        self.whole, fast = _encoders(tokenizer, ranks)
-        self.part = fast.encode_ordinary
+        self.whole, self.fast = _encoders(tokenizer, ranks)
         self.cache: dict[str, bytes] = {}
 
+    def slow(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def part(self, text: str) -> list[int]:
+        return self.slow(text) if len(text) > 4096 and BLANK_RUN.search(text) else self.fast.encode_ordinary(text)
+
     def __call__(self, text: str) -> bytes:
         if WHOLE_ONLY.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self.slow(text), "<u4").tobytes()
         parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
         ids = list(map(self.cache.get, parts))
         if None in ids:
