@@ -133,6 +133,10 @@ REGIONS = [
 ]
 
 
+# Spark's name of the collation that ignores case and trailing blanks.
+NOCASE_KEYS = "UTF8_LCASE_RTRIM"
+
+
 @dataclass(frozen=True)
 class Domain:
     """Product/patterns configuration for the fact builders."""
@@ -161,6 +165,9 @@ class Domain:
     web_user_names: list[str] = field(default_factory=lambda: list(WEB_USER_NAMES))
     # Brand of the single-brand regions.
     brand_constant: str = BRAND_CONSTANT
+    # Collation of text keys: None compares bytes; NOCASE_KEYS compares as a
+    # case-insensitive source does (case and trailing blanks ignored).
+    collation: str | None = None
 
     @property
     def branch_a_products(self) -> list[int]:

@@ -13,12 +13,23 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def collated(c: str | Column, collation: str | None) -> Column:
+    """A text key that is compared under a collation (None: by bytes)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.collate(c, collation) if collation else c
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str | Column],
                    order: Sequence[Column], rank_col: str = "_rn",
-                   keep_rank: bool = False) -> DataFrame:
-    """Keep the first row of each key group under ``order``."""
+                   keep_rank: bool = False, collation: str | None = None) -> DataFrame:
+    """Keep the first row of each key group under ``order``; text keys
+    given by name are equal if the collation says so."""
+    if collation:
+        keys = [collated(k, collation) if isinstance(k, str) and isinstance(df.schema[k].dataType, T.StringType) else k
+                for k in keys]
     w = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) == 1)
     return out if keep_rank else out.drop(rank_col)

@@ -15,6 +15,7 @@ policy before they join them.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 from typing import Mapping
 
@@ -106,10 +107,9 @@ def _finish_quote(df: DataFrame) -> DataFrame:
 def quote_fact_a(src: Src, start, end, domain: Domain) -> DataFrame:
     """M1 (AU/NZ): quotes with product class, client fallback, newest quote
     per day x normalised mail x pet type x normalised pet name."""
-    q = src["quote_src"].alias("q")
+    q = _driving(src, "quote_src", "created_date", start, end).alias("q")
     test = domain.quote_name_patterns
     base = q.where(D.conjunction([
-        K.in_window("created_date", start, end),
         F.col("created_by").isNotNull(), F.col("quote_save_from").isNotNull(),
         F.col("quote_parent_id").isNull(),
         ~D.flag_is("is_pet_id_product", 1),
@@ -173,10 +173,9 @@ def activity_answers(src: Src, quotes: DataFrame, domain: Domain) -> DataFrame:
 def quote_fact_b(src: Src, start, end, domain: Domain) -> DataFrame:
     """M2 (UK/DE/AT): two product branches (I1 as UNION ALL, N23), each
     de-duplicated on its own key, then the brand rule C15."""
-    q = src["quote_src"].alias("q")
+    q = _driving(src, "quote_src", "created_date", start, end).alias("q")
     test = domain.quote_name_patterns
     common = D.conjunction([
-        K.in_window("created_date", start, end),
         F.col("quote_parent_id").isNull(),
         D.exclude_like({"first_name": test, "last_name": test,
                         "email": domain.quote_email_patterns, "pet_name": test}, keep_null=False),
@@ -239,7 +238,8 @@ def quote_fact_b(src: Src, start, end, domain: Domain) -> DataFrame:
     order = [F.col("_qid").desc(), F.col("pp_created").desc_nulls_last(),
              F.col("pa_policy_number").asc_nulls_first()]
     keys = ["_k1", "_k2", "_k3", "_k4"]
-    kept = dedupe.latest_per_key(a, keys, order).unionByName(dedupe.latest_per_key(b, keys, order))
+    kept = (dedupe.latest_per_key(a, keys, order, collation=domain.collation)
+            .unionByName(dedupe.latest_per_key(b, keys, order, collation=domain.collation)))
     return kept.withColumn("Brand", C.brand_quote_uk("PetType", "_is_pet_id")).select(*QUOTE_FACT_COLUMNS)
 
 
@@ -264,6 +264,13 @@ class Window:
         return rows if self.keys is None else joins.reduced(rows, row_key, self.keys, key, self.inside)
 
 
+def _driving(src: Src, view: str, date_col: str, start, end) -> DataFrame:
+    """The rows of the extraction's window; a source that can read a window in
+    parts does so."""
+    rows = src.window(view, date_col, start, end) if hasattr(src, "window") else src[view]
+    return rows.where(K.in_window(date_col, start, end))
+
+
 def _policy_window(src: Src, policies: DataFrame, start, end) -> Window:
     pa = src["policy_src"].where(F.col("transaction_type_id") == 1).select(
         F.col("id").alias("pa_policy_id"), F.col("product_id").alias("pa_product_id"),
@@ -279,7 +286,7 @@ def _policy_window(src: Src, policies: DataFrame, start, end) -> Window:
 
 def _sales_joins(src: Src, start, end, domain: Domain, product_how: str) -> DataFrame:
     """J9-J14 shared by both sales facts."""
-    p = src["policy_full_src"].where(K.in_window("created_date", start, end))
+    p = _driving(src, "policy_full_src", "created_date", start, end)
     window = _policy_window(src, p, start, end)
     pa = window.activities.drop("pa_pet_name")
     # Only cancellations of the window's policies are counted.
@@ -368,8 +375,7 @@ FREE_FACT_COLUMNS = [
 def _free_joins(src: Src, start, end, domain: Domain, inner: bool) -> DataFrame:
     """Free policies with status, product, quote, agent, state, user."""
     how = "inner" if inner else "left"
-    p = src["policy_full_src"].where(
-        K.in_window("created_date", start, end) & (F.col("is_free_product") == F.lit(True)))
+    p = _driving(src, "policy_full_src", "created_date", start, end).where(F.col("is_free_product") == F.lit(True))
     window = _policy_window(src, p, start, end)
     p, pa = p.alias("p"), window.activities
     ps = src["policy_status_dim"].select(F.col("id").alias("ps_id"),
@@ -438,13 +444,13 @@ def crm_fact(src: Src, start, end_exclusive, as_of, domain: Domain) -> DataFrame
     """M7 customer 360: rank quotes per person and pet (G5, J21), attach the
     latest policy of the picked quote (J24-J26, G6), then keep one row per
     policy or per person|pet (G7)."""
-    q = src["quote_src"].alias("q")
+    last_day = K.to_date(end_exclusive) - dt.timedelta(days=1)
+    q = _driving(src, "quote_src", "quote_date", start, last_day).alias("q")
     pd_ = src["product_dim"].select(F.col("id").alias("pd_id"), F.col("product_code").alias("pd_code"),
                                     F.col("is_free_product").alias("pd_free"))
     client = src["client_src"].alias("c")
     pats = domain.crm_patterns
     base = q.where(D.conjunction([
-        K.in_half_open("quote_date", start, end_exclusive),
         D.exclude_like({"first_name": pats, "last_name": pats, "email": domain.crm_email_patterns,
                         "pet_name": pats}, keep_null=False),
     ]))
@@ -461,7 +467,7 @@ def crm_fact(src: Src, start, end_exclusive, as_of, domain: Domain) -> DataFrame
                                         F.col("actual_end_date").alias("PolicyEndDate"),
                                         F.col("policy_status_id").alias("p_status"))
     lp = (pa.join(base.select(F.col("id").alias("lp_quote_id")), "lp_quote_id", "left_semi")
-            .join(pol, F.col("p_number") == F.col("lp_number"), "left"))
+            .join(pol, dedupe.collated("p_number", domain.collation) == dedupe.collated("lp_number", domain.collation), "left"))
     lp = dedupe.latest_per_key(lp, ["lp_quote_id"], [
         F.col("p_number").isNull().asc(), F.col("lp_created").desc(), F.col("lp_number").asc()])
     j = (j.join(lp, F.col("lp_quote_id") == F.col("q.id"), "left")
@@ -486,7 +492,7 @@ def crm_fact(src: Src, start, end_exclusive, as_of, domain: Domain) -> DataFrame
     picked = dedupe.latest_per_key(
         quotes, ["FirstName", "LastName", "PetName"],
         [F.col("_has_policy").desc(), F.col("QuoteStartDate").desc(),
-         F.col("PetBreedId").isNull().asc(), F.col("QuoteId").asc()])
+         F.col("PetBreedId").isNull().asc(), F.col("QuoteId").asc()], collation=domain.collation)
 
     ps = src["policy_status_dim"].select(F.col("id").alias("ps_id"),
                                          F.col("policy_status_name").alias("PolicyStatusName"))
@@ -507,7 +513,7 @@ def crm_fact(src: Src, start, end_exclusive, as_of, domain: Domain) -> DataFrame
     return dedupe.latest_per_key(
         final.withColumn("_g7", key), ["_g7"],
         [F.when(has_pol, F.col("OriginalPolicyStartDate")).desc(), F.col("QuoteCreatedDate").desc(),
-         F.col("QuoteNumber").asc()]).select(*CRM_COLUMNS)
+         F.col("QuoteNumber").asc()], collation=domain.collation).select(*CRM_COLUMNS)
 
 
 SCRIPT_DEDUPE_COLUMNS = [
@@ -524,10 +530,9 @@ def quote_dedupe_set_based(src: Src, start, end, domain: Domain) -> DataFrame:
     ``BB_Commercial`` when it has none; a BB quote with no hear-about name is
     kept (``ISNULL(name, '')``, N9).  The two branches are disjoint product
     families, so ``UNION ALL`` (no distinct shuffle)."""
-    q = src["quote_src"].alias("q")
+    q = _driving(src, "quote_src", "created_date", start, end).alias("q")
     test = domain.quote_name_patterns
     common = D.conjunction([
-        K.in_window("created_date", start, end),
         F.col("quote_parent_id").isNull(),
         D.exclude_like({"first_name": test, "last_name": test,
                         "email": domain.quote_email_patterns, "pet_name": test}, keep_null=False),

@@ -247,7 +247,7 @@ def free_policy_breakdown(free: DataFrame, start, end, countries="all", brands="
 # ---------------------------------------------------------------------------
 
 def _policy_base(crm: DataFrame, start, end, months, date_basis, regions, policy_status,
-                 policy_type, brands, pets) -> tuple[DataFrame, str]:
+                 policy_type, brands, pets, collation: str | None = None) -> tuple[DataFrame, str]:
     s, e = K.to_date(start), K.to_date(end)
     basis = D.choose_date_basis(date_basis)
     used_start = K.lookback_start(s, e, months)
@@ -256,8 +256,8 @@ def _policy_base(crm: DataFrame, start, end, months, date_basis, regions, policy
         D.membership("CountryCode", D.normalize_regions(regions)),
         D.membership("Brand", D.normalize_input(brands)),
         D.pet_filter("PetType", D.normalize_input(pets)),
-        D.membership("CustomerStatus", D.status_list(policy_status) or []),
-        D.membership("FreePolicy", D.free_policy_list(policy_type) or []),
+        D.membership("CustomerStatus", D.status_list(policy_status) or [], collation),
+        D.membership("FreePolicy", D.free_policy_list(policy_type) or [], collation),
         K.day_window_clamp(basis, s.day, e.day),
     ]
     return crm.where(D.conjunction(preds)), basis
@@ -266,10 +266,10 @@ def _policy_base(crm: DataFrame, start, end, months, date_basis, regions, policy
 def policy_month_trend(crm: DataFrame, start, end, months: int | None = config.POLICY_TREND_MONTHS,
                        date_basis: str = config.DEFAULT_DATE_BASIS, regions="all",
                        policy_status="all", policy_type="all", brands="all",
-                       pets="all") -> DataFrame:
+                       pets="all", collation: str | None = None) -> DataFrame:
     """M22 (F7, D18-D21, K5, K-clamp always, K8 min..max observed)."""
     base, basis = _policy_base(crm, start, end, months, date_basis, regions, policy_status,
-                               policy_type, brands, pets)
+                               policy_type, brands, pets, collation)
     agg = base.groupBy(K.month_start(basis).alias("month")).agg(F.count(F.lit(1)).alias("policyCount"))
     cal = K.observed_calendar(agg, "month")
     out = reshape.align_to_calendar(cal, agg, "month", ["policyCount"])

@@ -543,3 +543,52 @@ def bound_param_read(src):
         {"start": w.start, "end_excl": w.end_exclusive, "brand": "BUILDING"},
         quote=src["quote_wh"])
 
+
+
+# ---- keys under a collation ---------------------------------------------------
+
+# Quotes whose mails and names are spelt in several ways.
+SPELT = """SELECT id, created_date,
+       CASE id % 3 WHEN 0 THEN upper(email) WHEN 1 THEN concat(email, '  ') ELSE email END AS email,
+       CASE WHEN id % 2 = 0 THEN lower(pet_name) ELSE pet_name END AS pet_name FROM {quotes}"""
+
+
+def _spelt_oracle(key: str) -> str:
+    def k(c):
+        return key.format(c=c)
+    return f"""
+WITH s AS ({SPELT.format(quotes="quote_src")}),
+r AS (SELECT *, row_number() OVER (PARTITION BY {k('email')}, {k('pet_name')} ORDER BY id DESC) AS rn FROM s)
+SELECT id, created_date, email, pet_name FROM r WHERE rn = 1
+"""
+
+
+def _spelt(src, collation):
+    rows = src.spark.sql(SPELT.replace("{quotes}", "{q}"), q=src["quote_src"])
+    return dedupe.latest_per_key(rows, ["email", "pet_name"], [F.col("id").desc()], collation=collation)
+
+
+@register("dedupe_by_bytes", ("quote_src",), ids="G2 G3 G4 N13 (keys by bytes)", oracle_fn=lambda: _spelt_oracle("{c}"))
+def dedupe_by_bytes(src):
+    return _spelt(src, None)
+
+
+@register("dedupe_collated", ("quote_src",), ids="G2 G3 G4 G7 N3 N13 (keys without case and trailing blanks)",
+          oracle_fn=lambda: _spelt_oracle("lower(rtrim({c}))"))
+def dedupe_collated(src):
+    return _spelt(src, config.NOCASE_KEYS)
+
+
+@register("policy_join_collated", ("policy_src",), ids="J24 N3", oracle="""
+SELECT a.id, a.number_a, b.number_b
+FROM (SELECT id, lower(policy_number) AS number_a FROM policy_src) a
+JOIN (SELECT id AS id_b, concat(policy_number, '   ') AS number_b FROM policy_src WHERE id % 2 = 0) b
+  ON lower(rtrim(a.number_a)) = lower(rtrim(b.number_b))
+""")
+def policy_join_collated(src):
+    """Policy numbers joined whatever their case and trailing blanks."""
+    p = src["policy_src"]
+    a = p.select("id", F.lower("policy_number").alias("number_a"))
+    b = p.where("id % 2 = 0").select(F.concat("policy_number", F.lit("   ")).alias("number_b"))
+    same = dedupe.collated("number_a", config.NOCASE_KEYS) == dedupe.collated("number_b", config.NOCASE_KEYS)
+    return a.join(b, same).select("id", "number_a", "number_b")

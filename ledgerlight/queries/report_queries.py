@@ -270,6 +270,16 @@ def policy_month_trend(src):
                                 policy_type="no")
 
 
+@register("policy_trend_collated", ("crm_wh",), ids="M22 D19 D20 N3",
+          oracle=_policy_trend_oracle(
+              "OriginalPolicyStartDate", "2000-08-15", "2001-06-21", 15, 20,
+              "AND lower(rtrim(CustomerStatus)) IN ('active', 'expired') AND lower(rtrim(FreePolicy)) = 'no'"))
+def policy_trend_collated(src):
+    """Statuses are found whatever their case."""
+    return R.policy_month_trend(src["crm_wh"], *WW, months=11, date_basis="OriginalPolicyStartDate",
+                                policy_status=["ACTIVE", "expired"], policy_type="no", collation=config.NOCASE_KEYS)
+
+
 @register("policy_trend_default_basis", ("crm_wh",), ids="M22 D18 (bad basis -> default) K-clamp",
           oracle=_policy_trend_oracle("QuoteCreatedDate", "2001-01-31", "2001-03-01", 31, 28,
                                       "AND (lower(coalesce(PetType, '')) LIKE '%bb_com%')"))

@@ -93,9 +93,18 @@ class SourceViews(Mapping):
     def __init__(self, spark: SparkSession, spec: SourceSpec):
         self.spark, self.spec = spark, spec
 
+    def window(self, view: str, date_col: str, start, end) -> DataFrame:
+        """The view's rows of ``[start, end]``, read in parts of that window."""
+        table, columns = VIEWS[view]
+        rows = self.spec.read_window(self.spark, table, columns[date_col][0], start, end)
+        return self._view(rows, columns)
+
     def __getitem__(self, view: str) -> DataFrame:
         table, columns = VIEWS[view]
-        rows = self.spec.read(self.spark, table)
+        return self._view(self.spec.read(self.spark, table), columns)
+
+    @staticmethod
+    def _view(rows: DataFrame, columns) -> DataFrame:
         return rows.select(*[F.col(name).cast(kind).alias(c) for c, (name, kind) in columns.items()])
 
     def __iter__(self) -> Iterator[str]:

@@ -1,5 +1,6 @@
 """Named sources: JDBC options, view schemas, production product ids."""
 
+import dataclasses
 import datetime as dt
 
 import pytest
@@ -7,10 +8,11 @@ from pyspark.sql import functions as F
 
 from fixture_paths import SF001
 from ledgerlight import config
+from ledgerlight.functions import periods as K
 from ledgerlight.plans import api, facts
 from ledgerlight.sources import production
 from ledgerlight.sources.adapters import RegionalSources
-from ledgerlight.sources.registry import SourceSpec, source_registry
+from ledgerlight.sources.registry import SourceSpec, day_depths, source_registry, split_window
 
 
 def test_jdbc_tables_are_read_in_parts():
@@ -86,7 +88,7 @@ def named(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("named")
     region = RegionalSources(spark, SF001, config.FIXTURE_REGION_KEYS["UK"])
     for view in ("policy_full_src", "policy_src", "cancel_src", "client_src", "product_dim", "quote_src", "user_dim",
-                 "hear_about_dim", "pet_type_dim", "policy_status_dim", "sub_agent_dim", "state_dim"):
+                 "hear_about_dim", "pet_type_dim", "policy_status_dim", "sub_agent_dim", "state_dim", "breed_dim"):
         table, columns = production.VIEWS[view]
         region[view].select(*[F.col(c).cast(kind).alias(name) for c, (name, kind) in columns.items()]).write.parquet(f"{root}/{table}.parquet")
     return production.SourceViews(spark, SourceSpec("uk", path=str(root)))
@@ -138,3 +140,65 @@ def test_many_window_keys_become_bloom_filters_on_the_scans(spark, named):
     # Below the aggregate of the cancellations, on their scan.
     at = plan.index("PolicyId#", plan.index("Aggregate"))
     assert "might_contain" in plan[:at + 2000]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7, 40])
+def test_window_predicates_part_the_rows_evenly(spark, named, parts):
+    """Every row of the window meets one predicate, and the parts are of like
+    size, also with a day that holds a third of all rows."""
+    import duckdb
+    hot = dt.datetime(2001, 3, 1)
+    stamps = [r[0] for r in named["quote_src"].select("created_date").collect()]
+    n = len(stamps) // 2
+    stamps += [hot + dt.timedelta(seconds=(i * 86_399) // n) for i in range(n)]
+    rows = spark.createDataFrame([(t,) for t in stamps], "CreatedDate timestamp_ntz")
+    start, end = "2000-12-15", "2001-06-20"
+    inside = rows.where(K.in_window("CreatedDate", start, end))
+    spec = SourceSpec("uk", format="jdbc", window_parts={"Quote": parts}, depths={"Quote": day_depths(inside, "CreatedDate")})
+    predicates = spec.window_predicates("Quote", "CreatedDate", start, end)
+    assert parts // 2 < len(predicates) <= parts
+    table = inside.toArrow()
+    con = duckdb.connect()
+    con.register("windowed", table)
+    counts = [con.execute(f"SELECT count(*) FROM windowed WHERE {p}").fetchone()[0] for p in predicates]
+    assert sum(counts) == table.num_rows
+    assert max(counts) <= table.num_rows / parts + 8
+    assert con.execute("SELECT count(*) FROM windowed WHERE " + " OR ".join(f"({p})" for p in predicates)).fetchone()[0] == table.num_rows
+
+
+def test_window_without_known_days_is_cut_evenly():
+    pieces = split_window("2024-01-01", "2024-01-10", 5)
+    assert [(b - a).days for a, b in pieces] == [2] * 5
+    assert pieces[0][0] == dt.datetime(2024, 1, 1) and pieces[-1][1] == dt.datetime(2024, 1, 11)
+    assert split_window("2024-01-01", "2024-01-01", 1) == [(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))]
+    assert len(split_window("2024-01-01", "2024-01-01", 4)) == 4
+
+
+def test_jdbc_windows_are_read_by_predicates():
+    """The options a window read hands to Spark; no database is asked."""
+    asked = {}
+
+    class Reader:
+        read = property(lambda self: self)
+
+        def jdbc(self, url, table, **kw):
+            asked.update(kw, url=url, table=table)
+
+    spec = source_registry({"uk": {"format": "jdbc", "url": "jdbc:none", "user": "x", "window_parts": {"Quote": 2}}})["uk"]
+    spec.read_window(Reader(), "Quote", "CreatedDate", "2024-01-01", "2024-01-04")
+    assert asked == {"url": "jdbc:none", "table": "Quote", "properties": {"user": "x"}, "predicates": [
+        "CreatedDate >= '2024-01-01T00:00:00' AND CreatedDate < '2024-01-03T00:00:00'",
+        "CreatedDate >= '2024-01-03T00:00:00' AND CreatedDate < '2024-01-05T00:00:00'"]}
+
+
+def test_windows_of_file_sources_reach_the_scan(named):
+    plan = _plan(named.window("quote_src", "created_date", "2001-01-15", "2001-06-20"))
+    assert "PushedFilters: [IsNotNull(CreatedDate), GreaterThanOrEqual(CreatedDate" in plan
+
+
+def test_collated_domains(spark, named):
+    """Clean keys give the same customer view by bytes and by collation."""
+    nocase = dataclasses.replace(config.FIXTURE_DOMAIN, collation=config.NOCASE_KEYS)
+    a, b = (facts.crm_fact(named, "2001-01-01", "2001-03-01", dt.date(2001, 7, 10), d).where("PolicyNumber is not null")
+            .select("QuoteNumber", "PolicyNumber") for d in (config.FIXTURE_DOMAIN, nocase))
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
