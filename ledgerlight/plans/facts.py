@@ -43,9 +43,14 @@ def _c(alias: str, col: str) -> Column:
     return F.col(f"{alias}.{col}")
 
 
+def _by(src: Src, view: str, key: str) -> DataFrame:
+    """A view laid out by ``key``, where the source can do that."""
+    return src.by(view, key) if hasattr(src, "by") else src[view]
+
+
 def _policy_links(src: Src) -> tuple[DataFrame, DataFrame]:
     """PolicyActivity (quote -> policy) and Policy attribute frames."""
-    pa = src["policy_src"].select(
+    pa = _by(src, "policy_src", "quote_id").select(
         F.col("quote_id").alias("pa_quote_id"), F.col("id").alias("pa_policy_id"),
         F.col("policy_number").alias("pa_policy_number"))
     pp = src["policy_full_src"].select(
@@ -123,10 +128,11 @@ def quote_fact_a(src: Src, start, end, domain: Domain) -> DataFrame:
     pet = src["pet_type_dim"].select(F.col("pet_type_id").alias("pty_id"),
                                      F.col("pet_type_name").alias("pty_name"))
     client = src["client_src"].alias("c")
-    j = (base.join(product, F.col("prod_id") == F.col("q.product_id"), "inner")
-             .join(pet, F.col("pty_id") == F.col("prod_pet_type_id"), "left")
-             .join(client, F.col("c.id") == F.col("q.client_id"), "left"))
-    j = _join_policy_and_breed(j, src, best_policy_per_quote(src, base))
+    # Quote id first: quotes and activities may lie by it already.
+    j = _join_policy_and_breed(base, src, best_policy_per_quote(src, base))
+    j = (j.join(product, F.col("prod_id") == F.col("q.product_id"), "inner")
+          .join(pet, F.col("pty_id") == F.col("prod_pet_type_id"), "left")
+          .join(client, F.col("c.id") == F.col("q.client_id"), "left"))
     person = _quote_person_columns()
     rows = j.select(
         F.col("q.id").alias("_qid"), F.col("pp_created"), F.col("pa_policy_number"),
@@ -313,8 +319,8 @@ def _sales_joins(src: Src, start, end, domain: Domain, product_how: str) -> Data
     late = D.late_cancellation_keep("pc_policy_id", "pc_created", "p.created_date")
     return (p.join(pc, F.col("pc_policy_id") == F.col("p.id"), "left").where(late)
              .withColumn("_again", F.explode(F.sequence(F.lit(1), F.coalesce("pc_n", F.lit(1)))))
-             .join(client, F.col("p.client_id") == F.col("c.id"), "left")
              .join(pa, F.col("pa_policy_id") == F.col("p.id"), "left")
+             .join(client, F.col("p.client_id") == F.col("c.id"), "left")
              .join(product, F.col("po_id") == F.col("pa_product_id"), product_how)
              .join(quote, F.col("q_id") == F.col("pa_quote_id"), "left")
              .join(user, F.col("p.executive_id") == F.col("u_id"), "left")

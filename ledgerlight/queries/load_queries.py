@@ -19,6 +19,7 @@ from ledgerlight.sources import schemas
 from ledgerlight.sources.adapters import RegionalSources
 from ledgerlight.sources.production import VIEWS, SourceViews
 from ledgerlight.sources.registry import source_registry
+from ledgerlight.sources.snapshots import Snapshot
 from ledgerlight.streaming import csv_export
 
 WW = config.WIDE_WINDOW
@@ -432,3 +433,19 @@ def load_mismatch(src):
     target = T.StructType([f for f in src["sales_wh"].schema.fields if f.name not in ("SaleMethod", "PetName")]
                           + [T.StructField("Channel", T.StringType())])
     return load.mismatch_report(src["sales_wh"], target)
+
+
+@register("snapshot_sales", (), ids="J9 J10 J11 J13 M4",
+          oracle_fn=lambda: REGISTRY["fact_sales_b"].oracle(config.FIXTURE_REGION_KEYS["UK"]))
+def snapshot_sales(src):
+    """The UK's sales fact from a snapshot of its source, laid out by join key."""
+    region = RegionalSources(src.spark, src.sf_dir, config.FIXTURE_REGION_KEYS["UK"])
+    return facts.sales_fact_b(Snapshot(src.spark, region), *config.FULL_WINDOW, config.FIXTURE_DOMAIN)
+
+
+@register("snapshot_quotes", (), ids="J3 J4 J5 M1",
+          oracle_fn=lambda: REGISTRY["fact_quote_a"].oracle(config.FIXTURE_REGION_KEYS["NZ"]))
+def snapshot_quotes(src):
+    """New Zealand's quote fact from a snapshot of its source."""
+    region = RegionalSources(src.spark, src.sf_dir, config.FIXTURE_REGION_KEYS["NZ"])
+    return facts.quote_fact_a(Snapshot(src.spark, region), *config.FULL_WINDOW, config.FIXTURE_DOMAIN)

@@ -2,6 +2,8 @@
 
 import dataclasses
 import datetime as dt
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ledgerlight.functions import periods as K
 from ledgerlight.plans import api, facts
 from ledgerlight.sources import production
 from ledgerlight.sources.adapters import RegionalSources
+from ledgerlight.sources.snapshots import Snapshot
 from ledgerlight.sources.registry import SourceSpec, day_depths, source_registry, split_window
 
 
@@ -202,3 +205,60 @@ def test_collated_domains(spark, named):
     a, b = (facts.crm_fact(named, "2001-01-01", "2001-03-01", dt.date(2001, 7, 10), d).where("PolicyNumber is not null")
             .select("QuoteNumber", "PolicyNumber") for d in (config.FIXTURE_DOMAIN, nocase))
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+class Counted(dict):
+    """A source that counts how often each view is read."""
+
+    def __init__(self, src):
+        super().__init__()
+        self.src, self.reads = src, Counter()
+
+    def __getitem__(self, view):
+        self.reads[view] += 1
+        return self.src[view]
+
+
+def exchanged_scans(plan):
+    """Bucketed tables whose rows are shuffled right behind their scan, and all
+    bucketed tables, from an executed plan's text."""
+    shuffled, seen, above = set(), set(), []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-|"))
+        above = [(d, op) for d, op in above if d < depth]
+        found = re.search(r"ll_snap_\w+?_((?:quote|client|policy_full|policy|cancel)_src)", line)
+        if "FileScan" in line and found:
+            seen.add(found.group(1))
+            for _, op in reversed(above):
+                if "Join" in op or "Window" in op or "Aggregate" in op:
+                    break
+                if "Exchange hashpartitioning" in op:
+                    shuffled.add(found.group(1))
+        above.append((depth, line))
+    return shuffled, seen
+
+
+def test_snapshots_read_each_source_once_and_join_without_moving_it(spark, named, tmp_path):
+    src = Counted(named.src if hasattr(named, "src") else named)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.sources.bucketing.autoBucketedScan.enabled": "true", "spark.sql.maxMetadataStringLength": "4000"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        with Snapshot(spark, src) as snap:
+            plans = {}
+            for name, build in (("sales", facts.sales_fact_b), ("quote", facts.quote_fact_a), ("free", facts.free_fact_b)):
+                df = build(snap, *WINDOW, config.FIXTURE_DOMAIN)
+                got = sorted(map(repr, df.collect()))
+                assert got == sorted(map(repr, build(named, *WINDOW, config.FIXTURE_DOMAIN).collect()))
+                plans[name] = build(snap, *WINDOW, config.FIXTURE_DOMAIN)._jdf.queryExecution().executedPlan().toString()
+            assert max(src.reads.values()) == 1
+            shuffled, seen = exchanged_scans(plans["sales"])
+            assert {"policy_full_src", "policy_src", "cancel_src", "client_src", "quote_src"} <= seen and not shuffled, plans["sales"]
+            shuffled, seen = exchanged_scans(plans["quote"])
+            assert {"quote_src", "policy_src", "client_src"} <= seen and not shuffled & {"quote_src", "policy_src", "client_src"}
+            names = list(snap.tables.values())
+        assert not any(spark.catalog.tableExists(t) for t in names)
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
