@@ -2,7 +2,7 @@
 
 Sequential covering: a rule is grown as a conjunction of thresholds, each
 chosen for the largest information gain on two thirds of the labelled rows,
-pruned on the other third, and kept if it is precise there; the rows it covers
+pruned on the other third, and kept if it is precise on both; the rows it covers
 are taken out and the next rule is grown.  The list becomes one ordered
 conditional expression that Spark evaluates on all rows.
 """

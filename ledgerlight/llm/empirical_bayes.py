@@ -5,7 +5,9 @@ within them get a posterior rate of good documents: labels where there are
 any, the model's probability elsewhere, shrunk from path to host and from host
 to the whole corpus by weights that come from the spread between the groups
 (method of moments).  The document's evidence and its path's posterior are
-then added on the log-odds scale.
+then added on the log-odds scale.  A document's own label and evidence are taken
+out of the rates of its path and host first, so that nothing counts twice and no
+label scores itself.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
 
     ``host`` and ``path`` are expressions over ``docs``; null ones form a group
     of their own.  The model is fitted on at most ``train_rows`` labelled rows;
-    group rates count every row.  Null text is empty; a label that is null or
+    group rates count every row but the one that is scored.  Null text is empty; a label that is null or
     absent is replaced by the model's probability; of several labels for one
     id the smallest counts; without labels all scores are even; an empty table
     gives no rows."""
@@ -90,11 +92,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     mean = float(((whole["good"] or 0.0) + 1) / ((whole["n"] or 0) + 2))
     k_host, k_path = prior_weight(hosts, mean), prior_weight(paths, mean)
-    hosts = hosts.select("k1", ((F.col("good") + k_host * mean) / (F.col("n") + k_host)).alias("host_rate"))
-    paths = paths.join(hosts, "k1").select(
-        "k1", "k2", "host_rate", ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate"))
+    sites = paths.join(hosts.select("k1", F.col("n").alias("_hn"), F.col("good").alias("_hg")), "k1")
+    # Without the row itself.
+    host_rate = (F.col("_hg") - F.col("_good") + k_host * mean) / (F.col("_hn") - 1 + k_host)
+    path_rate = (F.col("good") - F.col("_good") + k_path * F.col("host_rate")) / (F.col("n") - 1 + k_path)
     odds = F.col("evidence") + logit(F.col("path_rate")) - float(np.log(mean / (1 - mean)))
-    return (scored.join(paths, ["k1", "k2"])
+    return (scored.join(sites, ["k1", "k2"]).withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
             .withColumn("quality", 1 / (1 + F.exp(-odds)))
             .select(F.col("k0").alias(id_col), F.col("k1").alias("host"), F.col("k2").alias("path"), "evidence",
                     "host_rate", "path_rate", "quality", (F.col("quality") >= 0.5).alias("keep")))

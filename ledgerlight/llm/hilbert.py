@@ -3,13 +3,15 @@
 Every row gets small integer coordinates, rows are ordered along the Hilbert
 curve through the grid, and the order is cut into runs of equal row counts, so
 that a shard covers a compact box of every dimension and readers can skip
-whole files on any of them.
+whole files on any of them.  Cells are cut by row counts and keep the order of
+the values: a number by its quantiles, a category by its place among the sorted
+categories, so that the least and greatest value of a shard say something.
 
 Ranks are found without a global sort: rows fall into (cell, text bucket, id
-bucket) groups, whose counts are summed up in two bounded windows (cells along
-the curve, groups within a cell), and only the rank inside a group is a window
-over rows.  A cell, a text or a source that holds a third of all rows is
-spread over as many groups as its rows need.
+bucket) groups, whose counts are summed up in three windows (cells along the
+curve, text buckets within a cell, id buckets within those), and only the rank
+inside a group is a window over rows.  A cell, a text or a source that holds a
+third of all rows is spread over as many groups as its rows need.
 """
 
 from __future__ import annotations
@@ -21,15 +23,32 @@ from ledgerlight.llm.common import cut, whole_text
 TEXT_BUCKETS = 64
 
 
-def log_scale(size: Column, bits: int) -> Column:
-    """floor(log2(size)) squeezed into ``bits`` bits; null counts as 1."""
-    top = F.lit((1 << bits) - 1)
-    return F.least(top, F.floor(F.log2(F.greatest(F.coalesce(size, F.lit(1)), F.lit(1)))).cast("int"))
-
-
-def hashed(value: Column, bits: int) -> Column:
-    """A stable cell for a category; null has one of its own kind."""
-    return F.pmod(F.xxhash64(value), F.lit(1 << bits)).cast("int")
+def quantile_cells(docs: DataFrame, value: Column, bits: int) -> Column:
+    """Cells of about equally many rows of a number, in its order; null counts
+    as the least.  The cuts, 2**bits - 1 numbers, come from one aggregate; a
+    value that more rows have than a cell holds takes the place of several cuts
+    and leaves the cells between them empty."""
+    cells = 1 << bits
+    shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    cuts = docs.select(value.cast("double").alias("v")).agg(F.percentile_approx("v", shares, F.lit(100 * cells))).first()[0] or []
+    out = F.lit(0)
+    for cut_at in cuts:
+        out = out + F.when(value > F.lit(cut_at), 1).otherwise(0)
+    return out
+
+
+def with_category_cells(docs: DataFrame, value: Column, bits: int, out: str) -> DataFrame:
+    """``docs`` with the cell of a category in ``out``: categories in sorted
+    order (null and empty first), cut by row counts.  Categories are counted and
+    joined back, so there may be any number of them."""
+    key = F.coalesce(value.cast("string"), F.lit(""))
+    docs = docs.withColumn(f"{out}_key", key)
+    counts = cut(docs.groupBy(f"{out}_key").agg(F.count(F.lit(1)).alias("_n")), "categories")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    before = W.orderBy(f"{out}_key").rowsBetween(W.unboundedPreceding, -1)
+    cells = counts.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(
+        f"{out}_key", F.expr(f"_b * {1 << bits} div {max(total, 1)}").cast("int").alias(out))
+    return docs.join(cells, f"{out}_key", "left").drop(f"{out}_key")
 
 
 def hilbert_index(df: DataFrame, coords: list[str], bits: int, out: str) -> DataFrame:
@@ -95,10 +114,13 @@ def hilbert_shards(docs: DataFrame, dims: list[Column], n_shards: int = 16, bits
     cells = hilbert_index(groups.groupBy(*coords).agg(F.sum("_n").alias("_cn")), coords, bits, "hilbert")
     along = W.orderBy("hilbert").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_cn").over(along), F.lit(0)))
-    inside = W.partitionBy(*coords).orderBy("_tb", "_ib").rowsBetween(W.unboundedPreceding, -1)
-    groups = (groups.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-              .join(F.broadcast(cells), coords)
-              .select(*group, "hilbert", (F.col("_before") + F.col("_in")).alias("_base")))
+    texts = groups.groupBy(*coords, "_tb").agg(F.sum("_n").alias("_tn"))
+    by_text = W.partitionBy(*coords).orderBy("_tb").rowsBetween(W.unboundedPreceding, -1)
+    texts = texts.withColumn("_t", F.coalesce(F.sum("_tn").over(by_text), F.lit(0))).drop("_tn")
+    by_id = W.partitionBy(*coords, "_tb").orderBy("_ib").rowsBetween(W.unboundedPreceding, -1)
+    groups = (groups.withColumn("_in", F.coalesce(F.sum("_n").over(by_id), F.lit(0)))
+              .join(texts, [*coords, "_tb"]).join(F.broadcast(cells), coords)
+              .select(*group, "hilbert", (F.col("_before") + F.col("_t") + F.col("_in")).alias("_base")))
     ranked = light.withColumn("_r", F.row_number().over(
         W.partitionBy(*group).orderBy("_th", "_id", "size", "text_crc32")) - 1)
     rank = F.col("_base") + F.col("_r")

@@ -60,10 +60,11 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of equal row counts along a curve through size, source and language."""
-    docs = table(spark, sf_dir, "documents")
-    dims = [hilbert.log_scale(F.octet_length("text"), 4), hilbert.hashed(F.col("source"), 4),
-            hilbert.hashed(F.col("lang"), 4)]
-    return (hilbert.hilbert_shards(docs, dims, n_shards=16, bits=4)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    size = hilbert.quantile_cells(docs, F.octet_length("text"), 4)
+    for out, column in (("_by_source", "source"), ("_by_lang", "lang")):
+        docs = hilbert.with_category_cells(docs, F.col(column), 4, out)
+    return (hilbert.hilbert_shards(docs, [size, F.col("_by_source"), F.col("_by_lang")], n_shards=16, bits=4)
             .withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}))
 
 

@@ -26,7 +26,7 @@ OPERATORS = {
     "signature_join": lambda d, l: signature_join.similar_groups(d),
     "packing": lambda d, l: packing.pack(d, 64),
     "decision_list": lambda d, l: decision_list.apply_rules(d, l),
-    "hilbert": lambda d, l: hilbert.hilbert_shards(d, [hilbert.log_scale(F.octet_length("text"), 4), hilbert.hashed(F.col("source"), 4)], 5),
+    "hilbert": lambda d, l: hilbert.hilbert_shards(d, [hilbert.quantile_cells(d, F.octet_length("text"), 4), F.pmod(F.xxhash64("source"), F.lit(16))], 5),
 }
 ONE_PER_ROW = {"winnowing", "suffix_tree", "empirical_bayes", "suffix_dedup", "toxicity", "signature_join",
                "decision_list", "hilbert", "reject"}

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import (decision_list, features, graph, hilbert, mixing, packing, queries, signature_join,
+from ledgerlight.llm import (decision_list, empirical_bayes, features, graph, hilbert, mixing, packing, queries, signature_join,
                              suffix_dedup, suffix_tree_lm, toxicity, winnowing)
 from ledgerlight.llm.common import table
 from samples import DOC_SCHEMA, LABEL_SCHEMA, row
@@ -563,7 +563,7 @@ def test_hilbert_neighbours_differ_by_one_step(spark, dims, bits):
 
 
 def test_shards_are_even_and_gapless(prose):
-    dims = [hilbert.log_scale(F.octet_length("text"), 4), hilbert.hashed(F.col("source"), 4)]
+    dims = [hilbert.quantile_cells(prose, F.octet_length("text"), 4), F.pmod(F.xxhash64("source"), F.lit(16))]
     rows = hilbert.hilbert_shards(prose, dims, 7, rows_per_group=10).toPandas()
     sizes = rows.groupby("shard").size()
     assert len(sizes) == 7 and sizes.max() - sizes.min() <= 1
@@ -601,3 +601,67 @@ def test_copies_do_not_rest_on_ids(spark, prose):
         counts = Counter(r["source"] for r in found.collect())
         assert all(abs(counts[x] - wanted[x]) <= 3 for x in wanted) and set(counts) == set(wanted)
         assert {r["text"] for r in found.collect()} == {r["text"] for r in docs.collect()}
+
+
+def test_shards_can_be_skipped(spark):
+    """Readers skip shards by the least and greatest size and source: far more
+    than with as many shards in order of arrival, and each dimension counts."""
+    rows = [(i, "x" * (1 + (i * 7919) % 5003), f"s{(i * 31) % 23:02d}" if i % 3 else "hot") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    placed = hilbert.with_category_cells(docs, F.col("source"), 4, "_c")
+    shards = hilbert.hilbert_shards(placed, [hilbert.quantile_cells(docs, F.octet_length("text"), 4), F.col("_c")], 16)
+    found = shards.join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    assert sorted(found.groupby("shard").size().unique()) == [375]
+    spans = found.groupby("shard").agg(lo=("size", "min"), hi=("size", "max"), first=("source", "min"), last=("source", "max"))
+    at_size = [((spans.lo <= s) & (spans.hi >= s)).mean() for s in range(100, 5000, 300)]
+    at_source = [((spans["first"] <= s) & (spans["last"] >= s)).mean() for s in sorted(set(found.source))]
+    assert np.mean(at_size) < 0.45 and np.mean(at_source) < 0.45 and np.mean(at_size) * np.mean(at_source) < 0.15
+
+
+def test_cells_keep_order_and_share_rows(spark):
+    docs = spark.createDataFrame([(i, None if i < 40 else i % 1000, f"c{i % 50:02d}") for i in range(2000)], "i int, v int, c string")
+    cells = hilbert.with_category_cells(docs, F.col("c"), 3, "cc").withColumn("vc", hilbert.quantile_cells(docs, F.col("v"), 3)).toPandas()
+    for value, cell in (("v", "vc"), ("c", "cc")):
+        known = cells.dropna(subset=[value]).sort_values(value)
+        assert known[cell].is_monotonic_increasing and set(cells[cell]) == set(range(8))
+        assert cells.groupby(cell).size().max() < 2000 / 8 * 1.3
+    assert (cells[cells.v.isna()].vc == 0).all()
+
+
+def test_posteriors_against_plain_formulas(spark, prose):
+    """op 4's rates and scores from its own evidence, by plain arithmetic: sparse
+    paths lean on their host, hosts on the whole, no row on itself."""
+    rng = random.Random(6)
+    docs = prose.withColumn("source", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("own"), "doc_id")).otherwise(F.col("source")))
+    ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    marks = {i: rng.randrange(2) for i in ids if rng.random() < 0.6}
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    rows = empirical_bayes.classify(docs, labels, F.col("source"), F.col("lang")).collect()
+    good = {r["doc_id"]: marks.get(r["doc_id"], 1 / (1 + math.exp(-r["evidence"]))) for r in rows}
+
+    def groups(key):
+        out = defaultdict(list)
+        for r in rows:
+            out[key(r)].append(good[r["doc_id"]])
+        return out
+
+    hosts, paths = groups(lambda r: r["host"]), groups(lambda r: (r["host"], r["path"]))
+    mean = (sum(good.values()) + 1) / (len(rows) + 2)
+
+    def weight(parts):
+        n, noise = len(rows), mean * (1 - mean)
+        ss = sum(len(p) * (sum(p) / len(p) - mean) ** 2 for p in parts)
+        spread = (ss - (len(parts) - 1) * noise) / (n - sum(len(p) ** 2 for p in parts) / n)
+        return min(max(noise / spread - 1, 1.0), 1e4) if spread > 0 else 1e4
+
+    k_host, k_path = weight(hosts.values()), weight(paths.values())
+    for r in rows:
+        own, host, path = good[r["doc_id"]], hosts[r["host"]], paths[r["host"], r["path"]]
+        host_rate = (sum(host) - own + k_host * mean) / (len(host) - 1 + k_host)
+        path_rate = (sum(path) - own + k_path * host_rate) / (len(path) - 1 + k_path)
+        odds = r["evidence"] + math.log(path_rate / (1 - path_rate)) - math.log(mean / (1 - mean))
+        assert abs(r["host_rate"] - host_rate) < 1e-9 and abs(r["path_rate"] - path_rate) < 1e-9
+        assert abs(r["quality"] - 1 / (1 + math.exp(-odds))) < 1e-9 and r["keep"] == (r["quality"] >= 0.5)
+    # A lone row's path says what its host does, and the host what all do.
+    lone = next(r for r in rows if len(hosts[r["host"]]) == 1)
+    assert abs(lone["path_rate"] - mean) < 1e-9
