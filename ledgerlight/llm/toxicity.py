@@ -21,8 +21,8 @@ from ledgerlight.llm import winnowing
 from ledgerlight.llm.common import cut, hash_sample, whole_text, with_code
 from ledgerlight.llm.empirical_bayes import fit_logistic
 
-# Bounds of the labelled sample, of the lexicon, and of a task's word memory.
-TRAIN_ROWS, MAX_TERMS, MEMO_WORDS = 20_000, 2_000, 500_000
+# Bounds of the labelled sample and of a task's word memory.
+TRAIN_ROWS, MEMO_WORDS = 20_000, 500_000
 STEM_CHARS = range(4, 9)
 WINDOW, NEAR = 20, 6
 QUOTES = "\"“”„«»"
@@ -227,8 +227,9 @@ def learn_lexicon(words: DataFrame, toxic: int, clean: int, least: int = 3, sure
     """Words and stems that mark toxic documents, with their log-odds.
 
     A term needs ``least`` toxic documents and log-odds that exceed ``sure`` by
-    a standard error.  Words under a chosen stem come after ``MAX_TERMS`` others:
-    the stem has their exact spellings too, but only words are met with edits."""
+    a standard error; all that have them are terms, as many as the labelled
+    sample holds.  Words under a chosen stem come last: the stem has their exact
+    spellings too, but only words are met with edits."""
     n1, n0 = F.col("n1"), F.col("n0")
     strong = odds(n1, n0, toxic, clean) - F.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5)) >= sure
     stems = (words.withColumn("term", F.explode(F.array(*[
@@ -239,8 +240,9 @@ def learn_lexicon(words: DataFrame, toxic: int, clean: int, least: int = 3, sure
     found = (words.select(F.col("word").alias("term"), "n1", "n0").withColumn("stem", F.lit(False))
              .unionByName(stems.drop("kinds")).filter((n1 >= least) & strong)
              .withColumn("weight", odds(n1, n0, toxic, clean))
-             .orderBy(F.desc("n1"), F.length("term"), "term", "stem").limit(4 * MAX_TERMS).collect())
+             .orderBy(F.desc("n1"), F.length("term"), "term", "stem").collect())
     roots: set[str] = set()
+    begun: set[str] = set()  # what the chosen whole words begin with
     out: list[Term] = []
     covered: list[Term] = []
     for r in found:
@@ -251,11 +253,13 @@ def learn_lexicon(words: DataFrame, toxic: int, clean: int, least: int = 3, sure
             continue
         if r["stem"]:
             # A stem that one whole word accounts for adds nothing to the word.
-            if any(not t.stem and t.text.startswith(r["term"]) for t in out):
+            if r["term"] in begun:
                 continue
             roots.add(r["term"])
+        else:
+            begun |= {r["term"][:k] for k in STEM_CHARS if k <= len(r["term"])}
         out.append(Term(r["term"], r["stem"], float(r["weight"])))
-    return out[:MAX_TERMS] + covered
+    return out + covered
 
 
 def weigh_edits(terms: list[Term], words: DataFrame, toxic: int, clean: int) -> list[Term]:

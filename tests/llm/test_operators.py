@@ -665,3 +665,10 @@ def test_posteriors_against_plain_formulas(spark, prose):
     # A lone row's path says what its host does, and the host what all do.
     lone = next(r for r in rows if len(hosts[r["host"]]) == 1)
     assert abs(lone["path_rate"] - mean) < 1e-9
+
+
+def test_every_sure_word_is_a_term(spark):
+    """The lexicon is as large as the labelled sample makes it."""
+    words = spark.createDataFrame([(f"{i:05d}word", 30, 0) for i in range(9000)] + [("plain", 30, 300)], "word string, n1 long, n0 long")
+    terms = toxicity.learn_lexicon(words, 100, 900)
+    assert {t.text for t in terms if not t.stem} == {f"{i:05d}word" for i in range(9000)}
