@@ -37,7 +37,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,11 @@ def valid_table_name(name: str) -> bool:
     return bool(name) and bool(_TABLE_NAME.match(name))
 
 
+def valid_name(c: Column) -> Column:
+    """B8 for names that stand in a table."""
+    return F.coalesce(c.rlike(_TABLE_NAME.pattern), F.lit(False))
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Target columns in target order, cast to the target type,
     strings cut to their length, timestamps cut to milliseconds.  Columns the

@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlight import config
 from ledgerlight.functions import periods as K
-from ledgerlight.operators import load
+from ledgerlight.operators import load, paging
 from ledgerlight.plans import etl, facts
 from ledgerlight.plans import reports as R
 from ledgerlight.registry import REGISTRY, register
@@ -449,3 +450,63 @@ def snapshot_quotes(src):
     """New Zealand's quote fact from a snapshot of its source."""
     region = RegionalSources(src.spark, src.sf_dir, config.FIXTURE_REGION_KEYS["NZ"])
     return facts.quote_fact_a(Snapshot(src.spark, region), *config.FULL_WINDOW, config.FIXTURE_DOMAIN)
+
+
+@register("target_name_check", (), ids="B8", oracle="""
+SELECT p_type AS name, regexp_full_match(p_type, '[A-Za-z0-9_$]{1,128}') AS valid FROM part
+UNION ALL SELECT replace(p_type, ' ', '_'), true FROM part
+UNION ALL SELECT s_name, regexp_full_match(s_name, '[A-Za-z0-9_$]{1,128}') FROM supplier
+""")
+def target_name_check(src):
+    """Which names that stand in tables could name a target."""
+    types = src["part"].select(F.col("p_type").alias("name"))
+    names = types.unionByName(types.select(F.replace("name", F.lit(" "), F.lit("_")).alias("name"))).unionByName(
+        src["supplier"].select(F.col("s_name").alias("name")))
+    return names.withColumn("valid", load.valid_name(F.col("name")))
+
+
+@register("default_window_counts", ("quote_wh",), ids="K9 K10", oracle="""
+SELECT count_if(CreatedDate >= DATE '2001-07-01') AS current_month,
+       count_if(CreatedDate >= DATE '2001-06-01' AND CreatedDate < DATE '2001-07-01') AS previous_month,
+       count_if(CreatedDate >= DATE '2000-01-01' AND CreatedDate < DATE '2001-01-01') AS previous_year,
+       count_if(CreatedDate >= DATE '2001-01-10') AS six_months,
+       count_if(CreatedDate >= DATE '2000-07-10') AS twelve_months,
+       count_if(CreatedDate >= DATE '2000-07-10') AS etl_window
+FROM quote_wh WHERE CreatedDate < DATE '2001-07-11'
+""")
+def default_window_counts(src):
+    """Quotes of the windows that the reports take where none is given."""
+    w = K.default_windows(config.AS_OF)
+    first, today = w["first_day_of_current_month"], w["today"]
+    until = {"current_month": (first, today), "six_months": (w["six_months_back"], today),
+             "previous_month": (w["first_day_of_previous_month"], first - dt.timedelta(days=1)),
+             "previous_year": (w["first_day_of_previous_year"], first.replace(month=1) - dt.timedelta(days=1)),
+             "twelve_months": (w["twelve_months_back"], today), "etl_window": (w["etl_window_start"], today)}
+    return src["quote_wh"].agg(*[F.count_if(K.in_window("CreatedDate", *span)).alias(name) for name, span in until.items()])
+
+
+@register("listing_largest_page", ("quote_wh",), ids="D23 H3", oracle="""
+SELECT QuoteNumber, CountryCode, CreatedDate, PetName FROM quote_wh
+ORDER BY CreatedDate DESC NULLS LAST, QuoteNumber NULLS FIRST, CountryCode NULLS FIRST, PetName NULLS FIRST
+LIMIT 10000 OFFSET 25
+""")
+def listing_largest_page(src):
+    """The largest page that the guard lets through."""
+    rows = src["quote_wh"].select("QuoteNumber", "CountryCode", "CreatedDate", "PetName")
+    return paging.page(rows, [paging.desc("CreatedDate"), *paging.asc("QuoteNumber", "CountryCode", "PetName")],
+                       skip="25", limit=config.MAX_PAGE_SIZE)
+
+
+@register("report_positions", ("free_wh",), ids="H4 M18", oracle="""
+WITH base AS (SELECT PolicyStatusName, PetType, SaleMethod FROM free_wh
+              WHERE CreatedDate >= DATE '2001-01-15' AND CreatedDate < DATE '2001-06-21'),
+g AS (SELECT 'status' AS level, PolicyStatusName AS name, count(*) AS value FROM base GROUP BY PolicyStatusName
+      UNION ALL SELECT 'pet_type', PetType, count(*) FROM base GROUP BY PetType
+      UNION ALL SELECT 'channel', SaleMethod, count(*) FROM base GROUP BY SaleMethod)
+SELECT level, name, value, CAST(row_number() OVER (ORDER BY level, value DESC, name NULLS FIRST) AS BIGINT) AS position FROM g
+""")
+def report_positions(src):
+    """The breakdown's rows with their place in the report."""
+    parts = R.free_policy_breakdown(src["free_wh"], *WW).select("level", "name", "value")
+    order = Window.orderBy("level", F.col("value").desc(), F.col("name").asc_nulls_first())  # a row a category
+    return parts.withColumn("position", F.row_number().over(order).cast("bigint"))
