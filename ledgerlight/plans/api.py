@@ -31,7 +31,7 @@ from ledgerlight.operators import breakdown, reshape
 from ledgerlight.plans import etl
 from ledgerlight.plans import reports as R
 from ledgerlight.session import shared_dir
-from ledgerlight.sources.snapshots import Snapshot
+from ledgerlight.sources.snapshots import Snapshot, as_many_partitions
 from ledgerlight.streaming import csv_export
 
 
@@ -329,12 +329,18 @@ def etl_route(spark: SparkSession, sources: Mapping, targets: Mapping[str, str],
     ``snapshots`` each source table is read once and copied by join key for the
     three loads."""
     args = dict(start_date=start_date, end_date=end_date, as_of=as_of, domain=domain)
-    taken = {code: Snapshot(spark, src) for code, src in sources.items()} if snapshots else {}
-    sources = taken or sources
-    try:
+
+    def loads(sources):
         return {"quote": etl_quote(spark, sources, targets["quote"], **args),
                 "sales": etl_sales(spark, sources, targets["sales"], **args),
                 "free_policies": etl_free_policies(spark, sources, targets["free_policies"], **args)}
+
+    if not snapshots:
+        return loads(sources)
+    taken = {code: Snapshot(spark, src) for code, src in sources.items()}
+    try:
+        with as_many_partitions(spark, int(spark.conf.get("spark.sql.shuffle.partitions"))):
+            return loads(taken)
     finally:
         for snapshot in taken.values():
             snapshot.close()

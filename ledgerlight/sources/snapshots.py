@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,23 @@ from ledgerlight.session import shared_dir
 BUCKETS: dict[str, str] = {"quote_src": "id", "client_src": "id", "policy_full_src": "id", "policy_src": "id",
                            "cancel_src": "policy_id"}
 
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+@contextmanager
+def as_many_partitions(spark: SparkSession, buckets: int):
+    """While this holds, shuffles begin with as many partitions as the snapshots
+    have buckets: with more, Spark would move the bucketed tables as well."""
+    before = spark.conf.get(INITIAL, None)
+    spark.conf.set(INITIAL, str(buckets))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(INITIAL)
+        else:
+            spark.conf.set(INITIAL, before)
+
 
 class Snapshot(Mapping):
     """The views of one source, as copies made for one full load."""
@@ -40,6 +58,8 @@ class Snapshot(Mapping):
             table = f"{self.name}_{view}" + (f"_{key}" if key else "")
             # A second key is copied from the first copy: the source is read once.
             rows = self[view] if key not in (None, BUCKETS.get(view)) else self.src[view]
+            if key:  # a file a bucket
+                rows = rows.repartition(self.buckets, key)
             writer = rows.write.format("parquet").option("path", f"{shared_dir(self.spark)}/_snapshots/{table}")
             if key:
                 writer = writer.bucketBy(self.buckets, key).sortBy(key)

@@ -14,7 +14,7 @@ from ledgerlight.functions import periods as K
 from ledgerlight.plans import api, facts
 from ledgerlight.sources import production
 from ledgerlight.sources.adapters import RegionalSources
-from ledgerlight.sources.snapshots import Snapshot
+from ledgerlight.sources.snapshots import Snapshot, as_many_partitions
 from ledgerlight.sources.registry import SourceSpec, day_depths, source_registry, split_window
 
 
@@ -241,11 +241,12 @@ def exchanged_scans(plan):
 def test_snapshots_read_each_source_once_and_join_without_moving_it(spark, named, tmp_path):
     src = Counted(named.src if hasattr(named, "src") else named)
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.sources.bucketing.autoBucketedScan.enabled": "true", "spark.sql.maxMetadataStringLength": "4000"}
+            "spark.sql.sources.bucketing.autoBucketedScan.enabled": "true", "spark.sql.maxMetadataStringLength": "4000",
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "500"}
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
-        with Snapshot(spark, src) as snap:
+        with Snapshot(spark, src) as snap, as_many_partitions(spark, snap.buckets):
             plans = {}
             for name, build in (("sales", facts.sales_fact_b), ("quote", facts.quote_fact_a), ("free", facts.free_fact_b)):
                 df = build(snap, *WINDOW, config.FIXTURE_DOMAIN)
