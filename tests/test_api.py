@@ -117,15 +117,17 @@ def test_api_lists_come_back_in_reference_order(tables):
     assert values == sorted(values, reverse=True)
 
 
-def test_etl_route_loads_three_facts(spark):
+@pytest.mark.parametrize("snapshots", [False, True])
+def test_etl_route_loads_three_facts(spark, snapshots):
     from ledgerlight.sources.adapters import RegionalSources
     root = tempfile.mkdtemp(prefix="ll-route-")
     regions = {code: RegionalSources(spark, SF001, key) for code, key in config.FIXTURE_REGION_KEYS.items()}
     targets = {k: f"{root}/{t}" for k, t in (("quote", "Quote"), ("sales", "Sales"),
                                              ("free_policies", "FreePolicySales"))}
     res = api.etl_route(spark, regions, targets, "1994-01-01", "2002-12-31", as_of=AS_OF,
-                      domain=config.FIXTURE_DOMAIN)
+                      domain=config.FIXTURE_DOMAIN, snapshots=snapshots)
     assert set(res) == {"quote", "sales", "free_policies"}
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("ll_snap_")]
     t = api.Tables.from_warehouse(spark, root)
     for kind, df in (("quote", t.quote), ("sales", t.sales), ("free_policies", t.free_policy)):
         assert df.count() == res[kind].rows_loaded > 0
