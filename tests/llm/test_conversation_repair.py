@@ -153,7 +153,7 @@ def test_repair_against_plain(spark, monkeypatch, most_rows, bits):
 def test_one_conversation_over_many_tasks(spark):
     """One conversation holds most rows, many of them copies of one row."""
     rng = random.Random(8)
-    rows = [(7, t, rng.choice(["user", "assistant"]), f"Line {rng.randrange(900)}.", 0.0, 0, 0) for t in range(9000)]
+    rows = [(7, t, rng.choice(["user", "assistant"]), f"Line {rng.randrange(700)}.", 0.0, 0, 0) for t in range(5000)]
     rows += [(7, 3, "user", "Copy.", 0.0, 0, 0)] * 500 + made(30, 9)[:200]
     rows = [r for r in rows if r[0] is not None]
     convs = spark.createDataFrame(rows, SCHEMA).repartition(5)
