@@ -25,14 +25,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ledgerlight.llm.common import cut, whole_text, with_code
 
-# Words whose tokens a task keeps at hand, and the longest it keeps.
-CACHE_WORDS, CACHE_CHARS = 600_000, 64
-# Blanks on both sides of a space (or up to the end), or a special token:
-# such texts are not parted at spaces before tokenizing.
-WHOLE_ONLY = re.compile(r"\s \s|\s \Z|<\|")
 # The fast coder's pattern fails on blank runs of some hundred thousand
-# characters; parts with a run of so many go to the tokenizer itself.
-BLANK_RUN = re.compile(r"\s{4096}")
+# characters; texts with a run of so many go to the tokenizer itself, as do
+# texts that may hold a special token.
+BLANK_RUN, SPECIAL = re.compile(r"\s{4096}"), "<|"
 
 
 @lru_cache(maxsize=2)
@@ -48,34 +44,18 @@ def _encoders(tokenizer: str, ranks: str):
 
 
 class WordTokens:
-    """Token ids of texts as little-endian uint32 bytes.  A text is parted
-    before single spaces, where no token spans, and each part is tokenized
-    once while the cache holds it."""
+    """Token ids of texts as little-endian uint32 bytes; a text is coded in one
+    call (tables of words already coded cost more than the coder itself)."""
 
     def __init__(self, tokenizer: str, ranks: str):
         self.whole, self.fast = _encoders(tokenizer, ranks)
-        self.cache: dict[str, bytes] = {}
 
     def slow(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def part(self, text: str) -> list[int]:
-        return self.slow(text) if len(text) > 4096 and BLANK_RUN.search(text) else self.fast.encode_ordinary(text)
-
     def __call__(self, text: str) -> bytes:
-        if WHOLE_ONLY.search(text):
-            return np.array(self.slow(text), "<u4").tobytes()
-        parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-        ids = list(map(self.cache.get, parts))
-        if None in ids:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            for i, part in enumerate(parts):
-                if ids[i] is None:
-                    ids[i] = got = np.array(self.part(part), "<u4").tobytes()
-                    if len(part) <= CACHE_CHARS:
-                        self.cache[part] = got
-        return b"".join(ids)
+        slow = SPECIAL in text or (len(text) > 4096 and BLANK_RUN.search(text))
+        return np.array(self.slow(text) if slow else self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"

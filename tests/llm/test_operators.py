@@ -517,6 +517,25 @@ def test_cached_tokens_are_the_tokenizers(text):
     assert encode(text) == want
 
 
+def test_a_text_is_coded_in_one_call():
+    """Text after text of words not seen before costs one call each."""
+    encode, calls = packing.WordTokens("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"), []
+
+    class Counted:
+        def __init__(self, coder):
+            self.coder = coder
+
+        def encode_ordinary(self, text):
+            calls.append(len(text))
+            return self.coder.encode_ordinary(text)
+
+    encode.fast = Counted(encode.fast)
+    for n in range(3):
+        text = " ".join(f"word{n}x{i}.\n\n a  b" for i in range(500)) + "  "
+        want = np.array(encode.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encode(text) == want and len(calls) == n + 1
+
+
 # ---- quality --------------------------------------------------------------
 
 def test_counts_against_plain_code(prose):
