@@ -260,9 +260,14 @@ def _publish(spark: SparkSession, target: str, folders: dict[str, str], emptied:
             check()
             spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({MONTH_COL} = '{m}')")
         return
-    for folder in sorted(set(folders.values())):
+    copied: dict[str, list[str]] = {}
+    for m, folder in folders.items():
         check()
-        staged = spark.read.parquet(folder).where(F.col(MONTH_COL).isin([m for m, f in folders.items() if f == folder]))
+        if not _move(spark, f"{folder}/{MONTH_COL}={m}", target, f"{MONTH_COL}={m}"):
+            copied.setdefault(folder, []).append(m)
+    for folder, months in sorted(copied.items()):
+        check()
+        staged = spark.read.parquet(folder).where(F.col(MONTH_COL).isin(months))
         (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                .partitionBy(MONTH_COL).parquet(target))
     for m in emptied:
@@ -270,6 +275,21 @@ def _publish(spark: SparkSession, target: str, folders: dict[str, str], emptied:
         _delete(spark, f"{target}/{MONTH_COL}={m}")
 
 
+def _move(spark: SparkSession, staged: str, target: str, name: str) -> bool:
+    """Put a staged month where the target shows it; False if its rows must be
+    copied, as between two file systems.  A month that is no longer staged has
+    been moved before."""
+    (from_fs, src, _), (fs, root, _), (_, dst, _) = (filesystem(spark, p) for p in (staged, target, f"{target}/{name}"))
+    if not from_fs.exists(src):
+        return True
+    if from_fs.getUri().toString() != fs.getUri().toString():
+        return False
+    fs.mkdirs(root)
+    if fs.exists(dst):
+        fs.delete(dst, True)
+    return bool(fs.rename(src, dst))
+
+
 def _point(spark: SparkSession, table: str, month: str, folder: str, there: bool) -> None:
     """One pointer: the month is the old folder before and the new one after."""
     if there:
@@ -373,7 +393,7 @@ def windowed_replace(spark: SparkSession, new_rows: DataFrame, target: str, star
         marked = F.col(date_col).alias(date_col, metadata={SOURCE_KEY: True})
         writer = made.select(*[marked if c == date_col else F.col(c) for c in made.columns]).write.format("parquet").partitionBy(MONTH_COL)
         (writer.option("path", location) if location else writer).mode("ignore").saveAsTable(target)
-    # A table's months stay where they are written; a path's are copied.
+    # A table's months stay where they are written; a path's are moved.
     home = f"{table_location(spark, target)}/_loads/{token}" if _is_table(target) else staging
     if existing is not None:
         staged = staged.unionByName(existing.where(F.col(MONTH_COL).isin(months) & ~in_win))

@@ -280,6 +280,56 @@ def test_a_stopped_reload_is_finished_by_the_next(spark, tmp_path, monkeypatch):
     assert sorted(r[0] for r in spark.read.parquet(target).collect()) == ["b", "n", "z"]
 
 
+def _loaded(spark, work, target):
+    """A target after two loads, the second of one of its months."""
+    d = dt.datetime
+    old = _rows(spark, [("a", d(2024, 1, 10), 1), ("b", d(2024, 1, 25), 2), ("c", d(2024, 2, 20), 3)])
+    load.windowed_replace(spark, old, target, "2024-01-01", "2024-02-28", work_dir=work)
+    new = _rows(spark, [("n", d(2024, 1, 11), 9), ("m", d(2024, 2, 9), 9), ("x", None, 9)])
+    load.windowed_replace(spark, new, target, "2024-01-01", "2024-02-10", work_dir=work)
+    return sorted(r[0] for r in spark.read.parquet(target).collect())
+
+
+def test_months_of_a_path_are_written_once(spark, tmp_path, monkeypatch):
+    """The target shows the files that the load has written, not copies."""
+    written, write = {}, load._write_months
+
+    def noted(*args):
+        found, folder = write(*args), args[2]
+        written.update({m: load.names_in(spark, f"{folder}/{load.MONTH_COL}={m}") for m in found})
+        return found
+
+    monkeypatch.setattr(load, "_write_months", noted)
+    target = str(tmp_path / "t")
+    assert _loaded(spark, str(tmp_path / "w"), target) == ["c", "m", "n"]
+    for month in ("2024-01", "2024-02"):
+        assert load.names_in(spark, f"{target}/{load.MONTH_COL}={month}") == written[month]
+
+
+def test_months_that_cannot_be_moved_are_copied(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(load, "_move", lambda *args: False)
+    assert _loaded(spark, str(tmp_path / "w"), str(tmp_path / "t")) == ["c", "m", "n"]
+
+
+def test_a_load_stopped_between_two_months_is_finished(spark, tmp_path, monkeypatch):
+    target, work, move = str(tmp_path / "t"), str(tmp_path / "w"), load._move
+    d, moved = dt.datetime, []
+
+    def stop(*args):
+        if moved:
+            raise RuntimeError("stopped")
+        moved.append(args)
+        return move(*args)
+
+    rows = _rows(spark, [("a", d(2024, 1, 10), 1), ("b", d(2024, 2, 3), 2)])
+    monkeypatch.setattr(load, "_move", stop)
+    with pytest.raises(RuntimeError):
+        load.windowed_replace(spark, rows, target, "2024-01-01", "2024-02-28", work_dir=work)
+    monkeypatch.setattr(load, "_move", move)
+    load.windowed_replace(spark, _rows(spark, [("z", d(2024, 3, 4), 5)]), target, "2024-03-01", "2024-03-10", work_dir=work)
+    assert sorted(r[0] for r in spark.read.parquet(target).collect()) == ["a", "b", "z"]
+
+
 def test_window_on_another_date_is_not_pruned(spark, tmp_path):
     target, work = str(tmp_path / "t"), str(tmp_path / "w")
     rows = spark.createDataFrame([(dt.datetime(2024, 2, 2), dt.datetime(2024, 1, 31))], "QuoteStartDate timestamp_ntz, QuoteCreatedDate timestamp_ntz")
