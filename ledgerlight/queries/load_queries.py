@@ -17,7 +17,7 @@ from ledgerlight.plans import reports as R
 from ledgerlight.registry import REGISTRY, register
 from ledgerlight.session import shared_dir
 from ledgerlight.sources import schemas
-from ledgerlight.sources.adapters import RegionalSources
+from ledgerlight.sources.adapters import RegionalSources, RegionalTables
 from ledgerlight.sources.production import VIEWS, SourceViews
 from ledgerlight.sources.registry import source_registry
 from ledgerlight.sources.snapshots import Snapshot
@@ -29,9 +29,11 @@ EXTRACTED_AT = dt.datetime(2001, 7, 10, 12, 0, 0)
 
 def _fixture_regions(src):
     """Five regional source databases carved out of the fixture folder (one
-    per client region; dimensions shared)."""
-    return {code: RegionalSources(src.spark, src.sf_dir, config.FIXTURE_REGION_KEYS[code])
-            for code, _, _ in config.REGIONS}
+    per client region; dimensions shared).  All of them share one reading of the
+    large tables."""
+    keys = {code: config.FIXTURE_REGION_KEYS[code] for code, _, _ in config.REGIONS}
+    tables = RegionalTables(src.spark, src.sf_dir, keys.values())
+    return {code: RegionalSources(src.spark, src.sf_dir, key, tables) for code, key in keys.items()}
 
 
 def _etl_oracle(kind: str) -> str:

@@ -15,8 +15,14 @@ they never filter rows away.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerlight.session import shared_dir
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -422,15 +428,59 @@ class Sources:
         return self._cache[name]
 
 
+class RegionalTables:
+    """The large tables of several regions: each is read once, by its first use,
+    and written to the shared folder by region, so that no region reads the rows
+    of the others.  A row belongs to every region that ``REGIONAL_TABLES`` gives
+    it to."""
+
+    # Table -> (its key to the table above, that table, the key there).
+    PARENTS = {"customer": ("c_nationkey", "nation", "n_nationkey"),
+               "orders": ("o_custkey", "customer", "c_custkey"),
+               "lineitem": ("l_orderkey", "orders", "o_orderkey")}
+
+    def __init__(self, spark: SparkSession, sf_dir: str, region_keys: Iterable[int]):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.region_keys = sorted({int(k) for k in region_keys})
+        self.paths: dict[str, str] = {}
+
+    def _members(self, name: str, key: str) -> DataFrame:
+        """``_key, _regions``: the regions that the rows with a key belong to."""
+        if name == "nation":
+            rows = read_table(self.spark, self.sf_dir, name).select("n_nationkey", F.col("n_regionkey").alias("_region"))
+            rows = rows.where(F.col("_region").isin(self.region_keys))
+        else:
+            rows = self._written(name)
+        return (rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"))
+                .agg(F.collect_set(F.col("_region").cast("int")).alias("_regions")))
+
+    def _written(self, name: str) -> DataFrame:
+        raw = read_table(self.spark, self.sf_dir, name)
+        if name not in self.paths:
+            own, parent, key = self.PARENTS[name]
+            rows = raw.join(self._members(parent, key), F.col(own) == F.col("_key"))
+            path = f"{shared_dir(self.spark)}/_regions/{uuid.uuid4().hex}/{name}"
+            rows.select(*raw.columns, F.explode("_regions").alias("_region")).write.partitionBy("_region").parquet(path)
+            self.paths[name] = path
+        return self.spark.read.schema(T.StructType([*raw.schema, T.StructField("_region", T.IntegerType())])).parquet(self.paths[name])
+
+    def table(self, name: str, region_key: int) -> DataFrame:
+        return self._written(name).where(F.col("_region") == region_key).drop("_region")
+
+
 class RegionalSources(Sources):
     """One region's source database carved out of the fixture folder: its
-    customers, their orders and order lines (semi joins), shared dimensions."""
+    customers, their orders and order lines (semi joins, or the parts that
+    ``tables`` has written for several regions), shared dimensions."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, region_key: int):
+    def __init__(self, spark: SparkSession, sf_dir: str, region_key: int, tables: RegionalTables | None = None):
         super().__init__(spark, sf_dir)
         self.region_key = int(region_key)
+        self.tables = tables
 
     def _base(self, name: str) -> DataFrame:
+        if self.tables is not None and name in RegionalTables.PARENTS:
+            return self.tables.table(name, self.region_key)
         raw = read_table(self.spark, self.sf_dir, name)
         if name == "customer":
             return self.spark.sql(_regional_text("customer", self.region_key),

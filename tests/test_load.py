@@ -330,6 +330,32 @@ def test_a_load_stopped_between_two_months_is_finished(spark, tmp_path, monkeypa
     assert sorted(r[0] for r in spark.read.parquet(target).collect()) == ["a", "b", "z"]
 
 
+def test_regions_share_one_reading(spark, tmp_path):
+    """Equal and null keys: each region's tables are those of its semi joins,
+    and no region reads the whole tables."""
+    from ledgerlight.sources.adapters import RegionalSources, RegionalTables
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    put("region", [(0, "A"), (1, "B")], "r_regionkey int, r_name string")
+    put("nation", [(1, "a", 0), (2, "b", 1), (3, "c", 0), (3, "c", 1), (3, "c", 1), (None, "d", 0), (4, "e", None), (5, "f", 7)],
+        "n_nationkey int, n_name string, n_regionkey int")
+    put("customer", [(10, "x", 1), (10, "x", 1), (10, "y", 2), (11, "z", 3), (None, "n", 1), (12, "o", None), (13, "p", 4), (14, "q", 5)],
+        "c_custkey long, c_name string, c_nationkey int")
+    put("orders", [(100, 10), (100, 10), (100, 11), (101, 11), (102, 12), (None, 10), (103, None), (104, 14), (105, 10)],
+        "o_orderkey long, o_custkey long")
+    put("lineitem", [(100, 1), (100, 1), (101, 2), (102, 3), (None, 4), (104, 5), (105, 6), (999, 7)], "l_orderkey long, l_linenumber int")
+    tables = RegionalTables(spark, str(tmp_path), [0, 1, 2])
+    for key in (0, 1, 2):
+        alone, shared = (RegionalSources(spark, str(tmp_path), key, t) for t in (None, tables))
+        for name in ("customer", "orders", "lineitem", "nation"):
+            want, got = (sorted(map(repr, src[name].collect())) for src in (alone, shared))
+            assert got == want and shared[name].columns == alone[name].columns
+        assert len(shared["lineitem"].collect()) == {0: 4, 1: 4, 2: 0}[key]
+        assert not any(f"{tmp_path}/lineitem" in f for f in shared["lineitem"].inputFiles())
+
+
 def test_window_on_another_date_is_not_pruned(spark, tmp_path):
     target, work = str(tmp_path / "t"), str(tmp_path / "w")
     rows = spark.createDataFrame([(dt.datetime(2024, 2, 2), dt.datetime(2024, 1, 31))], "QuoteStartDate timestamp_ntz, QuoteCreatedDate timestamp_ntz")
