@@ -9,64 +9,143 @@ smoothed towards its suffix's; at the root, counts are discounted by Kneser and
 Ney's rule and the discounts go to unseen words.  Every token is scored in the
 longest suffix that is a state.
 
-The tree is tables, level by level: runs of words are known by 64-bit hashes
-(two runs that share one would share counts), counted over all training tokens
-by grouped sums, and met with the level before in joins.  The log-probability
-of a token is a sum over the states on its way to the root: the weight that a
-state leaves to its suffix, or what a held successor gains over the suffix.  So
-every run of words has one value, and a text's score is the sum of the values
-of its runs.  Values of frequent runs and words (at most 1 / share) are sent to
-every task; all others are met in a join.
+The tree is tables, level by level: words and runs of words are known by 64-bit
+hashes (two that share one would share counts), counted over all training
+tokens, and met with the level before in joins.  The log-probability of a token
+is a sum over the states on its way to the root: the weight that a state leaves
+to its suffix, or what a held successor gains over the suffix.  So every run of
+words has one value, and a text's score is the sum of the values of its runs.
+Values of frequent runs and words (at most 1 / share) are sent to every task.
+All others are looked up: a block of texts sends each of its keys once, with the
+texts that hold it, to the key's part of the table, which sends back sums by
+text.  What is shuffled by the token travels as packed arrays.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlight.llm.common import LOWER_BYTES, cut, whole_text, with_code
 from ledgerlight.llm.graph import FILTER_BITS, passes
 
 # Shares of all training tokens from which on a word or a run of words is sent
-# to every task; those below are joined.
-COMMON_SHARE, HOT_SHARE = 5e-6, 4e-6
+# to every task; those below are looked up.  They only move work, not results.
+COMMON_SHARE, HOT_SHARE = 1e-6, 1e-6
 # Sightings that make a context a candidate and a successor held.
 STATE_COUNT, SUCCESSOR_COUNT = 16, 2
 DEPTH, LEAST_DIVERGENCE = 3, 0.01
-CHUNK, HELD_WORDS, HELD_PAIRS = 4_000_000, 400_000, 3_000_000
-ODD = np.uint64(0x9E3779B97F4A7C15)
+# Share of all training tokens from which on a context's successors are spread
+# over all parts, and training tokens a task of a shuffle (in PARTS_A_TASK parts).
+SPREAD_SHARE, TASK_TOKENS, PARTS_A_TASK = 1e-3, 2_000_000, 4
+# Bytes and texts hashed at once; keys and texts in a block, at most; texts whose
+# sums a task holds before it sends them on.
+CHUNK, CHUNK_TEXTS, BLOCK_KEYS, BLOCK_TEXTS, HELD_TEXTS = 2_000_000, 5_000, 2_000_000, 60_000, 1_000_000
+# Setting that frees the files of an execution's shuffles when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+LOWERED = np.frombuffer(LOWER_BYTES, np.uint8)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 256                # bytes beyond which a word is hashed by itself
 END = b""                      # as a word; no word is empty
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
+END_CODE = np.uint64(xxhash.xxh3_64_intdigest(END))
+
+
+def freed(df: DataFrame, name: str) -> DataFrame:
+    """``cut``, after which the shuffles that made the table leave the disk."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        return cut(df, name)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * ODD
+    h = (h ^ (h >> np.uint64(29))) * MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, each text after an end mark and the
+    last before one, and the tokens (words and end) of every text.  ``data``:
+    their bytes, one text after the other; ``offsets``: where they begin and end."""
+    size = len(data)
+    low = np.zeros(size + 8, np.uint8)
+    low[:size] = LOWERED[data]
+    solid, edge = ~BLANK[data], np.zeros(size + 1, bool)
+    edge[offsets] = True
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1] | edge[1:size]
+    last[:-1] &= ~solid[1:] | edge[1:size]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    words = np.diff(np.searchsorted(starts, offsets))
+    length = ends - starts
+    eight = np.ndarray((size + 1,), "<u8", low, strides=(1,))
+    h = mixed((eight[starts] & MASKS[np.minimum(length, 8)]) + length.astype(np.uint64) * ODD)
+    at, done = np.flatnonzero((length > 8) & (length <= LONG_WORD)), 8
+    while len(at):
+        h[at] = mixed(h[at] ^ (eight[starts[at] + done] & MASKS[np.minimum(length[at] - done, 8)]))
+        done += 8
+        at = at[length[at] > done]
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(low[starts[i]:ends[i]].tobytes())
+    codes = np.full(len(h) + len(words) + 1, END_CODE)
+    codes[np.arange(len(h)) + np.repeat(np.arange(1, len(words) + 1), words)] = h
+    return codes, words + 1
+
+
+def coded(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``begin, end, codes, tokens`` of the texts, some at a time (see ``hashed``)."""
+    if not len(texts):
+        return
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, kind)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    begin = 0
+    while begin < len(texts):
+        end = int(np.searchsorted(offsets, offsets[begin] + CHUNK, "right")) - 1
+        end = min(max(end, begin + 1), begin + CHUNK_TEXTS, len(texts))
+        here = offsets[begin:end + 1]
+        yield begin, end, *hashed(data[here[0]:here[-1]], here - here[0])
+        begin = end
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """``word, c`` over all texts; the end mark counts once a text."""
+    """``key, c``: words by their hashes over all texts; the end mark counts once a text."""
     def run(batches):
-        held: Counter = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            keys, index = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(index, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
 
-        def flush():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+        def rows():
+            keys, c = merged()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c)], names=["key", "c"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-                held[END] += 1
-                if len(held) > HELD_WORDS:
-                    yield flush()
-                    held = Counter()
+            for _, _, codes, _ in coded(batch.column(0)):
+                held.append(np.unique(codes[1:], return_counts=True))
+                if sum(len(k) for k, _ in held) > BLOCK_KEYS // 2:
+                    held = [merged()]
+                    if len(held[0][0]) > BLOCK_KEYS // 4:
+                        yield rows()
+                        held = []
         if held:
-            yield flush()
+            yield rows()
 
-    return docs.select("_text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("_text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 @dataclass(frozen=True)
@@ -110,49 +189,63 @@ class Tree:
     logp: np.ndarray
 
 
-class Coder:
-    """Hashes of words and of runs of words; equal in every task."""
+def extend(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words with one more word."""
+    g = (run ^ (run >> np.uint64(31))) * ODD + word
+    g = (g ^ (g >> np.uint64(29))) * ODD
+    return g ^ (g >> np.uint64(32))
+
+
+def runs_in(codes: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 1, 2, .. ``longest`` words: places in ``codes`` where a run of so
+    many words ends, and its hash.  No run goes beyond the ends of a text."""
+    inside = codes != END_CODE
+    at, run = np.arange(len(codes) - 1), codes[:-1]
+    out = [(at, run)]
+    for m in range(2, longest + 1):
+        if m > 2:
+            use = inside[at]
+            at, run = at[use], run[use]
+        run, at = extend(run, codes[at + 1]), at + 1
+        out.append((at, run))
+    return out
 
-    END = np.uint64(xxhash.xxh3_64_intdigest(END))
 
-    def __init__(self):
-        self.memo: dict[bytes, int] = {}
+def tasks_for(tokens: int) -> int:
+    return 1 + tokens // TASK_TOKENS
 
-    def codes(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Hashes of the words of the texts, each after an end mark."""
-        memo, end = self.memo, int(self.END)
-        if len(memo) > HELD_WORDS:
-            memo.clear()
-        out = [end]
-        for words in texts:
-            for word in words:
-                code = memo.get(word)
-                if code is None:
-                    code = memo[word] = xxhash.xxh3_64_intdigest(word)
-                out.append(code)
-            out.append(end)
-        return np.array(out, np.uint64)
 
-    @staticmethod
-    def extend(run: np.ndarray, word: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            g = (run ^ (run >> np.uint64(31))) * ODD + word
-            g = (g ^ (g >> np.uint64(29))) * ODD
-            return g ^ (g >> np.uint64(32))
-
-    def runs(self, codes: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For 1, 2, .. ``longest`` words: places in ``codes`` where a run of so
-        many words ends, and its hash.  No run goes beyond the ends of a text."""
-        inside = codes != self.END
-        at, run = np.arange(len(codes) - 1), codes[:-1]
-        out = [(at, run)]
-        for m in range(2, longest + 1):
-            if m > 2:
-                use = inside[at]
-                at, run = at[use], run[use]
-            run, at = self.extend(run, codes[at + 1]), at + 1
-            out.append((at, run))
-        return out
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a key; it does not fall as the key grows."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """The parts of sorted keys that are not empty, with their places."""
+    part = part_of(keys, parts)
+    begin = np.flatnonzero(np.concatenate([[len(part) > 0], part[1:] != part[:-1]])[:len(part)])
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)]):
+        yield int(part[a]), slice(a, b)
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted ones in the sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def packed(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then their second bytes, and so on: those
+    of sorted or small numbers are alike, so that a shuffle compresses them."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def numbers(blob: bytes | None, kind) -> np.ndarray:
+    """What ``packed`` was given."""
+    planes = np.frombuffer(blob or b"", np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:
@@ -171,142 +264,148 @@ def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return passes(table, keys >> np.uint64(64 - FILTER_BITS))
 
 
-def keyed(vocab: DataFrame) -> DataFrame:
-    """``key, c``: the words by their hashes."""
-    def run(batches):
-        for batch in batches:
-            keys = np.array([xxhash.xxh3_64_intdigest(w) for w in batch.column(0).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1)], names=["key", "c"])
-
-    return vocab.select("word", "c").mapInArrow(run, "key long, c long")
+def successor_counts(docs: DataFrame, sent, level: int, tasks: int, least: float) -> DataFrame:
+    """``ctx, sfx, w, n, key, shorter``: (context of ``level`` words, next word)
+    seen ``least`` times and more, for the contexts that pass the bit table;
+    ``sfx`` and ``shorter`` are the hashes of context and run without the oldest
+    word.  Tasks send counts by parts of the contexts, packed; successors of the
+    most frequent contexts go to parts by themselves."""
+    parts = tasks * PARTS_A_TASK
 
-
-def successor_counts(docs: DataFrame, bits_ref, level: int) -> DataFrame:
-    """``ctx, w, n``: counts of (context of ``level`` words, next word), for the
-    contexts that pass the bit table."""
     def run(batches):
-        coder, bits = Coder(), bits_ref.value
+        bits, spread = sent.value
         held: list[tuple[np.ndarray, ...]] = []
 
-        def merged():
-            ctx, w, n = map(np.concatenate, zip(*held))
-            keys, first, index = np.unique(coder.extend(ctx, w), return_index=True, return_inverse=True)
-            return ctx[first], w[first], np.bincount(index, n, len(keys)).astype(np.int64)
-
-        def rows(ctx, w, n):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ctx.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n)], names=["ctx", "w", "n"])
+        def rows():
+            ctx, w, *sfx = map(np.concatenate, zip(*held))
+            held.clear()
+            key, first, n = np.unique(extend(ctx, w), return_index=True, return_counts=True)
+            ctx, w, sfx = ctx[first], w[first], sfx[0][first] if sfx else np.zeros(len(key), np.uint64)
+            route = np.where(find(spread, ctx)[1], key, ctx)
+            order = np.argsort(route, kind="stable")
+            ctx, sfx, w, n = ctx[order], sfx[order], w[order], n[order].astype(np.uint32)
+            out = []
+            for part, own in split(route[order], parts):
+                c = ctx[own]
+                begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+                size = np.diff(np.append(begin, len(c))).astype(np.uint32)
+                out.append((part, *map(packed, (c[begin], sfx[own][begin], size, w[own], n[own]))))
+            kinds = (pa.int32(), *[pa.binary()] * 5)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                                              names=["part", "ctx", "sfx", "size", "w", "n"])
 
         for batch in batches:
-            for part in slices(batch.column(0).to_pylist()):
-                codes = coder.codes([w for _, w in part])
-                at, ctx = coder.runs(codes, level)[-1]
+            for _, _, codes, _ in coded(batch.column(0)):
+                runs = runs_in(codes, level)
+                at, ctx = runs[-1]
                 use = may_hold(bits, ctx)
                 if level > 1:
-                    use &= codes[at] != coder.END
+                    use &= codes[at] != END_CODE
                 at, ctx = at[use], ctx[use]
-                w = codes[at + 1]
-                _, first, n = np.unique(coder.extend(ctx, w), return_index=True, return_counts=True)
-                held.append((ctx[first], w[first], n.astype(np.int64)))
-                if sum(len(x[0]) for x in held) > HELD_PAIRS:
-                    held = [merged()]
-                    if len(held[0][0]) > HELD_PAIRS // 2:
-                        yield rows(*held[0])
-                        held = []
+                suffixes = []
+                if level > 1:
+                    suffix = np.zeros(len(codes), np.uint64)
+                    suffix[runs[-2][0]] = runs[-2][1]
+                    suffixes = [suffix[at]]
+                if len(at):
+                    held.append((ctx, codes[at + 1], *suffixes))
+                if sum(len(x[0]) for x in held) > BLOCK_KEYS:
+                    yield rows()
         if held:
-            yield rows(*merged())
-
-    return docs.select("_text").mapInArrow(run, "ctx long, w long, n long").groupBy("ctx", "w").agg(F.sum("n").alias("n"))
+            yield rows()
+
+    def add(batches):
+        part, held = None, []
+
+        def rows():
+            ctx, sfx, w, n = map(np.concatenate, zip(*held))
+            key, first, index = np.unique(extend(ctx, w), return_index=True, return_inverse=True)
+            n = np.bincount(index, n, len(key)).astype(np.int64)
+            use = np.flatnonzero(n >= least)
+            use = use[np.argsort(ctx[first[use]], kind="stable")]
+            ctx, sfx, w = (c[first[use]] for c in (ctx, sfx, w))
+            shorter = w if level == 1 else extend(sfx, w)
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (ctx, sfx, w, n[use], key[use], shorter)],
+                                              names=["ctx", "sfx", "w", "n", "key", "shorter"])
 
-
-def named(pairs: DataFrame, level: int) -> DataFrame:
-    """``pairs`` (ctx, w, n, sfx, seen) with ``key``, the hash of context and
-    word, and ``next_sfx``, that without the oldest word."""
-    def run(batches):
         for batch in batches:
-            ctx, w, sfx = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (0, 1, 3))
-            shorter = w if level == 1 else Coder.extend(sfx, w)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(c.view(np.int64)) for c in (Coder.extend(ctx, w), shorter))],
-                names=["ctx", "w", "n", "sfx", "seen", "key", "next_sfx"])
-
-    return pairs.select("ctx", "w", "n", "sfx", "seen").mapInArrow(
-        run, "ctx long, w long, n long, sfx long, seen long, key long, next_sfx long")
-
+            for r in batch.to_pylist():
+                if r["part"] != part and held:
+                    yield rows()
+                    held = []
+                part, size = r["part"], numbers(r["size"], np.uint32)
+                ctx, sfx = (np.repeat(numbers(r[c], np.uint64), size) for c in ("ctx", "sfx"))
+                held.append((ctx, sfx, numbers(r["w"], np.uint64), numbers(r["n"], np.uint32)))
+        if held:
+            yield rows()
 
-def slices(texts: list[str]):
-    """(place, words) of about CHUNK characters at a time."""
-    held, size = [], 0
-    for i, text in enumerate(texts):
-        held.append((i, words_of(text)))
-        size += len(text)
-        if size >= CHUNK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    sent_on = docs.select("_text").mapInArrow(run, "part int, ctx binary, sfx binary, size binary, w binary, n binary")
+    return sent_on.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(
+        add, "ctx long, sfx long, w long, n long, key long, shorter long")
 
 
 def levels(docs: DataFrame, words: DataFrame, root: Root, depth: int, least_state: float, least_successor: float,
            least_divergence: float) -> list[DataFrame]:
     """The laws of the candidate contexts of 1, 2, .. words, one row a successor:
-    ``ctx, sfx, w, n, seen, key, kept, rest, before, logp``; logarithms to base
-    10.  ``logp`` is the law of the context, or of its longest suffix that is
+    ``ctx, sfx, w, n, seen, key, head, kept, rest, before, logp``; logarithms to
+    base 10.  ``head`` is true in one row of a context.  ``logp`` is the law of the context, or of its longest suffix that is
     kept if it is not kept itself; ``before`` is that of its suffix."""
     spark = docs.sparkSession
     least, again = max(2.0, least_state), max(2.0, least_successor)
-    end = int(Coder.END.view(np.int64))
-    candidates = words.filter(F.col("c") >= least).select("key", F.lit(0).cast("long").alias("sfx"), F.col("c").alias("seen"))
-    before = words.select(F.col("key").alias("w"), root.column(F.col("c")).alias("before"))
+    end, tasks = int(END_CODE.view(np.int64)), tasks_for(root.tokens)
+    candidates = words.filter(F.col("c") >= least).select("key", F.col("c").alias("seen"))
+    before = words.filter(F.col("c") >= again).select(F.col("key").alias("shorter"), root.column(F.col("c")).alias("before"))
     out: list[DataFrame] = []
     for level in range(1, depth + 1):
-        bits = spark.sparkContext.broadcast(bit_table(candidates))
-        pairs = successor_counts(docs, bits, level).filter(F.col("n") >= again)
-        pairs = named(pairs.join(candidates.withColumnRenamed("key", "ctx"), "ctx"), level)
-        # A run seen so often has a suffix seen as often, so no row is lost here.
-        pairs = cut(pairs.join(before, "w" if level == 1 else ["sfx", "w"]), f"pairs{level}")
-        sums = pairs.groupBy("ctx").agg(F.sum("n").alias("sums"), F.count(F.lit(1)).alias("kinds"))
+        spread = candidates.filter(F.col("seen") >= max(1.0, SPREAD_SHARE * root.tokens)).select("key").toArrow()
+        sent = spark.sparkContext.broadcast((bit_table(candidates), np.sort(spread["key"].to_numpy().view(np.uint64))))
+        pairs = successor_counts(docs, sent, level, tasks, again)
+        own = Window.partitionBy("ctx")
         weight = F.greatest(F.col("seen") - F.col("sums"), F.lit(0)) + F.col("kinds")
-        priced = (pairs.join(sums, "ctx").withColumn("weight", weight.cast("double"))
-                  .withColumn("rest", F.log10(F.col("weight") / (F.col("sums") + F.col("weight"))))
-                  .withColumn("own", F.log10((F.col("n") + F.col("weight") * F.pow(F.lit(10.0), "before")) / (F.col("sums") + F.col("weight"))))
-                  .drop("weight", "sums", "kinds"))
         gain = F.sum(F.col("n") / F.col("seen") * (F.col("own") - F.col("before")) * float(np.log(10)))
-        kept = priced.groupBy("ctx").agg((gain >= least_divergence).alias("kept"))
-        laws = priced.join(kept, "ctx").withColumn("logp", F.when(F.col("kept"), F.col("own")).otherwise(F.col("before")))
-        laws = cut(laws.drop("own"), f"laws{level}")
-        out.append(laws.drop("next_sfx"))
+        # A run seen so often has a suffix seen as often, so no row is lost here.
+        laws = (pairs.join(before, "shorter").drop("shorter").join(candidates.withColumnRenamed("key", "ctx"), "ctx")
+                .select("*", F.sum("n").over(own).alias("sums"), F.count(F.lit(1)).over(own).alias("kinds"),
+                        (F.col("w") == F.min("w").over(own)).alias("head"))
+                .withColumn("weight", weight.cast("double"))
+                .withColumn("rest", F.log10(F.col("weight") / (F.col("sums") + F.col("weight"))))
+                .withColumn("own", F.log10((F.col("n") + F.col("weight") * F.pow(F.lit(10.0), "before")) / (F.col("sums") + F.col("weight"))))
+                .drop("weight", "sums", "kinds")
+                .withColumn("kept", gain.over(own) >= least_divergence)
+                .withColumn("logp", F.when(F.col("kept"), F.col("own")).otherwise(F.col("before"))))
+        laws = freed(laws.drop("own"), f"laws{level}")
+        sent.unpersist()
+        out.append(laws)
         # Next candidates: context and word, seen often, the word not the end.
-        candidates = laws.filter((F.col("n") >= least) & (F.col("w") != end)).select(
-            "key", F.col("next_sfx").alias("sfx"), F.col("n").alias("seen"))
-        before = laws.select(F.col("ctx").alias("sfx"), "w", F.col("logp").alias("before"))
+        candidates = laws.filter((F.col("n") >= least) & (F.col("w") != end)).select("key", F.col("n").alias("seen"))
+        before = laws.select(F.col("key").alias("shorter"), F.col("logp").alias("before"))
     return out
 
 
 def values(laws: list[DataFrame]) -> DataFrame:
     """``key, n, v``: what a run of words adds to the log-probability of a text
-    in which it stands, as a context (the weight left to the suffix) and as a
-    context with its successor (which takes that weight back)."""
+    in which it stands, in one row as a context (the weight left to the suffix)
+    and in one as a context with its successor (which takes that weight back)."""
     parts = []
     for level in laws:
         kept = level.filter("kept")
-        parts.append(kept.groupBy(F.col("ctx").alias("key")).agg(F.first("seen").alias("n"), F.first("rest").alias("v")))
+        parts.append(kept.filter("head").select(F.col("ctx").alias("key"), F.col("seen").alias("n"), F.col("rest").alias("v")))
         parts.append(kept.select("key", "n", (F.col("logp") - F.col("before") - F.col("rest")).alias("v")))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v"))
+    return every
 
 
 def grow(docs: DataFrame, vocab: DataFrame, root: Root, depth: int, least_state: float, least_successor: float,
          least_divergence: float) -> Tree:
     """The tree of a small corpus, collected."""
-    words = keyed(vocab).withColumn("log", root.column(F.col("c"))).toArrow().sort_by("key")
+    words = vocab.withColumn("log", root.column(F.col("c"))).toArrow().sort_by("key")
     number = {k: i for i, k in enumerate(words["key"].to_pylist())}
     size, states = len(number), {}
     parents, rests, keys, logs = [], [], [], []
     shorter: dict[int, int] = {}                       # state of every candidate, or of its longest kept suffix
-    for laws in levels(docs, keyed(vocab), root, depth, least_state, least_successor, least_divergence):
+    for laws in levels(docs, vocab, root, depth, least_state, least_successor, least_divergence):
         mine: dict[int, int] = {}
         for r in laws.collect():
             up = shorter.get(r["sfx"], -1)
@@ -355,6 +454,150 @@ def lookup(tree: Tree, parent: np.ndarray, rest: np.ndarray, pairs: np.ndarray,
     return out
 
 
+VALUES, COUNTS, RUNS_ASKED, WORDS_ASKED, TEXTS = range(5)     # kinds of rows in a lookup
+TEXT_COLUMNS = "kind int, block long, doc int, _id {}, trained boolean, n_tokens long, known long, base double, score double"
+ASKED, ANSWERED = "part int, keys binary, sizes binary, docs binary", "docs binary, knowns binary, bases binary, scores binary"
+
+
+def rows_of(schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
+    """Rows of the schema; a column that is not given is null."""
+    given = (columns.get(f.name, pa.nulls(size, f.type)) for f in schema)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(given, schema)], schema=schema)
+
+
+def schema_of(id_kind: pa.DataType, rest: str) -> pa.Schema:
+    plain = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "{}": id_kind}
+    return pa.schema([(name, plain[kind]) for name, kind in (c.split(" ") for c in f"{TEXT_COLUMNS}, {rest}".split(", "))])
+
+
+def table_parts(found: DataFrame, kind: int, parts: int) -> DataFrame:
+    """``part, kind, keys, docs`` from ``key, x``: keys and numbers, packed."""
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows():
+            keys, x = map(np.concatenate, zip(*held))
+            order = np.argsort(keys)
+            keys, x = keys[order], x[order]
+            out = [(part, kind, packed(keys[own]), packed(x[own])) for part, own in split(keys, parts)]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "kind", "keys", "docs"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            if sum(len(k) for k, _ in held) > BLOCK_KEYS // 4:
+                yield rows()
+                held = []
+        if held:
+            yield rows()
+
+    return found.select("key", F.col("x").cast("double").alias("x")).mapInArrow(run, "part int, kind int, keys binary, docs binary")
+
+
+def looked_up(asked: DataFrame, root: Root, denominator: int, tasks: int) -> DataFrame:
+    """Rows of texts as they came, and sums by block: every part of the table
+    meets the blocks that asked for its keys."""
+    id_kind = asked.schema["_id"].dataType.simpleString()
+
+    def run(batches):
+        part, held, texts = None, {VALUES: [], COUNTS: []}, 0
+        sums: dict[int, tuple[np.ndarray, ...]] = {}
+        ready: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def ready_table(kind):
+            if kind not in ready:
+                keys, x = map(np.concatenate, zip(*held[kind])) if held[kind] else (np.empty(0, np.uint64), np.empty(0))
+                one, index = np.unique(keys, return_inverse=True)
+                ready[kind] = one, np.bincount(index, x, len(one))
+            return ready[kind]
+
+        def rows(schema):
+            out = []
+            for block, (known, base, score) in sums.items():
+                at = np.flatnonzero((base != 0) | (score != 0))
+                out.append((RUNS_ASKED, block, *map(packed, (at.astype(np.uint32), known[at].astype(np.uint32), base[at], score[at]))))
+            return rows_of(schema, len(out), **dict(zip(("kind", "block", "docs", "knowns", "bases", "scores"), zip(*out))))
+
+        schema = None
+        for batch in batches:
+            schema = schema or schema_of(batch.schema.field("_id").type, ANSWERED)
+            kinds = batch.column("kind").to_numpy()
+            plain = batch.filter(pa.array(kinds == TEXTS))
+            if plain.num_rows:
+                yield rows_of(schema, plain.num_rows, **{c: plain.column(c) for c in schema.names if c in plain.schema.names and c != "docs"})
+            for r in batch.filter(pa.array(kinds != TEXTS)).select(["part", "kind", "block", "doc", "keys", "sizes", "docs"]).to_pylist():
+                if r["part"] != part:
+                    part, held, ready = r["part"], {VALUES: [], COUNTS: []}, {}
+                keys = numbers(r["keys"], np.uint64)
+                if r["kind"] in held:
+                    held[r["kind"]].append((keys, numbers(r["docs"], np.float64)))
+                    continue
+                if r["block"] not in sums:
+                    if texts > HELD_TEXTS:
+                        yield rows(schema)
+                        sums, texts = {}, 0
+                    sums[r["block"]] = np.zeros(r["doc"], np.int64), np.zeros(r["doc"]), np.zeros(r["doc"])
+                    texts += r["doc"]
+                known, base, score = sums[r["block"]]
+                table, x = ready_table(VALUES if r["kind"] == RUNS_ASKED else COUNTS)
+                at, hit = find(table, keys)
+                found = np.zeros(len(keys))
+                found[hit] = x[at[hit]]
+                sizes, docs = numbers(r["sizes"], np.uint32), numbers(r["docs"], np.uint16)
+                if r["kind"] == RUNS_ASKED:
+                    score += np.bincount(docs, np.repeat(found, sizes), len(score))
+                else:
+                    logs = np.where(hit, root.log10(found), np.log10(root.unseen))
+                    known += np.bincount(docs, np.repeat(hit, sizes), len(known)).astype(np.int64)
+                    base += np.bincount(docs, np.repeat(np.log10((found + 1) / denominator), sizes), len(base))
+                    score += np.bincount(docs, np.repeat(logs, sizes), len(score))
+        if sums:
+            yield rows(schema)
+
+    return (asked.repartition(tasks, "part").sortWithinPartitions("part", "kind")
+            .mapInArrow(run, f"{TEXT_COLUMNS.format(id_kind)}, {ANSWERED}"))
+
+
+def summed(answered: DataFrame, tasks: int) -> DataFrame:
+    """``_id, trained, n_tokens, known, base, score``: every text with its block's sums."""
+    wanted = ["_id", "trained", "n_tokens", "known", "base", "score"]
+    id_kind = answered.schema["_id"].dataType.simpleString()
+
+    def run(batches):
+        block, texts, sums = None, [], []
+
+        def rows():
+            every = pa.Table.from_batches(texts).combine_chunks().sort_by("doc")
+            out = {c: every.column(c).to_numpy().copy() for c in ("known", "base", "score")}
+            for r in sums:
+                at = numbers(r["docs"], np.uint32)
+                out["known"][at] += numbers(r["knowns"], np.uint32)
+                out["base"][at] += numbers(r["bases"], np.float64)
+                out["score"][at] += numbers(r["scores"], np.float64)
+            for c, x in out.items():
+                every = every.set_column(every.schema.get_field_index(c), c, pa.array(x))
+            return every.select(wanted).combine_chunks().to_batches()
+
+        for batch in batches:
+            blocks, kinds = (batch.column(c).to_numpy() for c in ("block", "kind"))
+            begin = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])])[:len(blocks)])
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(blocks)]):
+                if blocks[a] != block and texts:
+                    yield from rows()
+                    texts, sums = [], []
+                block, own = blocks[a], batch.slice(a, b - a)
+                if kinds[a] == TEXTS:
+                    texts.append(own.select(["doc", *wanted]))
+                else:
+                    sums += own.select(["docs", "knowns", "bases", "scores"]).to_pylist()
+        if texts:
+            yield from rows()
+
+    return (answered.repartition(tasks, "block").sortWithinPartitions("block", "kind")
+            .mapInArrow(run, f"_id {id_kind}, trained boolean, n_tokens long, known long, base double, score double"))
+
+
 def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_count: int = STATE_COUNT,
                 successor_count: int = SUCCESSOR_COUNT, least_divergence: float = LEAST_DIVERGENCE,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,85 +613,89 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_count: in
     base = with_code(docs).select(F.col(id_col).alias("_id"), F.coalesce(F.expr(train), F.lit(False)).alias("_train"),
                                   whole_text(text_col).alias("_text"))
     lessons = base.filter("_train")
-    vocab = cut(token_counts(lessons), "words")
-    row = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    few = {r["c"]: r["k"] for r in vocab.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
+    words = freed(token_counts(lessons), "words")
+    row = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    few = {r["c"]: r["k"] for r in words.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
     root = Root.fit(row["n"], row["v"], few)
     denominator = row["n"] + row["v"] + 1
-    words = cut(keyed(vocab), "keys")
-    added = cut(values(levels(lessons, words, root, depth, state_count, successor_count, least_divergence)), "values")
-    hot = added.filter(F.col("n") >= max(1.0, HOT_SHARE * root.tokens)).select("key", "v").toArrow()
+    tasks = tasks_for(root.tokens)
+    parts = tasks * PARTS_A_TASK
+    laws = levels(lessons, words, root, depth, state_count, successor_count, least_divergence)
+    added, states = values(laws), laws[0].filter("kept and head").select(F.col("ctx").alias("key"))
+    for level in laws[1:]:
+        states = states.unionByName(level.filter("kept and head").select(F.col("ctx").alias("key")))
+    hot_from, common_from = max(1.0, HOT_SHARE * root.tokens), max(1.0, COMMON_SHARE * root.tokens)
+    hot = added.filter(F.col("n") >= hot_from).groupBy("key").agg(F.sum("v").alias("v")).toArrow()
     hot_keys, hot_values = hot["key"].to_numpy().view(np.uint64), hot["v"].to_numpy()
     order = np.argsort(hot_keys)
-    others = added.filter(F.col("n") < max(1.0, HOT_SHARE * root.tokens)).select("key", "v")
-    common_from = max(1.0, COMMON_SHARE * root.tokens)
     common = words.filter(F.col("c") >= common_from).toArrow()
     word_keys, word_counts = common["key"].to_numpy().view(np.uint64), common["c"].to_numpy()
     by_word = np.argsort(word_keys)
     shared = docs.sparkSession.sparkContext.broadcast((
-        hot_keys[order], hot_values[order], bit_table(others), word_keys[by_word], word_counts[by_word]))
-
-    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
+        hot_keys[order], hot_values[order], bit_table(added), bit_table(states), word_keys[by_word], word_counts[by_word]))
 
     def run(batches):
-        keys, gains, bits, common_keys, common_counts = shared.value
+        keys, gains, bits, state_bits, common_keys, common_counts = shared.value
         common_base = np.log10((common_counts + 1) / denominator)
         common_root = root.log10(common_counts)
-        coder = Coder()
+        block, texts, schema = TaskContext.get().partitionId() << 32, 0, None
+        asked: dict[int, list] = {RUNS_ASKED: [], WORDS_ASKED: []}
+
+        def rows():
+            out = []
+            for kind, held in asked.items():
+                wanted, doc = map(np.concatenate, zip(*held))
+                held.clear()
+                order = np.argsort(wanted, kind="stable")
+                wanted, doc = wanted[order], doc[order]
+                begin = np.flatnonzero(np.concatenate([[True], wanted[1:] != wanted[:-1]])[:len(wanted)])
+                size = np.diff(np.append(begin, len(wanted))).astype(np.uint32)
+                wanted, upto = wanted[begin], np.append(begin, len(wanted))
+                for part, own in split(wanted, parts):
+                    out.append((kind, block, texts, part, *map(packed, (wanted[own], size[own], doc[upto[own.start]:upto[own.stop]]))))
+            if out:
+                yield rows_of(schema, len(out), **dict(zip(("kind", "block", "doc", "part", "keys", "sizes", "docs"), zip(*out))))
+
         for batch in batches:
-            ids, trained = (batch.column(i).to_pylist() for i in range(2))
-            for part in slices(batch.column(2).to_pylist()):
-                texts = [w for _, w in part]
-                codes = coder.codes(texts)
-                n = np.array([len(w) + 1 for w in texts])
-                begin = np.cumsum(n) - n
-                owner = np.repeat(np.arange(len(texts)), n)      # text of every token
+            schema = schema or schema_of(batch.schema.field(0).type, ASKED)
+            for a, b, codes, n in coded(batch.column(2)):
+                size = b - a
+                if texts + size > BLOCK_TEXTS or sum(len(k) for held in asked.values() for k, _ in held) > 2 * BLOCK_KEYS:
+                    yield from rows()
+                    block, texts, asked = block + 1, 0, {RUNS_ASKED: [], WORDS_ASKED: []}
+                owner = np.repeat(np.arange(size), n)            # text of every token
                 at, held = find(common_keys, codes[1:])
-                known = np.bincount(owner[held], minlength=len(texts))
-                plain = np.bincount(owner[held], common_base[at[held]], len(texts)).astype(float)
-                score = np.bincount(owner[held], common_root[at[held]], len(texts)).astype(float)
-                rare = [Counter(w for w, h in zip(ws + [END], held[b:b + len(ws) + 1].tolist()) if not h)
-                        if not held[b:b + len(ws) + 1].all() else {} for ws, b in zip(texts, begin.tolist())]
-                runs, places = [], []
-                for m, (end, run_keys) in enumerate(coder.runs(codes, depth + 1), 1):
+                known = np.bincount(owner[held], minlength=size)
+                plain = np.bincount(owner[held], common_base[at[held]], size).astype(float)
+                score = np.bincount(owner[held], common_root[at[held]], size).astype(float)
+                asked[WORDS_ASKED].append((codes[1:][~held], (texts + owner[~held]).astype(np.uint16)))
+                state = np.zeros(len(codes), bool)               # of the runs that end here
+                for m, (end, run_keys) in enumerate(runs_in(codes, depth + 1), 1):
+                    # A run has a value as a state, or as a state with its successor.
+                    use = may_hold(state_bits, run_keys) if m <= depth else np.zeros(len(end), bool)
+                    below, state = state, np.zeros(len(codes), bool)
+                    state[end] = use
+                    if m > 1:
+                        after = np.flatnonzero(below[end - 1] & ~use)
+                        use[after] = may_hold(bits, run_keys[after])
                     # A run of one word counts for the token behind it.
-                    place = owner[end if m == 1 else end - 1]
+                    place, run_keys = owner[(end if m == 1 else end - 1)[use]], run_keys[use]
                     at, hit = find(keys, run_keys)
-                    score += np.bincount(place[hit], gains[at[hit]], len(texts))
-                    left = ~hit & may_hold(bits, run_keys)
-                    runs.append(run_keys[left])
-                    places.append(place[left])
-                place, found = np.concatenate(places), np.concatenate(runs)
-                order = np.argsort(place, kind="stable")
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(texts)))]).astype(np.int32)
-                kinds = (batch.schema.field(0).type, pa.bool_())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c[i] for i, _ in part], k) for c, k in zip((ids, trained), kinds)]
-                    + [pa.array(n), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(score),
-                       pa.array([list(r) for r in rare], pa.list_(pa.binary())),
-                       pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
-                       pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[order].view(np.int64)))],
-                    names=["_id", "trained", "n_tokens", "known", "base", "score", "rare", "rare_n", "runs"])
+                    score += np.bincount(place[hit], gains[at[hit]], size)
+                    asked[RUNS_ASKED].append((run_keys[~hit], (texts + place[~hit]).astype(np.uint16)))
+                yield rows_of(schema, size, kind=np.full(size, TEXTS, np.int32), block=np.full(size, block), doc=np.arange(texts, texts + size, dtype=np.int32),
+                              _id=batch.column(0).slice(a, size), trained=batch.column(1).slice(a, size), n_tokens=n, known=known,
+                              base=plain, score=score, part=np.full(size, block % parts, np.int32))
+                texts += size
+        if texts:
+            yield from rows()
 
     kind = base.schema["_id"].dataType.simpleString()
-    scored = base.mapInArrow(run, f"_id {kind}, trained boolean, n_tokens long, known long, base double, "
-                                  "score double, rare array<binary>, rare_n array<long>, runs array<long>")
-    scored = cut(scored.withColumn("_rid", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("_rid", F.explode(F.arrays_zip("rare", "rare_n")).alias("z")).select(
-        "_rid", F.col("z.rare").alias("word"), F.col("z.rare_n").alias("k"))
-    rest = vocab.filter(F.col("c") < common_from).select("word", "c")
-    sums = (rare.join(rest, "word", "left").select("_rid", "k", F.coalesce("c", F.lit(0)).alias("c"))
-            .groupBy("_rid").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k"),
-                                 F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))).alias("b"),
-                                 F.sum(F.col("k") * root.column(F.col("c"))).alias("m")))
-    gains = (scored.select("_rid", F.explode("runs").alias("key")).join(others, "key")
-             .groupBy("_rid").agg(F.sum("v").alias("v")))
-    return scored.drop("rare", "rare_n", "runs").join(sums, "_rid", "left").join(gains, "_rid", "left").select(
-        F.col("_id").alias(id_col), F.col("trained").alias("in_training"), "n_tokens",
-        (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(root.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("m", F.lit(0.0)) + F.coalesce("v", F.lit(0.0))).alias("score"))
+    asked = base.mapInArrow(run, f"{TEXT_COLUMNS.format(kind)}, {ASKED}")
+    others = added.filter(F.col("n") < hot_from).select("key", F.col("v").alias("x"))
+    rare = words.filter(F.col("c") < common_from).select("key", F.col("c").alias("x"))
+    for found, what in ((others, VALUES), (rare, COUNTS)):
+        asked = asked.unionByName(table_parts(found, what, parts), allowMissingColumns=True)
+    return summed(looked_up(asked, root, denominator, tasks), tasks).select(
+        F.col("_id").alias(id_col), F.col("trained").alias("in_training"), "n_tokens", F.col("known").alias("n_known"),
+        F.lit(root.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -181,6 +182,45 @@ def test_a_context_stays_known_in_a_larger_corpus(spark):
     assert gain(few) > 3 and gain(few + filler) > 3
 
 
+def test_words_are_told_apart_by_their_hashes():
+    long = "x" * 300
+    texts = ["", " \t\n", "Ab aB abc", "abcdefgh abcdefghi abcdefgh\u00e9", "a", f"{long} {long}y {long}", "\u0130 i\u0307 \u00a0", "A\x0bb\x0cab"]
+    texts += [" ".join("w" * n for n in range(1, 40))]
+    hashes: dict[bytes, set] = {}
+    for part in (pa.array(texts), pa.array(["cut off", *texts])[1:], pa.array(texts, pa.large_string())):
+        codes, n = [], []
+        for _, _, c, k in suffix_tree_lm.coded(part):
+            codes += c[1:].tolist()
+            n += k.tolist()
+        words = [t.encode().translate(suffix_tree_lm.LOWER_BYTES).split() for t in texts]
+        assert n == [len(w) + 1 for w in words]
+        for word, code in zip([w for ws in words for w in [*ws, b""]], codes, strict=True):
+            hashes.setdefault(word, set()).add(code)
+    assert all(len(c) == 1 for c in hashes.values()) and len({min(c) for c in hashes.values()}) == len(hashes)
+
+
+def test_no_table_has_a_row_for_every_token(spark, monkeypatch):
+    """Also where every value is looked up, what is written is the tree, not the texts' runs."""
+    monkeypatch.setattr(suffix_tree_lm, "HOT_SHARE", 1.0)
+    monkeypatch.setattr(suffix_tree_lm, "COMMON_SHARE", 1.0)
+    rng = random.Random(8)
+    docs = spark.createDataFrame([row(i, " ".join(f"w{rng.randrange(25)}" for _ in range(1500))) for i in range(100)], DOC_SCHEMA)
+    tables = {}
+    write = suffix_tree_lm.cut
+
+    def cut(df, name):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(suffix_tree_lm, "cut", cut)
+    rows = suffix_tree_lm.score_texts(docs, "doc_id >= 0").collect()
+    held = 0
+    for table_ in tables.values():
+        lists = [c for c, kind in table_.dtypes if kind.startswith("array")]
+        held += table_.count() + sum(table_.agg(F.sum(F.size(c))).first()[0] for c in lists)
+    assert held < sum(r["n_tokens"] for r in rows) / 3
+
+
 # ---- repeated passages ----------------------------------------------------
 
 def plain_repeats(texts, length):
