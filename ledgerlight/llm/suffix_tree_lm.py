@@ -18,7 +18,9 @@ words has one value, and a text's score is the sum of the values of its runs.
 Values of frequent runs and words (at most 1 / share) are sent to every task.
 All others are looked up: a block of texts sends each of its keys once, with the
 texts that hold it, to the key's part of the table, which sends back sums by
-text.  What is shuffled by the token travels as packed arrays.
+text.  What is shuffled by the token travels as packed arrays, in which a word is
+its rank among the frequent ones if it is one.  The texts are scored in rounds,
+each of which frees its shuffles, so that one round's lookups lie on disk at once.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ from ledgerlight.llm.graph import FILTER_BITS, passes
 # Shares of all training tokens from which on a word or a run of words is sent
 # to every task; those below are looked up.  They only move work, not results.
 COMMON_SHARE, HOT_SHARE = 1e-6, 1e-6
+# Share from which on a word is sent by its rank, and rounds in which texts are
+# scored; they only move work, too.
+RANKED_SHARE, ROUNDS = 2e-7, 3
 # Sightings that make a context a candidate and a successor held.
 STATE_COUNT, SUCCESSOR_COUNT = 16, 2
 DEPTH, LEAST_DIVERGENCE = 3, 0.01
@@ -56,6 +61,7 @@ MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 LONG_WORD = 256                # bytes beyond which a word is hashed by itself
 END = b""                      # as a word; no word is empty
 END_CODE = np.uint64(xxhash.xxh3_64_intdigest(END))
+PRESS = pa.Codec("zstd", compression_level=1)
 
 
 def freed(df: DataFrame, name: str) -> DataFrame:
@@ -223,7 +229,7 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 def split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
     """The parts of sorted keys that are not empty, with their places."""
     part = part_of(keys, parts)
-    begin = np.flatnonzero(np.concatenate([[len(part) > 0], part[1:] != part[:-1]])[:len(part)])
+    begin = changes(part)
     for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)]):
         yield int(part[a]), slice(a, b)
 
@@ -236,16 +242,53 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
-def packed(x: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then their second bytes, and so on: those
-    of sorted or small numbers are alike, so that a shuffle compresses them."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+def guide_of(keys: np.ndarray) -> np.ndarray:
+    """Where the hashes that begin with the same bits begin among the sorted keys."""
+    bits = len(keys).bit_length() + 1
+    return np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
 
 
-def numbers(blob: bytes | None, kind) -> np.ndarray:
+def find_by(guide: np.ndarray, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``find`` of hashes in any order, from their places in the guide on."""
+    if not len(keys):
+        return find(keys, wanted)
+    last = len(keys) - 1
+    at = np.minimum(guide[wanted >> np.uint64(65 - len(guide).bit_length())], last).astype(np.int64)
+    on = np.flatnonzero((keys[at] < wanted) & (at < last))
+    while len(on):
+        at[on] += 1
+        on = on[(keys[at[on]] < wanted[on]) & (at[on] < last)]
+    return at, keys[at] == wanted
+
+
+def order_of(hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes by their first bits (the 32 of ``part_of`` at least), as
+    one sort without an argsort.  Equal hashes may, rarely, stand apart."""
+    low = np.uint64((1 << len(hashes).bit_length()) - 1)
+    return (np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)) & low).astype(np.int64)
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate([[len(x) > 0], x[1:] != x[:-1]])[:len(x)])
+
+
+def packed(x: np.ndarray, rising: bool = False) -> bytes:
+    """The first bytes of all numbers, then their second bytes, and so on, compressed:
+    those of small numbers are alike.  ``rising`` ones are kept as their steps."""
+    if rising:
+        x = np.diff(x, prepend=np.zeros(1, x.dtype))
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + PRESS.compress(planes, asbytes=True)
+
+
+def numbers(blob: bytes | None, kind, rising: bool = False) -> np.ndarray:
     """What ``packed`` was given."""
-    planes = np.frombuffer(blob or b"", np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    if not blob:
+        return np.empty(0, kind)
+    planes = PRESS.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    x = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if rising else x
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:
@@ -269,58 +312,66 @@ def successor_counts(docs: DataFrame, sent, level: int, tasks: int, least: float
     seen ``least`` times and more, for the contexts that pass the bit table;
     ``sfx`` and ``shorter`` are the hashes of context and run without the oldest
     word.  Tasks send counts by parts of the contexts, packed; successors of the
-    most frequent contexts go to parts by themselves."""
+    most frequent contexts go to parts by themselves.  ``words`` are a context's
+    successors, then its words from the last to the second: ranks, and the hashes
+    of those without one in ``rare``."""
     parts = tasks * PARTS_A_TASK
 
     def run(batches):
-        bits, spread = sent.value
+        bits, spread, ranked, rank_of, _ = sent.value
+        guide, spread_guide = guide_of(ranked), guide_of(spread)
         held: list[tuple[np.ndarray, ...]] = []
 
         def rows():
-            ctx, w, *sfx = map(np.concatenate, zip(*held))
+            ctx, *words = map(np.concatenate, zip(*held))
             held.clear()
-            key, first, n = np.unique(extend(ctx, w), return_index=True, return_counts=True)
-            ctx, w, sfx = ctx[first], w[first], sfx[0][first] if sfx else np.zeros(len(key), np.uint64)
-            route = np.where(find(spread, ctx)[1], key, ctx)
-            order = np.argsort(route, kind="stable")
-            ctx, sfx, w, n = ctx[order], sfx[order], w[order], n[order].astype(np.uint32)
+            key = extend(ctx, words[0])
+            first = order_of(key)
+            begin = changes(key[first])
+            n, first = np.diff(np.append(begin, len(key))).astype(np.uint32), first[begin]
+            ctx, key = ctx[first], key[first]
+            route = np.where(find_by(spread_guide, spread, ctx)[1], key, ctx)
+            order = order_of(route)
+            ctx, n, first = ctx[order], n[order], first[order]
             out = []
             for part, own in split(route[order], parts):
                 c = ctx[own]
-                begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+                begin = changes(c)
                 size = np.diff(np.append(begin, len(c))).astype(np.uint32)
-                out.append((part, *map(packed, (c[begin], sfx[own][begin], size, w[own], n[own]))))
+                sent_words = np.concatenate([words[0][first[own]], *(w[first[own][begin]] for w in words[1:])])
+                at, hit = find_by(guide, ranked, sent_words)
+                ranks = np.where(hit, rank_of[at], np.uint32(0)) if len(ranked) else np.zeros(len(at), np.uint32)
+                out.append((part, packed(c[begin], True), *map(packed, (size, ranks, sent_words[~hit], n[own]))))
             kinds = (pa.int32(), *[pa.binary()] * 5)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                              names=["part", "ctx", "sfx", "size", "w", "n"])
+                                              names=["part", "ctx", "size", "words", "rare", "n"])
 
         for batch in batches:
             for _, _, codes, _ in coded(batch.column(0)):
-                runs = runs_in(codes, level)
-                at, ctx = runs[-1]
+                at, ctx = runs_in(codes, level)[-1]
                 use = may_hold(bits, ctx)
                 if level > 1:
                     use &= codes[at] != END_CODE
                 at, ctx = at[use], ctx[use]
-                suffixes = []
-                if level > 1:
-                    suffix = np.zeros(len(codes), np.uint64)
-                    suffix[runs[-2][0]] = runs[-2][1]
-                    suffixes = [suffix[at]]
                 if len(at):
-                    held.append((ctx, codes[at + 1], *suffixes))
+                    held.append((ctx, codes[at + 1], *(codes[at - back] for back in range(level - 1))))
                 if sum(len(x[0]) for x in held) > BLOCK_KEYS:
                     yield rows()
         if held:
             yield rows()
 
     def add(batches):
+        word_of = sent.value[-1]
         part, held = None, []
 
         def rows():
             ctx, sfx, w, n = map(np.concatenate, zip(*held))
-            key, first, index = np.unique(extend(ctx, w), return_index=True, return_inverse=True)
-            n = np.bincount(index, n, len(key)).astype(np.int64)
+            key = extend(ctx, w)
+            first = np.argsort(key)
+            begin = changes(key[first])
+            n = np.add.reduceat(n[first], begin, dtype=np.int64)
+            first = first[begin]
+            key = key[first]
             use = np.flatnonzero(n >= least)
             use = use[np.argsort(ctx[first[use]], kind="stable")]
             ctx, sfx, w = (c[first[use]] for c in (ctx, sfx, w))
@@ -334,50 +385,66 @@ def successor_counts(docs: DataFrame, sent, level: int, tasks: int, least: float
                     yield rows()
                     held = []
                 part, size = r["part"], numbers(r["size"], np.uint32)
-                ctx, sfx = (np.repeat(numbers(r[c], np.uint64), size) for c in ("ctx", "sfx"))
-                held.append((ctx, sfx, numbers(r["w"], np.uint64), numbers(r["n"], np.uint32)))
+                ranks, n = numbers(r["words"], np.uint32), numbers(r["n"], np.uint32)
+                words = word_of[ranks]
+                words[ranks == 0] = numbers(r["rare"], np.uint64)
+                w, *last = np.split(words, len(n) + len(size) * np.arange(level))[:level]
+                sfx = last[-1] if last else np.zeros(len(size), np.uint64)
+                for word in last[-2::-1]:
+                    sfx = extend(sfx, word)
+                held.append((np.repeat(numbers(r["ctx"], np.uint64, True), size), np.repeat(sfx, size), w, n))
         if held:
             yield rows()
 
-    sent_on = docs.select("_text").mapInArrow(run, "part int, ctx binary, sfx binary, size binary, w binary, n binary")
+    sent_on = docs.select("_text").mapInArrow(run, "part int, ctx binary, size binary, words binary, rare binary, n binary")
     return sent_on.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(
         add, "ctx long, sfx long, w long, n long, key long, shorter long")
 
 
 def levels(docs: DataFrame, words: DataFrame, root: Root, depth: int, least_state: float, least_successor: float,
-           least_divergence: float) -> list[DataFrame]:
+           least_divergence: float, named: bool = False) -> list[DataFrame]:
     """The laws of the candidate contexts of 1, 2, .. words, one row a successor:
-    ``ctx, sfx, w, n, seen, key, head, kept, rest, before, logp``; logarithms to
-    base 10.  ``head`` is true in one row of a context.  ``logp`` is the law of the context, or of its longest suffix that is
+    ``ctx, n, seen, key, last, head, kept, weight, total, rest, before, logp``, with ``sfx`` and
+    ``w`` if ``named``; logarithms to base 10.  ``last``: the successor is the end
+    mark.  ``head`` is true in one row of a context.  ``logp`` is the law of the context, or of its longest suffix that is
     kept if it is not kept itself; ``before`` is that of its suffix."""
     spark = docs.sparkSession
     least, again = max(2.0, least_state), max(2.0, least_successor)
     end, tasks = int(END_CODE.view(np.int64)), tasks_for(root.tokens)
     candidates = words.filter(F.col("c") >= least).select("key", F.col("c").alias("seen"))
     before = words.filter(F.col("c") >= again).select(F.col("key").alias("shorter"), root.column(F.col("c")).alias("before"))
+    frequent = words.filter(F.col("c") >= max(again, RANKED_SHARE * root.tokens)).toArrow().sort_by([("c", "descending"), ("key", "ascending")])
+    word_of = np.concatenate([np.zeros(1, np.uint64), frequent["key"].to_numpy().view(np.uint64)])
+    by_key = np.argsort(word_of[1:])
+    ranked, rank_of = word_of[1:][by_key], (by_key + 1).astype(np.uint32)
     out: list[DataFrame] = []
     for level in range(1, depth + 1):
         spread = candidates.filter(F.col("seen") >= max(1.0, SPREAD_SHARE * root.tokens)).select("key").toArrow()
-        sent = spark.sparkContext.broadcast((bit_table(candidates), np.sort(spread["key"].to_numpy().view(np.uint64))))
-        pairs = successor_counts(docs, sent, level, tasks, again)
+        sent = spark.sparkContext.broadcast((bit_table(candidates), np.sort(spread["key"].to_numpy().view(np.uint64)), ranked, rank_of, word_of))
+        pairs = successor_counts(docs, sent, level, tasks, again).withColumn("last", F.col("w") == end)
+        if not named:
+            pairs = pairs.drop("sfx", "w")
         own = Window.partitionBy("ctx")
         weight = F.greatest(F.col("seen") - F.col("sums"), F.lit(0)) + F.col("kinds")
+        law = F.log10((F.col("n") + F.col("weight") * F.pow(F.lit(10.0), "before")) / F.col("total"))
         gain = F.sum(F.col("n") / F.col("seen") * (F.col("own") - F.col("before")) * float(np.log(10)))
         # A run seen so often has a suffix seen as often, so no row is lost here.
         laws = (pairs.join(before, "shorter").drop("shorter").join(candidates.withColumnRenamed("key", "ctx"), "ctx")
                 .select("*", F.sum("n").over(own).alias("sums"), F.count(F.lit(1)).over(own).alias("kinds"),
-                        (F.col("w") == F.min("w").over(own)).alias("head"))
+                        (F.col("key") == F.min("key").over(own)).alias("head"))
                 .withColumn("weight", weight.cast("double"))
-                .withColumn("rest", F.log10(F.col("weight") / (F.col("sums") + F.col("weight"))))
-                .withColumn("own", F.log10((F.col("n") + F.col("weight") * F.pow(F.lit(10.0), "before")) / (F.col("sums") + F.col("weight"))))
-                .drop("weight", "sums", "kinds")
-                .withColumn("kept", gain.over(own) >= least_divergence)
-                .withColumn("logp", F.when(F.col("kept"), F.col("own")).otherwise(F.col("before"))))
-        laws = freed(laws.drop("own"), f"laws{level}")
+                .withColumn("total", F.col("sums") + F.col("weight"))
+                .drop("sums", "kinds")
+                .withColumn("own", law)
+                .withColumn("kept", gain.over(own) >= least_divergence))
+        # The two logarithms are not written, but taken again from what a context's rows share.
+        laws = (freed(laws.drop("own"), f"laws{level}")
+                .withColumn("rest", F.log10(F.col("weight") / F.col("total")))
+                .withColumn("logp", F.when(F.col("kept"), law).otherwise(F.col("before"))))
         sent.unpersist()
         out.append(laws)
         # Next candidates: context and word, seen often, the word not the end.
-        candidates = laws.filter((F.col("n") >= least) & (F.col("w") != end)).select("key", F.col("n").alias("seen"))
+        candidates = laws.filter((F.col("n") >= least) & ~F.col("last")).select("key", F.col("n").alias("seen"))
         before = laws.select(F.col("key").alias("shorter"), F.col("logp").alias("before"))
     return out
 
@@ -405,7 +472,7 @@ def grow(docs: DataFrame, vocab: DataFrame, root: Root, depth: int, least_state:
     size, states = len(number), {}
     parents, rests, keys, logs = [], [], [], []
     shorter: dict[int, int] = {}                       # state of every candidate, or of its longest kept suffix
-    for laws in levels(docs, vocab, root, depth, least_state, least_successor, least_divergence):
+    for laws in levels(docs, vocab, root, depth, least_state, least_successor, least_divergence, named=True):
         mine: dict[int, int] = {}
         for r in laws.collect():
             up = shorter.get(r["sfx"], -1)
@@ -479,7 +546,7 @@ def table_parts(found: DataFrame, kind: int, parts: int) -> DataFrame:
             keys, x = map(np.concatenate, zip(*held))
             order = np.argsort(keys)
             keys, x = keys[order], x[order]
-            out = [(part, kind, packed(keys[own]), packed(x[own])) for part, own in split(keys, parts)]
+            out = [(part, kind, packed(keys[own], True), packed(x[own])) for part, own in split(keys, parts)]
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "kind", "keys", "docs"])
 
@@ -516,7 +583,7 @@ def looked_up(asked: DataFrame, root: Root, denominator: int, tasks: int) -> Dat
             out = []
             for block, (known, base, score) in sums.items():
                 at = np.flatnonzero((base != 0) | (score != 0))
-                out.append((RUNS_ASKED, block, *map(packed, (at.astype(np.uint32), known[at].astype(np.uint32), base[at], score[at]))))
+                out.append((RUNS_ASKED, block, packed(at.astype(np.uint32), True), *map(packed, (known[at].astype(np.uint32), base[at], score[at]))))
             return rows_of(schema, len(out), **dict(zip(("kind", "block", "docs", "knowns", "bases", "scores"), zip(*out))))
 
         schema = None
@@ -529,7 +596,7 @@ def looked_up(asked: DataFrame, root: Root, denominator: int, tasks: int) -> Dat
             for r in batch.filter(pa.array(kinds != TEXTS)).select(["part", "kind", "block", "doc", "keys", "sizes", "docs"]).to_pylist():
                 if r["part"] != part:
                     part, held, ready = r["part"], {VALUES: [], COUNTS: []}, {}
-                keys = numbers(r["keys"], np.uint64)
+                keys = numbers(r["keys"], np.uint64, True)
                 if r["kind"] in held:
                     held[r["kind"]].append((keys, numbers(r["docs"], np.float64)))
                     continue
@@ -571,7 +638,7 @@ def summed(answered: DataFrame, tasks: int) -> DataFrame:
             every = pa.Table.from_batches(texts).combine_chunks().sort_by("doc")
             out = {c: every.column(c).to_numpy().copy() for c in ("known", "base", "score")}
             for r in sums:
-                at = numbers(r["docs"], np.uint32)
+                at = numbers(r["docs"], np.uint32, True)
                 out["known"][at] += numbers(r["knowns"], np.uint32)
                 out["base"][at] += numbers(r["bases"], np.float64)
                 out["score"][at] += numbers(r["scores"], np.float64)
@@ -618,8 +685,7 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_count: in
     few = {r["c"]: r["k"] for r in words.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
     root = Root.fit(row["n"], row["v"], few)
     denominator = row["n"] + row["v"] + 1
-    tasks = tasks_for(root.tokens)
-    parts = tasks * PARTS_A_TASK
+    parts, tasks = tasks_for(root.tokens) * PARTS_A_TASK, tasks_for(root.tokens // ROUNDS)
     laws = levels(lessons, words, root, depth, state_count, successor_count, least_divergence)
     added, states = values(laws), laws[0].filter("kept and head").select(F.col("ctx").alias("key"))
     for level in laws[1:]:
@@ -638,6 +704,7 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_count: in
         keys, gains, bits, state_bits, common_keys, common_counts = shared.value
         common_base = np.log10((common_counts + 1) / denominator)
         common_root = root.log10(common_counts)
+        guide, common_guide = guide_of(keys), guide_of(common_keys)
         block, texts, schema = TaskContext.get().partitionId() << 32, 0, None
         asked: dict[int, list] = {RUNS_ASKED: [], WORDS_ASKED: []}
 
@@ -646,13 +713,13 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_count: in
             for kind, held in asked.items():
                 wanted, doc = map(np.concatenate, zip(*held))
                 held.clear()
-                order = np.argsort(wanted, kind="stable")
+                order = order_of(wanted)
                 wanted, doc = wanted[order], doc[order]
-                begin = np.flatnonzero(np.concatenate([[True], wanted[1:] != wanted[:-1]])[:len(wanted)])
+                begin = changes(wanted)
                 size = np.diff(np.append(begin, len(wanted))).astype(np.uint32)
                 wanted, upto = wanted[begin], np.append(begin, len(wanted))
                 for part, own in split(wanted, parts):
-                    out.append((kind, block, texts, part, *map(packed, (wanted[own], size[own], doc[upto[own.start]:upto[own.stop]]))))
+                    out.append((kind, block, texts, part, packed(wanted[own], True), *map(packed, (size[own], doc[upto[own.start]:upto[own.stop]]))))
             if out:
                 yield rows_of(schema, len(out), **dict(zip(("kind", "block", "doc", "part", "keys", "sizes", "docs"), zip(*out))))
 
@@ -664,7 +731,7 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_count: in
                     yield from rows()
                     block, texts, asked = block + 1, 0, {RUNS_ASKED: [], WORDS_ASKED: []}
                 owner = np.repeat(np.arange(size), n)            # text of every token
-                at, held = find(common_keys, codes[1:])
+                at, held = find_by(common_guide, common_keys, codes[1:])
                 known = np.bincount(owner[held], minlength=size)
                 plain = np.bincount(owner[held], common_base[at[held]], size).astype(float)
                 score = np.bincount(owner[held], common_root[at[held]], size).astype(float)
@@ -680,7 +747,7 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_count: in
                         use[after] = may_hold(bits, run_keys[after])
                     # A run of one word counts for the token behind it.
                     place, run_keys = owner[(end if m == 1 else end - 1)[use]], run_keys[use]
-                    at, hit = find(keys, run_keys)
+                    at, hit = find_by(guide, keys, run_keys)
                     score += np.bincount(place[hit], gains[at[hit]], size)
                     asked[RUNS_ASKED].append((run_keys[~hit], (texts + place[~hit]).astype(np.uint16)))
                 yield rows_of(schema, size, kind=np.full(size, TEXTS, np.int32), block=np.full(size, block), doc=np.arange(texts, texts + size, dtype=np.int32),
@@ -691,11 +758,18 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_count: in
             yield from rows()
 
     kind = base.schema["_id"].dataType.simpleString()
-    asked = base.mapInArrow(run, f"{TEXT_COLUMNS.format(kind)}, {ASKED}")
     others = added.filter(F.col("n") < hot_from).select("key", F.col("v").alias("x"))
     rare = words.filter(F.col("c") < common_from).select("key", F.col("c").alias("x"))
-    for found, what in ((others, VALUES), (rare, COUNTS)):
-        asked = asked.unionByName(table_parts(found, what, parts), allowMissingColumns=True)
-    return summed(looked_up(asked, root, denominator, tasks), tasks).select(
+    scored: list[DataFrame] = []
+    for number in range(ROUNDS):
+        asked = base.filter(F.pmod(F.xxhash64("_id"), F.lit(ROUNDS)) == number).mapInArrow(run, f"{TEXT_COLUMNS.format(kind)}, {ASKED}")
+        for found, what in ((others, VALUES), (rare, COUNTS)):
+            asked = asked.unionByName(table_parts(found, what, parts), allowMissingColumns=True)
+        scored.append(freed(summed(looked_up(asked, root, denominator, tasks), tasks), f"scored{number}"))
+    shared.unpersist()
+    every = scored[0]
+    for more in scored[1:]:
+        every = every.unionByName(more)
+    return every.select(
         F.col("_id").alias(id_col), F.col("trained").alias("in_training"), "n_tokens", F.col("known").alias("n_known"),
         F.lit(root.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

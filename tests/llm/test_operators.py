@@ -221,6 +221,53 @@ def test_no_table_has_a_row_for_every_token(spark, monkeypatch):
     assert held < sum(r["n_tokens"] for r in rows) / 3
 
 
+def test_what_is_shuffled_by_the_token_is_small(spark):
+    """Frequent words travel as ranks, sorted hashes as steps, and come back as they were."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 2**64, 20000, dtype=np.uint64))
+    mixed = rng.permutation(np.concatenate([keys, keys + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)]))
+    for some in (keys[:0], keys[:1], keys):
+        at, hit = suffix_tree_lm.find_by(suffix_tree_lm.guide_of(some), some, mixed)
+        plain, known = suffix_tree_lm.find(some, mixed)
+        assert (hit == known).all() and (at[hit] == plain[hit]).all()
+        for rising in (False, True):
+            blob = suffix_tree_lm.packed(some, rising)
+            assert (suffix_tree_lm.numbers(blob, np.uint64, rising) == some).all()
+    order = suffix_tree_lm.order_of(mixed)
+    assert sorted(order.tolist()) == list(range(len(mixed))) and (np.diff(mixed[order] >> np.uint64(32)) < 2**63).all()
+
+    texts = [" ".join(f"w{int(i)}" for i in rng.zipf(1.5, 400) % 300) for _ in range(50)]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DOC_SCHEMA)
+    base = docs.select(F.col("text").alias("_text"))
+    words = suffix_tree_lm.token_counts(base).cache()
+    tokens = words.agg(F.sum("c")).first()[0]
+    root = suffix_tree_lm.Root.fit(tokens, words.count(), Counter(r["c"] for r in words.collect()))
+
+    def pairs():
+        found = suffix_tree_lm.levels(base, words, root, 3, 5, 2, 0.0, named=True)
+        return [{(r["ctx"], r["sfx"], r["w"], r["n"], r["key"], r["last"]) for r in level.collect()} for level in found]
+
+    with pytest.MonkeyPatch.context() as patch:
+        ranked = pairs()
+        patch.setattr(suffix_tree_lm, "RANKED_SHARE", 1.0)       # no word has a rank
+        assert pairs() == ranked
+        patch.setattr(suffix_tree_lm, "RANKED_SHARE", 0.01)      # a few have
+        assert pairs() == ranked
+    assert all(ranked)
+
+
+def test_texts_are_scored_in_rounds(prose, monkeypatch):
+    """One round's lookups are on disk at once; every row, repeated ones too, is in one round."""
+    written = []
+    write = suffix_tree_lm.cut
+    monkeypatch.setattr(suffix_tree_lm, "cut", lambda df, name: written.append((name, write(df, name))) or written[-1][1])
+    twice = prose.unionByName(prose.limit(20))
+    rows = suffix_tree_lm.score_texts(twice, "doc_id % 3 <> 1", state_count=3).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in twice.collect())
+    sizes = [df.count() for name, df in written if name.startswith("scored")]
+    assert sum(sizes) == len(rows) and len(sizes) > 1 and max(sizes) < 0.7 * len(rows)
+
+
 # ---- repeated passages ----------------------------------------------------
 
 def plain_repeats(texts, length):
