@@ -676,7 +676,8 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_count: in
     and empty texts are the end alone; repeated rows are counted and scored one
     by one; a null condition leaves a row out of training; without training
     rows every token is unseen, with probability one; an empty table gives no
-    rows; other columns of ``docs`` are not returned."""
+    rows; other columns of ``docs`` are not returned.  ``docs`` is read several
+    times and must give the same rows each time."""
     base = with_code(docs).select(F.col(id_col).alias("_id"), F.coalesce(F.expr(train), F.lit(False)).alias("_train"),
                                   whole_text(text_col).alias("_text"))
     lessons = base.filter("_train")
@@ -752,7 +753,7 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, state_count: in
                     asked[RUNS_ASKED].append((run_keys[~hit], (texts + place[~hit]).astype(np.uint16)))
                 yield rows_of(schema, size, kind=np.full(size, TEXTS, np.int32), block=np.full(size, block), doc=np.arange(texts, texts + size, dtype=np.int32),
                               _id=batch.column(0).slice(a, size), trained=batch.column(1).slice(a, size), n_tokens=n, known=known,
-                              base=plain, score=score, part=np.full(size, block % parts, np.int32))
+                              base=plain, score=score, part=np.full(size, ((block >> 32) + (block & 0xFFFFFFFF)) % parts, np.int32))
                 texts += size
         if texts:
             yield from rows()
