@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 import zipfile
 
@@ -45,12 +46,29 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(key), F.lit(slots)) < int(slots * min(1.0, 1.2 * most / n)))
 
 
+# Seconds from one collection of the driver's garbage to the next, at least.
+COLLECT_S = 15
+_collected = {"at": 0.0}
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage, if it was not asked to lately.
+
+    Spark frees the broadcasts and shuffles of ended steps when the collector
+    finds that nothing refers to them, and the heap shrinks to what is in use;
+    a JVM that is left alone may grow it to its limit first."""
+    if time.monotonic() - _collected["at"] >= COLLECT_S:
+        spark.sparkContext._jvm.System.gc()
+        _collected["at"] = time.monotonic()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the cluster's shared folder and read it back:
     lineage ends there, and a lost executor costs only its own reads."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

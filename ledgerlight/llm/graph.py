@@ -11,9 +11,39 @@ from ledgerlight.llm.common import cut, with_code
 FILTER_BITS = 26
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return row[0], row[1]
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """One half of a round over edges ``u, v``: all neighbours of a node meet in
+    one task, sorted, so its smallest one comes first and the others are linked
+    to it as they stream by, repeated edges once.  The large half takes every
+    edge from both ends, links the larger neighbours, and adds a loop where a
+    node has a smaller neighbour beside others, as in a star none has; the small
+    half links the smaller neighbours and the node, and hands loops on."""
+    def run(batches):
+        held = None
+        for batch in batches:
+            u, v = (batch.column(i).to_numpy() for i in range(2))
+            loops = u[u == v][:1]
+            u, v = u[u != v], v[u != v]
+            ends, tops = u[:0], v[:0]
+            if len(u):
+                first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+                least, fresh = v[first], np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
+                if held is not None and held[0] == u[0]:
+                    least[0], fresh[0] = held[2], held[1] != v[0]
+                held = (u[-1], v[-1], least[-1])
+                least = np.repeat(least, np.diff(np.append(first, len(u))))
+                if large:
+                    loops = u[(least < u) & (v != least)][:1]
+                    found = fresh & (v > u)
+                    ends, tops = v[found], np.minimum(u, least)[found]
+                else:
+                    ends, tops = np.where(v == least, u, v)[fresh], least[fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ends, loops])), pa.array(np.concatenate([tops, loops]))],
+                                             names=["u", "v"])
+
+    both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
+    rows = edges.select(both).select("e.u", "e.v") if large else edges
+    return with_code(rows).repartition("u").sortWithinPartitions("u", "v").mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -22,29 +52,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: every node's larger, then
     smaller, neighbours are linked to its smallest one, until all components
-    are stars.  Each round is two grouped minima and two joins; a round's
-    edges are written to the shared folder.  Null ids and loops are left out."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-            .filter("u is not null and v is not null and u <> v")
-            .distinct(), "edges")
-    mark = _mark(e)
-    if mark[0] == 0:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    are stars.  A round is two shuffles without joins, so the driver has few
+    jobs, plans and broadcasts to keep; its edges are written to the shared
+    folder.  Null ids and loops are left out."""
+    e = (edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+         .filter("u is not null and v is not null and u <> v").distinct())
     for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .filter("u <> v").distinct())
-        large = cut(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = (small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        e = cut(small, "small")
-        now = _mark(e)
-        if now == mark:
+        found = cut(_stars(_stars(e, True), False), "stars")
+        e = found.filter("u <> v")
+        if found.filter("u = v").isEmpty():
             break
-        mark = now
     else:
         raise RuntimeError("components did not settle")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import (decision_list, empirical_bayes, features, graph, hilbert, mixing, packing, queries, signature_join,
+from ledgerlight.llm import (common, decision_list, empirical_bayes, features, graph, hilbert, mixing, packing, queries, signature_join,
                              suffix_dedup, suffix_tree_lm, toxicity, winnowing)
 from ledgerlight.llm.common import table
 from samples import DOC_SCHEMA, LABEL_SCHEMA, row
@@ -561,6 +561,35 @@ def test_components(spark):
     assert got == {x: find(x) for x in up}
 
 
+def test_components_ask_little_of_the_driver(spark):
+    """A round is few jobs without joins, and nodes may span many batches."""
+    conf, sc = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.sparkContext
+    was = spark.conf.get(conf)
+    hub = [(500, 500 + i) for i in range(1, 40)] + [(540 - i, 500) for i in range(1, 30)]
+    edges = [(i, i + 1) for i in range(200)] + hub + hub + [(1000, 539), (-5, 1000), (700, 700)]
+    spark.conf.set(conf, "3")
+    sc.setJobGroup("test-components", "jobs of components")
+    try:
+        rows = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    finally:
+        spark.conf.set(conf, was)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    want = dict.fromkeys(range(201), 0) | dict.fromkeys([*range(500, 540), 1000, -5], -5)
+    assert len(rows) == len(want) and {r["node"]: r["root"] for r in rows} == want
+    assert len(sc.statusTracker().getJobIdsForGroup("test-components")) <= 60  # with joins: over 100
+
+
+def test_cut_has_the_driver_collect_garbage(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def full():
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+
+    before, common._collected["at"] = full(), -1e9
+    common.cut(spark.range(3), "a")
+    assert full() > before and common._collected["at"] > 0
+
+
 # ---- packing --------------------------------------------------------------
 
 def test_packing_round_trip(prose):
